@@ -37,7 +37,8 @@ class DigestIndex:
     def _flush(self, rows: DataFrame, by: list[str]) -> None:
         run = f"{self.path}/run-{len(self.runs):04d}"
         writer = rows.sortWithinPartitions("digest").write.mode("overwrite")
-        writer = writer.option("parquet.bloom.filter.enabled#digest", "true")
+        # filters sized to what a run holds, not to the format's 1 MB for every file
+        writer = writer.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         (writer.partitionBy(*by) if by else writer).parquet(run)
         self.runs.append(run)
 
