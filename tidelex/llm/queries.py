@@ -7,10 +7,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelex.llm.chat_trees import format_paths, linear_messages, read_loss, read_turns, reply_paths
 from tidelex.llm.common import table
 from tidelex.llm.exact_dedup import exact_duplicates
 from tidelex.llm.sentencepiece_codec import encode_decode
+from tidelex.llm.simhash import near_duplicates
 from tidelex.llm.top_k import exact_top_k, quantised
+from tidelex.llm.toxicity import fit, score, training_sample
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -27,6 +30,39 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_duplicates(table(spark, sf_dir, "documents"), words=3)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score(docs, fit(training_sample(docs, labels)))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: A conversation whose texts look like the template's own control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op7_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    messages = linear_messages(table(spark, sf_dir, "conversations").unionByName(own, allowMissingColumns=True))
+    made = format_paths(reply_paths(messages, branches=1), messages)
+    turns, loss = read_turns(F.col("formatted")), read_loss(F.col("formatted"), F.col("loss_spans"))
+    read = made.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(table(spark, sf_dir, "embeddings"), scale=64.0)
     return exact_top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -38,6 +74,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
+    "op7_chat_trees": op7_chat_trees,
     "op8_exact_top_k": op8_exact_top_k,
     "op10_sentencepiece": op10_sentencepiece,
 }
@@ -48,6 +87,21 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op7_chat_trees": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), sized AS (
+            SELECT *, length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) + length(role) + length(regexp_replace(role, '[^\\<#:]', '', 'g')) AS body FROM rows
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(body + 4 + 2 + 8)::BIGINT AS formatted_chars
+        FROM sized GROUP BY conv_id
+    """,
     "op8_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
