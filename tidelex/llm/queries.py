@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidelex.llm.chat_trees import format_paths, linear_messages, read_loss, read_turns, reply_paths
 from tidelex.llm.common import table
 from tidelex.llm.exact_dedup import exact_duplicates
+from tidelex.llm.passages import remove_repeated_passages
 from tidelex.llm.sentencepiece_codec import encode_decode
 from tidelex.llm.simhash import near_duplicates
 from tidelex.llm.top_k import exact_top_k, quantised
@@ -30,6 +31,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(table(spark, sf_dir, "documents"), window=35)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"), words=3)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -74,6 +79,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_repeated_passages": op2_repeated_passages,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op7_chat_trees": op7_chat_trees,
