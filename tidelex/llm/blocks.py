@@ -21,7 +21,7 @@ U = np.uint64
 MUL = U(0x9E3779B97F4A7C15)
 INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SLICE_WORDS = 100_000
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, extra: Iterable = ()) -> tuple[DataFrame, int]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidelex.llm.chat_trees import format_paths, linear_messages, read_loss, read_turns, reply_paths
 from tidelex.llm.common import table
 from tidelex.llm.exact_dedup import exact_duplicates
+from tidelex.llm.katz import katz_scores
 from tidelex.llm.passages import remove_repeated_passages
 from tidelex.llm.sentencepiece_codec import encode_decode
 from tidelex.llm.simhash import near_duplicates
@@ -47,6 +48,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    rows = katz_scores(table(spark, sf_dir, "documents"), train=fold != 2)
+    return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: A conversation whose texts look like the template's own control strings.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
@@ -82,6 +89,7 @@ QUERIES = {
     "op2_repeated_passages": op2_repeated_passages,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_katz": op6_katz,
     "op7_chat_trees": op7_chat_trees,
     "op8_exact_top_k": op8_exact_top_k,
     "op10_sentencepiece": op10_sentencepiece,
