@@ -11,6 +11,8 @@ from tidelex.llm.chat_trees import format_paths, linear_messages, read_loss, rea
 from tidelex.llm.common import table
 from tidelex.llm.exact_dedup import exact_duplicates
 from tidelex.llm.katz import katz_scores
+from tidelex.llm.line_runs import remove_repeated_runs
+from tidelex.llm.mixing import mixing_rates
 from tidelex.llm.passages import remove_repeated_passages
 from tidelex.llm.sentencepiece_codec import encode_decode
 from tidelex.llm.simhash import near_duplicates
@@ -36,6 +38,11 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(table(spark, sf_dir, "documents"), window=35)
 
 
+def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeated_runs(table(spark, sf_dir, "documents"), min_lines=3)
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"), words=3)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -80,6 +87,15 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+#: Share of tokens per language, which stands for the domain: the fixtures' texts do not tell their sources apart.
+TARGETS = {"en": 0.5, "fr": 0.18, "de": 0.18, "es": 0.14}
+PIPELINE_SHINGLE_WORDS = 5
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -87,11 +103,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_repeated_passages": op2_repeated_passages,
+    "op3_line_runs": op3_line_runs,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_katz": op6_katz,
     "op7_chat_trees": op7_chat_trees,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_mixing": op9_mixing,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
@@ -101,6 +119,24 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op3_line_runs": """
+        WITH lines AS (
+            SELECT doc_id, i - 1 AS line, parts[i] AS body, len(parts) AS n FROM (
+                SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i
+                FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+            )
+        ), windows AS (
+            SELECT doc_id, line, n, row(body, lead(body, 1) OVER w, lead(body, 2) OVER w) AS run
+            FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line)
+        ), ranked AS (
+            SELECT doc_id, line, row_number() OVER (PARTITION BY run ORDER BY doc_id, line) AS copy FROM windows WHERE line + 3 <= n
+        ), gone AS (
+            SELECT DISTINCT doc_id, line + unnest([0, 1, 2]) AS line FROM ranked WHERE copy > 1
+        )
+        SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_removed,
+               sha256(coalesce(string_agg(l.body, chr(10) ORDER BY l.line) FILTER (g.line IS NULL), '')) AS kept_sha256
+        FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id
+    """,
     "op7_chat_trees": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
