@@ -1,5 +1,26 @@
-"""All queries of the library by name, with DuckDB SQL for the same rows."""
+"""All queries of the library by name, with DuckDB SQL for the same rows where SQL can express them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "axis_series"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with SQL for the same columns and rows."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+from tidelex.plans import curation, page_queries, series, statistics, text_queries  # noqa: E402, F401

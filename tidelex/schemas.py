@@ -1,0 +1,13 @@
+"""Schemas of the tables that sources read and operators exchange."""
+
+CHUNK = "chunk_id string, text string, heading string, source_url string, timestamp string, year int, word_count int, position int, extraction_source string"
+CAPTURE = "urlkey string, timestamp string, original string, mimetype string, statuscode string, digest string, length int"
+LABEL = "chunk_id string, label string"
+SENTENCE = "sentence_id string, chunk_id string, year int, heading string, text string"
+EMBEDDING = "chunk_id string, year int, timestamp string, label string, heading string, text string, model string, embedding array<float>"
+EMBEDDING_CACHE = "hash string, text string, model string, embedding array<float>"
+AXIS = "axis string, pole string, label string, ord int, sentence string"
+PATTERN = "url string, match_type string, era_hint string"
+PROFILE = f"company string, display_name string, comment string, hosts array<string>, patterns array<struct<url:string,match_type:string,era_hint:string>>, spa_content_paths array<string>, spa_json_probes array<struct<url:string,match_type:string>>, alt_domains array<struct<url:string,match_type:string>>, validation struct<expected_altruism_peak:int,tolerance:int,notes:array<string>>"
+FILINGS = "form array<string>, accessionNumber array<string>, filingDate array<string>, primaryDocument array<string>"
+AXIS_SERIES = "axis string, level string, year int, raw_topk_mean double, k_used int, n_chunks int, zscore double, carried_forward_frac double"
