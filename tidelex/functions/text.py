@@ -46,8 +46,8 @@ def sentences(text: Column, min_words: int = MIN_SENTENCE_WORDS) -> Column:
     """Sentences of at least ``min_words`` words; the whole text if none is left and it is long enough."""
     clean = squeeze(text)
     long = lambda s: F.size(F.split(s, " ")) >= min_words
-    kept = F.filter(F.transform(F.split(clean, SENTENCE_END), F.trim), long)
-    return F.when(F.size(kept) > 0, kept).when(long(clean), F.array(clean)).otherwise(F.array().cast("array<string>"))
+    whole = F.when(long(clean), F.array(clean)).otherwise(F.array().cast("array<string>"))
+    return let(F.filter(F.transform(F.split(clean, SENTENCE_END), F.trim), long), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(whole))
 
 
 def short_id(*parts: Column, length: int = 16) -> Column:
@@ -55,12 +55,20 @@ def short_id(*parts: Column, length: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, length)
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with the value computed once: a lambda would compute an outer expression anew for each element."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def ngrams(text: Column, n: int = 5) -> Column:
     """Distinct sequences of n words ([a-z0-9']+ of the lower-cased text)."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9']+)"), 1)
-    last = F.size(w) - n
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
+
+    def of(w: Column) -> Column:
+        last = F.size(w) - n
+        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9']+)"), 1), of)
 
 
 def ascii_ratio(text: Column) -> Column:

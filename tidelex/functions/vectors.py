@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelex.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,8 +18,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Divided by its length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
+    return let(norm(v), lambda n: F.transform(v, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -51,4 +52,5 @@ def project(vectors: DataFrame, axes: DataFrame, column: str = "embedding") -> D
     The axis table has a row per axis (tens at most), so it goes along by broadcast.
     """
     scored = vectors.join(F.broadcast(axes.select("axis", "vector")), F.lit(True))
-    return scored.withColumn("score", dot(unit(F.col(column)), F.col("vector"))).drop("vector")
+    along = F.try_divide(dot(F.col(column), F.col("vector")), norm(F.col(column)))
+    return scored.withColumn("score", F.coalesce(along, F.lit(0.0))).drop("vector")

@@ -1 +1,228 @@
-"""Queries."""
+"""Sentences, n-grams, cascades and labels over documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelex.catalog import query
+from tidelex.functions import classify, text
+from tidelex.operators import rollup
+from tidelex.operators.dedup import first_per, near_duplicates_removed
+from tidelex.operators.joins import shares_ngram
+from tidelex.plans.bindings import CHUNK_SQL, chunks, table
+
+_SENTENCES = CHUNK_SQL + r"""
+    , clean AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM c),
+    parts AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(t, '([.!?…])\s+([A-Z"''(])', concat('\1', chr(1), '\2'), 'g'), chr(1)), lambda s: trim(s)), lambda s: len(string_split(s, ' ')) >= 6) AS kept FROM clean),
+    chosen AS (SELECT *, CASE WHEN len(kept) > 0 THEN kept WHEN len(string_split(t, ' ')) >= 6 THEN [t] ELSE [] END AS ss FROM parts),
+    sent AS (SELECT chunk_id, doc_id, company, year, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS position FROM chosen)
+"""
+
+
+def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunks(spark, sf_dir)
+    return c.select("chunk_id", "doc_id", "company", "year", F.posexplode(text.sentences(F.col("text"))).alias("position", "sentence"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean, len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> ''))::INT AS word_count FROM documents")
+def squeezed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.squeeze(F.col("text")).alias("clean"), text.word_count(F.col("text")).alias("word_count"))
+
+
+@query(CHUNK_SQL + "SELECT doc_id, chunk_id FROM c")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).select("doc_id", "chunk_id")
+
+
+@query(_SENTENCES + "SELECT substr(sha256(concat_ws('|', chunk_id, position::VARCHAR, sentence)), 1, 16) AS sentence_id, chunk_id, year, position::INT AS position, sentence FROM sent")
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sentence_rows(spark, sf_dir)
+    return s.select(text.short_id(F.col("chunk_id"), F.col("position"), F.col("sentence")).alias("sentence_id"), "chunk_id", "year", "position", "sentence")
+
+
+@query(_SENTENCES + """
+    SELECT year, sentence, doc_id, position::INT AS position
+    FROM (SELECT *, row_number() OVER (PARTITION BY year, sentence ORDER BY doc_id, position) AS n FROM sent) WHERE n = 1
+""")
+def sentences_once_a_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_per(sentence_rows(spark, sf_dir), ["year", "sentence"], ["doc_id", "position"]).select("year", "sentence", "doc_id", "position")
+
+
+@query(r"""
+    WITH t AS (SELECT doc_id, text, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM documents),
+    a AS (SELECT *, list_filter(w, lambda x: regexp_matches(x, '^\p{L}')) AS alpha FROM t)
+    SELECT doc_id, NOT regexp_matches(text, '[.!?…]') AND len(w) >= 6 AND len(alpha) > 0 AND len(list_filter(alpha, lambda x: regexp_matches(x, '^\p{Lu}'))) >= len(alpha) * 0.6 AS link_list FROM a
+""")
+def link_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_link_list(F.col("text")).alias("link_list"))
+
+
+_GRAMS = r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9'']+)', 1) AS w FROM documents),
+    g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w WHERE len(w) >= 5))
+"""
+
+
+@query(_GRAMS + "SELECT doc_id, count(*) AS n_grams FROM g GROUP BY doc_id")
+def word_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct 5-word sequences of each document that has any."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.size(text.ngrams(F.col("text"), 5)).cast("long").alias("n_grams"))
+    return d.where("n_grams > 0")
+
+
+@query(_GRAMS + r"""
+    , bw AS (SELECT regexp_extract_all(lower(text), '([a-z0-9'']+)', 1) AS w FROM benchmark),
+    bg AS (SELECT DISTINCT array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT w, unnest(generate_series(1, len(w) - 4)) AS i FROM bw WHERE len(w) >= 5))
+    SELECT DISTINCT doc_id FROM g WHERE gram IN (SELECT gram FROM bg)
+""")
+def shared_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a 5-word sequence with the benchmark."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.ngrams(F.col("text"), 5).alias("grams"))
+    b = table(spark, sf_dir, "benchmark").select(text.ngrams(F.col("text"), 5).alias("grams"))
+    return shares_ngram(d, "doc_id", "grams", b, "grams")
+
+
+def _votes(language: str) -> str:
+    listed = ", ".join(f"'{w}'" for w in text.STOP_WORDS[language])
+    return f"len(list_filter(w, lambda x: list_contains([{listed}], x)))"
+
+
+@query(rf"""
+    WITH t AS (SELECT doc_id, trim(text) AS t FROM documents),
+    r AS (SELECT doc_id, t, CASE WHEN length(t) = 0 THEN 1.0 ELSE length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) / length(t) END AS a, string_split(lower(trim(regexp_replace(t, '\s+', ' ', 'g'))), ' ') AS w FROM t),
+    v AS (SELECT *, {_votes('en')} AS own, greatest({_votes('de')}, {_votes('fr')}, {_votes('es')}) AS others FROM r)
+    SELECT doc_id, CASE WHEN length(t) < 40 THEN true WHEN a < 0.85 THEN false WHEN own = 0 AND others = 0 THEN a >= 0.92 ELSE own >= others END AS english FROM v
+""")
+def english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_english(F.col("text")).alias("english"))
+
+
+#: A cascade over words that occur in the fixtures, with the shape of the shipped ones.
+FIXTURE_RULES = [
+    classify.Rule("civilizational_mission", pattern=r"(?i)\b(?:idiot|scum)\b"),
+    classify.Rule("meritocracy", (("license", "copyright"),)),
+    classify.Rule("absent", (("the", "der", "que"),), negate=True),
+    classify.Rule("explicit_demographic", (("with", "mit"), ("this", "ein")), ("@",)),
+    classify.Rule("structural_process", (("for", "pour"),)),
+    classify.Rule("belonging_culture", (("that", "las"),)),
+]
+_REGISTER = CHUNK_SQL + r"""
+    , reg AS (
+        SELECT *, CASE WHEN regexp_matches(text, '(?i)\b(?:idiot|scum)\b') THEN 'civilizational_mission'
+            WHEN contains(lower(text), 'license') OR contains(lower(text), 'copyright') THEN 'meritocracy'
+            WHEN NOT (contains(lower(text), 'the') OR contains(lower(text), 'der') OR contains(lower(text), 'que')) THEN 'absent'
+            WHEN (contains(lower(text), 'with') OR contains(lower(text), 'mit')) AND (contains(lower(text), 'this') OR contains(lower(text), 'ein')) AND NOT contains(text, '@') THEN 'explicit_demographic'
+            WHEN contains(lower(text), 'for') OR contains(lower(text), 'pour') THEN 'structural_process'
+            WHEN contains(lower(text), 'that') OR contains(lower(text), 'las') THEN 'belonging_culture' ELSE 'aspirational_vague' END AS register FROM c
+    ),
+    n AS (
+        SELECT company, year, count(*) AS n_chunks, count(*) FILTER (register = 'explicit_demographic') AS explicit_demographic, count(*) FILTER (register = 'structural_process') AS structural_process,
+               count(*) FILTER (register = 'aspirational_vague') AS aspirational_vague, count(*) FILTER (register = 'belonging_culture') AS belonging_culture, count(*) FILTER (register = 'meritocracy') AS meritocracy,
+               count(*) FILTER (register = 'civilizational_mission') AS civilizational_mission, count(*) FILTER (register = 'absent') AS absent FROM reg GROUP BY company, year
+    )
+"""
+
+
+def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).withColumn("register", classify.cascade(F.col("text"), FIXTURE_RULES, "aspirational_vague"))
+
+
+def register_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, by = register_rows(spark, sf_dir), ["company", "year"]
+    return rollup.label_counts(rows, by, "register", classify.REGISTERS).join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_chunks")), by)
+
+
+@query(_REGISTER + "SELECT doc_id, register FROM reg")
+def registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return register_rows(spark, sf_dir).select("doc_id", "register")
+
+
+@query(CHUNK_SQL + "SELECT doc_id, 'absent' AS register, 'neutral' AS stance FROM c WHERE NOT regexp_matches(lower(text), 'divers|inclus|belong|equity|represent|bias|merit|whole self|women|scholarship|activism|division|apolitical|unrelated to|social|outcomes|speak for|engineering|brightest|standards|team|severance|family|stunning|faint|west|battlefield|warfighter|consequence|margins|republic|institutions|performance')")
+def shipped_cascades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shipped register and stance rules, on texts that hold none of their terms."""
+    neutral = r"divers|inclus|belong|equity|represent|bias|merit|whole self|women|scholarship|activism|division|apolitical|unrelated to|social|outcomes|speak for|engineering|brightest|standards|team|severance|family|stunning|faint|west|battlefield|warfighter|consequence|margins|republic|institutions|performance"
+    t = F.col("text")
+    return chunks(spark, sf_dir).where(~F.lower(t).rlike(neutral)).select("doc_id", classify.register(t).alias("register"), classify.stance(t).alias("stance"))
+
+
+@query(_REGISTER + "SELECT company, year, n_chunks, explicit_demographic, structural_process, aspirational_vague, belonging_culture, meritocracy, civilizational_mission, absent FROM n")
+def register_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return register_counts(spark, sf_dir).select("company", "year", "n_chunks", *classify.REGISTERS)
+
+
+@query(_REGISTER + """
+    SELECT company, year, round((explicit_demographic + structural_process + aspirational_vague + belonging_culture) / n_chunks, 6) AS active_share, round(meritocracy / n_chunks, 6) AS meritocracy_share,
+           round((meritocracy + civilizational_mission) / n_chunks, 6) AS counter_share FROM n
+""")
+def register_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = {"active_share": classify.ACTIVE_REGISTERS, "meritocracy_share": ["meritocracy"], "counter_share": classify.COUNTER_REGISTERS}
+    out = rollup.label_shares(register_counts(spark, sf_dir), classify.REGISTERS, "n_chunks", groups)
+    return out.select("company", "year", *[F.round(k, 6).alias(k) for k in groups])
+
+
+@query(_REGISTER + """
+    , long AS (
+        SELECT company, unnest([1, 2, 3, 4, 5, 6]) AS place, unnest(['explicit_demographic', 'structural_process', 'aspirational_vague', 'belonging_culture', 'meritocracy', 'civilizational_mission']) AS label,
+               unnest([explicit_demographic, structural_process, aspirational_vague, belonging_culture, meritocracy, civilizational_mission]) AS value FROM n
+    ), tot AS (SELECT company, place, label, sum(value) AS v FROM long GROUP BY ALL),
+    sh AS (SELECT *, v / sum(v) OVER (PARTITION BY company) AS share, row_number() OVER (PARTITION BY company ORDER BY v DESC, place) AS n FROM tot)
+    SELECT company, CASE WHEN share >= 0.35 THEN label END AS dominant, round(share, 6) AS share FROM sh WHERE n = 1
+""")
+def dominant_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rollup.dominant_label(register_counts(spark, sf_dir), ["company"], classify.REGISTERS, "")
+    return out.select("company", "dominant", F.round("share", 6).alias("share"))
+
+
+@query(_REGISTER + """
+    , long AS (
+        SELECT company, year, unnest([1, 2, 3, 4, 5, 6, 7]) AS place, unnest(['explicit_demographic', 'structural_process', 'aspirational_vague', 'belonging_culture', 'meritocracy', 'civilizational_mission', 'absent']) AS label,
+               unnest([explicit_demographic, structural_process, aspirational_vague, belonging_culture, meritocracy, civilizational_mission, absent]) AS value FROM n
+    )
+    SELECT company, year, label, value, (sum(value) OVER w - value)::BIGINT AS lower, (sum(value) OVER w)::BIGINT AS upper FROM long WINDOW w AS (PARTITION BY company, year ORDER BY place)
+""")
+def register_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.cumulative_stack(register_counts(spark, sf_dir), ["company", "year"], classify.REGISTERS)
+
+
+@query(CHUNK_SQL + r"""
+    , k AS (
+        SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'mission_brand' ELSE 'benefits_perks' END AS label,
+               len(regexp_extract_all(text, '(?i)\b(?:the|der|de)\b')) / greatest(len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')), 1) AS share FROM c
+    )
+    SELECT doc_id, label AS "from", 'navigation_junk' AS "to", CASE WHEN regexp_matches(text, '^(?:The|Der|De)\b') AND share > 0.08 THEN 'nav chrome prefix' ELSE 'high nav token fraction' END AS reason
+    FROM k WHERE label = 'mission_brand' AND ((regexp_matches(text, '^(?:The|Der|De)\b') AND share > 0.08) OR share > 0.12)
+""")
+def relabel_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of the relabel rules, with frequent fixture words as navigation tokens."""
+    rows = chunks(spark, sf_dir).select("doc_id", "text", F.lit("").alias("heading"), F.when(F.col("doc_id") % 2 == 0, "mission_brand").otherwise("benefits_perks").alias("label"))
+    return classify.change_log(classify.relabelled(rows, nav_tokens=r"(?i)\b(?:the|der|de)\b", chrome=r"^(?:The|Der|De)\b"), "doc_id")
+
+
+@query(CHUNK_SQL + """
+    , t AS (SELECT DISTINCT company, year, text FROM c), y AS (SELECT company, year, lag(year) OVER (PARTITION BY company ORDER BY year) AS before FROM (SELECT DISTINCT company, year FROM t))
+    SELECT t.company, t.year, count(*) AS n_unique_texts, round(1 - count(o.text) / count(*), 6) AS text_churn
+    FROM t JOIN y USING (company, year) LEFT JOIN t o ON o.company = t.company AND o.year = y.before AND o.text = t.text GROUP BY t.company, t.year
+""")
+def text_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.text_churn(chunks(spark, sf_dir), ["company"], "year", "text").select("company", "year", "n_unique_texts", F.round("text_churn", 6).alias("text_churn"))
+
+
+@query(CHUNK_SQL + "SELECT doc_id, company, year FROM (SELECT *, row_number() OVER (PARTITION BY company, text ORDER BY doc_id) AS n FROM c) WHERE n = 1")
+def exact_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document of each text of a company."""
+    return first_per(chunks(spark, sf_dir), ["company", "text"], ["doc_id"]).select("doc_id", "company", "year")
+
+
+@query()
+def near_duplicates_removed_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy near-duplicate removal within company and year, on the sentences' texts."""
+    rows = sentence_rows(spark, sf_dir).select("company", "year", "doc_id", "position", "sentence").withColumn("at", F.format_string("%012d-%06d", "doc_id", "position"))
+    first = first_per(rows, ["company", "year", "doc_id"], ["position"])
+    return near_duplicates_removed(first, ["company", "year"], "sentence", "at").select("company", "year", "doc_id", "sentence")
+
+
+@query(r"SELECT page_id, url, regexp_matches(url, '(?i)(teams?|students?|benefits|culture|life|locations?|how-we|diversity|belonging|perks|values|mission|intern|grad|veterans|disability|accessibility|care-for|hiring|about)') AND NOT regexp_matches(url, '(?i)(/jobs/results|/jobs/\d|/job/\d|/positions?/|joblisting|search\?|/api/|\.pdf$|\.jpg$|\.png$|\.css$|\.js$|mailto:|javascript:)') AS content, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') AS host, regexp_replace(url, '[?#].*$', '') AS bare FROM pages")
+def content_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", "url", text.is_content_url(u).alias("content"), text.host_of(u).alias("host"), text.bare_url(u).alias("bare"))
