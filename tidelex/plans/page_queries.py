@@ -1 +1,132 @@
-"""Queries."""
+"""Pages and captures: chunks, links, selection in time. Events stand for captures, users for URLs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelex.catalog import query
+from tidelex.functions.html import chunk_pages, coverage, link_pages
+from tidelex.operators import captures
+from tidelex.operators.dedup import merged_captures
+from tidelex.plans.bindings import table
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    return p.withColumn("timestamp", F.concat((2005 + F.col("page_id") % 20).cast("string"), F.lit("0101000000")))
+
+
+@query()
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_pages(_pages(spark, sf_dir)).select("page_id", "position", "chunk_id", "heading", "year", "word_count", "text")
+
+
+@query()
+def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage(chunk_pages(_pages(spark, sf_dir)))
+
+
+@query()
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = ["example.com", "example.org", "example.net", "com", "org", "net", "example", "test"]
+    return link_pages(_pages(spark, sf_dir), hosts)
+
+
+def capture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("urlkey"), F.date_format("ts", "yyyyMMddHHmmss").alias("timestamp"), F.concat(F.lit("http://u"), F.col("user_id").cast("string")).alias("original"),
+        F.concat_ws("-", "event_type", F.get_json_object("props", "$.k")).alias("digest"), F.col("event_id"), F.year("ts").alias("year"), "event_type",
+    )
+
+
+_CAPTURES = "WITH e AS (SELECT 'u' || user_id AS urlkey, strftime(ts, '%Y%m%d%H%M%S') AS timestamp, 'http://u' || user_id AS original, event_type || '-' || (props->>'$.k') AS digest, event_id, year(ts)::INT AS year, event_type FROM events)"
+
+
+@query(_CAPTURES + " SELECT urlkey, substr(timestamp, 1, 6) AS month, min(timestamp) AS timestamp FROM e GROUP BY ALL")
+def capture_per_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first capture of each URL and month."""
+    return captures.one_per_month(capture_rows(spark, sf_dir)).select("urlkey", F.substring("timestamp", 1, 6).alias("month"), "timestamp")
+
+
+@query(_CAPTURES + " SELECT digest, timestamp, original FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY timestamp, original) AS n FROM e) WHERE n = 1")
+def first_per_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures.first_per_digest(capture_rows(spark, sf_dir)).select("digest", "timestamp", "original")
+
+
+@query(_CAPTURES + " SELECT digest, array_to_string(list(timestamp ORDER BY timestamp), ',') AS timestamps FROM e GROUP BY digest")
+def digest_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures.digest_timeline(capture_rows(spark, sf_dir)).select("digest", F.array_join("timestamps", ",").alias("timestamps"))
+
+
+@query()
+def captures_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four captures of each URL and year, near evenly spaced months."""
+    rows = capture_rows(spark, sf_dir)
+    shifted = rows.withColumn("timestamp", F.date_format(F.add_months(F.to_timestamp("timestamp", "yyyyMMddHHmmss"), (F.col("event_id") % 30).cast("int")), "yyyyMMddHHmmss")).drop("year")
+    return captures.select_per_year(shifted, ["urlkey"]).select("urlkey", "year", "timestamp", "event_id")
+
+
+@query(_CAPTURES + " SELECT event_type, count(*) FILTER (year = 2023) AS y2023, count(*) FILTER (year = 2024) AS y2024 FROM e GROUP BY event_type")
+def capture_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures.year_pivot(capture_rows(spark, sf_dir), "event_type", [2023, 2024])
+
+
+@query("WITH k AS (SELECT DISTINCT (year(o_orderdate) + CASE WHEN year(o_orderdate) > 1998 THEN 2 ELSE 0 END)::INT AS year FROM orders) SELECT y::INT AS year FROM (SELECT unnest(generate_series(1990, (SELECT max(year) FROM k))) AS y) WHERE y NOT IN (SELECT year FROM k)")
+def gap_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years without orders from 1990 on, with a gap made after 1998."""
+    y = F.year("o_orderdate")
+    return captures.gap_years(table(spark, sf_dir, "orders").select((y + F.when(y > 1998, 2).otherwise(0)).alias("year")), "year", 1990)
+
+
+@query(_CAPTURES + """
+    , t AS (SELECT DISTINCT original, substr(timestamp, 1, 8) || '120000' AS target FROM e WHERE event_id % 10 = 0)
+    SELECT t.original, t.target, arg_min(e.timestamp, row(abs(e.timestamp::BIGINT - t.target::BIGINT), e.timestamp)) AS timestamp FROM t JOIN e ON e.original = t.original GROUP BY t.original, t.target
+""")
+def nearest_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = capture_rows(spark, sf_dir)
+    targets = rows.where("event_id % 10 = 0").select("original", F.concat(F.substring("timestamp", 1, 8), F.lit("120000")).alias("target")).distinct()
+    return captures.nearest_capture(targets, rows).select("original", "target", "nearest.timestamp")
+
+
+@query(_CAPTURES + """
+    , k AS (FROM e WHERE event_id % 3 = 0), f AS (FROM e WHERE event_id % 3 <> 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY timestamp, original) AS r FROM f WHERE (original, timestamp) NOT IN (SELECT (original, timestamp) FROM k) AND digest NOT IN (SELECT digest FROM k))
+    SELECT event_id FROM k UNION ALL SELECT event_id FROM n WHERE r = 1
+""")
+def merged_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known captures and the new ones by (url, time) and digest."""
+    rows = capture_rows(spark, sf_dir)
+    return merged_captures(rows.where("event_id % 3 = 0"), rows.where("event_id % 3 <> 0")).select("event_id")
+
+
+@query("""
+    WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+    SELECT user_id, event_id FROM n WHERE i % greatest(n // 5, 1) = 0 AND i // greatest(n // 5, 1) < 5
+""")
+def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures.stride_sample(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 5).select("user_id", "event_id")
+
+
+@query("""
+    WITH f AS (SELECT c_custkey % 50 AS cik, CASE WHEN o_orderkey % 3 = 0 THEN '10-K' ELSE '8-K' END AS form, o_orderkey::VARCHAR AS acc, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT cik, substr(d, 1, 4)::INT AS year, arg_max(d, row(d, acc)) AS "filingDate", arg_max(acc, row(d, acc)) AS "accessionNumber" FROM f WHERE form = '10-K' GROUP BY 1, 2
+""")
+def latest_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parallel arrays of filings, decoded; the last annual report of each year."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    form = F.when(F.col("o_orderkey") % 3 == 0, "10-K").otherwise("8-K")
+    arrays = o.groupBy((F.col("c_custkey") % 50).alias("cik"), "o_custkey").agg(*[F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", x.alias("x")))), lambda s: s["x"]).alias(n) for n, x in (("form", form), ("accessionNumber", F.col("o_orderkey").cast("string")), ("filingDate", F.date_format("o_orderdate", "yyyy-MM-dd")), ("primaryDocument", F.lit("doc")))])
+    return captures.latest_filing_per_year(arrays, ["cik"]).select("cik", "year", "filingDate", "accessionNumber")
+
+
+@query("""
+    WITH l AS (SELECT 'http://u' || user_id AS url, count(*) AS n_parents FROM events WHERE event_type = 'click' GROUP BY 1)
+    SELECT url, CASE WHEN url IN (SELECT 'http://u' || user_id FROM events WHERE event_type = 'purchase' AND value > 30) THEN 'already_fetched'
+                     WHEN url IN (SELECT 'http://u' || user_id FROM events WHERE event_type = 'view' AND value > 30) THEN 'candidate' ELSE 'no_cdx' END AS status, n_parents FROM l
+""")
+def discovered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Harvested links with their status against what was fetched and what is archived."""
+    e = table(spark, sf_dir, "events").withColumn("url", F.concat(F.lit("http://u"), F.col("user_id").cast("string")))
+    return captures.discovered_links(e.where("event_type = 'click'"), e.where("event_type = 'purchase' AND value > 30"), e.where("event_type = 'view' AND value > 30"))
