@@ -48,7 +48,7 @@ def series_on_period(a: DataFrame, b: DataFrame, period: str, value: str, names:
 
 def matching_patterns(rows: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
     """Rows with each (id, pattern) whose regular expression is found in the text; the pattern table is a fixed list."""
-    return rows.join(F.broadcast(patterns), F.col(text).rlike(F.col("pattern"))).drop("pattern")
+    return rows.join(F.broadcast(patterns), F.rlike(F.col(text), F.col("pattern"))).drop("pattern")
 
 
 def shares_ngram(rows: DataFrame, key: str, grams: str, other: DataFrame, other_grams: str) -> DataFrame:
