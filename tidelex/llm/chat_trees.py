@@ -62,7 +62,8 @@ def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     path = leaves.select("conv_id", F.col("msg_id").alias("leaf_id"), "branch", "msg_id", F.lit(0).alias("above"))
     for k in reversed(range(len(levels) - 1)):  # every distance to the leaf is a sum of powers of two
         hop = levels[k].where("up is not null").select("conv_id", "msg_id", "up")
-        path = path.unionByName(path.join(hop, key).select("conv_id", "leaf_id", "branch", F.col("up").alias("msg_id"), (F.col("above") + (1 << k)).alias("above")))
+        both = F.array(F.struct("msg_id", "above"), F.struct(F.col("up").alias("msg_id"), (F.col("above") + (1 << k)).alias("above")))
+        path = path.join(hop, key, "left").select("conv_id", "leaf_id", "branch", F.explode(F.filter(both, lambda x: x["msg_id"].isNotNull())).alias("x")).select("conv_id", "leaf_id", "branch", "x.*")
     length = F.max("above").over(Window.partitionBy("conv_id", "leaf_id"))
     return path.select("conv_id", "leaf_id", "branch", (length - F.col("above")).alias("step"), "msg_id")
 

@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame
 
 from tidelex.llm.blocks import Powers, U, chunked, gram_hashes, pack_sorted, shard_bounds, split_words, unpack_sorted, word_hashes
 
-SEED_WORDS = 12
+SEED_WORDS = 6
 #: Most seed phrases in one automaton, which bounds its memory (about 1 KB a phrase).
-AUTOMATON_SEEDS = 100_000
+AUTOMATON_SEEDS = 50_000
+#: A word is spelled by so many letters, each of its own alphabet of BASE, so no node has many children to search and
+#: no match can start within a word.
+LETTERS, BASE = 3, 100
 
 
 def _within(counts: np.ndarray, n: int) -> np.ndarray:
@@ -52,21 +55,34 @@ def seed_positions(hashes: np.ndarray, starts: np.ndarray, window: int, seed: in
     return where
 
 
+def spelling(i: int) -> str:
+    """The i-th word (up to BASE ** LETTERS) in letters; the character 0 stands for all other words."""
+    return "".join(chr(1 + BASE * k + i // BASE**k % BASE) for k in range(LETTERS))
+
+
 def automata(words: list[bytes], seeds: np.ndarray, seed: int):
-    """Aho-Corasick automata of the phrases that start at ``seeds``, each with its alphabet: word to character."""
+    """Aho-Corasick automata of the phrases that start at ``seeds``, each with the spelling of its words."""
     for at in range(0, len(seeds), AUTOMATON_SEEDS):
-        letter: dict[bytes, str] = {}
+        spelled: dict[bytes, str] = {}
         machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for s in seeds[at : at + AUTOMATON_SEEDS].tolist():
-            phrase = []
-            for w in words[s : s + seed]:
-                if (c := letter.get(w)) is None:
-                    code = len(letter) + 1
-                    c = letter[w] = chr(code if code < 0xD800 else code + 0x800)
-                phrase.append(c)
-            machine.add_word("".join(phrase))
+            phrase = words[s : s + seed]
+            for w in phrase:
+                if w not in spelled:
+                    spelled[w] = spelling(len(spelled))
+            machine.add_word("".join([spelled[w] for w in phrase]))
         machine.make_automaton()
-        yield machine, letter
+        yield machine, spelled
+
+
+def seed_hits(doc: list[bytes], machine, spelled: dict[bytes, str], seed: int) -> np.ndarray:
+    """At which words of the document a seed phrase starts."""
+    known = list(map(spelled.get, doc))
+    ends = np.fromiter((e for e, _ in machine.iter("".join([x or "\0" for x in known]))), np.int64)
+    if not len(ends):
+        return ends
+    last = np.cumsum(np.fromiter((LETTERS if x else 1 for x in known), np.int64, len(known))) - 1
+    return np.searchsorted(last, ends) - seed + 1
 
 
 def located(parts: list[list[bytes]], words: list[bytes], counts: np.ndarray, hashes: np.ndarray, starts: np.ndarray, keys: np.ndarray, confirmed: np.ndarray, window: int, powers: Powers) -> np.ndarray:
@@ -81,15 +97,12 @@ def located(parts: list[list[bytes]], words: list[bytes], counts: np.ndarray, ha
         _, one = np.unique(gram_hashes(hashes, seed, powers)[where], return_index=True)
         begin = np.cumsum(counts) - counts
         near = np.zeros(len(words) + 1, np.int32)
-        for machine, letter in automata(words, where[one], seed):
-            get = letter.get
+        for machine, spelled in automata(words, where[one], seed):
             for first_word, doc in zip(begin.tolist(), parts, strict=True):
                 if len(doc) >= window:
-                    hits = [end for end, _ in machine.iter("".join([get(w, "\0") for w in doc]))]
-                    if hits:
-                        q = np.asarray(hits) - seed + 1 + first_word
-                        np.add.at(near, np.maximum(q - (window - seed), first_word), 1)
-                        np.add.at(near, q + 1, -1)
+                    q = seed_hits(doc, machine, spelled, seed) + first_word
+                    np.add.at(near, np.maximum(q - (window - seed), first_word), 1)
+                    np.add.at(near, q + 1, -1)
         candidate = np.cumsum(near)[starts] > 0
         at = np.searchsorted(confirmed, keys[candidate])
         hit = starts[candidate][(at < len(confirmed)) & (confirmed[np.minimum(at, len(confirmed) - 1)] == keys[candidate])]

@@ -14,8 +14,10 @@ from tidelex.plans.text_queries import _REGISTER, _SENTENCES, register_counts, r
 
 #: A pattern table over words of the fixtures.
 PATTERNS = [("praise", "(?i)\\b(?:license|copyright)\\b"), ("abuse", "(?i)\\b(?:idiot|scum|trash)\\b"), ("copula", "(?i)\\b(?:ist|est|is)\\b"), ("article", "(?i)\\b(?:der|las|les)\\b")]
-#: RE2 knows ASCII word boundaries only, so the oracle spells them out.
-_PATTERN_SQL = "pat AS (SELECT unnest(['praise', 'abuse', 'copula', 'article']) AS stance, '(?i)(?:^|[^\\p{L}\\p{M}\\p{N}_])(?:' || unnest(['license|copyright', 'idiot|scum|trash', 'ist|est|is', 'der|las|les']) || ')(?:[^\\p{L}\\p{M}\\p{N}_]|$)' AS pattern)"
+def _word_sql(words: str) -> str:
+    """RE2 knows ASCII word boundaries only, so the oracle spells them out."""
+    edge = r"[^\p{L}\p{M}\p{N}_]"
+    return f"regexp_matches(sentence, '(?i)(?:^|{edge})(?:{words})(?:{edge}|$)')"
 
 
 def _patterns(spark: SparkSession) -> DataFrame:
@@ -30,8 +32,11 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HITS = _SENTENCES + f"""
-    , {_PATTERN_SQL},
-    hit AS (SELECT s.*, stance, round(length(sentence) / (length(sentence) + 200.0), 4) AS score, printf('%012d-%06d', doc_id, position) AS spot FROM sent s JOIN pat ON regexp_matches(s.sentence, pat.pattern))
+    , tagged AS (
+        SELECT *, unnest([CASE WHEN {_word_sql("license|copyright")} THEN 'praise' END, CASE WHEN {_word_sql("idiot|scum|trash")} THEN 'abuse' END,
+                          CASE WHEN {_word_sql("ist|est|is")} THEN 'copula' END, CASE WHEN {_word_sql("der|las|les")} THEN 'article' END]) AS stance FROM sent
+    ),
+    hit AS (SELECT *, round(length(sentence) / (length(sentence) + 200.0), 4) AS score, printf('%012d-%06d', doc_id, position) AS spot FROM tagged WHERE stance IS NOT NULL)
 """
 
 
