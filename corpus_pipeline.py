@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelex.llm import queries
-from tidelex.llm.common import scratch, table
+from tidelex.llm.common import scratch, table, unused
 from tidelex.llm.exact_dedup import drop_exact_duplicates
 from tidelex.llm.mixing import mix_documents
 from tidelex.llm.sentencepiece_codec import encode_decode
@@ -20,7 +21,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.5."""
     model = fit(training_sample(docs, table(spark, sf_dir, "labels")))
-    return score(docs, model, keep=True).where("score < 0.5").select(*docs.columns)
+    (column,) = unused(docs, "toxicity")
+    return score(docs, model, keep=column).where(F.col(column) < 0.5).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

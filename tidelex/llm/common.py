@@ -35,6 +35,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tidelex/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them where the frame has a column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

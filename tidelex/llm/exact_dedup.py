@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.llm.common import cut, scratch, text_or_empty
+from tidelex.llm.common import cut, scratch, text_or_empty, unused
 
 
 def sha256_hex(text: Column) -> Column:
@@ -113,7 +113,8 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", memtables: int = 4
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest", memtables: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged; rows that repeat doc_id and text stay once."""
-    stay = exact_duplicates(docs, keep, memtables).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("digest").alias("__digest"))
-    mine = docs.withColumns({"__own": F.unhex(sha256_hex(text_or_empty())), "__key": F.col("doc_id").cast("long")})
-    joined = mine.join(stay, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi")
-    return joined.dropDuplicates(["__key", "__own"]).select(*docs.columns)
+    id_, digest, key, own = unused(docs, "__id", "__digest", "__key", "__own")
+    stay = exact_duplicates(docs, keep, memtables).where("kept").select(F.col("doc_id").alias(id_), F.unhex("digest").alias(digest))
+    mine = docs.withColumns({own: F.unhex(sha256_hex(text_or_empty())), key: F.col("doc_id").cast("long")})
+    joined = mine.join(stay, F.col(key).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(digest)), "left_semi")
+    return joined.dropDuplicates([key, own]).select(*docs.columns)

@@ -7,16 +7,16 @@ step of 1 is exact where no rate is at 0. A document's rate follows from its tok
 of residuals, so a step is one pass that sums a vector per domain, and no rates are kept between the steps.
 """
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.llm.common import cut, text_or_empty
+from tidelex.llm.common import cut, text_or_empty, unused
 
 SLOTS = 1 << 11
 CACHE_ROWS = 400_000
@@ -140,6 +140,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **options) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say; rows of one doc_id share the number of its first."""
-    copies = mixing_rates(docs, labels, targets, **options).groupBy("doc_id").agg(F.min("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    return joined.where("__copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    id_, n, one = unused(docs, "__id", "__copies", "__copy")
+    copies = mixing_rates(docs, labels, targets, **options).groupBy("doc_id").agg(F.min("copies").alias(n)).withColumnRenamed("doc_id", id_)
+    joined = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
+    return joined.where(F.col(n) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(one)).drop(one)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.llm.common import cut, partitions_of, text_or_empty
+from tidelex.llm.common import cut, partitions_of, text_or_empty, unused
 from tidelex.llm.components import components
 
 SEED = 42
@@ -194,5 +194,6 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, and rows without a doc_id."""
-    gone = near_duplicates(docs, words).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    (id_,) = unused(docs, "__id")
+    gone = near_duplicates(docs, words).where("doc_id <> component_id").select(F.col("doc_id").alias(id_)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(id_), "left_anti")

@@ -205,8 +205,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_00
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: bool = False) -> DataFrame:
-    """doc_id, score of every row, or with ``keep`` all columns of ``docs`` and ``score`` (a column of that name is replaced).
+def score(docs: DataFrame, model: ToxicityModel, keep: str | None = None) -> DataFrame:
+    """doc_id, score of every row, or all columns of ``docs`` and the score in a new column named ``keep``.
 
     A null text counts as empty; an empty text's score is the model's bias alone. Repeated rows give repeated rows.
     """
@@ -218,4 +218,4 @@ def score(docs: DataFrame, model: ToxicityModel, keep: bool = False) -> DataFram
             yield pd.Series([fn(t) for t in text], dtype="float64")
 
     value = F.pandas_udf(scores, "double")(text_or_empty())
-    return docs.withColumn("score", value) if keep else docs.select("doc_id", value.alias("score"))
+    return docs.withColumn(keep, value) if keep else docs.select("doc_id", value.alias("score"))
