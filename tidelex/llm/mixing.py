@@ -97,18 +97,19 @@ def _summed(frame: DataFrame, fn, size: int) -> np.ndarray:
     return out
 
 
-def replay(posterior: np.ndarray, history: np.ndarray) -> np.ndarray:
-    """Rates after the steps of ``history`` (one scaled residual vector each), from 1 at the start."""
+def replay(posterior: np.ndarray, history: np.ndarray, most: float = np.inf) -> np.ndarray:
+    """Rates, from 0 to ``most``, after the steps of ``history`` (one scaled residual vector each), from 1 at the start."""
     rate = np.ones(len(posterior))
     for step in history:
-        rate = np.maximum(0.0, rate - posterior @ step)
+        rate = np.clip(rate - posterior @ step, 0.0, most)
     return rate
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain_col: str = "lang", total_tokens: float | None = None, sample_rows: int = 5000, steps: int = 40, tolerance: float = 1e-4, seed: int = 7) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain_col: str = "lang", total_tokens: float | None = None, sample_rows: int = 5000, steps: int = 40, tolerance: float = 1e-4, seed: int = 7, max_rate: float = np.inf) -> DataFrame:
     """doc_id, n_tokens, posterior, rate, copies of every row.
 
     ``targets``: domain to weight, scaled to add up to 1 of ``total_tokens`` (by default all tokens there are).
+    ``max_rate`` bounds the rates in every projection, for targets that the documents can only meet by many copies.
     ``copies`` is the rate rounded up or down by a hash of the id, so that its expectation is the rate. A text
     without words has 0 tokens and the rate that its posteriors give. Labelled rows of a null domain or one that
     is not among the targets teach nothing. Repeated rows are documents each. With no documents there are no rows.
@@ -127,11 +128,11 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     history, now = np.zeros((0, k)), have
     while len(history) < steps and np.abs(now - want).max() > tolerance * max(total, 1.0):
         history = np.r_[history, (inverse @ (now - want))[None, :]]
-        now = _summed(soft, lambda n, p, h=history: (replay(p, h) * n) @ p, k)
+        now = _summed(soft, lambda n, p, h=history: (replay(p, h, max_rate) * n) @ p, k)
 
     def rates(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for p in parts:
-            yield pd.Series(replay(np.stack(p.to_numpy()), history) if len(p) else [], dtype="float64")
+            yield pd.Series(replay(np.stack(p.to_numpy()), history, max_rate) if len(p) else [], dtype="float64")
 
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
     rated = soft.withColumn("rate", F.pandas_udf(rates, "double")("posterior"))
@@ -139,7 +140,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **options) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say; rows of one doc_id share the number of its first."""
+    """The rows of ``docs``, each as often as its copies say; rows of one doc_id share the least of their numbers."""
     id_, n, one = unused(docs, "__id", "__copies", "__copy")
     copies = mixing_rates(docs, labels, targets, **options).groupBy("doc_id").agg(F.min("copies").alias(n)).withColumnRenamed("doc_id", id_)
     joined = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
