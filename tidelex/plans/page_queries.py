@@ -86,12 +86,12 @@ def gap_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_CAPTURES + """
-    , t AS (SELECT DISTINCT original, substr(timestamp, 1, 8) || '120000' AS target FROM e WHERE event_id % 10 = 0)
+    , t AS (SELECT DISTINCT original, substr(timestamp, 1, 8) || '120000' AS target FROM e)
     SELECT t.original, t.target, arg_min(e.timestamp, row(abs(e.timestamp::BIGINT - t.target::BIGINT), e.timestamp)) AS timestamp FROM t JOIN e ON e.original = t.original GROUP BY t.original, t.target
 """)
 def nearest_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = capture_rows(spark, sf_dir)
-    targets = rows.where("event_id % 10 = 0").select("original", F.concat(F.substring("timestamp", 1, 8), F.lit("120000")).alias("target")).distinct()
+    targets = rows.select("original", F.concat(F.substring("timestamp", 1, 8), F.lit("120000")).alias("target")).distinct()
     return captures.nearest_capture(targets, rows).select("original", "target", "nearest.timestamp")
 
 
