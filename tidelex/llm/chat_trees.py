@@ -47,12 +47,13 @@ def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     nodes = cut(nodes.select(*key, F.col("m.parent_id").alias("parent_id"), F.col("m.score").cast("double").alias("score")))
     known = nodes.select("conv_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
     reach = cut(nodes.join(known, ["conv_id", "parent_id"], "left").select(*key, F.when(F.col("known"), F.col("parent_id")).alias("up"), F.col("score").alias("total")))
-    levels, most = [reach], max(1, nodes.count()).bit_length() + 1
-    while len(levels) <= most and not levels[-1].where("up is not null").isEmpty():
-        here = levels[-1]
-        there = here.select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"))
-        levels.append(cut(here.join(there, ["conv_id", "up"], "left").select(*key, F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))))
-    rooted = levels[-1].where("up is null")  # what still points upwards is on a cycle or below one
+    rooted, levels, most = reach.where("up is null"), [reach.where("up is not null")], max(1, nodes.count()).bit_length() + 1
+    while len(levels) <= most and not levels[-1].isEmpty():  # only messages that have not reached their root move on
+        there = rooted.unionByName(levels[-1]).select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"))
+        moved = cut(levels[-1].join(there, ["conv_id", "up"]).select(*key, F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total")))
+        rooted = rooted.unionByName(moved.where("up is null"))
+        levels.append(moved.where("up is not null"))
+    # what still points upwards is on a cycle or below one
     inner = reach.where("up is not null").select("conv_id", F.col("up").alias("msg_id")).distinct()
     leaves = rooted.join(inner, key, "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("total"), "msg_id"))
@@ -61,7 +62,7 @@ def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         leaves = leaves.where(F.col("branch") <= branches)
     path = leaves.select("conv_id", F.col("msg_id").alias("leaf_id"), "branch", "msg_id", F.lit(0).alias("above"))
     for k in reversed(range(len(levels) - 1)):  # every distance to the leaf is a sum of powers of two
-        hop = levels[k].where("up is not null").select("conv_id", "msg_id", "up")
+        hop = levels[k].select("conv_id", "msg_id", "up")
         both = F.array(F.struct("msg_id", "above"), F.struct(F.col("up").alias("msg_id"), (F.col("above") + (1 << k)).alias("above")))
         path = path.join(hop, key, "left").select("conv_id", "leaf_id", "branch", F.explode(F.filter(both, lambda x: x["msg_id"].isNotNull())).alias("x")).select("conv_id", "leaf_id", "branch", "x.*")
     length = F.max("above").over(Window.partitionBy("conv_id", "leaf_id"))
