@@ -1 +1,68 @@
-"""Readers with explicit schemas, and writers."""
+"""Readers and writers of the library's file formats; every read states its schema."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+CHUNK = "chunk_id string, text string, heading string, source_url string, timestamp string, year int, word_count int, position int, extraction_source string"
+PROFILE = "company string, display_name string, comment string, hosts array<string>, spa_content_paths array<string>, validation struct<expected_altruism_peak:int,tolerance:int,notes:array<string>>"
+
+
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """JSON lines; blank lines give no row."""
+    return spark.read.schema(schema).json(path)
+
+
+def read_chunks(spark: SparkSession, folder: str, schema: str = CHUNK) -> DataFrame:
+    """All yearly files of a folder with ``file``, whose order and then ``position`` is the order of the chunks."""
+    return read_jsonl(spark, f"{folder}/*.jsonl", schema).withColumn("file", F.col("_metadata.file_name"))
+
+
+def write_chunks(chunks: DataFrame, folder: str) -> None:
+    """JSON lines in one subfolder per year; rows reach their year's writers by one shuffle."""
+    chunks.repartition("year").write.mode("overwrite").partitionBy("year").json(folder)
+
+
+def read_labels(spark: SparkSession, path: str, columns: str, label: str) -> DataFrame:
+    """A CSV of hand labels; labels are trimmed, rows without one are left out."""
+    rows = spark.read.schema(columns).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows.withColumn(label, F.trim(label)).where(F.coalesce(F.length(label), F.lit(0)) > 0)
+
+
+def read_profiles(spark: SparkSession, path: str | list[str], schema: str = PROFILE) -> DataFrame:
+    """Company profiles, one JSON object a file: the display name defaults to the title-cased id, the tolerance to 2."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    named = rows.withColumn("display_name", F.coalesce("display_name", F.initcap("company")))
+    filled = F.col("validation").withField("tolerance", F.coalesce("validation.tolerance", F.lit(2)))
+    return named.withColumn("validation", F.when(F.col("validation").isNotNull(), filled))
+
+
+def label_map(spark: SparkSession, path: str) -> DataFrame:
+    """chunk_id, label of a JSON object that maps one to the other."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("chunk_id", "label"))
+
+
+def append_new(rows: DataFrame, path: str, on: list[str]) -> None:
+    """Append to a Parquet cache the rows whose key it lacks; of a key that repeats in ``rows`` one row is written."""
+    spark = rows.sparkSession
+    known = spark.read.schema(rows.schema).option("ignoreMissingFiles", True).parquet(path) if _exists(spark, path) else None
+    new = rows.dropDuplicates(on)
+    (new if known is None else new.join(known.select(*on), on, "left_anti").select(*rows.columns)).write.mode("append").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def decoded(header: Column, values: Column) -> Column:
+    """A map of a header row's names to a row's values, as an archive index answers."""
+    return F.map_from_arrays(header, values)
+
+
+def yearly(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The last row of each group in ``order``."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]))).where("__n = 1").drop("__n")
