@@ -50,3 +50,23 @@ def test_no_close_pair_is_left(spark, small):
     for texts in groups.values():
         texts.sort(key=lambda t: -len(t))
         assert all(difflib.SequenceMatcher(None, b, a).ratio() < 0.92 for k, a in enumerate(texts) for b in texts[k + 1 :])
+
+
+def test_near_duplicates_of_whole_chunks(spark, tmp_path):
+    """Texts that differ in their openings only, texts that share nothing but the opening, and one of few words."""
+    same, opening = " ".join(f"word{k} goes here" for k in range(40)), "We all start with the very same long sentence here. "
+    docs = [(0, "Quite another opening of six words. " + same), (20, "Opening. " + same), (40, opening + "alpha beta " * 30), (60, opening + "1234 5678 " * 30), (80, "two words"), (100, None)]
+    docs += [(120 + 20 * k, " ".join(f"v{x}" for x in range(k, 60 + k))) for k in range(6)]  # chains whose ends are not close
+    frame = spark.createDataFrame([(i, t, "en", "acme") for i, t in docs], "doc_id long, text string, lang string, source string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.sentence) for r in catalog.QUERIES["near_duplicates_removed_by_group"](spark, str(tmp_path)).collect()}
+    want = greedy_by_hand([(f"{i:05d}", t) for i, t in docs if t is not None], 0.92)
+    assert got == {(int(i), t) for i, t in want} and {0, 40, 60, 80} <= {i for i, _ in got} and 20 not in {i for i, _ in got}
+
+
+def test_whole_chunks_of_the_fixture(spark, small):
+    groups = defaultdict(list)
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        groups[r.source, 2005 + r.doc_id % 20].append((r.doc_id, r.text))
+    want = {i for g in groups.values() for i, _ in greedy_by_hand([(i, t) for i, t in g if t is not None], 0.92)}
+    assert {r.doc_id for r in catalog.QUERIES["near_duplicates_removed_by_group"](spark, small).collect()} == want

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import difflib
+import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelex.llm.common import cut
+
 
 def first_per(rows: DataFrame, by: list[Column | str], order: list[Column | str]) -> DataFrame:
     """The first row of each ``by`` in ``order``, which should be total."""
@@ -31,36 +37,69 @@ def merged_captures(known: DataFrame, found: DataFrame, url: str = "original", t
     return known.unionByName(first_per(new, [digest], [ts, url]))
 
 
-def _greedy(frame: pd.DataFrame, text: str, order: str, threshold: float) -> pd.DataFrame:
-    """Longest first, a row stays if it is below ``threshold`` of similarity to every row kept so far.
+def _letters(text: str) -> bytes:
+    """Counts of the text's characters folded into 64 classes: folding only raises the overlap of two texts."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64).astype(np.int32).tobytes()
 
-    Length and letter counts bound the ratio from above; the alignment runs only where they leave it open.
-    """
-    frame = frame.drop_duplicates(text).assign(__len=lambda d: d[text].str.len()).sort_values(["__len", order], ascending=[False, True], kind="stable")
-    kept: list[str] = []
-    keep = []
-    for t in frame[text]:
-        m = difflib.SequenceMatcher(None, t, "")
 
-        def close(other: str, m: difflib.SequenceMatcher = m) -> bool:
-            m.set_seq2(other)
-            return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+def _close_pairs(exact: DataFrame, text: str, order: str, threshold: float) -> DataFrame:
+    """early, late: rows of one scope at ``threshold`` of similarity or more, the longer (ties by ``order``) first.
+
+    2 min / (a + b) over the lengths and the overlap of letters bound the ratio from above, so no pair is lost.
+    """
 
-        new = not any(close(k) for k in kept)
-        keep.append(new)
-        if new:
-            kept.append(t)
-    return frame[keep].drop(columns="__len")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({**{c: b[c] for c in ("row", "scope", "at", "size")}, "letters": pa.array([_letters(t) for t in b["body"].to_pylist()], pa.binary())})
+
+    def may_be_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.int32).reshape(-1, 64) for c in ("x", "y"))
+                keep = 2.0 * np.minimum(x, y).sum(axis=1) >= threshold * (x.sum(axis=1) + y.sum(axis=1)) - 1e-6
+                yield pa.RecordBatch.from_pydict({"early": b["early"], "late": b["late"]}).filter(pa.array(keep))
+
+    def is_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, m = [], difflib.SequenceMatcher(None, "", "")
+            for early, late in zip(b["s"].to_pylist(), b["t"].to_pylist(), strict=True):
+                m.set_seqs(late, early)
+                keep.append(m.quick_ratio() >= threshold and m.ratio() >= threshold)
+            yield pa.RecordBatch.from_pydict({"early": b["early"], "late": b["late"]}).filter(pa.array(keep, pa.bool_()))
+
+    bodies = exact.select(F.col("__row").alias("row"), F.col("__scope").alias("scope"), F.col(order).cast("string").alias("at"), F.length(text).alias("size"), F.col(text).alias("body"))
+    rows = bodies.mapInArrow(count, "row long, scope string, at string, size int, letters binary")
+    width = math.log((2 - threshold) / threshold) * 1.001 + 1e-9  # lengths of close texts lie in one band or in neighbours
+    rows = cut(rows.withColumn("band", F.floor(F.log(F.greatest("size", F.lit(1))) / width)))
+    long = rows.select("scope", "band", F.col("row").alias("early"), F.col("size").alias("a"), F.col("at").alias("i"), F.col("letters").alias("x"))
+    short = rows.select("scope", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("row").alias("late"), F.col("size").alias("b"), F.col("at").alias("j"), F.col("letters").alias("y"))
+    earlier = (F.col("a") > F.col("b")) | ((F.col("a") == F.col("b")) & (F.struct("i", "early") < F.struct("j", "late")))
+    pairs = long.join(short, ["scope", "band"]).where(earlier & (2.0 * F.col("b") >= threshold * (F.col("a") + F.col("b")) - 1e-6))
+    pairs = cut(pairs.select("early", "late", "x", "y").mapInArrow(may_be_close, "early long, late long"))
+    s, t = bodies.select(F.col("row").alias("early"), F.col("body").alias("s")), bodies.select(F.col("row").alias("late"), F.col("body").alias("t"))
+    return pairs.join(s, "early").join(t, "late").mapInArrow(is_close, "early long, late long")
 
 
 def near_duplicates_removed(rows: DataFrame, scope: list[str], text: str, order: str, threshold: float = 0.92) -> DataFrame:
     """Greedy near-duplicate removal within each ``scope``, longest text first (ties by ``order``).
 
-    The decision on a row depends on all rows kept before it, so a scope is one group; exact copies leave before
-    the shuffle, and scopes should be as fine as the question allows (a company's year, say).
+    A row stays if it is below ``threshold`` of similarity to every row kept before it. The close pairs are found in
+    tasks; then rows without an undecided row before them stay and their later neighbours go, until no pair is left.
     """
-    exact = first_per(rows.where(F.col(text).isNotNull()), [*scope, text], [order])
-    return exact.groupBy(*scope).applyInPandas(lambda f: _greedy(f, text, order, threshold), exact.schema)
+    if not 0 < threshold <= 1:
+        raise ValueError(f"threshold must be above 0 and at most 1, not {threshold!r}")
+    once = first_per(rows.where(F.col(text).isNotNull()), [*scope, text], [order])
+    exact = cut(once.withColumns({"__row": F.monotonically_increasing_id(), "__scope": F.to_json(F.struct(*scope))}))
+    edges = cut(_close_pairs(exact, text, order, threshold))
+    gone = []
+    while not edges.isEmpty():
+        first = edges.join(edges.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
+        gone.append(cut(first.select("late").distinct()))
+        edges = edges.join(gone[-1], "late", "left_anti")
+        edges = cut(edges.join(gone[-1].select(F.col("late").alias("early")), "early", "left_anti"))
+    for dropped in gone:
+        exact = exact.join(dropped.select(F.col("late").alias("__row")), "__row", "left_anti")
+    return exact.select(*rows.columns)
 
 
 def similarity(a: str, b: str) -> Column:

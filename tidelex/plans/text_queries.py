@@ -216,10 +216,9 @@ def exact_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def near_duplicates_removed_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy near-duplicate removal within company and year, on the sentences' texts."""
-    rows = sentence_rows(spark, sf_dir).select("company", "year", "doc_id", "position", "sentence").withColumn("at", F.format_string("%012d-%06d", "doc_id", "position"))
-    first = first_per(rows, ["company", "year", "doc_id"], ["position"])
-    return near_duplicates_removed(first, ["company", "year"], "sentence", "at").select("company", "year", "doc_id", "sentence")
+    """Greedy near-duplicate removal within company and year, on the whole texts of chunks (in the column ``sentence``)."""
+    rows = chunks(spark, sf_dir).select("company", "year", "doc_id", F.col("text").alias("sentence"), F.format_string("%020d", "doc_id").alias("at"))
+    return near_duplicates_removed(rows, ["company", "year"], "sentence", "at").select("company", "year", "doc_id", "sentence")
 
 
 @query(r"SELECT page_id, url, regexp_matches(url, '(?i)(teams?|students?|benefits|culture|life|locations?|how-we|diversity|belonging|perks|values|mission|intern|grad|veterans|disability|accessibility|care-for|hiring|about)') AND NOT regexp_matches(url, '(?i)(/jobs/results|/jobs/\d|/job/\d|/positions?/|joblisting|search\?|/api/|\.pdf$|\.jpg$|\.png$|\.css$|\.js$|mailto:|javascript:)') AS content, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') AS host, regexp_replace(url, '[?#].*$', '') AS bare FROM pages")
