@@ -146,6 +146,36 @@ def shipped_cascades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).where(~F.lower(t).rlike(neutral)).select("doc_id", classify.register(t).alias("register"), classify.stance(t).alias("stance"))
 
 
+@query(CHUNK_SQL + r"""
+    SELECT doc_id,
+        CASE WHEN text IS NULL THEN NULL
+            WHEN regexp_matches(text, '(?i)\b(?:future of the west|the west''?s most important|western (?:tech )?institutions|warfighters?|battlefield|build with consequence|tinker at the margins|technological republic|most important institutions|empower the world''?s most important institutions)\b') THEN 'civilizational_mission'
+            WHEN (contains(lower(text), 'judged by outcomes') OR contains(lower(text), 'work will speak for itself') OR contains(lower(text), 'uncompromising engineering') OR contains(lower(text), 'best and the brightest') OR contains(lower(text), 'rigorous hiring standards')) THEN 'meritocracy'
+            WHEN (contains(lower(text), 'social or political activism') OR contains(lower(text), 'refuge from division') OR contains(lower(text), 'unrelated to our mission while at work') OR contains(lower(text), 'don''t engage in social') OR contains(lower(text), 'do not engage in social')) THEN 'meritocracy'
+            WHEN NOT (contains(lower(text), 'divers') OR contains(lower(text), 'inclus') OR contains(lower(text), 'belong') OR contains(lower(text), 'equity') OR contains(lower(text), 'represent') OR contains(lower(text), 'underrepresented') OR contains(lower(text), 'bias') OR contains(lower(text), 'merit') OR contains(lower(text), 'whole self') OR contains(lower(text), 'women in tech') OR contains(lower(text), 'girl geek') OR contains(lower(text), 'scholarship for women')) THEN 'absent'
+            WHEN (contains(lower(text), 'black') OR contains(lower(text), 'latinx') OR contains(lower(text), 'hispanic') OR contains(lower(text), 'lgbtq') OR contains(lower(text), 'veteran') OR contains(lower(text), 'disabilit')) AND (contains(lower(text), 'representation') OR contains(lower(text), 'target') OR contains(lower(text), 'percent') OR contains(lower(text), '%') OR contains(lower(text), 'workforce data') OR contains(lower(text), 'increase')) THEN 'explicit_demographic'
+            WHEN (contains(lower(text), 'black') OR contains(lower(text), 'latinx') OR contains(lower(text), 'hispanic') OR contains(lower(text), 'lgbtq') OR contains(lower(text), 'veteran') OR contains(lower(text), 'disabilit')) THEN 'aspirational_vague'
+            WHEN contains(lower(text), 'women') AND NOT (contains(lower(text), 'breast cancer') OR contains(lower(text), 'mammograph') OR contains(lower(text), 'patient') OR contains(lower(text), 'screening')) AND (contains(lower(text), 'lean in') OR contains(lower(text), 'partner') OR contains(lower(text), 'encouragement') OR contains(lower(text), 'support to achieve') OR contains(lower(text), 'scholarship') OR contains(lower(text), 'girl geek')) THEN 'aspirational_vague'
+            WHEN contains(lower(text), 'women') AND NOT (contains(lower(text), 'breast cancer') OR contains(lower(text), 'mammograph') OR contains(lower(text), 'patient') OR contains(lower(text), 'screening')) AND (contains(lower(text), 'representation') OR contains(lower(text), 'target') OR contains(lower(text), 'percent') OR contains(lower(text), '%')) THEN 'explicit_demographic'
+            WHEN (contains(lower(text), 'audit') OR contains(lower(text), 'structured interview') OR contains(lower(text), 'pay gap') OR contains(lower(text), 'promotion process') OR contains(lower(text), 'bias training')) THEN 'structural_process'
+            WHEN (contains(lower(text), 'regardless of background') OR contains(lower(text), 'same criteria') OR contains(lower(text), 'don''t lower our standards') OR contains(lower(text), 'best people, period') OR contains(lower(text), 'identity politics') OR contains(lower(text), 'don''t do dei') OR contains(lower(text), 'not identity') OR contains(lower(text), 'meritocracy') OR contains(lower(text), 'merit, not')) THEN 'meritocracy'
+            WHEN (contains(lower(text), 'whole self') OR contains(lower(text), 'bring your') OR contains(lower(text), 'culture of') OR contains(lower(text), 'feel welcome')) THEN 'belonging_culture'
+            ELSE 'aspirational_vague' END AS register,
+        CASE WHEN text IS NULL THEN NULL
+            WHEN regexp_matches(text, '(?i)\b(?:future of the west|the west''?s most important|western (?:tech )?institutions|warfighters?|battlefield|build with consequence|tinker at the margins|technological republic|most important institutions|empower the world''?s most important institutions)\b') THEN 'civilizational_mission'
+            WHEN (contains(lower(text), 'political activism') OR contains(lower(text), 'refuge from division') OR contains(lower(text), 'apolitical') OR contains(lower(text), 'unrelated to our mission while at work') OR contains(lower(text), 'social or political') OR contains(lower(text), 'don''t engage in social')) THEN 'mission_focus_apolitical'
+            WHEN (contains(lower(text), 'judged by outcomes') OR contains(lower(text), 'work will speak for itself') OR contains(lower(text), 'uncompromising engineering') OR contains(lower(text), 'championship team') OR contains(lower(text), 'generous severance') OR contains(lower(text), 'not a family') OR contains(lower(text), 'stunning colleagues') OR contains(lower(text), 'high expectations for performance') OR contains(lower(text), 'faint of heart') OR contains(lower(text), 'dream team')) THEN 'performance_elite'
+            WHEN (contains(lower(text), 'scholarship for women') OR contains(lower(text), 'girl geek') OR contains(lower(text), 'women in technology') OR contains(lower(text), 'belonging') OR contains(lower(text), 'whole self') OR contains(lower(text), 'representation') OR contains(lower(text), 'underrepresented') OR contains(lower(text), 'commitment to diversity')) THEN 'affirming_dei'
+            WHEN contains(lower(text), 'inclusion') AND (contains(lower(text), 'diversity') OR contains(lower(text), 'belonging') OR contains(lower(text), 'equity')) THEN 'affirming_dei'
+            ELSE 'neutral' END AS stance
+    FROM c
+""")
+def shipped_cascades_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shipped register and stance rules over all documents."""
+    t = F.col("text")
+    return chunks(spark, sf_dir).select("doc_id", classify.register(t).alias("register"), classify.stance(t).alias("stance"))
+
+
 @query(_REGISTER + "SELECT company, year, n_chunks, explicit_demographic, structural_process, aspirational_vague, belonging_culture, meritocracy, civilizational_mission, absent FROM n")
 def register_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register_counts(spark, sf_dir).select("company", "year", "n_chunks", *classify.REGISTERS)
