@@ -38,6 +38,32 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_pages(_pages(spark, sf_dir), ["example.com", "example.org", "example.net"], cap=4, content="(?-i:/[a-z]+$)")
 
 
+@query(r"""
+    WITH h AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS site, regexp_extract_all(html, '<a href="(/[^"?#]*)"', 1) AS hrefs FROM pages),
+    l AS (SELECT page_id, site || unnest(hrefs) AS url, generate_subscripts(hrefs, 1) AS i FROM h),
+    f AS (SELECT page_id, url, min(i) AS i FROM l WHERE regexp_matches(url, '/[a-z]+$') GROUP BY page_id, url)
+    SELECT page_id, url, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS position FROM f QUALIFY position < 10
+""")
+def page_links_to_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links to paths of plain letters up to the reference's cap of ten, in document order."""
+    return link_pages(_pages(spark, sf_dir), ["example.com", "example.org", "example.net"], content="(?-i:/[a-z]+$)")
+
+
+@query(r"""
+    WITH h AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS site, regexp_extract_all(html, '<a href="(/[^"?#]*)"', 1) AS hrefs FROM pages),
+    l AS (SELECT page_id, site || unnest(hrefs) AS url, generate_subscripts(hrefs, 1) AS i FROM h),
+    f AS (
+        SELECT page_id, url, min(i) AS i FROM l
+        WHERE regexp_matches(url, '(?i)(teams?|students?|benefits|culture|life|locations?|how-we|diversity|belonging|perks|values|mission|intern|grad|veterans|disability|accessibility|care-for|hiring|about)')
+          AND NOT regexp_matches(url, '(?i)(/jobs/results|/jobs/\d|/job/\d|/positions?/|joblisting|search\?|/api/|\.pdf$|\.jpg$|\.png$|\.css$|\.js$|mailto:|javascript:)') GROUP BY page_id, url
+    )
+    SELECT page_id, url, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS position FROM f QUALIFY position < 10
+""")
+def page_content_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links that the shipped content pattern and cap keep; the driver's pages hold none."""
+    return link_pages(_pages(spark, sf_dir), ["example.com", "example.org", "example.net"])
+
+
 def capture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
