@@ -30,12 +30,14 @@ class DigestIndex:
         self.spark, self.keep, self.memtables = spark, keep, memtables
         self.path = path or scratch(spark, "digest-index")
         self.runs: list[str] = []
+        self.flushed = 0
 
     def _best(self, column: str) -> Column:
         return (F.min if self.keep == "smallest" else F.max)(column)
 
     def _flush(self, rows: DataFrame, by: list[str]) -> None:
-        run = f"{self.path}/run-{len(self.runs):04d}"
+        run = f"{self.path}/run-{self.flushed:04d}"
+        self.flushed += 1
         writer = rows.sortWithinPartitions("digest").write.mode("overwrite")
         # filters sized to what a run holds, not to the format's 1 MB for every file
         writer = writer.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
@@ -58,7 +60,7 @@ class DigestIndex:
         self.runs = [r for r in self.runs if r not in old]
 
     def read(self) -> DataFrame:
-        frames = [self.spark.read.schema("digest binary, keep_id long, n long").parquet(r) for r in self.runs]
+        frames = [self.spark.read.schema("digest binary, keep_id long, n long").parquet(r).select("digest", "keep_id", "n") for r in self.runs]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)

@@ -31,6 +31,7 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))  # a row for each that repeats doc_id and text
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
