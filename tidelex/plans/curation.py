@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelex.catalog import query
 from tidelex.operators import curate
@@ -138,6 +139,14 @@ def absent_but_high(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "company", "year", F.round("score", 4).alias("score")).orderBy("vec_id").limit(20)
 
 
+@query(SQL + "SELECT vec_id, company, year, round(score, 4) AS score, count(*) OVER (PARTITION BY company) AS n_rows FROM s WHERE axis = 'inclusion' AND score > 0.2 AND vec_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY company ORDER BY vec_id) <= 20")
+def absent_but_high_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 rows of each company, as in ``absent_but_high``, with the count of all its rows."""
+    rows = scored(spark, sf_dir, "inclusion").where("vec_id % 2 = 1 AND score > 0.2")
+    counts = rows.groupBy("company").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("company").orderBy("vec_id"))).where("place <= 20").join(counts, "company").select("vec_id", "company", "year", F.round("score", 4).alias("score"), "n_rows")
+
+
 @query(CHUNK_SQL + "SELECT doc_id FROM c ORDER BY sha256('42|' || doc_id), doc_id LIMIT 80")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """80 documents to label by hand, the same on every run."""

@@ -127,6 +127,14 @@ def axis_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("year", _r("altruism"), _r("control"))
 
 
+@query(_SERIES + "SELECT coalesce(a.company, b.company) AS company, coalesce(a.year, b.year) AS year, round(a.z, 6) AS altruism, round(b.z, 6) AS control FROM (FROM z WHERE axis = 'altruism') a FULL JOIN (FROM z WHERE axis = 'control') b ON a.company = b.company AND a.year = b.year")
+def axis_overlay_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two series of every company side by side, on the union of their years."""
+    s = rollup.period_series(scored(spark, sf_dir, "altruism", "control"), ["axis", "company"], "year", "score", "vec_id")
+    one = lambda axis: s.where(F.col("axis") == axis).select("company", "year", F.col("zscore").alias(axis))
+    return one("altruism").join(one("control"), ["company", "year"], "full").select("company", "year", _r("altruism"), _r("control"))
+
+
 @query(_SERIES + """
     SELECT company, arg_max(year, m) AS peak_period, round(max(m), 6) AS peak_value, max(year) AS latest_period, round(arg_max(m, year), 6) AS latest_value FROM z WHERE axis = 'altruism' GROUP BY company
 """)
