@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelex.llm.common import cut
+from tidelex.storage import cut
 
 
 def first_per(rows: DataFrame, by: list[Column | str], order: list[Column | str]) -> DataFrame:
