@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder, from ``spark.checkpoint.dir`` or set on the context; without one there is no safe place, so it raises."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
+    """The shared folder, from ``spark.checkpoint.dir`` or set on the context.
+
+    Where neither is set, a session on one machine (as in tests) gets a temporary folder and any other an error, as no
+    folder of the driver's machine would be seen by the executors.
+    """
+    sc = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if known:
+        return known
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return known
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidelex-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute now and keep the rows in the shared folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
