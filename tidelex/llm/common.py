@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelex.storage import checkpoint_dir, cut, kept, scratch  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidelex-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute now and keep the rows in the shared folder, so that a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/tidelex/{name}-{uuid.uuid4().hex}"
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores behind them where the frame has a column of that name."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -90,7 +90,6 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Share of tokens per language, which stands for the domain: the fixtures' texts do not tell their sources apart.
 TARGETS = {"en": 0.5, "fr": 0.18, "de": 0.18, "es": 0.14}
-PIPELINE_SHINGLE_WORDS = 3
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,15 @@
-"""Near copies by the Jaccard similarity of their word shingles: MinHash candidates, each verified on the shingles.
-
-A text's 160 minima are cut into 32 bands of five; texts that agree on a band are candidates. Two texts of similarity
-0.8 share no band with a chance of (1 - 0.8 ** 5) ** 32, about 3 in a million, and more similar ones less often. Large
-groups of copies do not give all their pairs: neighbours within a band are verified first, and then the pairs of a band
-that these links have not joined.
+"""Near copies: SimHash classes, completed by texts whose word shingles have a Jaccard similarity of 0.8 or more.
+
+At a similarity of 0.8 two fingerprints of 64 bits differ in about ten bits, and no pigeonring of that budget leaves
+keys selective enough for a large corpus. So the links of the SimHash operator come first, and what lies beyond its
+three bits is found by MinHash: a text's 160 minima are cut into 32 bands of five, and texts that agree on a band are
+candidates. Two texts of similarity 0.8 share no band with a chance of (1 - 0.8 ** 5) ** 32, about 3 in a million.
+Candidates are verified on the shingles themselves.
+
+Large groups of copies do not give all their pairs: two rounds link neighbours within a band only (ordered by other
+minima, so that neighbours are alike), and then the pairs of a band that these links have not joined are compared by
+sketches of four bits a minimum. Sketches that put a pair below 0.668, four deviations from 0.8, end it there (a pair
+at exactly 0.8 goes so with a chance of 3 in 100,000). Bands of many texts are dealt in blocks to tiles.
 """
 
 from __future__ import annotations
@@ -18,10 +24,12 @@ from pyspark.sql import functions as F
 
 from tidelex.llm.common import cut, partitions_of, text_or_empty, unused
 from tidelex.llm.components import components
-from tidelex.llm.simhash import SEED
+from tidelex.llm.simhash import SEED, near_duplicates
 
 WORDS, BANDS, ROWS = 5, 32, 5
-SIMILARITY = 0.8
+SIMILARITY, LEAST_ESTIMATE = 0.8, 0.668
+#: Rows of a block of a large band; bands of up to twice as many texts are compared in one task.
+TILE_ROWS = 1024
 U = np.uint64
 _DRAW = np.random.default_rng(SEED)
 _TIMES = _DRAW.integers(0, 1 << 63, BANDS * ROWS, U) * U(2) + U(1)
@@ -34,71 +42,134 @@ def shingles(text: str, words: int = WORDS) -> set[bytes]:
     return {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
 
 
-def band_keys(found: set[bytes]) -> list[int]:
+def minima(found: set[bytes]) -> np.ndarray:
     h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), dtype=U, count=len(found))
     least = np.full(BANDS * ROWS, ~U(0))
     for at in range(0, len(h), 2048):
         np.minimum(least, (h[None, at : at + 2048] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def sketch(least: np.ndarray) -> bytes:
+    """Four bits of each minimum."""
+    top = (least >> U(60)).astype(np.uint8)
+    return (top[::2] << 4 | top[1::2]).tobytes()
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities of rows of sketches; agreement by chance, one in 16, is taken off."""
+    x = a ^ b
+    same = ((x & 15) == 0).sum(axis=1) + ((x >> 4) == 0).sum(axis=1)
+    return (same / (BANDS * ROWS) - 1 / 16) * 16 / 15
+
+
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """node long, size int (distinct shingles), keys array<long>: one key a band. Blank texts and null ids are left out."""
+    """node long, size int (distinct shingles), keys array<long> (one a band), sketch. Blank texts and null ids are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, sketches = [], [], [], []
             for node, text in zip(b["node"].to_pylist(), b["text"].to_pylist(), strict=True):
                 if found := shingles(text, words):
+                    least = minima(found)
                     nodes.append(node)
                     sizes.append(len(found))
-                    keys.append(np.array(band_keys(found), U).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                    keys.append(np.array(band_keys(least), U).view(np.int64))
+                    sketches.append(sketch(least))
+            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "node long, size int, keys array<long>")
+    return rows.mapInArrow(run, "node long, size int, keys array<long>, sketch binary")
+
+
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """key, n, node, size, sketch: a row for each band that a text shares with another, with the band's number of texts."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(counted, "key").join(nodes.select("node", "size", "sketch"), "node").select("key", "n", "node", "size", "sketch")
+
+
+def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b) >= SIMILARITY * np.maximum(a, b) - 1e-9
 
 
-def band_pairs(key: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, furthest: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of equal key and different group, at most ``furthest`` places apart (sorted by key), whose sizes allow the similarity."""
-    found, at, lag = [np.empty((2, 0), np.int64)], np.arange(len(key)), 1
-    while len(at) and (furthest is None or lag <= furthest):
+def _columns(b: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+
+
+def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+
+
+def neighbours(members: DataFrame, partitions: int, turn: int) -> DataFrame:
+    """u, v: texts of different groups that are neighbours in a band, by the minima from place ``turn`` on."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[np.ndarray] | None = None
+        for b in batches:
+            if b.num_rows:
+                now = _columns(b, ("key", "node", "group", "size"))
+                key, node, group, size = now if last is None else [np.r_[x, y] for x, y in zip(last, now, strict=True)]
+                hit = np.flatnonzero((key[1:] == key[:-1]) & (group[1:] != group[:-1]) & _sizes_allow(size[1:], size[:-1]))
+                yield _pairs(node[hit], node[hit + 1])
+                last = [x[-1:] for x in now]
+
+    order = ["key", F.substring("sketch", 1 + turn, BANDS * ROWS // 2), "node"]
+    rows = members.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    return rows.select("key", "node", "group", "size").mapInArrow(pair, "u long, v long").distinct()
+
+
+def tile_pairs(key: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, block: np.ndarray, whole: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of equal key and different group (and different block unless ``whole``) that sizes and sketches allow."""
+    found_u, found_v, at, lag = [], [], np.arange(len(key)), 1
+    while len(at):
         at = at[at + lag < len(key)]
         at = at[key[at] == key[at + lag]]
-        a, b = size[at], size[at + lag]
-        hit = at[(group[at] != group[at + lag]) & (np.minimum(a, b) >= SIMILARITY * np.maximum(a, b) - 1e-9)]
-        u, v = node[hit], node[hit + lag]
-        found.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
+        hit = at[(group[at] != group[at + lag]) & ((block[at] != block[at + lag]) | whole[at]) & _sizes_allow(size[at], size[at + lag])]
+        hit = hit[estimate(sketches[hit], sketches[hit + lag]) >= LEAST_ESTIMATE]
+        found_u.append(node[hit])
+        found_v.append(node[hit + lag])
         lag += 1
-    u, v = np.unique(np.concatenate(found, axis=1), axis=1)
-    return u, v
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_u]), np.concatenate([none, *found_v])
 
 
-def candidates(nodes: DataFrame, partitions: int, furthest: int | None) -> DataFrame:
-    """u, v: pairs of nodes (node, size, keys, group) that share a band."""
+def other_pairs(members: DataFrame, partitions: int) -> DataFrame:
+    """u, v: all pairs of a band whose groups differ and whose sketches may belong to texts of similarity 0.8."""
+    width = BANDS * ROWS // 2
+    names = ("tile", "node", "group", "size", "block", "whole")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[list[np.ndarray], np.ndarray]] = []
 
-        def made(rows: np.ndarray) -> pa.RecordBatch:
-            u, v = band_pairs(rows[0], rows[1], rows[2], rows[3], furthest)
-            return pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+        def made(upto: int | None) -> pa.RecordBatch:
+            columns = [np.concatenate([h[0][i] for h in held]) for i in range(len(names))]
+            sketches = np.concatenate([h[1] for h in held])
+            held[:] = [([x[upto:] for x in columns], sketches[upto:])] if upto is not None else []
+            key, node, group, size, block, whole = [x[:upto] for x in columns]
+            return _pairs(*tile_pairs(key, node, group, size, block, whole == 1, sketches[:upto]))
 
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append(np.stack([b[c].to_numpy().astype(np.int64) for c in ("key", "node", "group", "size")]))
-            last = held[-1][0, -1]
-            if held[-1][0, 0] != last and sum(x.shape[1] for x in held) >= 100_000:
-                rows = np.concatenate(held, axis=1)
-                open_at = int(np.searchsorted(rows[0], last))  # the last band may go on in the next batch
-                held = [rows[:, open_at:]]
-                yield made(rows[:, :open_at])
+            held.append((_columns(b, names), np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint8).reshape(-1, width)))
+            tile = held[-1][0][0]
+            if tile[0] != tile[-1] and sum(len(h[1]) for h in held) >= 50_000:
+                yield made(sum(len(h[1]) for h in held) - int((tile == tile[-1]).sum()))  # the last tile may go on in the next batch
         if held:
-            yield made(np.concatenate(held, axis=1))
+            yield made(None)
 
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", "group", "size")
-    return keyed.repartition(partitions, "key").sortWithinPartitions("key", "node").mapInArrow(pair, "u long, v long").distinct()
+    mixed = members.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
+    blocks = F.ceil(F.col("n") / TILE_ROWS).cast("int")
+    mine = F.when(F.col("n") <= 2 * TILE_ROWS, 0).otherwise(F.pmod(F.xxhash64("node"), blocks)).cast("int")
+    across = F.when(F.col("n") <= 2 * TILE_ROWS, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))
+    rows = members.join(mixed, "key").withColumn("block", mine).withColumn("other", F.explode(across))
+    rows = rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "node", "group", "size", "block", (F.col("block") == F.col("other")).cast("int").alias("whole"), "sketch")
+    return rows.repartition(partitions, "tile").sortWithinPartitions("tile").mapInArrow(pair, "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -108,10 +179,13 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).join(ids, "node", "left_semi")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, y = None, set()
         for b in batches:
             keep = []
             for s, t in zip(b["s"].to_pylist(), b["t"].to_pylist(), strict=True):
-                x, y = shingles(s, words), shingles(t, words)
+                if t != last:
+                    last, y = t, shingles(t, words)
+                x = shingles(s, words)
                 common = len(x & y)
                 keep.append(common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_pydict({"u": b["u"], "v": b["v"]}).filter(pa.array(keep, pa.bool_()))
@@ -120,20 +194,35 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame
     return both.mapInArrow(check, "u long, v long")
 
 
-def shingle_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """node, component: documents joined by chains of similarity 0.8 or more, and the smallest doc_id of each chain.
+def simhash_links(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """u, v: documents whose fingerprints over shingles of ``words`` words the SimHash operator puts in one class."""
+    found = near_duplicates(docs, words).where("doc_id <> component_id")
+    return found.select(F.col("component_id").alias("u"), F.col("doc_id").alias("v")).distinct()
+
+
+def copy_components(docs: DataFrame, words: int = WORDS, start: DataFrame | None = None) -> DataFrame:
+    """node, component: documents joined by chains of similarity 0.8 or more and of the links ``start`` (u, v), and the smallest doc_id of each chain.
 
     Documents without such a copy give no row.
     """
     partitions = max(partitions_of(docs), 8)
     nodes = cut(signatures(docs, words))
-    first = cut(verified(candidates(nodes.withColumn("group", F.col("node")), partitions, furthest=1), docs, words))
-    nodes = nodes.join(components(first), "node", "left").select("node", "size", "keys", F.coalesce("component", "node").alias("group"))
-    return components(first.unionByName(verified(candidates(nodes, partitions, furthest=None), docs, words)))
+    members = cut(shared_bands(nodes))
+    links = cut(start) if start is not None else docs.sparkSession.createDataFrame([], "u long, v long")
+    for turn in (0, BANDS * ROWS // 4):
+        grouped = members.join(components(links), "node", "left").withColumn("group", F.coalesce("component", "node"))
+        links = links.unionByName(cut(verified(neighbours(grouped, partitions, turn), docs, words)))
+    grouped = cut(members.join(components(links), "node", "left").select("key", "n", "node", "size", "sketch", F.coalesce("component", "node").alias("group")))
+    return components(links.unionByName(verified(other_pairs(grouped, partitions), docs, words)))
 
 
-def drop_shingle_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its chain of near copies, and all others without a near copy."""
+def drop_near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its chain of near copies, and all others without a near copy.
+
+    A near copy is one by SimHash (three bits) or by a similarity of 0.8 or more, both over shingles of five words.
+    Null and blank texts are copies of each other; rows without a doc_id stay; rows that repeat a doc_id stay or go
+    together. An empty table gives no rows. Other columns, whatever their names, are kept as they are.
+    """
     (id_,) = unused(docs, "__id")
-    gone = shingle_components(docs, words).where("node <> component").select(F.col("node").alias(id_)).distinct()
+    gone = copy_components(docs, words, simhash_links(docs, words)).where("node <> component").select(F.col("node").alias(id_)).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(id_), "left_anti")
