@@ -1,4 +1,4 @@
-"""A training corpus from documents in six stages, each written as Parquet and read by the next."""
+"""A training corpus from documents in five stages, each written as Parquet and read by the next."""
 
 from __future__ import annotations
 
@@ -12,8 +12,7 @@ from tidelex.llm.common import scratch, table, unused
 from tidelex.llm.exact_dedup import drop_exact_duplicates
 from tidelex.llm.mixing import mix_documents
 from tidelex.llm.sentencepiece_codec import encode_decode
-from tidelex.llm.shingle_copies import drop_shingle_copies
-from tidelex.llm.simhash import drop_near_duplicates
+from tidelex.llm.shingle_copies import drop_near_copies
 from tidelex.llm.toxicity import fit, score, training_sample
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,13 +31,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies."""
-    return drop_near_duplicates(docs, words=queries.PIPELINE_SHINGLE_WORDS)
+    """One document, that with the smallest doc_id, of each group of near copies over shingles of five words.
 
-
-def shingle_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each chain of texts that share 0.8 or more of their five-word shingles, which SimHash's 3 bits miss."""
-    return drop_shingle_copies(docs)
+    Groups are chains of links: fingerprints within SimHash's three bits, and texts of a similarity of 0.8 or more.
+    """
+    return drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +52,6 @@ STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("exact_dedup", exact_dedup),
     ("near_dedup", near_dedup),
-    ("shingle_dedup", shingle_dedup),
     ("mix_sources", mix_sources),
     ("sentencepiece", encode),
 ]
