@@ -2,14 +2,14 @@
 
 At a similarity of 0.8 two fingerprints of 64 bits differ in about ten bits, and no pigeonring of that budget leaves
 keys selective enough for a large corpus. So the links of the SimHash operator come first, and what lies beyond its
-three bits is found by MinHash: a text's 160 minima are cut into 32 bands of five, and texts that agree on a band are
-candidates. Two texts of similarity 0.8 share no band with a chance of (1 - 0.8 ** 5) ** 32, about 3 in a million.
-Candidates are verified on the shingles themselves.
-
-Large groups of copies do not give all their pairs: two rounds link neighbours within a band only (ordered by other
-minima, so that neighbours are alike), and then the pairs of a band that these links have not joined are compared by
-sketches of four bits a minimum. Sketches that put a pair below 0.668, four deviations from 0.8, end it there (a pair
-at exactly 0.8 goes so with a chance of 3 in 100,000). Bands of many texts are dealt in blocks to tiles.
+three bits is found by MinHash: a sketch holds one byte of each of 160 minima, in 32 bands of five, and texts that
+agree on a band are candidates. Two texts of similarity 0.8 share no band with a chance of less than
+(1 - 0.8 ** 5) ** 32, about 3 in a million. Candidates are verified on the shingles themselves.
+
+Large groups of copies do not give all their pairs. A first pass verifies only a spanning forest of the likely links of
+each band; a second one takes the pairs of a band that are still in different groups, each in the first band it shares,
+unless their sketches agree on so little (an estimate below 0.668, four deviations from 0.8) that a pair at exactly 0.8
+would be lost with a chance of 3 in 100,000. Bands of many texts are dealt in blocks to tiles.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.llm.common import cut, partitions_of, text_or_empty, unused
+from tidelex.llm.common import cut, kept, partitions_of, text_or_empty, unused
 from tidelex.llm.components import components
 from tidelex.llm.simhash import SEED, near_duplicates
 
@@ -50,47 +50,42 @@ def minima(found: set[bytes]) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> list[int]:
-    return [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))]
-
-
 def sketch(least: np.ndarray) -> bytes:
-    """Four bits of each minimum."""
-    top = (least >> U(60)).astype(np.uint8)
-    return (top[::2] << 4 | top[1::2]).tobytes()
+    """One byte of each minimum; not the top one, which is 0 in most minima of many shingles."""
+    return (least >> U(24) & U(255)).astype(np.uint8).tobytes()
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarities of rows of sketches; agreement by chance, one in 16, is taken off."""
-    x = a ^ b
-    same = ((x & 15) == 0).sum(axis=1) + ((x >> 4) == 0).sum(axis=1)
-    return (same / (BANDS * ROWS) - 1 / 16) * 16 / 15
+    """Similarities of rows of sketches; agreement by chance, one in 256, is taken off."""
+    return ((a == b).mean(axis=1) - 1 / 256) * 256 / 255
 
 
-def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """node long, size int (distinct shingles), keys array<long> (one a band), sketch. Blank texts and null ids are left out."""
+def sketches_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """node long, size int (distinct shingles), sketch binary. Blank texts and null ids are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, keys, sketches = [], [], [], []
+            nodes, sizes, sketches = [], [], []
             for node, text in zip(b["node"].to_pylist(), b["text"].to_pylist(), strict=True):
                 if found := shingles(text, words):
-                    least = minima(found)
                     nodes.append(node)
                     sizes.append(len(found))
-                    keys.append(np.array(band_keys(least), U).view(np.int64))
-                    sketches.append(sketch(least))
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
+                    sketches.append(sketch(minima(found)))
+            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int32()), "sketch": pa.array(sketches, pa.binary())})
+
+    return texts_of(docs).mapInArrow(run, "node long, size int, sketch binary")
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "node long, size int, keys array<long>, sketch binary")
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
 
 
 def shared_bands(nodes: DataFrame) -> DataFrame:
-    """key, n, node, size, sketch: a row for each band that a text shares with another, with the band's number of texts."""
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    """key, n, band, node, size, sketch: a row for each band that a text shares with another, with the band's number of texts."""
+    bands = nodes.select("node", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    keyed = bands.select(F.xxhash64("band", F.substring("sketch", F.col("band") * ROWS + 1, F.lit(ROWS))).alias("key"), F.col("band").cast("byte").alias("band"), "node")
     counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keyed.join(counted, "key").join(nodes.select("node", "size", "sketch"), "node").select("key", "n", "node", "size", "sketch")
+    return keyed.join(counted, "key").join(nodes, "node").select("key", "n", "band", "node", "size", "sketch")
 
 
 def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,43 +100,54 @@ def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
 
 
-def neighbours(members: DataFrame, partitions: int, turn: int) -> DataFrame:
-    """u, v: texts of different groups that are neighbours in a band, by the minima from place ``turn`` on."""
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[np.ndarray] | None = None
-        for b in batches:
-            if b.num_rows:
-                now = _columns(b, ("key", "node", "group", "size"))
-                key, node, group, size = now if last is None else [np.r_[x, y] for x, y in zip(last, now, strict=True)]
-                hit = np.flatnonzero((key[1:] == key[:-1]) & (group[1:] != group[:-1]) & _sizes_allow(size[1:], size[:-1]))
-                yield _pairs(node[hit], node[hit + 1])
-                last = [x[-1:] for x in now]
-
-    order = ["key", F.substring("sketch", 1 + turn, BANDS * ROWS // 2), "node"]
-    rows = members.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    return rows.select("key", "node", "group", "size").mapInArrow(pair, "u long, v long").distinct()
-
+def tile_pairs(key: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, block: np.ndarray, whole: np.ndarray, band: np.ndarray, sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and estimates of pairs of equal key and different group (and different block unless ``whole``) that sizes and sketches allow.
 
-def tile_pairs(key: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, block: np.ndarray, whole: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of equal key and different group (and different block unless ``whole``) that sizes and sketches allow."""
-    found_u, found_v, at, lag = [], [], np.arange(len(key)), 1
+    A pair counts in the first band that its sketches share only.
+    """
+    none = np.zeros(0, np.int64)
+    found_a, found_b, about, at, lag = [none], [none], [np.zeros(0)], np.arange(len(key)), 1
     while len(at):
         at = at[at + lag < len(key)]
         at = at[key[at] == key[at + lag]]
-        hit = at[(group[at] != group[at + lag]) & ((block[at] != block[at + lag]) | whole[at]) & _sizes_allow(size[at], size[at + lag])]
-        hit = hit[estimate(sketches[hit], sketches[hit + lag]) >= LEAST_ESTIMATE]
-        found_u.append(node[hit])
-        found_v.append(node[hit + lag])
+        hit = at[(group[at] != group[at + lag]) & ((block[at] != block[at + lag]) | (whole[at] == 1)) & _sizes_allow(size[at], size[at + lag])]
+        if len(hit):
+            likely = estimate(sketches[hit], sketches[hit + lag])
+            hit, likely = hit[likely >= least], likely[likely >= least]
+            shared = (sketches[hit] == sketches[hit + lag]).reshape(len(hit), BANDS, ROWS).all(axis=2)
+            first = shared.any(axis=1) & (shared.argmax(axis=1) == band[hit])
+            found_a.append(hit[first])
+            found_b.append(hit[first] + lag)
+            about.append(likely[first])
         lag += 1
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found_u]), np.concatenate([none, *found_v])
+    return np.concatenate(found_a), np.concatenate(found_b), np.concatenate(about)
+
+
+def spanning(group_a: np.ndarray, group_b: np.ndarray, about: np.ndarray) -> np.ndarray:
+    """Which pairs join groups that likelier pairs have not joined."""
+    up: dict[int, int] = {}
 
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
+        return x
 
-def other_pairs(members: DataFrame, partitions: int) -> DataFrame:
-    """u, v: all pairs of a band whose groups differ and whose sketches may belong to texts of similarity 0.8."""
-    width = BANDS * ROWS // 2
-    names = ("tile", "node", "group", "size", "block", "whole")
+    kept = []
+    for i in np.argsort(-about, kind="stable").tolist():
+        x, y = top(int(group_a[i])), top(int(group_b[i]))
+        if x != y:
+            up[x] = y
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
+def band_pairs(members: DataFrame, partitions: int, forest: bool) -> DataFrame:
+    """u, v: pairs of a band whose groups differ and whose sketches may belong to texts of similarity 0.8.
+
+    All of them, or of the likely ones a spanning ``forest`` of each task's groups.
+    """
+    width = BANDS * ROWS
+    names = ("tile", "node", "group", "size", "block", "whole", "band")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list[np.ndarray], np.ndarray]] = []
@@ -150,8 +156,11 @@ def other_pairs(members: DataFrame, partitions: int) -> DataFrame:
             columns = [np.concatenate([h[0][i] for h in held]) for i in range(len(names))]
             sketches = np.concatenate([h[1] for h in held])
             held[:] = [([x[upto:] for x in columns], sketches[upto:])] if upto is not None else []
-            key, node, group, size, block, whole = [x[:upto] for x in columns]
-            return _pairs(*tile_pairs(key, node, group, size, block, whole == 1, sketches[:upto]))
+            columns = [x[:upto] for x in columns]
+            a, b, about = tile_pairs(*columns, sketches[:upto], SIMILARITY if forest else LEAST_ESTIMATE)
+            node, group = columns[1], columns[2]
+            keep = spanning(group[a], group[b], about) if forest else slice(None)
+            return _pairs(node[a[keep]], node[b[keep]])
 
         for b in batches:
             if not b.num_rows:
@@ -168,15 +177,12 @@ def other_pairs(members: DataFrame, partitions: int) -> DataFrame:
     mine = F.when(F.col("n") <= 2 * TILE_ROWS, 0).otherwise(F.pmod(F.xxhash64("node"), blocks)).cast("int")
     across = F.when(F.col("n") <= 2 * TILE_ROWS, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))
     rows = members.join(mixed, "key").withColumn("block", mine).withColumn("other", F.explode(across))
-    rows = rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "node", "group", "size", "block", (F.col("block") == F.col("other")).cast("int").alias("whole"), "sketch")
+    rows = rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "node", "group", "size", "block", (F.col("block") == F.col("other")).cast("int").alias("whole"), "band", "sketch")
     return rows.repartition(partitions, "tile").sortWithinPartitions("tile").mapInArrow(pair, "u long, v long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The pairs whose texts have a shingle similarity of 0.8 or more."""
-    pairs = cut(pairs)
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).join(ids, "node", "left_semi")
+def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """The pairs whose texts (node, text) have a shingle similarity of 0.8 or more."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, y = None, set()
@@ -206,14 +212,14 @@ def copy_components(docs: DataFrame, words: int = WORDS, start: DataFrame | None
     Documents without such a copy give no row.
     """
     partitions = max(partitions_of(docs), 8)
-    nodes = cut(signatures(docs, words))
-    members = cut(shared_bands(nodes))
-    links = cut(start) if start is not None else docs.sparkSession.createDataFrame([], "u long, v long")
-    for turn in (0, BANDS * ROWS // 4):
-        grouped = members.join(components(links), "node", "left").withColumn("group", F.coalesce("component", "node"))
-        links = links.unionByName(cut(verified(neighbours(grouped, partitions, turn), docs, words)))
-    grouped = cut(members.join(components(links), "node", "left").select("key", "n", "node", "size", "sketch", F.coalesce("component", "node").alias("group")))
-    return components(links.unionByName(verified(other_pairs(grouped, partitions), docs, words)))
+    members = kept(shared_bands(kept(sketches_of(docs, words), "sketches")), "bands")
+    texts = kept(texts_of(docs).join(members.select("node").distinct(), "node", "left_semi"), "texts")
+    links = start if start is not None else docs.sparkSession.createDataFrame([], "u long, v long")
+    for forest in (True, False):
+        links = cut(links)
+        grouped = kept(members.join(components(links), "node", "left").select(*members.columns, F.coalesce("component", "node").alias("group")), "groups")
+        links = links.unionByName(verified(cut(band_pairs(grouped, partitions, forest)), texts, words))
+    return components(links)
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
