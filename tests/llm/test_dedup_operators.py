@@ -11,7 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidelex.llm import queries
+from tidelex.llm import passages, queries
+from tidelex.llm.blocks import word_hashes
 from tidelex.llm.common import table
 from tidelex.llm.components import components
 from tidelex.llm.exact_dedup import DigestIndex, drop_exact_duplicates, exact_duplicates
@@ -238,3 +239,28 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 100 for k in range(100, 141)} | {k: 7 for k in [7, *range(200, 260)]} | {8: 8, 9: 8}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_words_of_colliding_patterns(frame):
+    """Words that a polynomial hash modulo 2^64 cannot tell apart (Thue-Morse patterns of two letters)."""
+    signs = [bin(k).count("1") % 2 for k in range(2048)]
+    one, two = ("".join("ab"[x ^ flip] for x in signs) for flip in (0, 1))
+    assert len({int(x) for x in word_hashes([one.encode(), two.encode(), (one + two).encode(), (two + one).encode()])}) == 4
+    tail = [f"t{k}" for k in range(34)]
+    rows = [(1, " ".join([one, *tail])), (2, " ".join([two, *tail]))]
+    assert {r.n_removed for r in remove_repeated_passages(frame(*rows), window=35).collect()} == {0}
+    pattern = [" ".join("xy"[x ^ flip] for x in signs[:64]) for flip in (0, 1)]
+    assert {r.n_removed for r in remove_repeated_passages(frame((1, pattern[0]), (2, pattern[1])), window=64).collect()} == {0}
+
+
+def test_automata_decide(monkeypatch):
+    texts = [b"a b c d e", b"x a b c d", b"q r s t"]
+    assert passages.located(texts, [1, 1, 1], 3) == [[0, 1], [1, 2], []]
+    assert passages.located([b"q r s t"], [2], 3) == [[0, 1]]
+    monkeypatch.setattr(passages, "automata", lambda phrases: iter(()))
+    assert passages.located(texts, [1, 1, 1], 3) == [[], [], []]
+
+
+def test_passages_of_long_texts(frame):
+    pairs = [*PAIRS, (30, LONG.replace("word7 ", "other ")), (31, "x " * 40 + LONG[:5000])]
+    assert Counter(map(tuple, remove_repeated_passages(frame(*pairs)).collect())) == passages_by_hand(pairs, 35)

@@ -3,6 +3,8 @@
 Corpus-wide questions about short word sequences (how often does this one occur?) are asked by chunk: documents are
 dealt into chunks by a hash of their id, each chunk asks about its distinct keys only, and the keys go in sorted,
 compressed blocks to the shard that owns their range. A key that fills a third of the corpus is one key per chunk.
+A shard takes many chunks' share of keys, so there are few shards to a chunk; a message holds one key at least, so
+there are never more messages than keys.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,18 +22,18 @@ from pyspark.sql import functions as F
 from tidelex.llm.common import partitions_of, text_or_empty
 
 U = np.uint64
-MUL = U(0x9E3779B97F4A7C15)
-INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SLICE_WORDS = 100_000
+MUL, ADD = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 CHUNK_BYTES = 12 << 20
+#: Bytes of text whose keys one shard takes, and the least number of shards.
+SHARD_BYTES, LEAST_SHARDS = 96 << 20, 64
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, extra: Iterable = ()) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) and the number of chunks: about ``chunk_bytes`` of text each, no fewer than the input's splits."""
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, extra: Iterable = ()) -> tuple[DataFrame, int, int]:
+    """(chunk, doc_id, text), the number of chunks (about ``chunk_bytes`` of text each, no fewer than the input's splits), and that of shards."""
     total = docs.select(F.sum(F.octet_length(text_or_empty())).alias("n")).first().n or 0
     n = max(partitions_of(docs), -(-total // chunk_bytes), 1)
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int").alias("chunk"), doc_id.alias("doc_id"), text_or_empty().alias("text"), *extra), n
+    return docs.select(F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int").alias("chunk"), doc_id.alias("doc_id"), text_or_empty().alias("text"), *extra), n, max(LEAST_SHARDS, -(-total // SHARD_BYTES))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,46 +45,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Powers:
-    """Powers of the multiplier and of its inverse, as far as needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            self.up = np.cumprod(np.r_[U(1), np.full(size - 1, MUL, U)])
-            self.down = np.cumprod(np.r_[U(1), np.full(size - 1, INV, U)])
-        return self.up[:n], self.down[:n]
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The XXH3 hash (64 bits) of each word; each distinct word is hashed once."""
+    if not words:
+        return np.zeros(0, U)
+    coded = pa.array(words, pa.binary()).dictionary_encode()
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), U, len(coded.dictionary))
+    return own[coded.indices.to_numpy()]
 
 
-def word_hashes(words: list[bytes], powers: Powers) -> np.ndarray:
-    """A 64-bit hash of each word, by prefix sums over the words' bytes."""
-    out = []
-    for at in range(0, len(words), SLICE_WORDS):
-        part = words[at : at + SLICE_WORDS]
-        raw = np.frombuffer(b" ".join(part), np.uint8)
-        up, down = powers.to(len(raw) + 1)
-        total = np.empty(len(raw) + 1, U)
-        total[0] = 0
-        np.cumsum((raw.astype(U) + U(1)) * up[:-1], out=total[1:])
-        length = np.fromiter(map(len, part), np.int64, len(part))
-        end = np.cumsum(length + 1) - 1
-        start = end - length
-        out.append(mix((total[end] - total[start]) * down[start] + length.astype(U)))
-    return np.concatenate(out) if out else np.zeros(0, U)
+def joined(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """The hash of two sequences in a row, the first of ``size`` words. Not a polynomial, so no two words make colliding patterns."""
+    return mix((a * MUL) ^ (b * ADD + U(size)))
 
 
-def gram_hashes(hashes: np.ndarray, n: int, powers: Powers) -> np.ndarray:
-    """Of each position the hash of the n words from there; the last n - 1 positions are left out."""
+def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Of each position the hash of the n words from there, by doubling; the last n - 1 positions are left out."""
     if len(hashes) < n:
         return np.zeros(0, U)
-    up, down = powers.to(len(hashes) + 1)
-    total = np.empty(len(hashes) + 1, U)
-    total[0] = 0
-    np.cumsum(hashes * up[:-1], out=total[1:])
-    return mix((total[n:] - total[:-n]) * down[: len(hashes) - n + 1])
+    out, done, power, size, left = None, 0, hashes, 1, n
+    while left:
+        if left & 1:
+            if out is None:
+                out, done = power, size
+            else:
+                out = joined(out[: len(hashes) - done - size + 1], power[done : len(hashes) - size + 1], done)
+                done += size
+        left >>= 1
+        if left:
+            power = joined(power[:-size], power[size:], size)
+            size *= 2
+    return out
 
 
 def split_words(texts: Iterable[str], lower: bool = False) -> tuple[list[list[bytes]], list[bytes], np.ndarray]:

@@ -1,29 +1,38 @@
 """Removal of passages that occur more than once, located by repeated-phrase automata.
 
-1. Confirm: every window of ``window`` consecutive words is hashed; each chunk of documents asks the shard that owns
-   a hash whether the sequence starts anywhere else in the corpus. What recurs is confirmed.
-2. Compile: confirmed windows that overlap form passages. Of each passage the chunk takes seed phrases such that
-   every window holds one (the least-hashed phrase of SEED_WORDS words in it), and compiles them, over an alphabet of
-   words, into sharded Aho-Corasick automata of bounded size.
-3. Stream: all documents pass through the automata. Around every seed found, the windows that hold it are looked
-   up among the confirmed ones, and the words these cover are removed.
+1. Ask: every window of ``window`` consecutive words is hashed; each chunk of documents asks the shard that owns a hash
+   whether it starts anywhere else in the corpus. Windows that may recur make the candidates.
+2. Cut: candidate windows in a row that hold the same seed (their least-hashed phrase of SEED_WORDS words) make a
+   segment. Equal segments are one row in the corpus, however many documents hold them.
+3. Compile and stream: a shard takes the segments of its seeds, wherever they come from. The first and the last window
+   of each segment cover it; these phrases are compiled, over an alphabet of words, into Aho-Corasick automata, and all
+   segments pass through them. A phrase found at two places or more, word by word, is a confirmed passage.
+4. Remove: the places of confirmed phrases go back to the documents, and the words they cover are removed. What the
+   automata do not find stays, so a collision of hashes removes nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
+from collections.abc import Iterator
 from itertools import compress
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidelex.llm.blocks import Powers, U, chunked, gram_hashes, pack_sorted, shard_bounds, split_words, unpack_sorted, word_hashes
+from tidelex.llm.blocks import U, chunked, gram_hashes, pack, pack_sorted, shard_bounds, split_words, unpack, unpack_sorted, word_hashes
+from tidelex.llm.common import kept
 
 SEED_WORDS = 6
-#: Most seed phrases in one automaton, which bounds its memory (about 1 KB a phrase).
-AUTOMATON_SEEDS = 50_000
+#: Most phrases in one automaton, which bounds its memory (about 5 KB a phrase of 35 words).
+AUTOMATON_PHRASES = 20_000
+#: Bytes of segments that one shard of phrases takes, and the least number of shards.
+PHRASE_SHARD_BYTES, LEAST_PHRASE_SHARDS = 4 << 20, 48
 #: A word is spelled by so many letters, each of its own alphabet of BASE, so no node has many children to search and
 #: no match can start within a word.
 LETTERS, BASE = 3, 100
@@ -36,23 +45,49 @@ def _within(counts: np.ndarray, n: int) -> np.ndarray:
     return (np.arange(total) + n <= end)[: max(0, total - n + 1)]
 
 
-def _windows(texts: list[str], window: int, powers: Powers):
-    parts, words, counts = split_words(texts)
-    hashes = word_hashes(words, powers)
-    starts = np.flatnonzero(_within(counts, window))
-    keys = gram_hashes(hashes, window, powers)[starts] if len(starts) else np.zeros(0, U)
-    return parts, words, counts, hashes, starts, keys
+class Chunk:
+    """The distinct texts of a chunk in a fixed order, their words in a row, and their windows."""
 
+    def __init__(self, texts: list[str], window: int):
+        self.order: dict[str, int] = defaultdict(int)
+        for t in texts:
+            self.order[t] += 1
+        self.texts = sorted(self.order, key=lambda t: (xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")), t))
+        self.parts, self.words, self.counts = split_words(self.texts)
+        self.hashes = word_hashes(self.words)
+        self.starts = np.flatnonzero(_within(self.counts, window))
+        self.keys = gram_hashes(self.hashes, window)[self.starts] if len(self.starts) else np.zeros(0, U)
+        of = np.repeat(np.arange(len(self.texts)), self.counts)
+        self.times = np.array([self.order[t] for t in self.texts], np.int64)
+        self.copies = self.times[of[self.starts]] if len(self.starts) else np.zeros(0, np.int64)
 
-def seed_positions(hashes: np.ndarray, starts: np.ndarray, window: int, seed: int, powers: Powers) -> np.ndarray:
-    """Of each window the start of its least-hashed seed phrase (the first, if several are equal)."""
-    grams = gram_hashes(hashes, seed, powers)
+
+def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted ``known`` ones."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def seed_positions(hashes: np.ndarray, starts: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window the start of its least-hashed seed phrase (the first, if several are equal), and its hash."""
+    grams = gram_hashes(hashes, seed)
     best, where = grams[starts].copy(), starts.copy()
     for shift in range(1, window - seed + 1):
         other = grams[starts + shift]
         less = other < best
         best[less], where[less] = other[less], starts[less] + shift
-    return where
+    return where, best
+
+
+def segments(chunk: Chunk, starts: np.ndarray, window: int) -> Iterator[tuple[int, int, int]]:
+    """(first word, end, hash of the seed) of the runs of candidate windows that hold one seed."""
+    if not len(starts):
+        return
+    where, seed = seed_positions(chunk.hashes, starts, window, min(SEED_WORDS, window))
+    new = np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (np.diff(where) != 0)])
+    last = np.r_[new[1:], len(starts)] - 1
+    yield from zip(starts[new].tolist(), (starts[last] + window).tolist(), seed[new].tolist(), strict=True)
 
 
 def spelling(i: int) -> str:
@@ -60,55 +95,36 @@ def spelling(i: int) -> str:
     return "".join(chr(1 + BASE * k + i // BASE**k % BASE) for k in range(LETTERS))
 
 
-def automata(words: list[bytes], seeds: np.ndarray, seed: int):
-    """Aho-Corasick automata of the phrases that start at ``seeds``, each with the spelling of its words."""
-    for at in range(0, len(seeds), AUTOMATON_SEEDS):
+def automata(phrases: list[tuple[bytes, ...]]) -> Iterator[tuple[ahocorasick.Automaton, dict[bytes, str], int]]:
+    """Aho-Corasick automata of the phrases, with the spelling of their words and the number of the first phrase."""
+    for at in range(0, len(phrases), AUTOMATON_PHRASES):
         spelled: dict[bytes, str] = {}
-        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for s in seeds[at : at + AUTOMATON_SEEDS].tolist():
-            phrase = words[s : s + seed]
+        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, phrase in enumerate(phrases[at : at + AUTOMATON_PHRASES]):
             for w in phrase:
                 if w not in spelled:
                     spelled[w] = spelling(len(spelled))
-            machine.add_word("".join([spelled[w] for w in phrase]))
+            machine.add_word("".join([spelled[w] for w in phrase]), i)
         machine.make_automaton()
-        yield machine, spelled
-
-
-def seed_hits(doc: list[bytes], machine, spelled: dict[bytes, str], seed: int) -> np.ndarray:
-    """At which words of the document a seed phrase starts."""
-    known = list(map(spelled.get, doc))
-    ends = np.fromiter((e for e, _ in machine.iter("".join([x or "\0" for x in known]))), np.int64)
-    if not len(ends):
-        return ends
-    last = np.cumsum(np.fromiter((LETTERS if x else 1 for x in known), np.int64, len(known))) - 1
-    return np.searchsorted(last, ends) - seed + 1
-
-
-def located(parts: list[list[bytes]], words: list[bytes], counts: np.ndarray, hashes: np.ndarray, starts: np.ndarray, keys: np.ndarray, confirmed: np.ndarray, window: int, powers: Powers) -> np.ndarray:
-    """Which words (of all in a row) lie in a window whose key is confirmed (sorted), found by the automata."""
-    covered = np.zeros(len(words) + 1, np.int32)
-    if len(confirmed) and len(starts):
-        seed = min(SEED_WORDS, window)
-        held, first = np.unique(keys, return_index=True)
-        at = np.searchsorted(confirmed, held)
-        known = (at < len(confirmed)) & (confirmed[np.minimum(at, len(confirmed) - 1)] == held)
-        where = seed_positions(hashes, starts[first[known]], window, seed, powers)
-        _, one = np.unique(gram_hashes(hashes, seed, powers)[where], return_index=True)
-        begin = np.cumsum(counts) - counts
-        near = np.zeros(len(words) + 1, np.int32)
-        for machine, spelled in automata(words, where[one], seed):
-            for first_word, doc in zip(begin.tolist(), parts, strict=True):
-                if len(doc) >= window:
-                    q = seed_hits(doc, machine, spelled, seed) + first_word
-                    np.add.at(near, np.maximum(q - (window - seed), first_word), 1)
-                    np.add.at(near, q + 1, -1)
-        candidate = np.cumsum(near)[starts] > 0
-        at = np.searchsorted(confirmed, keys[candidate])
-        hit = starts[candidate][(at < len(confirmed)) & (confirmed[np.minimum(at, len(confirmed) - 1)] == keys[candidate])]
-        np.add.at(covered, hit, 1)
-        np.add.at(covered, hit + window, -1)
-    return np.cumsum(covered[:-1]) > 0
+        yield machine, spelled, at
+
+
+def located(texts: list[bytes], times: list[int], window: int) -> list[list[int]]:
+    """Of each segment at which words a phrase starts that occurs twice or more; ``times``: how often each segment occurs."""
+    docs = [t.split() for t in texts]
+    phrases = sorted({tuple(d[k : k + window]) for d in docs for k in (0, len(d) - window)})
+    seen = np.zeros(len(phrases), np.int64)
+    hits: list[list[tuple[int, int]]] = [[] for _ in docs]
+    for machine, spelled, first in automata(phrases):
+        for doc, n, mine in zip(docs, times, hits, strict=True):
+            known = [spelled.get(w) or "\0" for w in doc]
+            ends = None
+            for end, i in machine.iter("".join(known)):
+                if ends is None:
+                    ends = np.cumsum(np.fromiter(map(len, known), np.int64, len(known))) - 1
+                mine.append((int(np.searchsorted(ends, end)) - window + 1, first + i))
+                seen[first + i] += n
+    return [[k for k, i in mine if seen[i] > 1] for mine in hits]
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = 35, keep_text: bool = False) -> DataFrame:
@@ -117,14 +133,17 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, keep_text: bool
     Words are runs without ASCII white space. A word goes if a window of ``window`` words of its document covers it
     whose sequence also starts anywhere else, the same document included; windows are judged on the input. Rows that
     repeat a document are two documents. A null or blank text has no words; a text shorter than the window keeps all.
+    Long texts are one row like any other; their segments are dealt out. An empty table gives no rows. Only doc_id and
+    text are read, so other columns may have any names.
     """
-    rows, n = chunked(docs)
+    rows, _, shards = chunked(docs)
 
     def ask(key: tuple, group: pa.Table) -> pa.Table:
-        keys = _windows(group["text"].to_pylist(), window, Powers())[-1]
-        held, count = np.unique(keys, return_counts=True)
-        at = shard_bounds(held, n)
-        used = [s for s in range(n) if at[s] < at[s + 1]]
+        chunk = Chunk(group["text"].to_pylist(), window)
+        held, place = np.unique(chunk.keys, return_inverse=True)
+        count = np.bincount(place, weights=chunk.copies, minlength=len(held)) if len(held) else np.zeros(0)
+        at = shard_bounds(held, shards)
+        used = [s for s in range(shards) if at[s] < at[s + 1]]
         return pa.table({
             "shard": pa.array(used, pa.int32()),
             "asker": pa.array([key[0].as_py()] * len(used), pa.int32()),
@@ -137,31 +156,58 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, keep_text: bool
         again = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(group["again"].to_pylist(), asked, strict=True)]
         held, count = np.unique(np.concatenate([*asked, *[k[a] for k, a in zip(asked, again, strict=True)]]), return_counts=True)
         twice = held[count > 1]
-        out = []
-        for k in asked:
-            at = np.searchsorted(twice, k)
-            out.append(pack_sorted(k[(at < len(twice)) & (twice[np.minimum(at, len(twice) - 1)] == k)]) if len(twice) else pack_sorted(k[:0]))
-        return pa.table({"chunk": group["asker"], "keys": pa.array(out, pa.binary())})
-
-    def locate(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
-        powers = Powers()
-        parts, words, counts, hashes, starts, keys = _windows(group["text"].to_pylist(), window, powers)
-        confirmed = np.sort(np.concatenate([np.zeros(0, U), *[unpack_sorted(x) for x in answers["keys"].to_pylist()]]))
-        gone = located(parts, words, counts, hashes, starts, keys, confirmed, window, powers)
-        n_removed, shas, kept = [], [], []
+        return pa.table({"chunk": group["asker"], "keys": pa.array([pack_sorted(k[among(k, twice)]) for k in asked], pa.binary())})
+
+    def cut_out(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = Chunk(group["text"].to_pylist(), window)
+        known = np.sort(np.concatenate([np.zeros(0, U), *[unpack_sorted(x) for x in answers["keys"].to_pylist()]]))
+        starts = chunk.starts[among(chunk.keys, known)]
+        of = np.repeat(np.arange(len(chunk.texts)), chunk.counts)
+        places: dict[bytes, list[int]] = defaultdict(list)
+        shard: dict[bytes, int] = {}
+        for begin, end, seed in segments(chunk, starts, window):
+            text = b" ".join(chunk.words[begin:end])
+            places[text].append(begin)
+            shard[text] = seed & 0x7FFFFFFFFFFFFFFF
+        n = [int(chunk.times[of[p]].sum()) for p in places.values()]
+        return pa.table({
+            "chunk": pa.array([key[0].as_py()] * len(places), pa.int32()), "seed": pa.array([shard[t] for t in places], pa.int64()), "segment": pa.array([xxhash.xxh3_128_digest(t) for t in places], pa.binary()),
+            "words": pa.array(list(places), pa.binary()), "times": pa.array(n, pa.int64()), "places": pa.array([pack(np.diff(p, prepend=0)) for p in places.values()], pa.binary()),
+        })
+
+    def stream(key: tuple, group: pa.Table) -> pa.Table:
+        found = located(group["words"].to_pylist(), group["times"].to_pylist(), window)
+        return pa.table({"segment": group["segment"], "starts": pa.array(found, pa.list_(pa.int32()))})
+
+    def remove(key: tuple, group: pa.Table, found: pa.Table) -> pa.Table:
+        texts = group["text"].to_pylist()
+        chunk = Chunk(texts, window)
+        edge = np.zeros(len(chunk.words) + 1, np.int32)
+        for places, starts in zip(found["places"].to_pylist(), found["starts"].to_pylist(), strict=True):
+            at = (np.cumsum(unpack(places, np.int64))[:, None] + np.asarray(starts, np.int64)[None]).reshape(-1)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + window, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        made: dict[str, tuple[int, int, str, bytes]] = {}
         at = 0
-        for doc in parts:
+        for text, doc in zip(chunk.texts, chunk.parts, strict=True):
             mask = gone[at : at + len(doc)]
             at += len(doc)
-            n_removed.append(int(mask.sum()))
-            left = b" ".join(compress(doc, ~mask) if n_removed[-1] else doc)
-            shas.append(hashlib.sha256(left).hexdigest())
-            if keep_text:
-                kept.append(left.decode("utf-8", "surrogatepass"))
-        cols = {"doc_id": group["doc_id"], "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
-        return pa.table(cols | ({"kept": pa.array(kept, pa.string())} if keep_text else {}))
+            removed = int(mask.sum())
+            left = b" ".join(compress(doc, ~mask) if removed else doc)
+            made[text] = (len(doc), removed, hashlib.sha256(left).hexdigest(), left if keep_text else b"")
+        out = [made[t] for t in texts]
+        cols = {"doc_id": group["doc_id"], "n_words": pa.array([x[0] for x in out], pa.int64()), "n_removed": pa.array([x[1] for x in out], pa.int64()), "kept_sha256": pa.array([x[2] for x in out], pa.string())}
+        return pa.table(cols | ({"kept": pa.array([x[3].decode("utf-8", "surrogatepass") for x in out], pa.string())} if keep_text else {}))
 
     asked = rows.groupBy("chunk").applyInArrow(ask, "shard int, asker int, keys binary, again binary")
     answers = asked.groupBy("shard").applyInArrow(answer, "chunk int, keys binary")
+    made = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut_out, "chunk int, seed long, segment binary, words binary, times long, places binary")
+    made = kept(made, "segments")
+    size = made.agg(F.sum(F.octet_length("words")).alias("n")).first().n or 0
+    n = max(LEAST_PHRASE_SHARDS, -(-size // PHRASE_SHARD_BYTES))
+    distinct = made.groupBy("seed", "segment").agg(F.first("words").alias("words"), F.sum("times").alias("times")).withColumn("shard", F.pmod("seed", F.lit(n)).cast("int"))
+    found = distinct.select("shard", "segment", "words", "times").groupBy("shard").applyInArrow(stream, "segment binary, starts array<int>").where(F.size("starts") > 0)
+    back = made.select("chunk", "segment", "places").join(found, "segment").select("chunk", "places", "starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(locate, schema)
+    return rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(remove, schema)
