@@ -16,7 +16,7 @@ from tidelex.llm.blocks import word_hashes
 from tidelex.llm.common import table
 from tidelex.llm.components import components
 from tidelex.llm.exact_dedup import DigestIndex, drop_exact_duplicates, exact_duplicates
-from tidelex.llm.line_runs import remove_repeated_runs, repeated_runs
+from tidelex.llm.line_runs import remove_repeated_runs, repeated_runs, suffix_levels
 from tidelex.llm.passages import remove_repeated_passages
 from tidelex.llm.simhash import BITS, SMALL_BUCKET, drop_near_duplicates, fingerprint, near_duplicates, near_links, ring_keys, viable
 
@@ -121,14 +121,16 @@ def test_passages_keep_text_and_empty(frame, none):
 
 
 def runs_by_hand(pairs, least):
-    docs = sorted({(i is not None, i or 0, t or "") for i, t in pairs})  # rows that repeat id and text are one document
-    docs = [(i if known else None, t.split("\n")) for known, i, t in docs]
-    seen, gone = set(), defaultdict(set)
+    docs = {(i is not None, i or 0, t or "") for i, t in pairs}  # rows that repeat id and text are one document
+    docs = [(i if known else None, t) for known, i, t in docs]
+    docs.sort(key=lambda d: (d[0] is not None, d[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest(utf8(d[1]), seed=42)))))  # Spark's xxhash64
+    docs = [(i, t.split("\n")) for i, t in docs]
+    first, gone = {}, defaultdict(set)
     for k, (_, lines) in enumerate(docs):
         for at in range(len(lines) - least + 1):
-            run = tuple(lines[at : at + least])
-            gone[k].update(range(at, at + least) if run in seen else ())
-            seen.add(run)
+            doc, line = first.setdefault(tuple(lines[at : at + least]), (k, at))
+            if doc != k or at >= line + least:
+                gone[k].update(range(at, at + least))
     return {(i, tuple(lines)): "\n".join(x for at, x in enumerate(lines) if at not in gone[k]) for k, (i, lines) in enumerate(docs)}, {(i, tuple(lines)): len(gone[k]) for k, (i, lines) in enumerate(docs)}
 
 
@@ -137,20 +139,30 @@ def test_line_runs(frame, least):
     rng = np.random.default_rng(5)
     texts = ["\n".join(rng.choice(["p", "q", "r", ""], n)) for n in (1, 2, 4, 9, 20, 20)]
     shared = "\n".join(f"shared {k}" for k in range(12))
-    # documents under one id differ by text: their order is that of a hash, so the fixture gives each id one text
-    pairs = [p for p in PAIRS if p[0] not in (None, 9)] + [(50 + k, t) for k, t in enumerate(texts)] + [(80, shared), (81, f"x\n{shared}\ny"), (82, f"{shared}\n{shared}")]
+    pairs = [*PAIRS, (None, "line a\nline b\nline c\nline d"), (9, "line b\nline c\nline d\nz"), (60, "A\nA\nA\nA\nz"), (61, "\n".join("ABABABABAB") + "\nz"), (62, "\n".join("A" * 9))] + [(50 + k, t) for k, t in enumerate(texts)] + [(80, shared), (81, f"x\n{shared}\ny"), (82, f"{shared}\n{shared}")]
     kept, n = runs_by_hand(pairs, least)
     want = Counter((i, len((t or "").split("\n")), n[i, tuple((t or "").split("\n"))], kept[i, tuple((t or "").split("\n"))]) for i, t in pairs)
     assert Counter(map(tuple, remove_repeated_runs(frame(*pairs), least).collect())) == want
 
 
+def test_first_occurrence_stays_whole(frame):
+    got = {r.doc_id: r.kept for r in remove_repeated_runs(frame((1, "A\nA\nA\nA\nz"), (2, "\n".join("B" * 7)), (3, "\n".join("CDCDCDCDz"))), 3).collect()}
+    assert got == {1: "A\nA\nA\nA\nz", 2: "B\nB\nB", 3: "\n".join("CDCDz")}
+
+
 def test_line_runs_are_maximal(frame, none):
     shared = "\n".join(f"shared {k}" for k in range(12))
-    runs = repeated_runs(frame((1, shared), (2, f"a\n{shared}\nb")), 3).collect()
-    assert [(r.doc_id, r.start, r.length) for r in runs] == [(2, 1, 12)]
+    runs = repeated_runs(frame((1, f"{shared}\nend"), (2, f"a\n{shared}\nb"), (3, f"shared 1\n{shared}")), 3).collect()
+    assert {(r.doc_id, r.start, r.length, r.first_doc, r.first_line) for r in runs} == {(2, 1, 12, 1, 0), (3, 1, 12, 1, 0)}
     assert remove_repeated_runs(none).count() == 0
 
 
+def test_levels_end_with_the_longest_run(frame):
+    shared = "\n".join(f"shared {k}" for k in range(37))
+    levels = suffix_levels(frame((1, shared), (2, f"a\n{shared}\nb")), 8)
+    assert [level.count() for level in levels] == [74, 72, 68, 60, 44, 12, 0]
+
+
 # simhash
 
 

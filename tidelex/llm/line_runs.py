@@ -2,22 +2,26 @@
 
 Every line starts a suffix: the ids of the lines from there to the end of its document. Prefix doubling ranks the
 suffixes by their first 1, 2, 4, ... lines: two neighbouring ranks of one level give the rank of the next, and the
-distinct pairs are ranked by a range sort, so a rank shared by a third of all lines is one row there. Suffixes of
-equal rank at the depth of ``min_lines`` lie next to each other in the array with longest common prefixes of at
-least ``min_lines``: they are an LCP interval, the occurrences of one repeated run. All but the first occurrence are
-deleted; overlapping deletions join to the maximal repeated runs. Deeper levels would only order the suffixes inside
-an interval, which deletes nothing more, so doubling ends there.
+distinct pairs are ranked by a range sort, so a rank shared by a third of all lines is one row there. Only suffixes
+that share their rank go on, as one that is alone at some depth has no longer common prefix with any other; doubling
+ends when none is left. The levels that remain answer longest common prefixes: from the deepest level down, equal
+ranks mean so many lines more in common.
+
+Suffixes with a common prefix of ``min_lines`` lines or more are an LCP interval, the occurrences of one repeated run.
+The first one stays. Of every other occurrence that does not overlap it, the longest common prefix with the first one
+gives the maximal run, and these later copies are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelex.llm.common import cut, partitions_of, text_or_empty
 
 AT = ["doc_id", "text_key", "line"]
+DOC = ["doc_id", "text_key"]
 
 
 def _ranked(keys: DataFrame, by: list[str], partitions: int) -> DataFrame:
@@ -26,57 +30,98 @@ def _ranked(keys: DataFrame, by: list[str], partitions: int) -> DataFrame:
     return cut(ordered.withColumn("rank", F.monotonically_increasing_id()))
 
 
+def _same_place(a: str, b: str) -> Column:
+    """Equal places; ids of documents may be null."""
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key")) & (F.col(f"{a}.line") == F.col(f"{b}.line"))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line (from 0), id1, id2: every line with a 128-bit id of its content."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_key"), F.posexplode(F.split(text_or_empty(), "\n")).alias("line", "body"))
     return rows.select(*AT, F.xxhash64("body").alias("id1"), F.xxhash64(F.lit("line"), "body").alias("id2"))
 
 
-def suffix_ranks(docs: DataFrame, depth: int, partitions: int) -> DataFrame:
-    """doc_id, text_key, line, rank of the suffixes that share their first ``depth`` lines with another one at least.
+def suffix_levels(docs: DataFrame, partitions: int) -> list[DataFrame]:
+    """Per level k (doc_id, text_key, line, rank) of the suffixes that share their first 2 ** k lines with another one.
 
-    Lines that occur once in the corpus end every repeated run, so they leave before the first level.
+    Ranks of a level grow with the suffixes' first 2 ** k lines. The last level has no rows.
     """
     lines = lines_of(docs)
     ids = lines.groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id1", "id2")
-    level = cut(lines.join(_ranked(ids, ["id1", "id2"], partitions), ["id1", "id2"]).select(*AT, "rank").dropDuplicates(AT))
-    reach = 1
-    while reach < depth:
-        step = min(reach, depth - reach)  # the last level may overlap itself
-        ahead = level.select("doc_id", "text_key", (F.col("line") - step).alias("line"), F.col("rank").alias("next"))
-        same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key")) & (F.col("a.line") == F.col("b.line"))
-        pairs = cut(level.alias("a").join(ahead.alias("b"), same).select("a.doc_id", "a.text_key", "a.line", "a.rank", "b.next"))
+    levels = [cut(lines.join(_ranked(ids, ["id1", "id2"], partitions), ["id1", "id2"]).select(*AT, "rank").dropDuplicates(AT))]
+    while not levels[-1].isEmpty():
+        level, step = levels[-1], 1 << (len(levels) - 1)
+        ahead = level.select(*DOC, (F.col("line") - step).alias("line"), F.col("rank").alias("next"))
+        pairs = cut(level.alias("a").join(ahead.alias("b"), _same_place("a", "b")).select("a.doc_id", "a.text_key", "a.line", "a.rank", "b.next"))
         kinds = pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("rank").alias("first"), F.col("next").alias("second"))
         kinds = _ranked(kinds, ["first", "second"], partitions)
-        level = cut(pairs.join(kinds, (pairs["rank"] == kinds["first"]) & (pairs["next"] == kinds["second"])).select(*AT, kinds["rank"]))
-        reach += step
-    return level
+        levels.append(cut(pairs.join(kinds, (pairs["rank"] == kinds["first"]) & (pairs["next"] == kinds["second"])).select(*AT, kinds["rank"])))
+    return levels
+
+
+def later_copies(levels: list[DataFrame], min_lines: int) -> DataFrame:
+    """doc_id, text_key, line, first: occurrences of ``min_lines`` lines that also start, without overlap, at the earlier place ``first``."""
+    k = min_lines.bit_length() - 1
+    if k >= len(levels):
+        return levels[-1].select(*AT, F.struct(*AT).alias("first"))
+    level, step = levels[k], min_lines - (1 << k)  # the two ranks overlap where min_lines is no power of two
+    ahead = level.select(*DOC, (F.col("line") - step).alias("line"), F.col("rank").alias("next"))
+    spots = level.alias("a").join(ahead.alias("b"), _same_place("a", "b")).select("a.doc_id", "a.text_key", "a.line", "a.rank", "b.next")
+    spots = cut(spots if step else level.withColumn("next", F.col("rank")))
+    first = cut(spots.groupBy("rank", "next").agg(F.min(F.struct(*AT)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))
+    return spots.join(first, ["rank", "next"]).where(~own | (F.col("line") - F.col("first.line") >= min_lines)).select(*AT, "first")
+
+
+def with_lcp(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``pairs`` (doc_id, text_key, line, first, ...) with ``lcp``: how many lines the suffixes at both places have in common."""
+    own, out = pairs.columns, pairs.withColumn("lcp", F.lit(0))
+    for k in reversed(range(len(levels) - 1)):
+        mine = out.select("*", F.struct("doc_id", "text_key", (F.col("line") + F.col("lcp")).alias("line")).alias("p"), F.struct("first.doc_id", "first.text_key", (F.col("first.line") + F.col("lcp")).alias("line")).alias("q"))
+        a, b = (levels[k].select(F.struct(*AT).alias(c), F.col("rank").alias(f"rank_{c}")) for c in "pq")
+        mine = mine.join(a, mine["p"].eqNullSafe(a["p"]), "left").drop("p").join(b, mine["q"].eqNullSafe(b["q"]), "left").drop("q")
+        more = F.when(F.col("rank_p") == F.col("rank_q"), 1 << k).otherwise(0)
+        out = mine.select(*own, (F.col("lcp") + more).alias("lcp"))
+    return out
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = 3) -> DataFrame:
-    """doc_id, text_key, start, length: maximal runs of lines to delete, as later copies of an earlier run."""
-    level = suffix_ranks(docs, min_lines, max(8, partitions_of(docs)))
-    first = level.groupBy("rank").agg(F.min(F.struct(*AT)).alias("first"))
-    later = level.join(first, "rank").where(~F.struct(*AT).eqNullSafe(F.col("first")))
-    gone = later.select("doc_id", "text_key", F.explode(F.sequence("line", F.col("line") + (min_lines - 1))).alias("line")).distinct()
-    island = F.col("line") - F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("line"))
-    runs = gone.withColumn("island", island).groupBy("doc_id", "text_key", "island")
-    return runs.agg(F.min("line").alias("start"), F.count(F.lit(1)).cast("int").alias("length")).drop("island")
+    """doc_id, text_key, start, length, first_doc, first_line: maximal runs that are later copies of an earlier run.
+
+    A run starts where the line before it is not copied from the line before its first occurrence. Its length is the
+    longest common prefix with that occurrence, but not beyond the copies themselves, as a run that goes on into its
+    own beginning overlaps what must stay. Runs of one document may overlap.
+    """
+    levels = suffix_levels(docs, max(8, partitions_of(docs)))
+    copies = cut(later_copies(levels, min_lines))
+    w = Window.partitionBy(*DOC, F.col("first.doc_id"), F.col("first.text_key"), F.col("line") - F.col("first.line")).orderBy("line")
+    rows = copies.withColumn("island", F.col("line") - F.row_number().over(w))
+    by = [*DOC, F.col("first.doc_id").alias("first_doc"), F.col("first.text_key").alias("first_key"), (F.col("line") - F.col("first.line")).alias("far"), "island"]
+    starts = rows.groupBy(*by).agg(F.min("line").alias("line"), F.count(F.lit(1)).cast("int").alias("n"), F.min("first").alias("first"))
+    found = with_lcp(starts.select(*AT, "first", "n"), levels)
+    length = F.least(F.col("lcp"), F.col("n") + (min_lines - 1))
+    return found.select(*DOC, F.col("line").alias("start"), length.alias("length"), F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
 
 
 def remove_repeated_runs(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     """doc_id, n_lines, n_removed, kept: each row's text without the later copies of runs of ``min_lines`` lines or more.
 
     Lines end at line feeds and are compared byte by byte; blank lines count. Documents come in the order of doc_id,
-    a null one first; rows that repeat doc_id and text are one document and are all returned. A run may repeat
-    within one document. A null text counts as empty: one blank line.
+    a null one first, and two texts under one doc_id in the order of a hash of the text; rows that repeat doc_id and
+    text are one document and are all returned. A run may repeat within one document; an occurrence that overlaps the
+    first one stays, so the first one stays whole. A null text counts as empty: one blank line. Long texts are many
+    lines. An empty table gives no rows. Only doc_id and text are read, so other columns may have any names.
     """
-    runs = repeated_runs(docs, min_lines).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
+    runs = repeated_runs(docs, min_lines)
+    gone = runs.select(*DOC, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("line")).distinct()
+    island = F.col("line") - F.row_number().over(Window.partitionBy(*DOC).orderBy("line"))
+    joined = gone.withColumn("island", island).groupBy(*DOC, "island").agg(F.min("line").alias("start"), F.max("line").alias("end"))
+    runs = joined.groupBy(*DOC).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     mine = mine.withColumn("text_key", F.xxhash64("text")).alias("a")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key"))
-    found = mine.join(runs.alias("b"), same, "left").select("a.doc_id", F.split("a.text", "\n").alias("lines"), "b.runs")
-    inside = lambda i: F.exists("runs", lambda r: (i >= r["start"]) & (i < r["start"] + r["length"]))
-    kept = F.when(F.col("runs").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~inside(i)))
+    found = mine.join(runs.alias("b"), same, "left").select("a.doc_id", F.split("a.text", "\n").alias("lines"), "b.gone")
+    inside = lambda i: F.exists("gone", lambda r: i.between(r["start"], r["end"]))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~inside(i)))
     n_lines = F.size("lines").cast("long")
     return found.select("doc_id", n_lines.alias("n_lines"), kept.alias("left")).select("doc_id", "n_lines", (F.col("n_lines") - F.size("left")).cast("long").alias("n_removed"), F.array_join("left", "\n").alias("kept"))

@@ -129,9 +129,10 @@ ORACLE_SQL = {
             SELECT doc_id, line, n, row(body, lead(body, 1) OVER w, lead(body, 2) OVER w) AS run
             FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line)
         ), ranked AS (
-            SELECT doc_id, line, row_number() OVER (PARTITION BY run ORDER BY doc_id, line) AS copy FROM windows WHERE line + 3 <= n
+            SELECT doc_id, line, first_value(doc_id) OVER r AS first_doc, first_value(line) OVER r AS first_line
+            FROM windows WHERE line + 3 <= n WINDOW r AS (PARTITION BY run ORDER BY doc_id, line)
         ), gone AS (
-            SELECT DISTINCT doc_id, line + unnest([0, 1, 2]) AS line FROM ranked WHERE copy > 1
+            SELECT DISTINCT doc_id, line + unnest([0, 1, 2]) AS line FROM ranked WHERE doc_id <> first_doc OR line >= first_line + 3
         )
         SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_removed,
                sha256(coalesce(string_agg(l.body, chr(10) ORDER BY l.line) FILTER (g.line IS NULL), '')) AS kept_sha256
