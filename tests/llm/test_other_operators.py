@@ -13,7 +13,8 @@ import corpus_pipeline
 from tidelex.llm import queries
 from tidelex.llm.chat_trees import escape, format_paths, linear_messages, read_loss, read_turns, reply_paths, unescape
 from tidelex.llm.common import table
-from tidelex.llm.sentencepiece_codec import ChunkCodec, encode_decode
+from tidelex.llm.sentencepiece_codec import ChunkCodec, encode_decode, own_text
+from tidelex.llm.shingle_copies import copy_components, simhash_links
 from tidelex.llm.top_k import exact_top_k, quantised
 
 from .conftest import LONG, PAIRS
@@ -141,10 +142,22 @@ def test_sentencepiece_random_texts():
     for _ in range(40):
         texts = ["".join(rng.choice(letters, int(rng.integers(0, 60)))) for _ in range(25)]
         want = [codec.sp.encode(t, add_bos=True, add_eos=True) for t in texts]
-        for (ids, decoded), w in zip(codec.code(texts), want, strict=True):
+        parts = [codec.chunks(t) for t in texts]
+        words = sorted(set().union(*parts))
+        ids, decoded = codec.segment(words)
+        known = {c: (np.asarray(i, "<u4").tobytes(), own_text(c) if t is None else t) for c, i, t in zip(words, ids, decoded, strict=True)}
+        for (ids, decoded), w in zip(codec.placed(parts, known), want, strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == w and decoded == codec.sp.decode(w)
 
 
+def test_sentencepiece_in_blocks(frame):
+    """Many documents to a block and texts above a block's size give what one block gives, and two equal blocks are both there."""
+    pairs = [*((k, t) for k, t in PAIRS), (40, LONG[:900]), (40, LONG[:900])]
+    model = queries.tokenizer_path()
+    assert Counter(map(tuple, encode_decode(frame(*pairs, partitions=1), model).collect())) == library(pairs)
+    assert Counter(map(tuple, encode_decode(frame(*pairs, partitions=len(pairs)), model).collect())) == library(pairs)
+
+
 def test_sentencepiece_whole_table(spark, small):
     pairs = [(r.doc_id, r.text) for r in table(spark, small, "documents").select("doc_id", "text").collect()]
     assert Counter(map(tuple, queries.op10_sentencepiece(spark, small).collect())) == library(pairs)
@@ -167,7 +180,8 @@ def test_stages(spark, small):
             texts = [r.text or "" for r in docs.collect()]
             assert len(texts) == len(set(texts)) == len({r.text or "" for r in before.collect()})
         if name == "near_dedup":
-            assert {r.component_id for r in queries.near_duplicates(before).collect()} == {r.doc_id for r in docs.collect()}
+            least = {r.node: r.component for r in copy_components(before, start=simhash_links(before)).collect()}
+            assert {least.get(r.doc_id, r.doc_id) for r in before.collect()} == {r.doc_id for r in docs.collect()}
         if name == "sentencepiece":
             pairs = [(r.doc_id, r.text) for r in before.collect()]
             assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in docs.collect()) == library(pairs)

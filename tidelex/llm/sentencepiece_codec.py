@@ -2,8 +2,9 @@
 
 In a model whose pieces never hold a whitespace marker behind another character, and never a line break, no merge
 crosses the place before a marker or a break. The text then falls into chunks (marked words) that are segmented on
-their own. Each task keeps a table of the distinct chunks it has met, segments each once with the library, and joins
-ids and surfaces back by position. For any other model the texts go through the library whole.
+their own. Documents travel in blocks. Each block sends its distinct marked words to the shards that own them; a shard
+holds each word of the corpus once, segments it once with the library, and answers with ids in the order asked. The
+blocks join the ids back to the words' positions. For any other model the texts go through the library whole.
 """
 
 from __future__ import annotations
@@ -14,17 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidelex.llm.common import text_or_empty
+from tidelex.llm.blocks import LEAST_SHARDS, SHARD_BYTES
+from tidelex.llm.common import partitions_of, text_or_empty
 
 MARK = "▁"
 #: A run of markers or one line break, and what follows it up to the next.
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
-#: Most entries of a task's chunk table; a full table starts anew, which costs time only.
-TABLE_ROWS = 400_000
-#: Texts whose chunks are looked up together.
-GROUP = 64
+#: Most bytes of text in a block (a longer text is a block of its own).
+BLOCK_BYTES = 12 << 20
 
 
 class ChunkCodec:
@@ -45,63 +47,144 @@ class ChunkCodec:
         self.chunked = bool(plain and not inner and not special and not spec.trainer_spec.treat_whitespace_as_suffix and spec.trainer_spec.byte_fallback)
         self.bos, self.eos = self._pack([self.sp.bos_id()]), self._pack([self.sp.eos_id()])
         self.lead = self.sp.encode("\n") if self.chunked else []
-        self.table: dict[str, tuple[bytes, str]] = {}
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def _segment(self, chunks: list[str]) -> None:
-        """Add chunks to the table, each encoded and decoded behind a break, where the library adds and drops no marker."""
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        return CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def segment(self, chunks: list[str]) -> tuple[list[list[int]], list[str | None]]:
+        """Ids and decoded text of each chunk, behind a break, where the library adds and drops no marker; None for a text that is the chunk's own."""
         ids = [x[len(self.lead) :] for x in self.sp.encode(["\n" + c for c in chunks], num_threads=1)]
         texts = self.sp.decode([[*self.lead, *x] for x in ids], num_threads=1)
-        self.table.update((c, (self._pack(x), t[1:])) for c, x, t in zip(chunks, ids, texts, strict=True))
-
-    def code(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """Of each text its ids as little-endian 32-bit integers, and the text decoded from them."""
-        if not self.chunked:
-            for text in texts:
-                ids = self.sp.encode(text, add_bos=True, add_eos=True)
-                yield self._pack(ids), self.sp.decode(ids)
-            return
-        table = self.table
-        for at in range(0, len(texts), GROUP):
-            parts = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at : at + GROUP]]
-            if len(table) > TABLE_ROWS:
-                table.clear()
-            if missing := set().union(*parts).difference(table):
-                self._segment(list(missing))
-            for chunks in parts:
-                found = [table[c] for c in chunks]
-                ids = b"".join([self.bos, *[x[0] for x in found], self.eos])
-                yield ids, "".join([x[1] for x in found])[1:]
+        return ids, [None if t[1:] == own_text(c) else t[1:] for c, t in zip(chunks, texts, strict=True)]
+
+    def whole(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
+        for text in texts:
+            ids = self.sp.encode(text, add_bos=True, add_eos=True)
+            yield self._pack(ids), self.sp.decode(ids)
+
+    def placed(self, parts: list[list[str]], table: dict[str, tuple[bytes, str]]) -> Iterator[tuple[bytes, str]]:
+        """Of each text, given as chunks, its ids as little-endian 32-bit integers and the text decoded from them."""
+        for chunks in parts:
+            found = [table[c] for c in chunks]
+            yield b"".join([self.bos, *[x[0] for x in found], self.eos]), "".join([x[1] for x in found])[1:]
+
+
+def own_text(chunk: str) -> str:
+    return chunk.replace(MARK, " ")
+
+
+def packed(**columns: pa.Array) -> bytes:
+    """The columns as one compressed Arrow stream."""
+    rows, out = pa.table(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """block long, data binary: the documents (doc_id, text) in compressed blocks, named by a hash of what they hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.cumsum(np.fromiter((len(t) for t in b["text"].to_pylist()), np.int64, b.num_rows)) // BLOCK_BYTES
+            edges = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1], True]) if b.num_rows else []
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                part = b.slice(begin, end - begin)
+                data = packed(doc_id=part["doc_id"], text=part["text"])
+                yield pa.RecordBatch.from_pydict({"block": pa.array([xxhash.xxh3_64_intdigest(data) >> 1], pa.int64()), "data": pa.array([data], pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "block long, data binary")
+
+
+def by_shard(words: set[str], shards: int) -> dict[int, list[str]]:
+    """The words, sorted, of each shard that owns any."""
+    out: dict[int, list[str]] = {}
+    for w in sorted(words):
+        out.setdefault(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % shards, []).append(w)
+    return out
 
 
 def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; with ``keep_ids`` ids array<int>, with ``keep_text`` decoded.
 
-    A null text counts as empty and gives the begin and end ids only. Repeated rows give repeated rows. The model
-    file is read once on the driver; its bytes (the vocabulary's fixed size) go along with the tasks.
+    A null text counts as empty and gives the begin and end ids only. Repeated rows give repeated rows, an empty table
+    none. A very long text is a block of its own. Only doc_id and text are read and only the columns named are
+    returned, so other columns may have any names. The model file is read once on the driver; its bytes (the
+    vocabulary's fixed size) go along with the tasks.
     """
     with open(model_path, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ChunkCodec(model.value)
-        for batch in batches:
-            n, ids_hex, text_hex, ids_out, texts = [], [], [], [], []
-            for ids, decoded in codec.code(batch["text"].to_pylist()):
-                n.append(len(ids) // 4)
-                ids_hex.append(hashlib.sha256(ids).hexdigest())
-                text_hex.append(hashlib.sha256(decoded.encode()).hexdigest())
-                if keep_ids:
-                    ids_out.append(np.frombuffer(ids, dtype="<u4").astype(np.int32))
-                if keep_text:
-                    texts.append(decoded)
-            cols = {"doc_id": batch["doc_id"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hex, pa.string()), "decoded_sha256": pa.array(text_hex, pa.string())}
-            cols |= {"ids": pa.array(ids_out, pa.list_(pa.int32()))} if keep_ids else {}
-            cols |= {"decoded": pa.array(texts, pa.string())} if keep_text else {}
-            yield pa.RecordBatch.from_pydict(cols)
-
+        data = f.read()
+    model = docs.sparkSession.sparkContext.broadcast(data)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema)
+
+    def rows_of(doc_ids: pa.Array, coded: Iterator[tuple[bytes, str]]) -> pa.Table:
+        n, ids_hex, text_hex, ids_out, texts = [], [], [], [], []
+        for ids, decoded in coded:
+            n.append(len(ids) // 4)
+            ids_hex.append(hashlib.sha256(ids).hexdigest())
+            text_hex.append(hashlib.sha256(decoded.encode()).hexdigest())
+            if keep_ids:
+                ids_out.append(np.frombuffer(ids, dtype="<u4").astype(np.int32))
+            if keep_text:
+                texts.append(decoded)
+        cols = {"doc_id": doc_ids, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hex, pa.string()), "decoded_sha256": pa.array(text_hex, pa.string())}
+        cols |= {"ids": pa.array(ids_out, pa.list_(pa.int32()))} if keep_ids else {}
+        return pa.table(cols | ({"decoded": pa.array(texts, pa.string())} if keep_text else {}))
+
+    if not ChunkCodec(data).chunked:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codec = ChunkCodec(model.value)
+            for batch in batches:
+                yield from rows_of(batch["doc_id"], codec.whole(batch["text"].to_pylist())).to_batches()
+
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+
+    splits = partitions_of(docs)
+    shards = max(LEAST_SHARDS, splits * BLOCK_BYTES // SHARD_BYTES)
+    blocks = in_blocks(docs).repartition(max(splits, 8), "block")
+
+    def ask(key: tuple, group: pa.Table) -> pa.Table:
+        words: set[str] = set()
+        for blob in group["data"].to_pylist():
+            for t in unpacked(blob)["text"].to_pylist():
+                words.update(ChunkCodec.chunks(t))
+        held = by_shard(words, shards)
+        return pa.table({"shard": pa.array(list(held), pa.int32()), "block": pa.array([key[0].as_py()] * len(held), pa.int64()), "words": pa.array([packed(w=pa.array(x, pa.string())) for x in held.values()], pa.binary())})
+
+    def answer(key: tuple, group: pa.Table) -> pa.Table:
+        asked = [unpacked(x)["w"].to_pylist() for x in group["words"].to_pylist()]
+        at: dict[str, int] = {}
+        for words in asked:
+            for w in words:
+                at.setdefault(w, len(at))
+        ids, texts = ChunkCodec(model.value).segment(list(at))
+        table = pa.table({"ids": pa.array(ids, pa.list_(pa.uint32())), "text": pa.array(texts, pa.string())})
+        told = [table.take(pa.array([at[w] for w in words], pa.int64())) for words in asked]
+        return pa.table({"block": group["block"], "shard": group["shard"], "told": pa.array([packed(ids=t["ids"].combine_chunks(), text=t["text"].combine_chunks()) for t in told], pa.binary())})
+
+    def place(key: tuple, group: pa.Table, told: pa.Table) -> pa.Table:
+        docs_of = pa.concat_tables([unpacked(blob) for blob in group["data"].to_pylist()])
+        parts = [ChunkCodec.chunks(t) for t in docs_of["text"].to_pylist()]
+        held = by_shard(set().union(*parts), shards)
+        table: dict[str, tuple[bytes, str]] = {}
+        for shard, blob in zip(told["shard"].to_pylist(), told["told"].to_pylist(), strict=True):
+            answers = unpacked(blob)
+            ids = answers["ids"].combine_chunks()
+            flat, ends = ids.flatten().to_numpy().astype("<u4"), np.r_[0, np.cumsum(ids.value_lengths().to_numpy())].tolist()
+            for i, (w, t) in enumerate(zip(held[shard], answers["text"].to_pylist(), strict=True)):
+                table[w] = (flat[ends[i] : ends[i + 1]].tobytes(), own_text(w) if t is None else t)
+        return rows_of(docs_of["doc_id"].combine_chunks(), ChunkCodec(model.value).placed(parts, table))
+
+    asked = blocks.groupBy("block").applyInArrow(ask, "shard int, block long, words binary")
+    told = asked.groupBy("shard").applyInArrow(answer, "block long, shard int, told binary")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(place, schema)
