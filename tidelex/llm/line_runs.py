@@ -81,7 +81,7 @@ def with_lcp(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
         a, b = (levels[k].select(F.struct(*AT).alias(c), F.col("rank").alias(f"rank_{c}")) for c in "pq")
         mine = mine.join(a, mine["p"].eqNullSafe(a["p"]), "left").drop("p").join(b, mine["q"].eqNullSafe(b["q"]), "left").drop("q")
         more = F.when(F.col("rank_p") == F.col("rank_q"), 1 << k).otherwise(0)
-        out = mine.select(*own, (F.col("lcp") + more).alias("lcp"))
+        out = cut(mine.select(*own, (F.col("lcp") + more).alias("lcp")))
     return out
 
 
