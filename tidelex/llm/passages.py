@@ -14,9 +14,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import ahocorasick
 import numpy as np
@@ -33,9 +34,6 @@ SEED_WORDS = 6
 AUTOMATON_PHRASES = 20_000
 #: Bytes of segments that one shard of phrases takes, and the least number of shards.
 PHRASE_SHARD_BYTES, LEAST_PHRASE_SHARDS = 4 << 20, 48
-#: A word is spelled by so many letters, each of its own alphabet of BASE, so no node has many children to search and
-#: no match can start within a word.
-LETTERS, BASE = 3, 100
 
 
 def _within(counts: np.ndarray, n: int) -> np.ndarray:
@@ -46,20 +44,20 @@ def _within(counts: np.ndarray, n: int) -> np.ndarray:
 
 
 class Chunk:
-    """The distinct texts of a chunk in a fixed order, their words in a row, and their windows."""
+    """The distinct texts of a chunk in a fixed order, and their words in a row."""
 
-    def __init__(self, texts: list[str], window: int):
-        self.order: dict[str, int] = defaultdict(int)
-        for t in texts:
-            self.order[t] += 1
-        self.texts = sorted(self.order, key=lambda t: (xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")), t))
+    def __init__(self, texts: list[str]):
+        copies = Counter(texts)
+        self.texts = sorted(copies, key=lambda t: (len(t), t))
         self.parts, self.words, self.counts = split_words(self.texts)
-        self.hashes = word_hashes(self.words)
-        self.starts = np.flatnonzero(_within(self.counts, window))
-        self.keys = gram_hashes(self.hashes, window)[self.starts] if len(self.starts) else np.zeros(0, U)
-        of = np.repeat(np.arange(len(self.texts)), self.counts)
-        self.times = np.array([self.order[t] for t in self.texts], np.int64)
-        self.copies = self.times[of[self.starts]] if len(self.starts) else np.zeros(0, np.int64)
+        self.times = np.array([copies[t] for t in self.texts], np.int64)
+        self.of = np.repeat(np.arange(len(self.texts)), self.counts)
+
+    def windows(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' hashes, where windows start, and the windows' hashes."""
+        hashes = word_hashes(self.words)
+        starts = np.flatnonzero(_within(self.counts, window))
+        return hashes, starts, gram_hashes(hashes, window)[starts] if len(starts) else np.zeros(0, U)
 
 
 def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -69,41 +67,42 @@ def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
-def seed_positions(hashes: np.ndarray, starts: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window the start of its least-hashed seed phrase (the first, if several are equal), and its hash."""
-    grams = gram_hashes(hashes, seed)
-    best, where = grams[starts].copy(), starts.copy()
-    for shift in range(1, window - seed + 1):
-        other = grams[starts + shift]
-        less = other < best
-        best[less], where[less] = other[less], starts[less] + shift
-    return where, best
+def seeds_of(hashes: np.ndarray, window: int) -> np.ndarray:
+    """The least hash of a seed phrase in the window from each position, by doubling the reach."""
+    n = min(SEED_WORDS, window)
+    least, reach, want = gram_hashes(hashes, n), 1, window - n + 1
+    while reach < want:
+        step = min(reach, want - reach)
+        least = np.minimum(least[:-step], least[step:])
+        reach += step
+    return least
 
 
-def segments(chunk: Chunk, starts: np.ndarray, window: int) -> Iterator[tuple[int, int, int]]:
-    """(first word, end, hash of the seed) of the runs of candidate windows that hold one seed."""
+def segments(hashes: np.ndarray, starts: np.ndarray, window: int) -> Iterator[tuple[int, int, int]]:
+    """(first word, end, hash of the seed) of the runs of candidate windows with one seed, ``window`` of them at most."""
     if not len(starts):
         return
-    where, seed = seed_positions(chunk.hashes, starts, window, min(SEED_WORDS, window))
-    new = np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (np.diff(where) != 0)])
+    seed = seeds_of(hashes, window)[starts]
+    new = np.r_[True, (np.diff(starts) != 1) | (np.diff(seed) != 0)]
+    since = np.arange(len(starts)) - np.maximum.accumulate(np.where(new, np.arange(len(starts)), 0))
+    new = np.flatnonzero(new | (since % window == 0))
     last = np.r_[new[1:], len(starts)] - 1
     yield from zip(starts[new].tolist(), (starts[last] + window).tolist(), seed[new].tolist(), strict=True)
 
 
-def spelling(i: int) -> str:
-    """The i-th word (up to BASE ** LETTERS) in letters; the character 0 stands for all other words."""
-    return "".join(chr(1 + BASE * k + i // BASE**k % BASE) for k in range(LETTERS))
-
-
 def automata(phrases: list[tuple[bytes, ...]]) -> Iterator[tuple[ahocorasick.Automaton, dict[bytes, str], int]]:
-    """Aho-Corasick automata of the phrases, with the spelling of their words and the number of the first phrase."""
+    """Aho-Corasick automata of the phrases, with the spelling of their words and the number of the first phrase.
+
+    A word is spelled by two letters of alphabets of their own, so no node has many children to search and no match
+    can start within a word. The character 0 stands for all other words.
+    """
     for at in range(0, len(phrases), AUTOMATON_PHRASES):
-        spelled: dict[bytes, str] = {}
+        part = phrases[at : at + AUTOMATON_PHRASES]
+        words = set(chain.from_iterable(part))
+        base = max(2, math.isqrt(len(words)) + 1)
+        spelled = {w: chr(1 + i % base) + chr(1 + base + i // base) for i, w in enumerate(words)}
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, phrase in enumerate(phrases[at : at + AUTOMATON_PHRASES]):
-            for w in phrase:
-                if w not in spelled:
-                    spelled[w] = spelling(len(spelled))
+        for i, phrase in enumerate(part):
             machine.add_word("".join([spelled[w] for w in phrase]), i)
         machine.make_automaton()
         yield machine, spelled, at
@@ -139,9 +138,10 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, keep_text: bool
     rows, _, shards = chunked(docs)
 
     def ask(key: tuple, group: pa.Table) -> pa.Table:
-        chunk = Chunk(group["text"].to_pylist(), window)
-        held, place = np.unique(chunk.keys, return_inverse=True)
-        count = np.bincount(place, weights=chunk.copies, minlength=len(held)) if len(held) else np.zeros(0)
+        chunk = Chunk(group["text"].to_pylist())
+        _, starts, keys = chunk.windows(window)
+        held, place = np.unique(keys, return_inverse=True)
+        count = np.bincount(place, weights=chunk.times[chunk.of[starts]], minlength=len(held)) if len(held) else np.zeros(0)
         at = shard_bounds(held, shards)
         used = [s for s in range(shards) if at[s] < at[s + 1]]
         return pa.table({
@@ -159,17 +159,17 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, keep_text: bool
         return pa.table({"chunk": group["asker"], "keys": pa.array([pack_sorted(k[among(k, twice)]) for k in asked], pa.binary())})
 
     def cut_out(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = Chunk(group["text"].to_pylist(), window)
+        chunk = Chunk(group["text"].to_pylist())
+        hashes, starts, keys = chunk.windows(window)
         known = np.sort(np.concatenate([np.zeros(0, U), *[unpack_sorted(x) for x in answers["keys"].to_pylist()]]))
-        starts = chunk.starts[among(chunk.keys, known)]
-        of = np.repeat(np.arange(len(chunk.texts)), chunk.counts)
+        starts = starts[among(keys, known)]
         places: dict[bytes, list[int]] = defaultdict(list)
         shard: dict[bytes, int] = {}
-        for begin, end, seed in segments(chunk, starts, window):
+        for begin, end, seed in segments(hashes, starts, window):
             text = b" ".join(chunk.words[begin:end])
             places[text].append(begin)
             shard[text] = seed & 0x7FFFFFFFFFFFFFFF
-        n = [int(chunk.times[of[p]].sum()) for p in places.values()]
+        n = [int(chunk.times[chunk.of[p]].sum()) for p in places.values()]
         return pa.table({
             "chunk": pa.array([key[0].as_py()] * len(places), pa.int32()), "seed": pa.array([shard[t] for t in places], pa.int64()), "segment": pa.array([xxhash.xxh3_128_digest(t) for t in places], pa.binary()),
             "words": pa.array(list(places), pa.binary()), "times": pa.array(n, pa.int64()), "places": pa.array([pack(np.diff(p, prepend=0)) for p in places.values()], pa.binary()),
@@ -181,7 +181,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, keep_text: bool
 
     def remove(key: tuple, group: pa.Table, found: pa.Table) -> pa.Table:
         texts = group["text"].to_pylist()
-        chunk = Chunk(texts, window)
+        chunk = Chunk(texts)
         edge = np.zeros(len(chunk.words) + 1, np.int32)
         for places, starts in zip(found["places"].to_pylist(), found["starts"].to_pylist(), strict=True):
             at = (np.cumsum(unpack(places, np.int64))[:, None] + np.asarray(starts, np.int64)[None]).reshape(-1)
