@@ -81,7 +81,7 @@ def own_text(chunk: str) -> str:
 def packed(**columns: pa.Array) -> bytes:
     """The columns as one compressed Arrow stream."""
     rows, out = pa.table(columns), pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as writer:
         writer.write_table(rows)
     return out.getvalue().to_pybytes()
 
@@ -167,8 +167,10 @@ def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = False, keep
         for words in asked:
             for w in words:
                 at.setdefault(w, len(at))
-        ids, texts = ChunkCodec(model.value).segment(list(at))
-        table = pa.table({"ids": pa.array(ids, pa.list_(pa.uint32())), "text": pa.array(texts, pa.string())})
+        codec = ChunkCodec(model.value)
+        ids, texts = codec.segment(list(at))
+        width = pa.uint16() if codec.sp.get_piece_size() <= 1 << 16 else pa.uint32()
+        table = pa.table({"ids": pa.array(ids, pa.list_(width)), "text": pa.array(texts, pa.string())})
         told = [table.take(pa.array([at[w] for w in words], pa.int64())) for words in asked]
         return pa.table({"block": group["block"], "shard": group["shard"], "told": pa.array([packed(ids=t["ids"].combine_chunks(), text=t["text"].combine_chunks()) for t in told], pa.binary())})
 
