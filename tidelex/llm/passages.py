@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.llm.blocks import U, chunked, gram_hashes, pack, pack_sorted, shard_bounds, split_words, unpack, unpack_sorted, word_hashes
+from tidelex.llm.blocks import U, chunked, gram_hashes, pack_sorted, shard_bounds, split_words, unpack_sorted, word_hashes
 from tidelex.llm.common import kept
 
 SEED_WORDS = 6
@@ -94,7 +94,7 @@ def automata(phrases: list[tuple[bytes, ...]]) -> Iterator[tuple[ahocorasick.Aut
     """Aho-Corasick automata of the phrases, with the spelling of their words and the number of the first phrase.
 
     A word is spelled by two letters of alphabets of their own, so no node has many children to search and no match
-    can start within a word. The character 0 stands for all other words.
+    can start within a word. Two characters 0 stand for any other word.
     """
     for at in range(0, len(phrases), AUTOMATON_PHRASES):
         part = phrases[at : at + AUTOMATON_PHRASES]
@@ -111,21 +111,29 @@ def automata(phrases: list[tuple[bytes, ...]]) -> Iterator[tuple[ahocorasick.Aut
 def located(texts: list[bytes], times: list[int], window: int) -> list[list[int]]:
     """Of each segment at which words a phrase starts that occurs twice or more; ``times``: how often each segment occurs."""
     docs = [t.split() for t in texts]
-    phrases = sorted({tuple(d[k : k + window]) for d in docs for k in (0, len(d) - window)})
-    seen = np.zeros(len(phrases), np.int64)
+    phrases = list({tuple(d[k : k + window]) for d in docs for k in (0, len(d) - window)})
+    seen = [0] * len(phrases)
     hits: list[list[tuple[int, int]]] = [[] for _ in docs]
     for machine, spelled, first in automata(phrases):
         for doc, n, mine in zip(docs, times, hits, strict=True):
-            known = [spelled.get(w) or "\0" for w in doc]
-            ends = None
-            for end, i in machine.iter("".join(known)):
-                if ends is None:
-                    ends = np.cumsum(np.fromiter(map(len, known), np.int64, len(known))) - 1
-                mine.append((int(np.searchsorted(ends, end)) - window + 1, first + i))
+            known = "".join([spelled.get(w, "\0\0") for w in doc])
+            for end, i in machine.iter(known):
+                mine.append(((end + 1) // 2 - window, first + i))
                 seen[first + i] += n
     return [[k for k, i in mine if seen[i] > 1] for mine in hits]
 
 
+def sums_of_pairs(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """The sum of every number of a row's list in ``a`` with every number of its list in ``b``."""
+    size_a, size_b = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+    own = np.repeat(np.arange(len(a)), size_a)  # the row of each number in a
+    times = size_b[own]
+    step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    first = np.cumsum(size_b) - size_b
+    left, right = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+    return np.repeat(left, times) + right[np.repeat(first[own], times) + step]
+
+
 def remove_repeated_passages(docs: DataFrame, window: int = 35, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row of ``docs``, and with ``keep_text`` kept (words joined by a space).
 
@@ -169,10 +177,11 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, keep_text: bool
             text = b" ".join(chunk.words[begin:end])
             places[text].append(begin)
             shard[text] = seed & 0x7FFFFFFFFFFFFFFF
-        n = [int(chunk.times[chunk.of[p]].sum()) for p in places.values()]
+        weight = chunk.times[chunk.of].tolist()
+        n = [sum([weight[i] for i in p]) for p in places.values()]
         return pa.table({
             "chunk": pa.array([key[0].as_py()] * len(places), pa.int32()), "seed": pa.array([shard[t] for t in places], pa.int64()), "segment": pa.array([xxhash.xxh3_128_digest(t) for t in places], pa.binary()),
-            "words": pa.array(list(places), pa.binary()), "times": pa.array(n, pa.int64()), "places": pa.array([pack(np.diff(p, prepend=0)) for p in places.values()], pa.binary()),
+            "words": pa.array(list(places), pa.binary()), "times": pa.array(n, pa.int64()), "places": pa.array(list(places.values()), pa.list_(pa.int32())),
         })
 
     def stream(key: tuple, group: pa.Table) -> pa.Table:
@@ -183,10 +192,9 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, keep_text: bool
         texts = group["text"].to_pylist()
         chunk = Chunk(texts)
         edge = np.zeros(len(chunk.words) + 1, np.int32)
-        for places, starts in zip(found["places"].to_pylist(), found["starts"].to_pylist(), strict=True):
-            at = (np.cumsum(unpack(places, np.int64))[:, None] + np.asarray(starts, np.int64)[None]).reshape(-1)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + window, -1)
+        at = sums_of_pairs(found["places"].combine_chunks(), found["starts"].combine_chunks())
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + window, -1)
         gone = np.cumsum(edge[:-1]) > 0
         made: dict[str, tuple[int, int, str, bytes]] = {}
         at = 0
@@ -202,7 +210,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, keep_text: bool
 
     asked = rows.groupBy("chunk").applyInArrow(ask, "shard int, asker int, keys binary, again binary")
     answers = asked.groupBy("shard").applyInArrow(answer, "chunk int, keys binary")
-    made = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut_out, "chunk int, seed long, segment binary, words binary, times long, places binary")
+    made = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut_out, "chunk int, seed long, segment binary, words binary, times long, places array<int>")
     made = kept(made, "segments")
     size = made.agg(F.sum(F.octet_length("words")).alias("n")).first().n or 0
     n = max(LEAST_PHRASE_SHARDS, -(-size // PHRASE_SHARD_BYTES))
