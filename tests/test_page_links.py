@@ -20,7 +20,7 @@ def folder(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name,wanted", [("page_content_links", CONTENT[:10]), ("page_links_to_ten", [h for h in dict.fromkeys(HREFS) if h.rsplit("/", 1)[1].isalpha()][:10])])
+@pytest.mark.parametrize("name,wanted", [("page_content_links", CONTENT[:10]), ("page_links", [h for h in dict.fromkeys(HREFS) if h.rsplit("/", 1)[1].isalpha()][:10])])
 def test_ten_links(spark, folder, name, wanted):
     import duckdb
 
@@ -37,6 +37,6 @@ def test_smaller_cap(spark, folder):
 
 
 def test_same_as_sql_on_the_fixture(spark, middle, check_sql):
-    found = catalog.QUERIES["page_links_to_ten"](spark, middle)
-    check_sql(found, catalog.ORACLE_SQL["page_links_to_ten"], middle)
+    found = catalog.QUERIES["page_links"](spark, middle)
+    check_sql(found, catalog.ORACLE_SQL["page_links"], middle)
     assert found.where("position >= 4").count() == 16

@@ -124,15 +124,18 @@ def contains_any(text: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms]) if terms else F.lit(False)
 
 
-# Section headings of annual filings, tried in this order.
-FILING_SECTIONS = [
-    ("human_capital", r"(?is)human capital(?: management| resources)?\s+(.*?)(?:available information|item\s+1a|$)"),
-    ("risk_factors", r"(?is)item\s+1a\.?\s*risk factors\s+(.*?)(?:item\s+1b|item\s+2|$)"),
-    ("business", r"(?is)item\s+1\.?\s*business\s+(.*?)(?:item\s+1a|$)"),
-]
-
-
-def filing_section(text: Column, cap: int = 12_000) -> Column:
-    """The first section of a filing that has text, cut to ``cap`` characters."""
-    found = [F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for _, p in FILING_SECTIONS]
-    return F.substring(F.coalesce(*found), 1, cap)
+# Sections of annual filings; of several patterns of one section the first that is found counts.
+FILING_END = r"(?:Government Regulation|Intellectual Property|Available Information|ITEM\s*1A)"
+HUMAN_CAPITAL = [rf"(?is){name}(.*?){FILING_END}" for name in ("Culture and Workforce", "Human Capital Management", "Human Capital Resources", "Human Capital")]
+RISK_FACTORS = r"(?is)ITEM\s*1A\.?\s*RISK\s*FACTORS(.*?)(?:ITEM\s*1B\.|ITEM\s*2\.|ITEM\s*3\.)"
+BUSINESS = r"(?is)ITEM\s*1\.?\s*BUSINESS(.*?)(?:ITEM\s*1A\.|ITEM\s*2\.)"
+
+
+def filing_sections(text: Column, cap: int = 12_000) -> Column:
+    """array<struct<section,text>> of a filing's plain text: Human Capital and Risk Factors, or Business if it has neither; each cut to ``cap`` characters."""
+    flat = F.regexp_replace(text, r"\s+", " ")
+    found = lambda p: F.when(flat.rlike(p), F.substring(F.trim(F.regexp_extract(flat, p, 1)), 1, cap))
+    one = lambda name, value: F.struct(F.lit(name).alias("section"), value.alias("text"))
+    people, risks = F.coalesce(*[found(p) for p in HUMAN_CAPITAL]), found(RISK_FACTORS)
+    business = F.when(people.isNull() & risks.isNull(), found(BUSINESS))
+    return F.filter(F.array(one("Human Capital", people), one("Risk Factors", risks), one("Business", business)), lambda x: x["text"].isNotNull())
