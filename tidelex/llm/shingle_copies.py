@@ -2,13 +2,13 @@
 
 At a similarity of 0.8 two fingerprints of 64 bits differ in about ten bits, and no pigeonring of that budget leaves
 keys selective enough for a large corpus. So the links of the SimHash operator come first, and what lies beyond its
-three bits is found by MinHash: a sketch holds one byte of each of 160 minima, in 32 bands of five, and texts that
-agree on a band are candidates. Two texts of similarity 0.8 share no band with a chance of less than
+three bits is found by MinHash: a sketch holds one byte of each of 320 minima, the first 160 in 32 bands of five, and
+texts that agree on a band are candidates. Two texts of similarity 0.8 share no band with a chance of less than
 (1 - 0.8 ** 5) ** 32, about 3 in a million. Candidates are verified on the shingles themselves.
 
 Large groups of copies do not give all their pairs. A first pass verifies only a spanning forest of the likely links of
 each band; a second one takes the pairs of a band that are still in different groups, each in the first band it shares,
-unless their sketches agree on so little (an estimate below 0.668, four deviations from 0.8) that a pair at exactly 0.8
+unless their sketches agree on so little (an estimate below 0.71, four deviations from 0.8) that a pair at exactly 0.8
 would be lost with a chance of 3 in 100,000. Bands of many texts are dealt in blocks to tiles.
 """
 
@@ -27,13 +27,15 @@ from tidelex.llm.components import components
 from tidelex.llm.simhash import SEED, near_duplicates
 
 WORDS, BANDS, ROWS = 5, 32, 5
-SIMILARITY, LEAST_ESTIMATE = 0.8, 0.668
+#: Minima of a sketch; the bands take the first of them, all make the estimate.
+MINIMA = 2 * BANDS * ROWS
+SIMILARITY, LEAST_ESTIMATE = 0.8, 0.71
 #: Rows of a block of a large band; bands of up to twice as many texts are compared in one task.
 TILE_ROWS = 1024
 U = np.uint64
 _DRAW = np.random.default_rng(SEED)
-_TIMES = _DRAW.integers(0, 1 << 63, BANDS * ROWS, U) * U(2) + U(1)
-_PLUS = _DRAW.integers(0, 1 << 63, BANDS * ROWS, U) * U(2)
+_TIMES = _DRAW.integers(0, 1 << 63, MINIMA, U) * U(2) + U(1)
+_PLUS = _DRAW.integers(0, 1 << 63, MINIMA, U) * U(2)
 
 
 def shingles(text: str, words: int = WORDS) -> set[bytes]:
@@ -44,7 +46,7 @@ def shingles(text: str, words: int = WORDS) -> set[bytes]:
 
 def minima(found: set[bytes]) -> np.ndarray:
     h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), dtype=U, count=len(found))
-    least = np.full(BANDS * ROWS, ~U(0))
+    least = np.full(MINIMA, ~U(0))
     for at in range(0, len(h), 2048):
         np.minimum(least, (h[None, at : at + 2048] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1), out=least)
     return least
@@ -114,7 +116,7 @@ def tile_pairs(key: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.nd
         if len(hit):
             likely = estimate(sketches[hit], sketches[hit + lag])
             hit, likely = hit[likely >= least], likely[likely >= least]
-            shared = (sketches[hit] == sketches[hit + lag]).reshape(len(hit), BANDS, ROWS).all(axis=2)
+            shared = (sketches[hit, : BANDS * ROWS] == sketches[hit + lag, : BANDS * ROWS]).reshape(len(hit), BANDS, ROWS).all(axis=2)
             first = shared.any(axis=1) & (shared.argmax(axis=1) == band[hit])
             found_a.append(hit[first])
             found_b.append(hit[first] + lag)
@@ -146,7 +148,6 @@ def band_pairs(members: DataFrame, partitions: int, forest: bool) -> DataFrame:
 
     All of them, or of the likely ones a spanning ``forest`` of each task's groups.
     """
-    width = BANDS * ROWS
     names = ("tile", "node", "group", "size", "block", "whole", "band")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,7 @@ def band_pairs(members: DataFrame, partitions: int, forest: bool) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append((_columns(b, names), np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint8).reshape(-1, width)))
+            held.append((_columns(b, names), np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint8).reshape(-1, MINIMA)))
             tile = held[-1][0][0]
             if tile[0] != tile[-1] and sum(len(h[1]) for h in held) >= 50_000:
                 yield made(sum(len(h[1]) for h in held) - int((tile == tile[-1]).sum()))  # the last tile may go on in the next batch
