@@ -45,13 +45,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """The XXH3 hash (64 bits) of each word; each distinct word is hashed once."""
-    if not words:
-        return np.zeros(0, U)
+def distinct_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The XXH3 hashes (64 bits) of the distinct words, and for each word its place among them."""
     coded = pa.array(words, pa.binary()).dictionary_encode()
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), U, len(coded.dictionary))
-    return own[coded.indices.to_numpy()]
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), U, len(coded.dictionary)), coded.indices.to_numpy()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    own, place = distinct_hashes(words)
+    return own[place]
 
 
 def joined(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
