@@ -23,7 +23,7 @@ from tidelex.llm.common import partitions_of, text_or_empty
 
 U = np.uint64
 MUL, ADD = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 10 << 20
 #: Bytes of text whose keys one shard takes, and the least number of shards.
 SHARD_BYTES, LEAST_SHARDS = 96 << 20, 64
 
