@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.functions.text import let
+from tidelex.operators.joins import joined_in_blocks
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,10 +48,7 @@ def build_axes(poles: DataFrame, drop: Column | None = None) -> DataFrame:
 
 
 def project(vectors: DataFrame, axes: DataFrame, column: str = "embedding") -> DataFrame:
-    """Every vector with every axis and ``score``: the unit vector's component along the axis.
-
-    The axis table has a row per axis (tens at most), so it goes along by broadcast.
-    """
-    scored = vectors.join(F.broadcast(axes.select("axis", "vector")), F.lit(True))
+    """Every vector with every axis and ``score``: the unit vector's component along the axis."""
+    scored = joined_in_blocks(vectors, axes.select("axis", "vector"), F.lit(True))
     along = F.try_divide(dot(F.col(column), F.col("vector")), norm(F.col(column)))
     return scored.withColumn("score", F.coalesce(along, F.lit(0.0))).drop("vector")

@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelex.storage import cut
+
+#: Rows of a table that one broadcast may hold: at some 30 kB a row, 120 MB.
+BLOCK_ROWS = 4096
+
+
+def joined_in_blocks(rows: DataFrame, few: DataFrame, on: Column, most: int = BLOCK_ROWS) -> DataFrame:
+    """``rows`` joined with a table of any size on any condition, by broadcasts of at most ``most`` of its rows each.
+
+    ``few`` is kept and counted first; beyond ``most`` rows it goes along in blocks, one join each.
+    """
+    few = cut(few)
+    if few.count() <= most:
+        return rows.join(F.broadcast(few), on)
+    place = F.monotonically_increasing_id()  # counts up within a partition, so a block never holds over ``most`` rows
+    blocks = few.withColumn("__block", place - F.pmod(F.pmod(place, F.lit(1 << 33)), F.lit(most)))
+    found = [r["__block"] for r in blocks.select("__block").distinct().collect()]
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(blocks.where(F.col("__block") == b).drop("__block")), on) for b in sorted(found)])
+
 
 def with_labels(rows: DataFrame, labels: DataFrame, on: str, default: str | None = None, label: str = "label") -> DataFrame:
     """Every row with its label, or null (or ``default``) where there is none."""
@@ -47,8 +68,8 @@ def series_on_period(a: DataFrame, b: DataFrame, period: str, value: str, names:
 
 
 def matching_patterns(rows: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
-    """Rows with each (id, pattern) whose regular expression is found in the text; the pattern table is a fixed list."""
-    return rows.join(F.broadcast(patterns), F.rlike(F.col(text), F.col("pattern"))).drop("pattern")
+    """Rows with each (id, pattern) whose regular expression is found in the text."""
+    return joined_in_blocks(rows, patterns, F.rlike(F.col(text), F.col("pattern"))).drop("pattern")
 
 
 def shares_ngram(rows: DataFrame, key: str, grams: str, other: DataFrame, other_grams: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidelex.catalog import query
 from tidelex.functions.html import chunk_pages, coverage, link_pages
 from tidelex.operators import captures
-from tidelex.operators.dedup import merged_captures
+from tidelex.operators.dedup import merged_captures, unseen
+from tidelex.operators.joins import joined_in_blocks
 from tidelex.plans.bindings import table
 
 
@@ -150,3 +151,28 @@ def discovered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Harvested links with their status against what was fetched and what is archived."""
     e = table(spark, sf_dir, "events").withColumn("url", F.concat(F.lit("http://u"), F.col("user_id").cast("string")))
     return captures.discovered_links(e.where("event_type = 'click'"), e.where("event_type = 'purchase' AND value > 30"), e.where("event_type = 'view' AND value > 30"))
+
+
+@query(_CAPTURES + """
+    , d AS (SELECT original, event_type, count(*) AS n_captures, list(DISTINCT year ORDER BY year) AS years FROM e GROUP BY ALL)
+    SELECT event_type, original, n_captures, years FROM d WHERE original NOT IN (SELECT original FROM e GROUP BY original HAVING arg_min(event_type, (timestamp, event_id)) = 'purchase')
+""")
+def probed_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures and years of each probed page, without those that are known, here pages first captured by a purchase."""
+    c = capture_rows(spark, sf_dir)
+    known = c.groupBy("original").agg(F.min_by("event_type", F.struct("timestamp", "event_id")).alias("first")).where("first = 'purchase'")
+    found = c.groupBy("event_type", "original").agg(F.count(F.lit(1)).alias("n_captures"), F.array_sort(F.collect_set("year")).alias("years"))
+    return unseen(found, known, ["original"]).select("event_type", "original", "n_captures", "years")
+
+
+@query(_CAPTURES + """
+    , p AS (SELECT unnest(['u1*', 'u12', 'u2?', 'u%']) AS pattern)
+    SELECT pattern, count(*) AS n_captures, count(DISTINCT urlkey) AS n_urls, min(timestamp) AS first, max(timestamp) AS last
+    FROM p JOIN e ON CASE WHEN pattern LIKE '%*' THEN starts_with(urlkey, rtrim(pattern, '*')) ELSE urlkey = pattern END GROUP BY pattern
+""")
+def captures_per_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each pattern of an index query finds: a star at the end asks for a prefix, any other pattern for one page."""
+    patterns = spark.createDataFrame([("u1*",), ("u12",), ("u2?",), ("u%",)], "pattern string")
+    at = F.when(F.endswith("pattern", F.lit("*")), F.startswith("urlkey", F.rtrim("pattern", F.lit("*")))).otherwise(F.col("urlkey") == F.col("pattern"))
+    found = joined_in_blocks(capture_rows(spark, sf_dir), patterns, at)
+    return found.groupBy("pattern").agg(F.count(F.lit(1)).alias("n_captures"), F.countDistinct("urlkey").alias("n_urls"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))

@@ -11,6 +11,7 @@ from tidelex.operators import rollup
 from tidelex.operators.dedup import first_per, near_duplicates_removed
 from tidelex.operators.joins import shares_ngram
 from tidelex.plans.bindings import CHUNK_SQL, chunks, table
+from tidelex.sources import review_lines
 
 _SENTENCES = CHUNK_SQL + r"""
     , clean AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM c),
@@ -247,3 +248,14 @@ def near_duplicates_removed_by_group(spark: SparkSession, sf_dir: str) -> DataFr
 def content_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", "url", text.is_content_url(u).alias("content"), text.host_of(u).alias("host"), text.bare_url(u).alias("bare"))
+
+
+@query("""
+    WITH c AS (SELECT (2005 + doc_id % 20)::INT AS year, doc_id, source, text FROM documents WHERE lang = 'en')
+    SELECT year, NULL AS doc_id, '## ' || year || ' (' || count(*) || ' chunks)' AS line FROM c GROUP BY year
+    UNION ALL SELECT year, doc_id, '- ' || CASE WHEN length(source) > 0 THEN '**' || source || '** — ' ELSE '' END || coalesce(text, '') FROM c
+""")
+def review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a review of the English chunks by year; titles have no doc_id."""
+    rows = chunks(spark, sf_dir).where("lang = 'en'").withColumn("heading", F.col("company"))
+    return review_lines(rows, ["doc_id"]).select("year", "place.doc_id", "line")

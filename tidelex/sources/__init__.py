@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHUNK = "chunk_id string, text string, heading string, source_url string, timestamp string, year int, word_count int, position int, extraction_source string"
+AXIS = "name string, single_pole boolean, sentences array<struct<pole:string,label:string,position:int,sentence:string>>"
+MANUAL = "file string, url string, capture_date string, source string"
+YEARS = "array<struct<year:int,zscore:double>>"
 PROFILE = "company string, display_name string, comment string, hosts array<string>, spa_content_paths array<string>, validation struct<expected_altruism_peak:int,tolerance:int,notes:array<string>>"
 
 
@@ -45,6 +48,75 @@ def label_map(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("chunk_id", "label"))
 
 
+def read_axes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """axis, single_pole, pole ("a" or "b"), label, position, sentence of axis definitions, one YAML document a file.
+
+    Pole b may be missing or empty; the axis then has a single pole. A file without name or pole a is an error.
+    """
+
+    @F.udf(AXIS)
+    def parsed(text: str):
+        import yaml
+
+        raw = yaml.safe_load(text)
+        poles = [(k, raw[f"pole_{k}"]) for k in ("a", "b") if k == "a" or raw.get("pole_b")]
+        rows = [(k, p["label"], i, s) for k, p in poles for i, s in enumerate(p["sentences"])]
+        return raw["name"], not any(r[0] == "b" for r in rows), rows
+
+    files = spark.read.text(path, wholetext=True).select(parsed("value").alias("axis"))
+    return files.select(F.col("axis.name").alias("axis"), "axis.single_pole", F.inline("axis.sentences"))
+
+
+def manual_captures(spark: SparkSession, folder: str, listed: DataFrame) -> DataFrame:
+    """original, timestamp, digest, html_file, source, file of saved pages, as captures to merge with known ones.
+
+    ``listed`` has a row of ``MANUAL`` per capture; one whose file is missing gives no row. A date of eight digits
+    means noon. Files are hashed where they are read: no page is shuffled.
+    """
+    pages = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.left(F.sha2("content", 256), F.lit(24)).alias("digest"))
+    stamp = F.when(F.length("capture_date") == 8, F.concat("capture_date", F.lit("120000"))).otherwise(F.col("capture_date"))
+    rows = listed.withColumn("timestamp", stamp).join(pages, "file")
+    return rows.select(F.col("url").alias("original"), "timestamp", "digest", F.concat_ws("_", "timestamp", F.concat("digest", F.lit(".html"))).alias("html_file"), F.coalesce("source", F.lit("manual")).alias("source"), "file")
+
+
+def read_series(spark: SparkSession, path: str | list[str], years: str = YEARS) -> DataFrame:
+    """company, axis and a row per year of published series; older files nest years by level, sentences before chunks."""
+    levels = f"struct<sentence:struct<years:{years}>,chunk:struct<years:{years}>>"
+    rows = spark.read.schema(f"company string, axis string, years {years}, levels {levels}").option("multiLine", True).json(path)
+    return rows.select("company", "axis", F.inline(F.coalesce("years", "levels.sentence.years", "levels.chunk.years")))
+
+
+def write_documents(rows: DataFrame, folder: str, by: list[str]) -> None:
+    """Each row as one indented JSON document in the subfolder of its ``by``; letters beyond ASCII stay as they are."""
+    body = F.to_json(F.struct(*[c for c in rows.columns if c not in by]), {"pretty": "true"})
+    rows.select(*by, body.alias("value")).write.mode("overwrite").partitionBy(*by).text(folder)
+
+
+def write_sheet(sample: DataFrame, path: str, label: str = "label") -> None:
+    """A sample as a CSV to label by hand: its columns and an empty one, in one file as people edit it."""
+    sheet = sample.withColumn(label, F.lit(None).cast("string"))
+    sheet.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def review_lines(rows: DataFrame, order: list[str], heading: str = "heading", text: str = "text") -> DataFrame:
+    """year, place, line of a review in Markdown: a title with the count for each year, then an item per row.
+
+    ``place`` is null for titles, and else a struct of ``order``; sorted by both, nulls first, the lines make the review.
+    """
+    title = F.concat(F.lit("## "), F.col("year").cast("string"), F.lit(" ("), F.count(F.lit(1)).cast("string"), F.lit(" chunks)"))
+    place = F.struct(*order)
+    head = F.when(F.length(heading) > 0, F.concat(F.lit("**"), F.col(heading), F.lit("** — "))).otherwise("")
+    items = rows.select("year", place.alias("place"), F.concat(F.lit("- "), head, F.coalesce(text, F.lit(""))).alias("line"))
+    titles = rows.groupBy("year").agg(title.alias("line"))
+    return titles.select("year", F.lit(None).cast(items.schema["place"].dataType).alias("place"), "line").unionByName(items)
+
+
+def write_review(lines: DataFrame, path: str) -> None:
+    """The lines of a review in their order over the files' order."""
+    ordered = lines.orderBy("year", F.col("place").asc_nulls_first())
+    ordered.select("line").write.mode("overwrite").option("lineSep", "\n\n").text(path)
+
+
 def append_new(rows: DataFrame, path: str, on: list[str]) -> None:
     """Append to a Parquet cache the rows whose key it lacks; of a key that repeats in ``rows`` one row is written."""
     spark = rows.sparkSession
