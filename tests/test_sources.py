@@ -26,10 +26,11 @@ def test_labels_profiles_and_maps(spark, tmp_path):
     (tmp_path / "l.csv").write_text('chunk_id,text,label\na,"two\nlines, ""quoted""", mission \nb,x,\nc,y,  \n')
     rows = sources.read_labels(spark, str(tmp_path / "l.csv"), "chunk_id string, text string, label string", "label").collect()
     assert [(r.chunk_id, r.text, r.label) for r in rows] == [("a", 'two\nlines, "quoted"', "mission")]
-    (tmp_path / "p.json").write_text(json.dumps({"company": "acme", "validation": {"expected_altruism_peak": 2014}}))
+    (tmp_path / "p.json").write_text(json.dumps({"company": "acme", "validation": {"expected_altruism_peak": 2014}, "patterns": [{"url": "acme.com/jobs", "match_type": "exact"}], "alt_domains": [{"url": "acme.org", "match_type": "prefix", "era_hint": "late"}]}))
     (tmp_path / "q.json").write_text(json.dumps({"company": "beta", "display_name": "BETA"}))
     got = {r.company: r for r in sources.read_profiles(spark, [str(tmp_path / "p.json"), str(tmp_path / "q.json")]).collect()}
     assert got["acme"].display_name == "Acme" and got["acme"].validation.tolerance == 2 and got["beta"].display_name == "BETA" and got["beta"].validation is None
+    assert [tuple(x) for x in got["acme"].patterns] == [("acme.com/jobs", "exact", None)] and got["acme"].alt_domains[0].era_hint == "late" and got["beta"].alt_domains == got["acme"].spa_json_probes == []
     (tmp_path / "m.json").write_text(json.dumps({"a": "x", "b": "y"}, indent=2))
     assert {tuple(r) for r in sources.label_map(spark, str(tmp_path / "m.json")).collect()} == {("a", "x"), ("b", "y")}
 

@@ -10,7 +10,11 @@ CHUNK = "chunk_id string, text string, heading string, source_url string, timest
 AXIS = "name string, single_pole boolean, sentences array<struct<pole:string,label:string,position:int,sentence:string>>"
 MANUAL = "file string, url string, capture_date string, source string"
 YEARS = "array<struct<year:int,zscore:double>>"
-PROFILE = "company string, display_name string, comment string, hosts array<string>, spa_content_paths array<string>, validation struct<expected_altruism_peak:int,tolerance:int,notes:array<string>>"
+PATTERNS = "array<struct<url:string,match_type:string,era_hint:string>>"
+PROFILE = (
+    "company string, display_name string, comment string, hosts array<string>, spa_content_paths array<string>, validation struct<expected_altruism_peak:int,tolerance:int,notes:array<string>>, "
+    f"patterns {PATTERNS}, spa_json_probes {PATTERNS}, alt_domains {PATTERNS}"
+)
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -35,9 +39,13 @@ def read_labels(spark: SparkSession, path: str, columns: str, label: str) -> Dat
 
 
 def read_profiles(spark: SparkSession, path: str | list[str], schema: str = PROFILE) -> DataFrame:
-    """Company profiles, one JSON object a file: the display name defaults to the title-cased id, the tolerance to 2."""
+    """Company profiles, one JSON object a file: the display name defaults to the title-cased id, the tolerance to 2.
+
+    Lists of probes and other domains are empty where they are missing.
+    """
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
     named = rows.withColumn("display_name", F.coalesce("display_name", F.initcap("company")))
+    named = named.withColumns({c: F.coalesce(c, F.array().cast(PATTERNS)) for c in ("spa_json_probes", "alt_domains") if c in rows.columns})
     filled = F.col("validation").withField("tolerance", F.coalesce("validation.tolerance", F.lit(2)))
     return named.withColumn("validation", F.when(F.col("validation").isNotNull(), filled))
 
