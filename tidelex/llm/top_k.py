@@ -19,10 +19,15 @@ TOPS = "array<struct<score:long,vec_id:long>>"
 
 
 def quantised(vectors: DataFrame, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, v array<long>: floor(scale * component); rows with a null id, a null vector or null or non-finite components take no part."""
+    """vec_id, v array<long>: floor(scale * component); rows with a null id, a null vector or null or non-finite components take no part.
+
+    A finite component whose scaled value does not fit 64 bits is an error. Other columns are not read.
+    """
     comp = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     usable = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(comp, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(comp, lambda x: F.floor(F.lit(scale) * x)).alias("v"))
+    too_large = F.raise_error(F.lit("a scaled component does not fit 64 bits")).cast("long")
+    whole = lambda x: F.when(F.abs(x) < F.lit(2.0**63), F.floor(x)).otherwise(too_large)
+    return vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(comp, lambda x: whole(F.lit(scale) * x)).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -30,18 +35,28 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.int64)
 
 
+def _largest(m: np.ndarray) -> int:
+    return max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))
+
+
 def tile_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query its k best candidates of this tile, by score and then the smaller id, itself left out."""
+    """Per query its k best candidates of this tile, by score and then the smaller id, itself left out.
+
+    Products are exact: in doubles or 64 bits where the tile's largest components allow it, else in Python integers.
+    """
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
-    bound = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    exact = bound < 1 << 52  # then doubles hold every partial sum
-    left, right = (q.astype(np.float64), c.T.astype(np.float64)) if exact else (q, c.T)
+    bound = _largest(q) * _largest(c) * max(1, q.shape[1])
+    kind = np.float64 if bound < 1 << 52 else np.int64 if bound < 1 << 63 else object  # what holds every partial sum
+    left, right = q.astype(kind), c.T.astype(kind)
     for at in range(0, len(q), 256):
-        scores = (left[at : at + 256] @ right).astype(np.int64)
+        scores = left[at : at + 256] @ right
         for row, me in zip(scores, q_ids[at : at + 256], strict=True):
             others = np.flatnonzero(c_ids != me)
             s = row[others]
+            if kind is object and _largest(s) >= 1 << 63:
+                raise OverflowError("an inner product does not fit 64 bits")
+            s = s.astype(np.int64)
             if len(s) > k:  # everything above the k-th score, then ties in id order
                 kth = np.partition(s, len(s) - k)[len(s) - k]
                 above, ties = np.flatnonzero(s > kth), np.flatnonzero(s == kth)
@@ -56,9 +71,11 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows:
 
     Both frames are (vec_id long, v array<long>). A query is not its own candidate; with fewer than k candidates
     all are returned, with none the query has no row. Vectors of another length than the query's are not compared.
-    A repeated query row counts once; a repeated candidate row is one candidate. Tables without rows give none.
+    A repeated query row counts once, and of several vectors under one query's id the smallest (component by component)
+    counts; a repeated candidate row is one candidate. Tables without rows give none. An inner product that does not
+    fit 64 bits is an error.
     """
-    vectors, queries = vectors.dropDuplicates(["vec_id", "v"]), queries.dropDuplicates(["vec_id"])
+    vectors, queries = vectors.dropDuplicates(["vec_id", "v"]), queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n_blocks = max(1, -(-queries.count() // block_rows))
     n_shards = max(1, -(-vectors.count() // shard_rows))
     dealt = lambda df, n, salt: df.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")).withColumn("dim", F.size("v"))
