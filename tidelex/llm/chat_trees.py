@@ -34,16 +34,20 @@ def unescape(text: Column, role: bool = False) -> Column:
     return _replaced(text, [(b, a) for a, b in reversed(ROLE_ESCAPES if role else ESCAPES)])
 
 
+def _score() -> Column:
+    return F.nanvl(F.coalesce(F.col("score").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("score")
+
+
 def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """conv_id, leaf_id, branch (1 is best), step (0 is the root), msg_id: the chosen root-to-leaf paths.
 
     ``messages``: conv_id, msg_id, parent_id, score. A message whose parent is null or missing is a root. Of
-    messages that repeat (conv_id, msg_id) the one with the smallest (parent_id, score) counts. Null scores count
-    as 0. Ties between branches go to the smaller leaf id. Messages on a reply cycle, or below one, have no root
+    messages that repeat (conv_id, msg_id) the one with the smallest (parent_id, score, role, text) counts, null first,
+    here and in ``format_paths``. Null and NaN scores count as 0. An empty table gives no paths. Ties between branches go to the smaller leaf id. Messages on a reply cycle, or below one, have no root
     and are on no path. Rows without conv_id or msg_id are left out. ``branches=None`` keeps every leaf.
     """
     key = ["conv_id", "msg_id"]
-    nodes = messages.where("conv_id is not null and msg_id is not null").groupBy(*key).agg(F.min(F.struct("parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("m"))
+    nodes = messages.where("conv_id is not null and msg_id is not null").groupBy(*key).agg(F.min(F.struct("parent_id", _score())).alias("m"))
     nodes = cut(nodes.select(*key, F.col("m.parent_id").alias("parent_id"), F.col("m.score").cast("double").alias("score")))
     known = nodes.select("conv_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
     reach = cut(nodes.join(known, ["conv_id", "parent_id"], "left").select(*key, F.when(F.col("known"), F.col("parent_id")).alias("up"), F.col("score").alias("total")))
@@ -74,10 +78,11 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
 
     Each turn reads ``### role: text</turn>`` and a line break, with role and text escaped. Spans count code
     points from 0 and cover exactly the escaped texts of role "assistant". Null roles and texts count as empty.
+    Of messages that repeat an id the same one counts as in ``reply_paths``. Other columns are not read.
     """
     key = ["conv_id", "msg_id"]
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    bodies = messages.where("conv_id is not null and msg_id is not null").groupBy(*key).agg(F.min(F.struct(role.alias("role"), text.alias("text"))).alias("m"))
+    bodies = messages.where("conv_id is not null and msg_id is not null").groupBy(*key).agg(F.min(F.struct("parent_id", _score(), role.alias("role"), text.alias("text"))).alias("m"))
     turns = paths.join(bodies, key).select(
         "conv_id", "leaf_id", "branch", "step", F.concat(F.lit(HEAD), escape(F.col("m.role"), role=True), F.lit(": ")).alias("head"), escape(F.col("m.text")).alias("body"), (F.col("m.role") == "assistant").alias("learn")
     )
