@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelex.storage import checkpoint_dir, cut, kept, scratch  # noqa: F401
 
@@ -22,6 +23,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def first_rows(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """The ``n`` first rows per key; Spark cuts each task's rows to ``n`` a key before it shuffles them."""
+    (at,) = unused(df, "__at")
+    return df.withColumn(at, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(at) <= n).drop(at)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

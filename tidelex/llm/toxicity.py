@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.llm.common import cut, text_or_empty
+from tidelex.llm.common import cut, first_rows, text_or_empty
 
 WORD = re.compile(r"[^\W_]+")
 #: Default identity terms; any mention of one may be swapped for any other of its list. Fixed values.
@@ -119,13 +119,13 @@ def fit_weights(rows: list[Counter], labels: np.ndarray, changes: list[Counter],
 def fit(labelled: DataFrame, identity_terms=IDENTITY_TERMS, slots: int = 4096, swap_penalty: float = 4.0, l1: float = 2e-4, l2: float = 1e-5, steps: int = 400, parts: int = 16) -> ToxicityModel:
     """Fit to (text, toxic) rows, which the caller has bounded.
 
-    Two passes: the first counts hashed features by label and keeps the ``slots`` with the strongest association,
+    Two passes: the first counts hashed features by label, adds them up over all tasks and keeps the ``slots`` with the strongest association,
     the second brings the rows' counts of these to the driver. Null labels are left out, a null text is empty.
     """
     rows = cut(labelled.where("toxic is not null").select(text_or_empty().alias("text"), F.col("toxic").cast("int").alias("toxic")).repartition(parts))
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros((2, SLOTS), np.int32), np.zeros(2, np.int64)
+        seen = np.zeros((2, SLOTS), np.int32)
         cache: dict[str, list[int]] = {}
         for b in batches:
             for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
@@ -135,25 +135,18 @@ def fit(labelled: DataFrame, identity_terms=IDENTITY_TERMS, slots: int = 4096, s
                 if len(cache) > CACHE_ROWS:
                     cache.clear()
                 seen[int(toxic == 1), list(slots_of)] += 1
-                n[int(toxic == 1)] += 1
-        used = np.flatnonzero(seen.sum(axis=0) > 1)
-        yield pa.RecordBatch.from_pydict({"n0": [int(n[0])], "n1": [int(n[1])], "slot": [used.astype(np.int32)], "c0": [seen[0, used]], "c1": [seen[1, used]]})
-
-    n, seen = np.zeros(2), np.zeros((2, SLOTS))
-    for part in rows.mapInArrow(screen, "n0 long, n1 long, slot array<int>, c0 array<int>, c1 array<int>").toLocalIterator():
-        n += (part.n0, part.n1)
-        at = np.asarray(part.slot, dtype=np.int64)
-        seen[0][at] += part.c0
-        seen[1][at] += part.c1
-    total = n.sum()
-    if not total or not n[0] or not n[1]:  # nothing to tell apart: the base rate is the score
-        rate = (n[1] + 0.5) / (total + 1)
+        used = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_pydict({"slot": used.astype(np.int32), "c0": seen[0, used], "c1": seen[1, used]})
+
+    known = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic")).first()
+    if not 0 < known.toxic < known.n:  # nothing to tell apart: the base rate is the score
+        rate = (known.toxic + 0.5) / (known.n + 1)
         return ToxicityModel({}, float(np.log(rate / (1 - rate))))
-    both = seen.sum(axis=0)
-    expected = both * n[1] / total
-    z = (seen[1] - expected) / np.sqrt(expected * (1 - n[1] / total) * np.maximum(1 - both / total, 1e-9) + 0.5)
-    kept = np.argsort(-np.abs(z), kind="stable")[:slots]
-    kept = np.sort(kept[both[kept] > 1])
+    share, both = known.toxic / known.n, F.col("c0") + F.col("c1")
+    spread = F.sqrt(both * share * (1 - share) * F.greatest(1 - both / known.n, F.lit(1e-9)) + 0.5)
+    counts = rows.mapInArrow(screen, "slot int, c0 int, c1 int").groupBy("slot").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where(both > 1)
+    strongest = counts.orderBy(F.desc(F.abs(F.col("c1") - both * share) / spread), "slot").limit(slots)
+    kept = np.sort(np.array([r.slot for r in strongest.select("slot").collect()], np.int64))
     at_slot = {int(s): i for i, s in enumerate(kept)}
 
     def count(words: set[str], cache: dict[str, list[int]]) -> Counter:
@@ -193,22 +186,26 @@ def fit(labelled: DataFrame, identity_terms=IDENTITY_TERMS, slots: int = 4096, s
     return ToxicityModel({int(kept[i]): float(w[i]) for i in np.flatnonzero(w)}, float(b))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, folds: int = 5, held_out_fold: int = 0) -> DataFrame:
-    """(text, toxic) of at most ``sample_rows`` labelled documents outside the held-out fold, by a hash of the id.
+def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, folds: int = 5, held_out_fold: int = 0, repeats: int = 4) -> DataFrame:
+    """(text, toxic) of at most ``sample_rows`` labelled ids outside the held-out fold, by a hash of the id.
 
     The sample's ids and labels (16 bytes a row, so under half a megabyte) are broadcast to the documents.
-    A document that repeats its doc_id is taken each time; of a doc_id with several labels the largest counts.
+    Of rows that repeat a doc_id the ``repeats`` first by text are taken, so the sample has a bound in rows; of a doc_id
+    with several labels the largest counts. Empty tables give an empty sample.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold != held_out_fold)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = cut(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return first_rows(rows, "doc_id", ["text"], repeats).select("text", "toxic")
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: str | None = None) -> DataFrame:
     """doc_id, score of every row, or all columns of ``docs`` and the score in a new column named ``keep``.
 
     A null text counts as empty; an empty text's score is the model's bias alone. Repeated rows give repeated rows.
+    Very long texts are scored whole. An empty table gives no rows. Without ``keep`` other columns are not read; with it
+    the caller picks a name that ``docs`` does not have (``common.unused``).
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
