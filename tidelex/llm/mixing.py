@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.llm.common import cut, text_or_empty, unused
+from tidelex.llm.common import cut, first_rows, text_or_empty, unused
 
 SLOTS = 1 << 11
 CACHE_ROWS = 400_000
@@ -56,11 +56,15 @@ def fit_posteriors(labelled: DataFrame, domains: list[str], steps: int = 300, l2
     return w, b
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, domain_col: str, sample_rows: int = 5000) -> DataFrame:
-    """(text, domain) of at most ``sample_rows`` documents of the labelled table, by a hash of the id; their ids are broadcast."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, domain_col: str, sample_rows: int = 5000, repeats: int = 4) -> DataFrame:
+    """(text, domain) of at most ``sample_rows`` ids of the labelled table, by a hash of the id; the ids are broadcast.
+
+    Of rows that repeat a doc_id the ``repeats`` first by domain and text are taken, so the sample has a bound in rows.
+    """
     ids = labels.where("doc_id is not null").select("doc_id").distinct()
     chosen = cut(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
-    return docs.select("doc_id", "text", F.col(domain_col).alias("domain")).where("domain is not null").join(F.broadcast(chosen), "doc_id").select("text", "domain")
+    rows = docs.select("doc_id", "text", F.col(domain_col).alias("domain")).where("domain is not null").join(F.broadcast(chosen), "doc_id")
+    return first_rows(rows, "doc_id", ["domain", "text"], repeats).select("text", "domain")
 
 
 def posteriors(docs: DataFrame, weights: np.ndarray, biases: np.ndarray) -> DataFrame:
@@ -106,13 +110,16 @@ def replay(posterior: np.ndarray, history: np.ndarray, most: float = np.inf) ->
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain_col: str = "lang", total_tokens: float | None = None, sample_rows: int = 5000, steps: int = 40, tolerance: float = 1e-4, seed: int = 7, max_rate: float = np.inf) -> DataFrame:
-    """doc_id, n_tokens, posterior, rate, copies of every row.
+    """doc_id, n_tokens, posterior, rate, copies, residual of every row.
 
     ``targets``: domain to weight, scaled to add up to 1 of ``total_tokens`` (by default all tokens there are).
     ``max_rate`` bounds the rates in every projection, for targets that the documents can only meet by many copies.
     ``copies`` is the rate rounded up or down by a hash of the id, so that its expectation is the rate. A text
     without words has 0 tokens and the rate that its posteriors give. Labelled rows of a null domain or one that
     is not among the targets teach nothing. Repeated rows are documents each. With no documents there are no rows.
+    Columns beside doc_id, text and ``domain_col`` are not read. ``residual`` is the same on every row: the largest
+    distance of a domain's expected tokens from its target, as a share of ``total_tokens``. It exceeds ``tolerance``
+    only where ``steps`` steps did not meet the targets, as when ``max_rate`` puts them out of reach.
     """
     if not targets or min(targets.values()) < 0 or not sum(targets.values()) > 0:
         raise ValueError("targets need nonnegative weights, one of them positive")
@@ -136,7 +143,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
 
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
     rated = soft.withColumn("rate", F.pandas_udf(rates, "double")("posterior"))
-    return rated.withColumn("copies", (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    residual = float(np.abs(now - want).max() / max(total, 1.0))
+    return rated.withColumn("copies", (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("int")).cast("int")).withColumn("residual", F.lit(residual))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **options) -> DataFrame:
