@@ -182,7 +182,8 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
     component_id is the smallest doc_id reachable, itself included. A null or blank text has fingerprint 0 and is
     linked like any other. Repeated rows give repeated rows. Rows without a doc_id link nothing and get a null
-    component. An empty table gives no rows.
+    component. An empty table gives no rows. Very long texts are shingled whole. Only doc_id and text are read, so other
+    columns may have any names.
     """
     partitions = partitions_of(docs)
     fps = cut(fingerprints(docs, words))
