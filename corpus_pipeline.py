@@ -15,6 +15,8 @@ from tidelex.llm.sentencepiece_codec import encode_decode
 from tidelex.llm.shingle_copies import drop_near_copies
 from tidelex.llm.toxicity import fit, score, training_sample
 
+#: Bounds the copies of a document where the documents hold next to nothing of a domain.
+MAX_RATE = 16.0
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -39,8 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to the target weights takes them."""
-    return mix_documents(docs, table(spark, sf_dir, "labels"), queries.TARGETS)
+    """Documents as often as the mix to the target weights takes them, at most ``MAX_RATE`` times as many in expectation."""
+    return mix_documents(docs, table(spark, sf_dir, "labels"), queries.TARGETS, max_rate=MAX_RATE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
