@@ -56,6 +56,15 @@ def test_trees_awkward(spark):
     assert format_paths(reply_paths(empty), empty).count() == 0
 
 
+def test_one_row_of_a_repeated_message(spark):
+    """Parent, score, role and text of a message come from one row."""
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, None, "user", "q2", float("nan")), (1, 3, 2, "assistant", "a text", 1.0), (1, 3, 1, "assistant", "z text", 1.0), (1, 4, 2, "assistant", "other", 0.5)]
+    messages = tree(spark, *rows)
+    made = {r.leaf_id: r.formatted for r in format_paths(reply_paths(messages, None), messages).collect()}
+    assert made == {3: "### user: q</turn>\n### assistant: z text</turn>\n", 4: "### user: q2</turn>\n### assistant: other</turn>\n"}
+    assert [r.leaf_id for r in reply_paths(messages, 1).where("step = 0").collect()] == [3]
+
+
 TEXTS = ["", "\\### Assistant: </turn> ok", "</turn>\n### user: x", "\\b\\l\\h\\c", "a\\\\b<#:", "🙂 é </turn", LONG]
 
 
@@ -103,13 +112,33 @@ def test_top_k(spark, k, blocks, shards):
 
 def test_top_k_large_values_and_empty(spark):
     rows = [(i, [float(1 << 24), float(i), -float(i)]) for i in range(0, 60)]
-    frame = quantised(vectors(spark, rows), scale=float(1 << 20))
+    frame = quantised(vectors(spark, rows), scale=16.0)  # products beyond what doubles hold, within 64 bits
     got = exact_top_k(frame, frame.where("vec_id % 20 = 0"), 5).collect()
     assert len(got) == 15 and all(r.rank <= 5 for r in got)
+    by_int = {i: [int(np.floor(x * 16)) for x in v] for i, v in rows}
+    want = {(q, r + 1, c, -s) for q in range(0, 60, 20) for r, (s, c) in enumerate(sorted((-sum(a * b for a, b in zip(by_int[q], by_int[c], strict=True)), c) for c in by_int if c != q)[:5])}
+    assert set(map(tuple, got)) == want
     none = frame.limit(0)
     assert exact_top_k(none, none).count() == exact_top_k(frame.limit(1), frame.limit(1)).count() == 0
 
 
+def test_top_k_overflow_is_an_error(spark):
+    wide = quantised(vectors(spark, [(0, [1e30, 0.0]), (1, [1.0, 0.0])]))
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        exact_top_k(wide, wide, 5).collect()
+    product = quantised(vectors(spark, [(0, [1e16, 0.0]), (1, [1e16, 0.0])]))
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        exact_top_k(product, product, 5).collect()
+    near = quantised(vectors(spark, [(0, [2.0**30, 2.0**30]), (1, [2.0**24, -(2.0**24)]), (2, [1.0, 0.0])]), scale=64.0)  # sums that cancel
+    assert [tuple(r) for r in exact_top_k(near, near.where("vec_id = 0"), 5).collect()] == [(0, 1, 2, 64 * 64 * 2**30), (0, 2, 1, 0)]
+
+
+def test_top_k_two_vectors_under_one_id(spark):
+    frame = quantised(vectors(spark, [(0, [2.0]), (0, [1.0]), (1, [1.0]), (1, [3.0])]))
+    got = [tuple(r) for r in exact_top_k(frame, frame.where("vec_id = 0"), 5).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 64 * 192), (0, 2, 1, 64 * 64)]
+
+
 # SentencePiece
 
 
@@ -189,6 +218,13 @@ def test_stages(spark, small):
     assert corpus_pipeline.run(spark, small).count() == rows["sentencepiece"]
 
 
+def test_mixing_stage_bounds_copies(spark, frame, small):
+    docs = frame(*PAIRS[:13])  # next to nothing of three of the four languages
+    out = corpus_pipeline.mix_sources(spark, docs, small)
+    assert out.columns == docs.columns and 0 < out.count() <= len(PAIRS[:13]) * (corpus_pipeline.MAX_RATE + 1)
+    assert corpus_pipeline.mix_sources(spark, docs.limit(0), small).count() == 0
+
+
 def test_pipeline_drops_toxic_and_keeps_clean(spark, middle):
     docs, labels = table(spark, middle, "documents"), table(spark, middle, "labels")
     kept = corpus_pipeline.drop_toxic(spark, docs, middle).select("doc_id").withColumn("kept", F.lit(1))
