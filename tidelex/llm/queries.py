@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelex.llm import compression_quality
 from tidelex.llm.chat_trees import format_paths, linear_messages, read_loss, read_turns, reply_paths
 from tidelex.llm.common import table
 from tidelex.llm.exact_dedup import exact_duplicates
@@ -100,6 +101,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = compression_quality.fit(compression_quality.labelled_sample(docs, labels, train=fold != 2))
+    rows = compression_quality.score(docs, model)
+    return rows.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_repeated_passages": op2_repeated_passages,
@@ -111,6 +120,7 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_mixing": op9_mixing,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_compression_quality": op11_compression_quality,
 }
 
 ORACLE_SQL = {
