@@ -17,6 +17,7 @@ from tidelex.llm.mixing import mixing_rates
 from tidelex.llm.passages import remove_repeated_passages
 from tidelex.llm.sentencepiece_codec import encode_decode
 from tidelex.llm.simhash import near_duplicates
+from tidelex.llm.tandem_runs import looped, periodic_runs
 from tidelex.llm.top_k import exact_top_k, quantised
 from tidelex.llm.toxicity import fit, score, training_sample
 
@@ -109,6 +110,22 @@ def op11_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs(looped(table(spark, sf_dir, "documents")), min_words=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return rows.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_repeated_passages": op2_repeated_passages,
@@ -121,6 +138,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_compression_quality": op11_compression_quality,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL = {
