@@ -20,6 +20,7 @@ from tidelex.llm.simhash import near_duplicates
 from tidelex.llm.tandem_runs import looped, periodic_runs
 from tidelex.llm.top_k import exact_top_k, quantised
 from tidelex.llm.toxicity import fit, score, training_sample
+from tidelex.llm.turn_repair import damaged, repair_report
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -126,6 +127,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, dropped = damaged(table(spark, sf_dir, "conversations"))
+    return repair_report(turns, absent=dropped)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_repeated_passages": op2_repeated_passages,
@@ -139,6 +145,7 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_compression_quality": op11_compression_quality,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLE_SQL = {
