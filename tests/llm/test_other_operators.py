@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidelex.llm import queries
+from tidelex.llm.blocks import chunked, pack, unpack
 from tidelex.llm.chat_trees import escape, format_paths, linear_messages, read_loss, read_turns, reply_paths, unescape
 from tidelex.llm.common import table
+from tidelex.llm.katz import _summed
 from tidelex.llm.sentencepiece_codec import ChunkCodec, encode_decode, own_text
 from tidelex.llm.shingle_copies import copy_components, simhash_links
-from tidelex.llm.top_k import exact_top_k, quantised
+from tidelex.llm.top_k import exact_top_k, narrowest, quantised
 
+from ..conftest import DATA
 from .conftest import LONG, PAIRS
 
 # reply trees
@@ -90,11 +93,12 @@ def vectors(spark, rows):
 
 
 def by_hand(rows, is_query, k):
-    usable = {i: np.floor(64 * np.array(v, np.float32).astype(np.float64)).astype(np.int64) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
-    out = set()
-    for q in filter(is_query, usable):
-        scored = sorted((-int(usable[q] @ usable[c]), c) for c in usable if c != q and len(usable[c]) == len(usable[q]))
-        out |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])}
+    usable = [(i, np.floor(64 * np.array(v, np.float32).astype(np.float64)).astype(np.int64)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    out = Counter()
+    for q, x in usable:
+        if is_query(q):
+            scored = sorted((-int(x @ y), c) for c, y in usable if c != q and len(y) == len(x))
+            out.update((q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k]))
     return out
 
 
@@ -103,11 +107,21 @@ def test_top_k(spark, k, blocks, shards):
     rng = np.random.default_rng(k)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 3]) for i in range(150)]  # many ties
     rows += [(200, None), (220, [None, 1.0, 1.0, 1.0]), (240, [float("nan")] * 4), (260, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (280, []), (300, [1.0, 2.0]), (320, [2.0, 1.0]), (301, [3e4] * 4)]
+    rows += [r for r in rows if r[0] is not None and r[0] < 30]  # repeated rows count again
+    rows += [(7, [1.0] * 4)] * 30 + [(40, [0.5] * 4)]
     frame = quantised(vectors(spark, rows))
-    frame = frame.unionByName(frame.where("vec_id < 30"))  # repeated rows count once
     got = exact_top_k(frame, frame.where("vec_id % 20 = 0"), k, blocks, shards).collect()
-    assert len(got) == len(set(map(tuple, got)))
-    assert set(map(tuple, got)) == by_hand(rows, lambda i: i % 20 == 0, k)
+    assert Counter(map(tuple, got)) == by_hand(rows, lambda i: i % 20 == 0, k)
+
+
+def test_top_k_sql_on_repeated_rows(spark, tmp_path, check_sql):
+    """The query and its SQL agree on repeated queries and candidates; null and odd vectors take no part."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 3]) for i in range(90)]
+    rows += rows[:45:3] + rows[:21:20] + [(20, [0.25] * 4), (None, [1.0] * 4), (5, None), (6, [None, 1.0, 1.0, 1.0]), (60, [float("nan")] * 4)]
+    vectors(spark, rows).repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    sql = queries.ORACLE_SQL["op8_exact_top_k"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    check_sql(queries.op8_exact_top_k(spark, str(tmp_path)), sql, f"{DATA}/sf0.001")
 
 
 def test_top_k_large_values_and_empty(spark):
@@ -135,8 +149,13 @@ def test_top_k_overflow_is_an_error(spark):
 
 def test_top_k_two_vectors_under_one_id(spark):
     frame = quantised(vectors(spark, [(0, [2.0]), (0, [1.0]), (1, [1.0]), (1, [3.0])]))
-    got = [tuple(r) for r in exact_top_k(frame, frame.where("vec_id = 0"), 5).orderBy("rank").collect()]
-    assert got == [(0, 1, 1, 64 * 192), (0, 2, 1, 64 * 64)]
+    got = Counter(tuple(r) for r in exact_top_k(frame, frame.where("vec_id = 0"), 5).collect())
+    assert got == Counter([(0, 1, 1, 64 * 192), (0, 2, 1, 64 * 64), (0, 1, 1, 128 * 192), (0, 2, 1, 128 * 64)])
+
+
+@pytest.mark.parametrize(("largest", "kind"), [(0, "tinyint"), (127, "tinyint"), (128, "smallint"), (1 << 15, "int"), (1 << 31, "bigint"), ((1 << 63) - 1, "bigint")])
+def test_narrowest(largest, kind):
+    assert narrowest(largest) == kind
 
 
 # SentencePiece
@@ -231,3 +250,35 @@ def test_pipeline_drops_toxic_and_keeps_clean(spark, middle):
     rows = labels.join(docs.select("doc_id"), "doc_id").join(kept, "doc_id", "left").groupBy("toxic").agg(F.count("kept").alias("kept"), F.count("*").alias("n")).collect()
     share = {r.toxic: r.kept / r.n for r in rows}
     assert share[0] > 0.95 and share[1] < 0.2
+
+
+# conversations as a whole, and chunks
+
+
+def test_chat_query_on_null_ids_and_nothing(spark, tmp_path, check_sql):
+    """Rows without conv_id are a conversation; an empty table leaves conversation -7; code and SQL agree on both."""
+    schema = "conv_id long, turn long, role string, text string, score double, leaf_id string, formatted string"
+    rows = [(None, 0, "user", "q"), (None, None, "assistant", "first"), (3, 1, None, None), (3, 1, "assistant", "a<b>\\"), (3, 0, "us:er#", "x" * 300_000), (4, None, "assistant", "")]
+    for name, held in (("some", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame([(*r, 1.0, "x", "y") for r in held], schema).write.parquet(str(folder / "conversations.parquet"))
+        sql = queries.ORACLE_SQL["op7_chat_trees"].replace("FROM conversations", f"FROM '{folder}/conversations.parquet/*.parquet'")
+        found = queries.op7_chat_trees(spark, str(folder))
+        check_sql(found, sql, f"{DATA}/sf0.001")
+        assert found.count() == (4 if held else 1)
+
+
+def test_chunks_spread_rows_without_ids(spark):
+    """Nine in ten rows have no id, and one id repeats; texts deal them out."""
+    docs = spark.range(1000).select(F.when(F.col("id") >= 900, F.col("id")).when(F.col("id") >= 800, F.lit(7)).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    rows, n, _ = chunked(docs, chunk_bytes=800)
+    sizes = [r["count"] for r in rows.groupBy("chunk").count().collect()]
+    assert n >= 8 and max(sizes) <= 3 * 1000 / n
+
+
+def test_counts_beyond_32_bits():
+    many = (1 << 31) - 1
+    keys = [np.array([3, 9], np.uint64), np.array([3], np.uint64)]
+    held, _, total, place = _summed(keys, [np.array([many, 1], np.int32), np.array([many], np.int32)])
+    told = unpack(pack(total[place]), np.int64)
+    assert held.tolist() == [3, 9] and told.tolist() == [2 * many, 1, 2 * many]

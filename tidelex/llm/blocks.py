@@ -1,7 +1,7 @@
 """Word hashing in blocks, and compact columns of sorted keys.
 
 Corpus-wide questions about short word sequences (how often does this one occur?) are asked by chunk: documents are
-dealt into chunks by a hash of their id, each chunk asks about its distinct keys only, and the keys go in sorted,
+dealt into chunks by a hash of id and text, each chunk asks about its distinct keys only, and the keys go in sorted,
 compressed blocks to the shard that owns their range. A key that fills a third of the corpus is one key per chunk.
 A shard takes many chunks' share of keys, so there are few shards to a chunk; a message holds one key at least, so
 there are never more messages than keys.
@@ -33,7 +33,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, extra: Iterable = (
     total = docs.select(F.sum(F.octet_length(text_or_empty())).alias("n")).first().n or 0
     n = max(partitions_of(docs), -(-total // chunk_bytes), 1)
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int").alias("chunk"), doc_id.alias("doc_id"), text_or_empty().alias("text"), *extra), n, max(LEAST_SHARDS, -(-total // SHARD_BYTES))
+    return docs.select(F.pmod(F.xxhash64(doc_id, text_or_empty()), F.lit(n)).cast("int").alias("chunk"), doc_id.alias("doc_id"), text_or_empty().alias("text"), *extra), n, max(LEAST_SHARDS, -(-total // SHARD_BYTES))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

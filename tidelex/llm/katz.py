@@ -214,7 +214,7 @@ def katz_scores(docs: DataFrame, train) -> DataFrame:
         columns += [np.bincount(at[token == r], minlength=len(own)) for r in range(1, TOP + 1)]
         columns += [np.bincount(at[token > TOP], weights=token[token > TOP], minlength=len(own))]
         about = np.stack(columns, axis=1).astype(np.int64)
-        return answers(2, group, [pack(x.astype(np.int32)) for x in _split(total[place], asked)], [pack(about[x].reshape(-1)) for x in _split(mine, hist)], counts_of_counts(total))
+        return answers(2, group, [pack(x) for x in _split(total[place], asked)], [pack(about[x].reshape(-1)) for x in _split(mine, hist)], counts_of_counts(total))
 
     def scored(key: tuple, group: pa.Table, told: pa.Table) -> pa.Table:
         if not group.num_rows:
@@ -225,7 +225,7 @@ def katz_scores(docs: DataFrame, train) -> DataFrame:
         uni = Unigrams(stats[: TOP + 2], total)
         known, _ = words_known(told)
         pairs = ranked(told, 2)
-        c_pair = np.concatenate([unpack(x["counts"], np.int32) for x in pairs]).astype(np.int64)
+        c_pair = np.concatenate([unpack(x["counts"], np.int64) for x in pairs])
         about = np.concatenate([unpack(x["histories"], np.int64) for x in pairs]).reshape(-1, 2 * TOP + 2)
         codes, place, _ = chunk.pairs()
         hist, of = np.unique(codes // len(chunk.keys), return_inverse=True)

@@ -7,6 +7,7 @@ step of 1 is exact where no rate is at 0. A document's rate follows from its tok
 of residuals, so a step is one pass that sums a vector per domain, and no rates are kept between the steps.
 """
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ from tidelex.llm.common import cut, first_rows, text_or_empty, unused
 
 SLOTS = 1 << 11
 CACHE_ROWS = 400_000
+#: Targets missed by more than this share of all tokens are warned of.
+WARN_RESIDUAL = 0.01
 
 
 def _features(text: str, cache: dict[str, int]) -> np.ndarray:
@@ -119,7 +122,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     is not among the targets teach nothing. Repeated rows are documents each. With no documents there are no rows.
     Columns beside doc_id, text and ``domain_col`` are not read. ``residual`` is the same on every row: the largest
     distance of a domain's expected tokens from its target, as a share of ``total_tokens``. It exceeds ``tolerance``
-    only where ``steps`` steps did not meet the targets, as when ``max_rate`` puts them out of reach.
+    only where ``steps`` steps did not meet the targets, as when ``max_rate`` puts them out of reach; beyond one per
+    cent a warning says so.
     """
     if not targets or min(targets.values()) < 0 or not sum(targets.values()) > 0:
         raise ValueError("targets need nonnegative weights, one of them positive")
@@ -144,6 +148,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
     rated = soft.withColumn("rate", F.pandas_udf(rates, "double")("posterior"))
     residual = float(np.abs(now - want).max() / max(total, 1.0))
+    if residual > max(WARN_RESIDUAL, tolerance):
+        warnings.warn(f"a domain's expected tokens miss their target by {residual:.1%} of all tokens", stacklevel=2)
     return rated.withColumn("copies", (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("int")).cast("int")).withColumn("residual", F.lit(residual))
 
 

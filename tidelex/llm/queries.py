@@ -56,7 +56,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(docs, fit(training_sample(docs, labels)))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,14 +67,17 @@ def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A conversation whose texts look like the template's own control strings.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
+#: Stands for a null conv_id, whose rows are one conversation.
+NO_ID = ""
 
 
 def op7_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
-    messages = linear_messages(table(spark, sf_dir, "conversations").unionByName(own, allowMissingColumns=True))
+    rows = table(spark, sf_dir, "conversations").unionByName(own, allowMissingColumns=True)
+    messages = linear_messages(rows.withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit(NO_ID))))
     made = format_paths(reply_paths(messages, branches=1), messages)
     turns, loss = read_turns(F.col("formatted")), read_loss(F.col("formatted"), F.col("loss_spans"))
-    read = made.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
+    read = made.select(F.nullif("conv_id", F.lit(NO_ID)).cast("long").alias("conv_id"), "formatted", turns.alias("turns"), loss.alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
@@ -175,7 +178,7 @@ ORACLE_SQL = {
     """,
     "op7_chat_trees": r"""
         WITH rows AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
             UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
         ), sized AS (
@@ -190,13 +193,13 @@ ORACLE_SQL = {
     """,
     "op8_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
             FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
         ), ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+            SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,

@@ -14,7 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelex.llm.common import cut
+
 FAN_IN = 8
+#: A table of fewer vectors is still dealt to so many shards, of so many rows at least.
+MIN_SHARDS, MIN_SHARD_ROWS = 16, 2048
 TOPS = "array<struct<score:long,vec_id:long>>"
 
 
@@ -39,8 +43,8 @@ def _largest(m: np.ndarray) -> int:
     return max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))
 
 
-def tile_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query its k best candidates of this tile, by score and then the smaller id, itself left out.
+def tile_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each query in turn scores and ids of its k best candidates of this tile, by score and then the smaller id, itself left out.
 
     Products are exact: in doubles or 64 bits where the tile's largest components allow it, else in Python integers.
     """
@@ -63,43 +67,56 @@ def tile_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
                 pick = np.concatenate([above, ties[: k - len(above)]])
             else:
                 pick = np.arange(len(s))
-            yield int(me), s[pick], c_ids[others[pick]]
+            yield s[pick], c_ids[others[pick]]
+
 
+def narrowest(largest: int) -> str:
+    """The smallest integer type for values of this size."""
+    return next(t for t, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)) if largest < 1 << bits or bits == 63)
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 1024, shard_rows: int = 8192) -> DataFrame:
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 32_768, shard_rows: int = 32_768) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products, ties to the smaller vec_id.
 
-    Both frames are (vec_id long, v array<long>). A query is not its own candidate; with fewer than k candidates
-    all are returned, with none the query has no row. Vectors of another length than the query's are not compared.
-    A repeated query row counts once, and of several vectors under one query's id the smallest (component by component)
-    counts; a repeated candidate row is one candidate. Tables without rows give none. An inner product that does not
-    fit 64 bits is an error.
+    Both frames are (vec_id long, v array<long>). Rows of the query's own id are not its candidates; with fewer than k
+    candidates all are returned, with none the query has no row. Vectors of another length than the query's are not
+    compared. Every row counts: a repeated query row has its list again, a repeated candidate row is a candidate again,
+    and rows of one id with other vectors are queries or candidates of their own. Tables without rows give none. An
+    inner product that does not fit 64 bits is an error.
+
+    Equal rows are counted before they are dealt: of a candidate at most k are, and a query is searched once. With the
+    default sizes both sides move once for every 32,768 rows of the other.
     """
-    vectors, queries = vectors.dropDuplicates(["vec_id", "v"]), queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_blocks = max(1, -(-queries.count() // block_rows))
-    n_shards = max(1, -(-vectors.count() // shard_rows))
-    dealt = lambda df, n, salt: df.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")).withColumn("dim", F.size("v"))
+    queries = cut(queries.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times")).withColumn("own", F.monotonically_increasing_id()))
+    vectors = cut(vectors.groupBy("vec_id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times")))
+    size = F.struct(F.count(F.lit(1)).alias("n"), F.max(F.greatest(F.array_max("v"), F.bitwise_not(F.array_min("v")))).alias("most"))
+    q_size, c_size = queries.agg(size).first()[0], vectors.agg(size).first()[0]
+    n_blocks = max(1, -(-q_size.n // block_rows))
+    n_shards = max(1, -(-c_size.n // shard_rows), min(MIN_SHARDS, c_size.n // MIN_SHARD_ROWS))
+    dealt = lambda df, n, size: df.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")).withColumn("dim", F.size("v")).withColumn("v", F.col("v").cast(f"array<{narrowest(size.most or 0)}>"))
     tiles = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = dealt(queries, n_blocks, 1).select(F.col("part").alias("block"), tiles(n_shards).alias("shard"), "dim", F.col("vec_id").alias("q_id"), F.col("v").alias("q"))
-    right = dealt(vectors, n_shards, 2).select(tiles(n_blocks).alias("block"), F.col("part").alias("shard"), "dim", F.col("vec_id").alias("c_id"), F.col("v").alias("c"))
+    again = F.explode(F.array_repeat(F.col("vec_id"), F.col("times")))
+    left = dealt(queries, n_blocks, q_size).select(F.col("part").alias("block"), tiles(n_shards).alias("shard"), "dim", "own", F.col("vec_id").alias("q_id"), F.col("v").alias("q"))
+    right = dealt(vectors, n_shards, c_size).select("part", "dim", again.alias("c_id"), F.col("v").alias("c"))
+    right = right.select(tiles(n_blocks).alias("block"), F.col("part").alias("shard"), "dim", "c_id", "c")
 
     def tile(key: tuple, q: pa.Table, c: pa.Table) -> pa.Table:
-        ids, tops = [], []
+        tops = []
         if q.num_rows and c.num_rows:
-            found = tile_top_k(q["q_id"].to_numpy(), _matrix(q["q"]), c["c_id"].to_numpy(), _matrix(c["c"]), k)
-            for me, scores, who in found:
-                ids.append(me)
+            for scores, who in tile_top_k(q["q_id"].to_numpy(), _matrix(q["q"]), c["c_id"].to_numpy(), _matrix(c["c"]), k):
                 tops.append([{"score": int(s), "vec_id": int(w)} for s, w in zip(scores, who, strict=True)])
         kind = pa.list_(pa.struct([("score", pa.int64()), ("vec_id", pa.int64())]))
-        return pa.table({"query_id": pa.array(ids, pa.int64()), "node": pa.array([key[1].as_py()] * len(ids), pa.int32()), "tops": pa.array(tops, kind)})
+        found = q.slice(0, len(tops))
+        return pa.table({"own": found["own"], "query_id": found["q_id"], "node": pa.array([key[1].as_py()] * len(tops), pa.int32()), "tops": pa.array(tops, kind)})
 
     by = ["block", "shard", "dim"]
-    lists = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(tile, f"query_id long, node int, tops {TOPS}")
+    lists = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(tile, f"own long, query_id long, node int, tops {TOPS}")
     while True:
         order = lambda a, b: F.when(a.score > b.score, -1).when(a.score < b.score, 1).when(a.vec_id < b.vec_id, -1).when(a.vec_id > b.vec_id, 1).otherwise(0)
         best = F.slice(F.array_sort(F.flatten(F.collect_list("tops")), order), 1, k)
-        lists = lists.groupBy("query_id", F.floor(F.col("node") / FAN_IN).cast("int").alias("node")).agg(best.alias("tops"))
+        lists = lists.groupBy("own", "query_id", F.floor(F.col("node") / FAN_IN).cast("int").alias("node")).agg(best.alias("tops"))
         if n_shards <= FAN_IN:
             break
         n_shards = -(-n_shards // FAN_IN)
+    lists = lists.join(queries.select("own", "times"), "own").withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return lists.select("query_id", F.posexplode("tops").alias("at", "top")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "top.vec_id", "top.score")
