@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelex.operators.text_ratio import close_pairs
 from tidelex.storage import cut
 
 
@@ -37,47 +37,38 @@ def merged_captures(known: DataFrame, found: DataFrame, url: str = "original", t
     return known.unionByName(first_per(new, [digest], [ts, url]))
 
 
-def _letters(text: str) -> bytes:
-    """Counts of the text's characters folded into 64 classes: folding only raises the overlap of two texts."""
-    return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64).astype(np.int32).tobytes()
+#: Texts, and characters, of a block of a large group; two blocks meet in one task.
+BLOCK_ROWS, BLOCK_CHARS = 2048, 2_000_000
 
 
 def _close_pairs(exact: DataFrame, text: str, order: str, threshold: float) -> DataFrame:
     """early, late: rows of one scope at ``threshold`` of similarity or more, the longer (ties by ``order``) first.
 
-    2 min / (a + b) over the lengths and the overlap of letters bound the ratio from above, so no pair is lost.
+    Lengths of close texts lie in one band or in neighbours, so a text goes to its own band and the next one. A group of
+    more than a block's texts is dealt to blocks, which meet two by two; only close pairs leave a task.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({**{c: b[c] for c in ("row", "scope", "at", "size")}, "letters": pa.array([_letters(t) for t in b["body"].to_pylist()], pa.binary())})
-
-    def may_be_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.int32).reshape(-1, 64) for c in ("x", "y"))
-                keep = 2.0 * np.minimum(x, y).sum(axis=1) >= threshold * (x.sum(axis=1) + y.sum(axis=1)) - 1e-6
-                yield pa.RecordBatch.from_pydict({"early": b["early"], "late": b["late"]}).filter(pa.array(keep))
-
-    def is_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, m = [], difflib.SequenceMatcher(None, "", "")
-            for early, late in zip(b["s"].to_pylist(), b["t"].to_pylist(), strict=True):
-                m.set_seqs(late, early)
-                keep.append(m.quick_ratio() >= threshold and m.ratio() >= threshold)
-            yield pa.RecordBatch.from_pydict({"early": b["early"], "late": b["late"]}).filter(pa.array(keep, pa.bool_()))
-
+    width = math.log((2 - threshold) / threshold) * 1.001 + 1e-9
     bodies = exact.select(F.col("__row").alias("row"), F.col("__scope").alias("scope"), F.col(order).cast("string").alias("at"), F.length(text).alias("size"), F.col(text).alias("body"))
-    rows = bodies.mapInArrow(count, "row long, scope string, at string, size int, letters binary")
-    width = math.log((2 - threshold) / threshold) * 1.001 + 1e-9  # lengths of close texts lie in one band or in neighbours
-    rows = cut(rows.withColumn("band", F.floor(F.log(F.greatest("size", F.lit(1))) / width)))
-    long = rows.select("scope", "band", F.col("row").alias("early"), F.col("size").alias("a"), F.col("at").alias("i"), F.col("letters").alias("x"))
-    short = rows.select("scope", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("row").alias("late"), F.col("size").alias("b"), F.col("at").alias("j"), F.col("letters").alias("y"))
-    earlier = (F.col("a") > F.col("b")) | ((F.col("a") == F.col("b")) & (F.struct("i", "early") < F.struct("j", "late")))
-    pairs = long.join(short, ["scope", "band"]).where(earlier & (2.0 * F.col("b") >= threshold * (F.col("a") + F.col("b")) - 1e-6))
-    pairs = cut(pairs.select("early", "late", "x", "y").mapInArrow(may_be_close, "early long, late long"))
-    s, t = bodies.select(F.col("row").alias("early"), F.col("body").alias("s")), bodies.select(F.col("row").alias("late"), F.col("body").alias("t"))
-    return pairs.join(s, "early").join(t, "late").mapInArrow(is_close, "early long, late long")
+    bodies = bodies.withColumn("band", F.floor(F.log(F.greatest("size", F.lit(1))) / width))
+    sizes = bodies.select("scope", "size", F.explode(F.array("band", F.col("band") + 1)).alias("band")).groupBy("scope", "band").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_CHARS), F.lit(1)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")
+    )
+    there = bodies.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    there = there.join(sizes.where("n > 1"), ["scope", "band"]).withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
+    there = there.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = there.select("scope", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", (F.col("own") == F.col("band")).alias("early"), "row", "at", "size", "body")
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        lo, hi = key[2].as_py(), key[3].as_py()
+        rows, block, early = (group[c].to_numpy() for c in ("row", "block", "early"))
+        place = sorted(range(len(rows)), key=lambda i: (-size[i], at[i], rows[i])) if (size := group["size"].to_pylist()) and (at := group["at"].to_pylist()) else []
+        rank = np.empty(len(rows), np.int64)
+        rank[place] = np.arange(len(rows))
+        meet = (lambda i, j: block[j] != block[i]) if lo != hi else (lambda i, j: np.ones(len(j), bool))  # within a block where it meets itself
+        pairs = np.array(list(close_pairs(group["body"].to_pylist(), early, rank, meet, threshold)), np.int64).reshape(-1, 2)
+        return pa.table({"early": rows[pairs[:, 0]], "late": rows[pairs[:, 1]]})
+
+    return tiles.groupBy("scope", "band", "lo", "hi").applyInArrow(compare, "early long, late long")
 
 
 def near_duplicates_removed(rows: DataFrame, scope: list[str], text: str, order: str, threshold: float = 0.92) -> DataFrame:

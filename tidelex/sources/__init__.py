@@ -126,14 +126,15 @@ def write_review(lines: DataFrame, path: str) -> None:
 
 
 def append_new(rows: DataFrame, path: str, on: list[str]) -> None:
-    """Append to a Parquet cache the rows whose key it lacks; of a key that repeats in ``rows`` one row is written."""
+    """Append to a Parquet cache the rows whose key it lacks; of a key that repeats in ``rows`` the least row by the other columns is written."""
     spark = rows.sparkSession
-    known = spark.read.schema(rows.schema).option("ignoreMissingFiles", True).parquet(path) if _exists(spark, path) else None
-    new = rows.dropDuplicates(on)
+    known = spark.read.schema(rows.schema).option("ignoreMissingFiles", True).parquet(path) if path_exists(spark, path) else None
+    rest = [c for c in rows.columns if c not in on]
+    new = rows.groupBy(*on).agg(F.min(F.struct(*rest)).alias("__least")).select(*on, "__least.*").select(*rows.columns) if rest else rows.distinct()
     (new if known is None else new.join(known.select(*on), on, "left_anti").select(*rows.columns)).write.mode("append").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
