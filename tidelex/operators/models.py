@@ -9,6 +9,7 @@ executor is lost before that is asked again.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -77,9 +78,13 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def cached(spark: SparkSession, cache: str, model: Model, key: str) -> DataFrame:
-    """key, answer of all that the cache holds of a model; of a key that two overlapping runs have asked, the least answer."""
+    """key, answer of all that the cache holds of a model now; of a key that two overlapping runs have asked, the least answer.
+
+    Spark takes two reads of one folder for the same, whatever was appended between them, and may use the result of
+    the first for both; so each read has an option of its own.
+    """
     schema = f"{key} string, answer {model.answer}, model string"
-    rows = spark.read.schema(schema).parquet(cache) if path_exists(spark, cache) else spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("readAs", uuid.uuid4().hex).parquet(cache) if path_exists(spark, cache) else spark.createDataFrame([], schema)
     return rows.where(F.col("model") == model.name).groupBy(key).agg(F.min("answer").alias("answer"))
 
 

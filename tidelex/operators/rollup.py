@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,18 +20,22 @@ def ranked(rows: DataFrame, by: list[str], score: str, tie: str, k: int | None =
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Two aggregates of one table side by side; null keys meet."""
+    other = b.select(*[F.col(c).alias(f"__{c}") if c in keys else c for c in b.columns])
+    return a.join(other, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])).drop(*[f"__{c}" for c in keys])
+
+
 def topk_mean(rows: DataFrame, by: list[str], score: str, tie: str, k: int = TOP_K) -> DataFrame:
-    """``by``, raw_topk_mean and k_used: the mean of the k best, or of all where there are fewer."""
+    """``by``, raw_topk_mean and k_used: the mean of the k best, or of all where there are fewer. No more than k rows of a group leave a task."""
     return ranked(rows, by, score, tie, k).groupBy(*by).agg(F.avg(score).alias("raw_topk_mean"), F.count(F.lit(1)).cast("int").alias("k_used"))
 
 
 def period_series(rows: DataFrame, by: list[str], period: str, score: str, tie: str, k: int = TOP_K) -> DataFrame:
     """Top-k mean, k_used and n_chunks per ``by`` and ``period``, with a z-score over the periods of each ``by``."""
     keys = [*by, period]
-    best = ranked(rows, keys, score, tie, None).groupBy(*keys).agg(
-        F.avg(F.when(F.col("rank") <= k, F.col(score))).alias("raw_topk_mean"), F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("k_used"), F.count(F.lit(1)).cast("int").alias("n_chunks")
-    )
-    return with_zscore(best, by, "raw_topk_mean")
+    best, n = topk_mean(rows, keys, score, tie, k), rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n_chunks"))
+    return with_zscore(same_keys(best, n, keys), by, "raw_topk_mean")
 
 
 def with_zscore(series: DataFrame, by: list[str], value: str, name: str = "zscore") -> DataFrame:
@@ -53,29 +59,25 @@ def best_row(fields: list[str], score: str, tie: str, lowest: bool = False) -> C
 def stance_series(rows: DataFrame, by: list[str], inclusion: str, merit: str, tie: str, k: int = TOP_K) -> DataFrame:
     """Mean, top-k mean, maximum and presence of two scores, and extremes of their difference, per group."""
     scored = rows.withColumns({"stance": F.col(inclusion) - F.col(merit), "salience": F.greatest(inclusion, merit)})
-    for c in (inclusion, merit, "salience"):
-        scored = scored.withColumn(f"__{c}", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(c), tie)))
-    top = lambda c: F.avg(F.when(F.col(f"__{c}") <= k, F.col(c))).alias(f"{c}_topk_mean")
-    return scored.groupBy(*by).agg(
+    out = scored.groupBy(*by).agg(
         F.count(F.lit(1)).cast("int").alias("n_chunks"),
-        *[f for c in (inclusion, merit) for f in (F.avg(c).alias(f"{c}_mean"), top(c), F.max(c).alias(f"{c}_max"), presence(c).alias(f"{c}_present"))],
+        *[f for c in (inclusion, merit) for f in (F.avg(c).alias(f"{c}_mean"), F.max(c).alias(f"{c}_max"), presence(c).alias(f"{c}_present"))],
         F.max("stance").alias("stance_max"),
         F.min("stance").alias("stance_min"),
         F.avg("stance").alias("stance_mean"),
-        top("salience"),
         best_row([tie], "stance", tie)[tie].alias("stance_max_id"),
         best_row([tie], "stance", tie, lowest=True)[tie].alias("stance_min_id"),
     )
+    for c in (inclusion, merit, "salience"):
+        out = same_keys(out, topk_mean(scored, by, c, tie, k).select(*by, F.col("raw_topk_mean").alias(f"{c}_topk_mean")), by)
+    return out
 
 
 def bipolar_series(rows: DataFrame, by: list[str], score: str, tie: str, k: int = TOP_K) -> DataFrame:
     """Top-k mean, mean, extremes, and salience: the mean size of the k best scores."""
-    r = ranked(rows, by, score, tie)
-    best = F.when(F.col("rank") <= k, F.col(score))
-    return r.groupBy(*by).agg(
-        F.count(F.lit(1)).cast("int").alias("n_chunks"), F.avg(best).alias("topk_mean"), F.avg(score).alias("mean"), F.max(score).alias("max"), F.min(score).alias("min"),
-        F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("k_used"), F.avg(F.abs(best)).alias("salience"),
-    )
+    best = ranked(rows, by, score, tie, k).groupBy(*by).agg(F.avg(score).alias("topk_mean"), F.count(F.lit(1)).cast("int").alias("k_used"), F.avg(F.abs(score)).alias("salience"))
+    whole = rows.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("n_chunks"), F.avg(score).alias("mean"), F.max(score).alias("max"), F.min(score).alias("min"))
+    return same_keys(whole, best, by)
 
 
 def label_counts(rows: DataFrame, by: list[str], label: str, labels: list[str], prefix: str = "") -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidelex.catalog import query
 from tidelex.functions.vectors import build_axes, cosine, dot, project, unit
 from tidelex.operators import rollup
-from tidelex.operators.joins import series_on_period
 from tidelex.plans.bindings import SQL, axes, scored, table, vectors
 
 
@@ -92,10 +91,8 @@ def performance_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source and year, careers and investor rows apart, thin years marked."""
     s = scored(spark, sf_dir, "inclusion").withColumn("source", F.when(F.col("vec_id") % 3 == 0, "investor").otherwise("careers"))
     by = ["company", "source", "year"]
-    r = rollup.ranked(s, by, "score", "vec_id")
-    out = r.groupBy(*by).agg(
-        F.count(F.lit(1)).cast("int").alias("n_chunks"), F.avg("score").alias("mean"), F.avg(F.when(F.col("rank") <= 5, F.col("score"))).alias("topk_mean"), F.max("score").alias("max"), rollup.presence("score").alias("fraction_present")
-    )
+    whole = s.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("n_chunks"), F.avg("score").alias("mean"), F.max("score").alias("max"), rollup.presence("score").alias("fraction_present"))
+    out = rollup.same_keys(whole, rollup.topk_mean(s, by, "score", "vec_id").withColumnRenamed("raw_topk_mean", "topk_mean"), by)
     return out.select(*by, "n_chunks", _r("mean"), _r("topk_mean"), _r("max"), _r("fraction_present"), (F.col("n_chunks") < rollup.TOP_K).alias("thin"))
 
 
@@ -119,14 +116,6 @@ def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("cosine >= 0.3").select(F.col("vec_id").alias("a"), "b", _r("cosine"))
 
 
-@query(_SERIES + "SELECT a.year, round(a.z, 6) AS altruism, round(b.z, 6) AS control FROM (FROM z WHERE axis = 'altruism' AND company = 1) a FULL JOIN (FROM z WHERE axis = 'control' AND company = 1) b ON a.year = b.year")
-def axis_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two series of one company side by side, on the union of their years."""
-    s = rollup.period_series(scored(spark, sf_dir, "altruism", "control"), ["axis", "company"], "year", "score", "vec_id").where("company = 1")
-    out = series_on_period(s.where("axis = 'altruism'"), s.where("axis = 'control'"), "year", "zscore", ("altruism", "control"), how="full")
-    return out.select("year", _r("altruism"), _r("control"))
-
-
 @query(_SERIES + "SELECT coalesce(a.company, b.company) AS company, coalesce(a.year, b.year) AS year, round(a.z, 6) AS altruism, round(b.z, 6) AS control FROM (FROM z WHERE axis = 'altruism') a FULL JOIN (FROM z WHERE axis = 'control') b ON a.company = b.company AND a.year = b.year")
 def axis_overlay_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two series of every company side by side, on the union of their years."""

@@ -89,12 +89,15 @@ def _votes(language: str) -> str:
     return f"len(list_filter(w, lambda x: list_contains([{listed}], x)))"
 
 
-@query(rf"""
+ENGLISH_SQL = rf"""
     WITH t AS (SELECT doc_id, trim(text) AS t FROM documents),
     r AS (SELECT doc_id, t, CASE WHEN length(t) = 0 THEN 1.0 ELSE length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) / length(t) END AS a, string_split(lower(trim(regexp_replace(t, '\s+', ' ', 'g'))), ' ') AS w FROM t),
     v AS (SELECT *, {_votes('en')} AS own, greatest({_votes('de')}, {_votes('fr')}, {_votes('es')}) AS others FROM r)
     SELECT doc_id, CASE WHEN length(t) < 40 THEN true WHEN a < 0.85 THEN false WHEN own = 0 AND others = 0 THEN a >= 0.92 ELSE own >= others END AS english FROM v
-""")
+"""
+
+
+@query(ENGLISH_SQL)
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.is_english(F.col("text")).alias("english"))
 
