@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from tidelex.functions.html import chunk_filings, filing_chunks, page_chunks
+from tidelex.functions.html import chunk_filings, chunk_pages, filing_chunks, filing_text, filing_texts
 from tidelex.functions.text import filing_sections
 
 
@@ -27,11 +27,12 @@ def test_sections(spark):
         "both": "x Human Capital Management we hire. Available Information ... ITEM 1A. RISK\nFACTORS bad things ITEM 1B. end",
         "culture first": "Human Capital early Item 1A ... Culture and Workforce people Government Regulation",
         "business only": "ITEM 1. BUSINESS we sell. ITEM 1A. nothing",
+        "no-break spaces": "ITEM\u00a01A.\u00a0RISK\u00a0FACTORS many ITEM\u20031B.\u00a0x",
         "none": "plain words", "null": None,
     }
     rows = spark.createDataFrame(list(texts.items()), "name string, t string").select("name", F.explode(filing_sections(F.col("t"))).alias("s")).collect()
     assert {(r["name"], r.s.section, r.s.text) for r in rows} == {
-        ("both", "Human Capital", "we hire."), ("both", "Risk Factors", "bad things"), ("culture first", "Human Capital", "people"), ("business only", "Business", "we sell."),
+        ("both", "Human Capital", "we hire."), ("both", "Risk Factors", "bad things"), ("culture first", "Human Capital", "people"), ("business only", "Business", "we sell."), ("no-break spaces", "Risk Factors", "many"),
     }
     assert spark.createDataFrame([("Human Capital " + "é" * 20_000 + " Item 1A",)], "t string").select(F.length(filing_sections(F.col("t"))[0]["text"]).alias("n")).first().n == 12_000
 
@@ -40,6 +41,34 @@ def test_ids(spark):
     text = sentence(60)
     row = chunk_filings(spark.createDataFrame([(7, 2021, "Business", text), (8, 2021, "Business", None)], "filing_id long, year int, section string, text string")).collect()
     assert [(r.chunk_id, r.timestamp, r.position) for r in row] == [(hashlib.sha256(f"2021:Business:0:{text}".encode()).hexdigest()[:16], "20210101000000", 0)]
-    page = page_chunks(f"<p>{sentence(60)}</p>", "http://a.example/x", "20140304000000")
+    pages = spark.createDataFrame([(1, "http://a.example/x", f"<p>{sentence(60)}</p>", "20140304000000")], "page_id long, url string, html string, timestamp string")
+    page = chunk_pages(pages).collect()
     assert page[0]["chunk_id"] == hashlib.sha256(f"20140304000000|http://a.example/x|0|{sentence(60)}".encode()).hexdigest()[:16]
     assert (page[0]["year"], page[0]["extraction_source"]) == (2014, "dom")
+
+
+HTML = {
+    "<p>ITEM&nbsp;1A.<b>RISK</b>FACTORS</p><p>bad <i>things</i></p>": "ITEM\u00a01A.\nRISK\nFACTORS\nbad\nthings",
+    "a<table><tr><td>x<table><tr><td>y</td></tr></table>z</td></tr></table>b": "a\nb",
+    "a<table><tr><td>never closed<p>b": "a",
+    "</table>a</p></div>b<p>c<div>d": "a\nb\nc\nd",
+    "<script>if (a < b) { x = '<p>no</p>'; }</script>  <style>p {}</style>\n yes <!-- no --> &amp; so": "yes\n& so",
+    "": "", "   ": "",
+}
+
+
+def test_filing_html_to_text(spark):
+    assert {h: filing_text(h) for h in HTML} == {**HTML, "<script>if (a < b) { x = '<p>no</p>'; }</script>  <style>p {}</style>\n yes <!-- no --> &amp; so": "yes  & so"}
+    rows = spark.createDataFrame([(k, h) for k, h in enumerate([*HTML, None])], "k long, html string")
+    got = {r.k: r.text for r in filing_texts(rows).collect()}
+    assert got == {**{k: filing_text(h) for k, h in enumerate(HTML)}, len(HTML): None}
+
+
+def test_filing_from_html_to_chunks(spark):
+    from tidelex import catalog
+
+    html = f"<html><style>x</style><body><p>ITEM&nbsp;1A.&nbsp;RISK&nbsp;FACTORS</p><p>{sentence(60)}</p><table><tr><td>ITEM 1B.</td></tr></table><p>{sentence(50, 'b')}</p><p>ITEM&nbsp;1B. rest</p>"
+    text = filing_texts(spark.createDataFrame([(5, 2020, html)], "filing_id long, year int, html string"))
+    sections = text.select("filing_id", "year", F.explode(filing_sections(F.col("text"))).alias("s")).select("filing_id", "year", "s.section", "s.text")
+    assert [(r.section, r.text, r.word_count) for r in chunk_filings(sections).collect()] == [("Risk Factors", f"{sentence(60)} {sentence(50, 'b')}", 110)]
+    assert "filing_page_chunks" in catalog.QUERIES

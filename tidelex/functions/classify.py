@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.functions.text import contains_any, word_count
+from tidelex.functions.text import CHROME_START, contains_any, word_count
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,6 @@ STANCE_RULES = [
     Rule("affirming_dei", (("inclusion",), ("diversity", "belonging", "equity"))),
 ]
 NAV_TOKENS = r"(?i)\b(?:sign in|today's deals|gift cards|your account|start here|apply now|careers home|browsing history|sponsored by)\b"
-CHROME_START = r"(?i)^(?:Hello\.?\s*Sign in|New customer\?|FREE (?:Two-Day|2-Day)|Your Amazon\.com|Today's Deals|Sponsored by|com\b)"
 LOCATION_HEADING = r"^[A-Z][\w\s.'-]+,\s*(?:Washington|California|Texas|Spain|China|India|Kentucky|UK|Germany|France|Ireland|Australia|Japan|Brazil|Mexico|Ontario|British Columbia)\s*$"
 LOCATION_BODY = r"(?i)\b(?:population|metropolitan area|capital of|located on|office is located|great place to (?:work|live))\b"
 

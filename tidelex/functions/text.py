@@ -9,10 +9,40 @@ from pyspark.sql import functions as F
 
 # Patterns that results depend on.
 SENTENCE_END = r"""(?U)(?<=[.!?…])\s+(?=[A-Z"'(])"""
-NAV_RUN = r"(?U)(?:[^\s][^|»·]{0,45}?\s*(?:\s[-–—|·]\s|»)\s*){3,}"
+#: Possessive after the third link, so that Java goes on in a loop and not by recursion.
+NAV_RUN = r"(?U)(?:[^\s][^|»·]{0,45}?\s*(?:\s[-–—|·]\s|»)\s*){3}(?:[^\s][^|»·]{0,45}?\s*(?:\s[-–—|·]\s|»)\s*)*+"
+NAV_SEPARATOR = r"(?U)\s[-–—|·]\s|»"
 TERMINAL = "[.!?…]"
+URL_LIKE = r"(?i)^https?://|^/|\.(?:png|jpg|jpeg|gif|webp|svg|mp4|woff|ico)(?:\?|$)"
+#: Chrome that old pages carry at the start of their text; any of it may follow any other.
+CHROME_BEFORE = [
+    r"Hello\.?\s*Sign in[^.]*\.?\s*",
+    r"Your Amazon Careers Profile\s*Sign in to existing careers profile\s*",
+    r"New customer\?\s*Start here\s*\.?\s*",
+    r"FREE (?:Two-Day|2-Day) Shipping[^.]*\.?\s*",
+    r"Save on everything you need for college[^.]*\.?\s*",
+    r"Sponsored by [^.]+\s*",
+    r"Your Amazon\.com\s+",
+    r"(?:Today's Deals|Gifts & Wish Lists|Gift Cards|Your Account)\s*(?:\|\s*Help\s*)?",
+    r"(?:Search for Jobs(?:\s+at Amazon)?|Apply Now\s*›|Careers Home|About Amazon|Amazon Values|Inside Amazon|Locations|Benefits|University Recruiting(?:\s+Home)?|Military Recruiting(?:\s+Home)?|How to Apply|FAQ|Disability Accommodations|E-Verify|Code Ninjas|Amazonians on Amazon|Careers at Amazon)[›|\s]*",
+    r"com\s+",
+]
+CHROME_START = r"(?i)^(?:Hello\.?\s*Sign in|New customer\?|FREE (?:Two-Day|2-Day)|Your Amazon\.com|Today's Deals|Sponsored by|com\b)"
+MISSION = [
+    "At Amazon,", r"Work hard\. Have fun\.", "Build your future with Amazon", "Invent the future with Amazon", "Our mission is to be", "We're a company of pioneers", "Come build the future", "Every Amazonian,",
+    "Can one conversation change the world", "At Google, our strategy", "Enjoy what you do", "Let's work together", "Google's mission is",
+]
+NAV_WORDS = r"(?i)\b(?:sign in|today's deals|gift cards|your account|apply now|careers home|careers at amazon|university recruiting)\b"
+MENU_LEFT = r"(?i)\b(?:How to Apply|FAQ|Careers Home|Help)\b"
+CHROME_BEHIND = [
+    r"Amazon\.com Home\s*\|\s*Directory of All Stores", r"Your Recent History\s*\(", r"›\s*View and edit your browsing history", "Amazon ranked America's most reputable company!",
+    "After viewing product detail pages", "Conditions of Use Privacy Notice", "Canada China France Germany Italy Japan United Kingdom",
+]
 LINK_CONTENT = r"(?i)(teams?|students?|benefits|culture|life|locations?|how-we|diversity|belonging|perks|values|mission|intern|grad|veterans|disability|accessibility|care-for|hiring|about)"
 LINK_JOB = r"(?i)(/jobs/results|/jobs/\d|/job/\d|/positions?/|joblisting|search\?|/api/|\.pdf$|\.jpg$|\.png$|\.css$|\.js$|mailto:|javascript:)"
+_BEFORE = "(?iU)^(?:" + "|".join(CHROME_BEFORE) + ")++"
+_MISSION = "(?:" + "|".join(MISSION) + ")"
+_BEHIND = r"(?iU)\s*(?:" + "|".join(CHROME_BEHIND) + ").*$"
 MIN_SENTENCE_WORDS = 6
 MIN_ENGLISH_CHARS = 40
 
@@ -31,8 +61,41 @@ def word_count(text: Column) -> Column:
 
 
 def strip_nav_runs(text: Column) -> Column:
-    """Without runs of three or more short fragments joined by separators."""
-    return squeeze(F.regexp_replace(text, NAV_RUN, " "))
+    """Without runs of three or more short fragments joined by separators; texts with fewer separators aren't searched."""
+    some = F.regexp_count(text, F.lit(NAV_SEPARATOR)) >= 3
+    return squeeze(F.when(some, F.regexp_replace(text, NAV_RUN, " ")).otherwise(text))
+
+
+def without_chrome(text: Column) -> Column:
+    """A squeezed text without the site chrome before and behind what it says.
+
+    Chrome before it is any number of ``CHROME_BEFORE`` in a row. What is left is cut at the first ``MISSION`` phrase in it if the
+    words before that look like a menu. Whatever follows the first of ``CHROME_BEHIND`` is dropped.
+    """
+    begun = squeeze(F.when(text.rlike(_BEFORE), F.regexp_replace(text, _BEFORE, "")).otherwise(text))
+
+    def from_mission(t: Column) -> Column:
+        parts = F.split(t, f"(?i)(?={_MISSION})", 2)
+
+        def cut(p: Column) -> Column:
+            head = F.element_at(p, 1)
+            hits = F.regexp_count(head, F.lit(NAV_WORDS))
+            menu = t.rlike(CHROME_START) | head.rlike(MENU_LEFT) | (hits >= 2) | ((hits >= 1) & (word_count(head) >= 8))
+            return F.when((F.size(p) > 1) & ~t.rlike(f"(?i)^{_MISSION}") & menu, F.trim(F.element_at(p, -1))).otherwise(t)
+
+        return F.when(t.rlike(f"(?i){_MISSION}"), let(parts, cut)).otherwise(t)
+
+    return let(begun, lambda t: squeeze(F.regexp_replace(from_mission(t), _BEHIND, "")))
+
+
+def is_prose(text: Column) -> Column:
+    """Whether a string of an application's state reads like prose: words enough, mostly letters, no address and no JSON."""
+
+    def judged(t: Column) -> Column:
+        letters = F.length(F.regexp_replace(t, r"(?U)[^\p{L}\s]", ""))
+        return (F.length(t) >= 25) & (word_count(t) >= 10) & ~t.rlike(URL_LIKE) & ~t.rlike(r"^[{\[]") & (letters >= 0.75 * F.length(t)) & t.rlike("[A-Za-z]{3,}")
+
+    return let(squeeze(text), judged)
 
 
 def is_link_list(text: Column) -> Column:
@@ -125,15 +188,19 @@ def contains_any(text: Column, terms: list[str]) -> Column:
 
 
 # Sections of annual filings; of several patterns of one section the first that is found counts.
-FILING_END = r"(?:Government Regulation|Intellectual Property|Available Information|ITEM\s*1A)"
-HUMAN_CAPITAL = [rf"(?is){name}(.*?){FILING_END}" for name in ("Culture and Workforce", "Human Capital Management", "Human Capital Resources", "Human Capital")]
+HUMAN_CAPITAL = [
+    r"(?is)Culture and Workforce(.*?)(?:Government Regulation|Intellectual Property|Available Information|ITEM\s*1A)",
+    r"(?is)Human Capital Management(.*?)(?:Government Regulation|Intellectual Property|Available Information|ITEM\s*1A)",
+    r"(?is)Human Capital Resources(.*?)(?:Government Regulation|Intellectual Property|Available Information|ITEM\s*1A)",
+    r"(?is)Human Capital(.*?)(?:Available Information|Government Regulation|Intellectual Property|ITEM\s*1A)",
+]
 RISK_FACTORS = r"(?is)ITEM\s*1A\.?\s*RISK\s*FACTORS(.*?)(?:ITEM\s*1B\.|ITEM\s*2\.|ITEM\s*3\.)"
 BUSINESS = r"(?is)ITEM\s*1\.?\s*BUSINESS(.*?)(?:ITEM\s*1A\.|ITEM\s*2\.)"
 
 
 def filing_sections(text: Column, cap: int = 12_000) -> Column:
     """array<struct<section,text>> of a filing's plain text: Human Capital and Risk Factors, or Business if it has neither; each cut to ``cap`` characters."""
-    flat = F.regexp_replace(text, r"\s+", " ")
+    flat = F.regexp_replace(text, r"(?U)\s+", " ")
     found = lambda p: F.when(flat.rlike(p), F.substring(F.trim(F.regexp_extract(flat, p, 1)), 1, cap))
     one = lambda name, value: F.struct(F.lit(name).alias("section"), value.alias("text"))
     people, risks = F.coalesce(*[found(p) for p in HUMAN_CAPITAL]), found(RISK_FACTORS)

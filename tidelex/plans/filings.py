@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelex.catalog import query
-from tidelex.functions.html import chunk_filings
+from tidelex.functions.html import chunk_filings, filing_texts
 from tidelex.functions.text import BUSINESS, HUMAN_CAPITAL, RISK_FACTORS, filing_sections
 from tidelex.operators.joins import matching_patterns
 from tidelex.plans.bindings import table
 
-#: What stands around a document's text in the synthesised filings, by doc_id % 6.
+#: What stands around a document's text in the synthesised filings, by doc_id % 7.
 FRAMES = [
     ("ITEM 1. BUSINESS ", " Human Capital Management we employ many. Government Regulation x ITEM 1A. RISK FACTORS risks abound. ITEM 1B. none"),
     ("Item 1. Business prose. Culture and Workforce ", " Available Information. Human Capital more Item 1A"),
@@ -19,12 +19,13 @@ FRAMES = [
     ("ITEM 1 BUSINESS ", " ITEM 1A. ITEM 2."),
     ("Human Capital ", " and no end"),
     ("Human Capital Resources\nHuman Capital ", " Intellectual Property"),
+    ("ITEM\u00a01A.\u2003RISK\u00a0\u00a0FACTORS ", " ITEM\u00a01B.\u00a0none"),
 ]
-_FILINGS = "WITH f AS (SELECT doc_id AS filing_id, (2005 + doc_id % 20)::INT AS year, regexp_replace(CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{a}' || text || '{b}'" for k, (a, b) in enumerate(FRAMES)) + r" END, '[ \t\n\v\f\r]+', ' ', 'g') AS t FROM documents)"
+_FILINGS = "WITH f AS (SELECT doc_id AS filing_id, (2005 + doc_id % 20)::INT AS year, regexp_replace(CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN '{a}' || text || '{b}'" for k, (a, b) in enumerate(FRAMES)) + r" END, '[\s\x0b\x{85}\p{Z}]+', ' ', 'g') AS t FROM documents)"
 
 
 def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    around = lambda k: F.element_at(F.array(*[F.lit(f[k]) for f in FRAMES]), (F.col("doc_id") % 6 + 1).cast("int"))
+    around = lambda k: F.element_at(F.array(*[F.lit(f[k]) for f in FRAMES]), (F.col("doc_id") % 7 + 1).cast("int"))
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("filing_id"), (2005 + F.col("doc_id") % 20).cast("int").alias("year"), F.explode(filing_sections(F.concat(around(0), "text", around(1)))).alias("s")).select("filing_id", "year", "s.section", "s.text")
 
@@ -44,6 +45,21 @@ def filing_section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filings(spark, sf_dir)
 
 
+def _filing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as annual filings: no-break spaces, a table that names the next item, and a script."""
+    head = "<html><head><style>p {}</style></head><body><p>ITEM&nbsp;1A.&nbsp;RISK&#160;FACTORS</p>"
+    tail = "<table><tr><td>ITEM 1B.<table><tr><td>within</td></tr></table></td></tr></table><script>ITEM 1B.</script><p>ITEM&nbsp;1B.&nbsp;None"
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("filing_id"), (2005 + F.col("page_id") % 20).cast("int").alias("year"), F.concat(F.lit(head), "html", F.lit(tail)).alias("html"))
+
+
+@query()
+def filing_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings from HTML to text to sections to chunks."""
+    texts = filing_texts(_filing_pages(spark, sf_dir))
+    sections = texts.select("filing_id", "year", F.explode(filing_sections(F.col("text"))).alias("s")).select("filing_id", "year", "s.section", "s.text")
+    return chunk_filings(sections)
+
+
 @query()
 def filing_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of whole sentences, 40 to about 250 words, of every section."""
