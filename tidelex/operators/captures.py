@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,26 +30,26 @@ def digest_timeline(captures: DataFrame, digest: str = "digest", ts: str = "time
     return captures.groupBy(digest).agg(F.array_sort(F.collect_list(ts)).alias("timestamps"))
 
 
-def select_per_year(captures: DataFrame, by: list[str], per_year: int = 4, ts: str = "timestamp") -> DataFrame:
-    """Up to ``per_year`` captures of each year: for evenly spaced months, each time the closest capture not yet taken.
+def select_per_year(captures: DataFrame, by: list[str], tie: list[str], per_year: int = 4, ts: str = "timestamp") -> DataFrame:
+    """Up to ``per_year`` captures of each year: for evenly spaced months, each time the closest capture not yet taken, ties by ``ts`` and ``tie``.
 
-    Months are rounded half to even, so four a year aim at 2, 4, 8 and 10. A choice depends on those before it,
-    which makes a year's captures one group.
+    Months are rounded half to even, so four a year aim at 2, 4, 8 and 10. Of a month no more than its first
+    ``per_year`` captures can be taken, so a year is a fold over an array of bounded size. ``ts`` and ``tie`` make a total order.
     """
-    months = [round((i + 0.5) * 12 / per_year) for i in range(per_year)]
+    months = F.array(*[F.lit(round((i + 0.5) * 12 / per_year)) for i in range(per_year)])
+    rows = captures.withColumns({"year": F.substring(ts, 1, 4).cast("int"), "__month": F.substring(ts, 5, 2).cast("int")})
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by, "year", "__month").orderBy(ts, *tie))).where(F.col("__n") <= per_year).drop("__n")
+    order = [ts, *[c for c in tie if c != ts]]
+    years = first.groupBy(*by, "year").agg(F.array_sort(F.collect_list(F.struct(*order, "__month", F.struct(*[c for c in rows.columns if c != "__month"]).alias("row")))).alias("all"))
+    sized = years.withColumn("all", F.transform("all", lambda x, i: F.struct(i.alias("i"), x["__month"].alias("month"), x["row"].alias("row"))))
 
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(ts, kind="stable").reset_index(drop=True)
-        if len(frame) <= per_year:
-            return frame
-        month, left, taken = frame[ts].str[4:6].astype(int), list(range(len(frame))), []
-        for m in months:
-            taken.append(min(left, key=lambda i: (abs(month[i] - m), i)))
-            left.remove(taken[-1])
-        return frame.loc[sorted(taken)]
+    def take(acc, month):
+        nearest = F.array_min(F.transform(F.filter(F.col("all"), lambda x: ~F.array_contains(acc, x["i"])), lambda x: F.struct(F.abs(x["month"] - month).alias("away"), x["i"].alias("i"))))["i"]
+        return F.when(nearest.isNull(), acc).otherwise(F.concat(acc, F.array(nearest)))
 
-    years = captures.withColumn("year", F.substring(ts, 1, 4).cast("int"))
-    return years.groupBy(*by, "year").applyInPandas(pick, years.schema)
+    taken = sized.withColumn("taken", F.aggregate(months, F.array().cast("array<int>"), take))
+    kept = F.filter("all", lambda x: F.array_contains("taken", x["i"]))
+    return taken.select(F.explode(kept).alias("x")).select("x.row.*").select(*captures.columns, *(["year"] if "year" not in captures.columns else []))
 
 
 def nearest_capture(targets: DataFrame, captures: DataFrame, url: str = "original") -> DataFrame:
@@ -78,13 +77,29 @@ def stride_sample(rows: DataFrame, by: list[str], order: list[str], k: int) -> D
     return numbered.where((F.col("__i") % step == 0) & (F.col("__i") / step < k)).drop("__i", "__n")
 
 
-def latest_filing_per_year(filings: DataFrame, by: list[str]) -> DataFrame:
-    """Parallel arrays of filings to rows, annual reports only, the last of each calendar year."""
-    zipped = filings.select(*by, F.explode(F.arrays_zip("form", "accessionNumber", "filingDate", "primaryDocument")).alias("f")).where("f.form = '10-K'")
+FIRST_FILING_YEAR = 2010
+
+
+def filing_rows(blocks: DataFrame, by: list[str], first_year: int = FIRST_FILING_YEAR) -> DataFrame:
+    """Blocks of parallel arrays (form, accessionNumber, filingDate, primaryDocument) as rows: annual reports from ``first_year`` on."""
+    zipped = blocks.select(*by, F.explode(F.arrays_zip("form", "accessionNumber", "filingDate", "primaryDocument")).alias("f")).where("f.form = '10-K'")
     rows = zipped.select(*by, F.substring("f.filingDate", 1, 4).cast("int").alias("year"), "f.filingDate", "f.accessionNumber", "f.primaryDocument")
+    return rows.where(F.col("year") >= first_year)
+
+
+def latest_filing_per_year(filings: DataFrame, by: list[str], first_year: int = FIRST_FILING_YEAR) -> DataFrame:
+    """The last annual report of each calendar year, from blocks of parallel arrays; ties to the larger accession number."""
+    rows = filing_rows(filings, by, first_year)
     return rows.groupBy(*by, "year").agg(F.max_by(F.struct("filingDate", "accessionNumber", "primaryDocument"), F.struct("filingDate", "accessionNumber")).alias("f")).select(*by, "year", "f.*")
 
 
+def last_filings(filings: DataFrame, cik: str, n: int, archives: str) -> DataFrame:
+    """The ``n`` latest years of each company, with padded ``cik`` and the address of the document below ``archives``."""
+    latest = filings.withColumn("__n", F.row_number().over(Window.partitionBy(cik).orderBy(F.desc("year")))).where(F.col("__n") <= n).drop("__n")
+    url = F.concat_ws("/", F.lit(archives), F.col(cik).cast("long").cast("string"), F.replace("accessionNumber", F.lit("-"), F.lit("")), "primaryDocument")
+    return latest.withColumns({"source_url": url, cik: F.lpad(F.col(cik).cast("string"), 10, "0")})
+
+
 def discovered_links(links: DataFrame, fetched: DataFrame, captures: DataFrame) -> DataFrame:
     """url, status, n_parents: already_fetched, no_cdx (no capture known) or candidate."""
     urls = links.groupBy("url").agg(F.count(F.lit(1)).alias("n_parents"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelex.catalog import query
 from tidelex.functions.html import chunk_pages, coverage, link_pages
 from tidelex.operators import captures
-from tidelex.operators.dedup import merged_captures, unseen
+from tidelex.operators.dedup import first_per, merged_captures, unseen
 from tidelex.operators.joins import joined_in_blocks
 from tidelex.plans.bindings import table
 
@@ -81,12 +81,33 @@ def digest_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.digest_timeline(capture_rows(spark, sf_dir)).select("digest", F.array_join("timestamps", ",").alias("timestamps"))
 
 
-@query()
+def _picks(rows: str, by: str) -> str:
+    """SQL: the greedy choice of four of each year, one month after the other."""
+    taken = [f"p{k} AS (SELECT {by}, year, min_by(i, abs(month - {m}) * 1000000 + i) AS i FROM nn WHERE n > 4{''.join(f' AND ({by}, year, i) NOT IN (SELECT ({by}, year, i) FROM p{j})' for j in range(k))} GROUP BY {by}, year)" for k, m in enumerate((2, 4, 8, 10))]
+    numbered = f"nn AS (SELECT *, row_number() OVER (PARTITION BY {by}, year ORDER BY timestamp, event_id) AS i, count(*) OVER (PARTITION BY {by}, year) AS n FROM {rows})"
+    return ", ".join([numbered, *taken]) + f", pp AS (SELECT * FROM nn WHERE n <= 4 OR ({by}, year, i) IN ({' UNION ALL '.join(f'SELECT ({by}, year, i) FROM p{k}' for k in range(4))}))"
+
+
+# Captures whose months are moved by the event's id, so that they spread over some years.
+_MOVED = _CAPTURES + ", mv AS (SELECT event_id, urlkey, original, digest, ts, strftime(ts::DATE + to_months((event_id % 30)::INT), '%Y%m%d') || '000000' AS timestamp FROM e JOIN (SELECT event_id, ts FROM events) USING (event_id)), mm AS (SELECT *, substr(timestamp, 1, 4)::INT AS year, substr(timestamp, 5, 2)::INT AS month FROM mv)"
+
+
+def _moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = capture_rows(spark, sf_dir)
+    return rows.withColumn("timestamp", F.date_format(F.add_months(F.to_timestamp("timestamp", "yyyyMMddHHmmss"), (F.col("event_id") % 30).cast("int")), "yyyyMMddHHmmss")).drop("year")
+
+
+@query(f"{_MOVED}, {_picks('mm', 'urlkey')} SELECT urlkey, year, timestamp, event_id FROM pp")
 def captures_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four captures of each URL and year, near evenly spaced months."""
-    rows = capture_rows(spark, sf_dir)
-    shifted = rows.withColumn("timestamp", F.date_format(F.add_months(F.to_timestamp("timestamp", "yyyyMMddHHmmss"), (F.col("event_id") % 30).cast("int")), "yyyyMMddHHmmss")).drop("year")
-    return captures.select_per_year(shifted, ["urlkey"]).select("urlkey", "year", "timestamp", "event_id")
+    return captures.select_per_year(_moved(spark, sf_dir), ["urlkey"], ["event_id"]).select("urlkey", "year", "timestamp", "event_id")
+
+
+@query(f"{_MOVED}, uu AS (SELECT *, event_id % 7 AS site FROM mm QUALIFY row_number() OVER (PARTITION BY urlkey, digest ORDER BY timestamp, event_id) = 1), {_picks('uu', 'site')} SELECT site, year, timestamp, event_id FROM pp")
+def selected_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first capture of each page's digest, and of these four a site and year."""
+    unique = first_per(_moved(spark, sf_dir), ["urlkey", "digest"], ["timestamp", "event_id"]).withColumn("site", F.col("event_id") % 7)
+    return captures.select_per_year(unique, ["site"], ["event_id"]).select("site", "year", "timestamp", "event_id")
 
 
 @query(_CAPTURES + " SELECT event_type, count(*) FILTER (year = 2023) AS y2023, count(*) FILTER (year = 2024) AS y2024 FROM e GROUP BY event_type")
@@ -130,16 +151,35 @@ def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.stride_sample(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 5).select("user_id", "event_id")
 
 
-@query("""
-    WITH f AS (SELECT c_custkey % 50 AS cik, CASE WHEN o_orderkey % 3 = 0 THEN '10-K' ELSE '8-K' END AS form, o_orderkey::VARCHAR AS acc, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders JOIN customer ON o_custkey = c_custkey)
-    SELECT cik, substr(d, 1, 4)::INT AS year, arg_max(d, row(d, acc)) AS "filingDate", arg_max(acc, row(d, acc)) AS "accessionNumber" FROM f WHERE form = '10-K' GROUP BY 1, 2
-""")
-def latest_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parallel arrays of filings, decoded; the last annual report of each year."""
+# Orders as filings of 2009 and later: a company's recent ones in one block, those it made before in another.
+_REPORTS = """
+    WITH f AS (SELECT c_custkey % 50 AS cik, CASE WHEN o_orderkey % 3 = 0 THEN '10-K' ELSE '8-K' END AS form, lpad(o_orderkey::VARCHAR, 10, '0') || '-09-' || o_orderkey % 7 AS acc, strftime(o_orderdate + INTERVAL 14 YEAR, '%Y-%m-%d') AS d FROM orders JOIN customer ON o_custkey = c_custkey),
+    y AS (SELECT cik, substr(d, 1, 4)::INT AS year, arg_max(d, row(d, acc)) AS "filingDate", arg_max(acc, row(d, acc)) AS "accessionNumber" FROM f WHERE form = '10-K' AND d >= '2010' GROUP BY 1, 2)
+"""
+
+
+def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    form = F.when(F.col("o_orderkey") % 3 == 0, "10-K").otherwise("8-K")
-    arrays = o.groupBy((F.col("c_custkey") % 50).alias("cik"), "o_custkey").agg(*[F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", x.alias("x")))), lambda s: s["x"]).alias(n) for n, x in (("form", form), ("accessionNumber", F.col("o_orderkey").cast("string")), ("filingDate", F.date_format("o_orderdate", "yyyy-MM-dd")), ("primaryDocument", F.lit("doc")))])
-    return captures.latest_filing_per_year(arrays, ["cik"]).select("cik", "year", "filingDate", "accessionNumber")
+    key, date = F.col("o_orderkey"), F.add_months("o_orderdate", 168).cast("string")
+    fields = {"form": F.when(key % 3 == 0, "10-K").otherwise("8-K"), "accessionNumber": F.concat(F.lpad(key.cast("string"), 10, "0"), F.lit("-09-"), (key % 7).cast("string")), "filingDate": date, "primaryDocument": F.lit("doc.htm")}
+    by = [(F.col("c_custkey") % 50).alias("cik"), (F.year("o_orderdate") >= 1999).alias("recent")]
+    blocks = o.groupBy(*by).agg(*[F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", x.alias("x")))), lambda s: s["x"]).alias(n) for n, x in fields.items()])
+    return captures.latest_filing_per_year(blocks, ["cik"])
+
+
+@query(_REPORTS + "FROM y")
+def latest_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recent and historical blocks of filings, decoded; the last annual report of each year from 2010 on."""
+    return _latest(spark, sf_dir).select("cik", "year", "filingDate", "accessionNumber")
+
+
+@query(_REPORTS + """
+    SELECT lpad(cik::VARCHAR, 10, '0') AS cik, year, 'https://filings.example/data/' || cik || '/' || replace("accessionNumber", '-', '') || '/doc.htm' AS source_url
+    FROM y QUALIFY row_number() OVER (PARTITION BY cik ORDER BY year DESC) <= 3
+""")
+def filing_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each company's three latest annual reports."""
+    return captures.last_filings(_latest(spark, sf_dir), "cik", 3, "https://filings.example/data").select("cik", "year", "source_url")
 
 
 @query("""

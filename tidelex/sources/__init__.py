@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelex.storage import kept
+
 CHUNK = "chunk_id string, text string, heading string, source_url string, timestamp string, year int, word_count int, position int, extraction_source string"
 AXIS = "name string, single_pole boolean, sentences array<struct<pole:string,label:string,position:int,sentence:string>>"
 MANUAL = "file string, url string, capture_date string, source string"
@@ -87,6 +91,93 @@ def manual_captures(spark: SparkSession, folder: str, listed: DataFrame) -> Data
     return rows.select(F.col("url").alias("original"), "timestamp", "digest", F.concat_ws("_", "timestamp", F.concat("digest", F.lit(".html"))).alias("html_file"), F.coalesce("source", F.lit("manual")).alias("source"), "file")
 
 
+BLOCK = "form array<string>, accessionNumber array<string>, filingDate array<string>, primaryDocument array<string>"
+
+
+def read_filing_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """cik and parallel arrays of a folder of saved filing indexes: the recent block of each company's file, and the historical files that it names.
+
+    A company's file is ``CIK`` and ten digits; a historical file that no company's file names gives no row.
+    """
+    fields = BLOCK.replace(" array", ":array").replace(", ", ",")
+    company = f"cik string, filings struct<recent:struct<{fields}>,files:array<struct<name:string>>>"
+    read = lambda schema, names: spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", names).json(folder)
+    files = read(company, "CIK??????????.json")
+    named = files.select("cik", F.explode("filings.files.name").alias("name")).distinct()
+    old = read(BLOCK, "CIK*-*.json").withColumn("name", F.col("_metadata.file_name"))
+    recent = files.where("filings.recent is not null").select("cik", "filings.recent.*")
+    return recent.unionByName(named.join(old, "name").drop("name"))
+
+
+ANSWER_FIELDS = ["urlkey", "timestamp", "original", "mimetype", "statuscode", "digest", "length"]
+
+
+def read_index_answers(spark: SparkSession, folder: str, url: str | None = None, match_type: str | None = None, from_ts: str = "2005", to_ts: str | None = None, status: str | None = "200", monthly: bool = True) -> DataFrame:
+    """Captures of saved index answers, as an index query returns them.
+
+    An answer is a JSON array of rows of which the first names the fields, in a folder ``match_type=.../site=.../since=.../until=...``
+    (years) of the question that it answers; folders that the arguments rule out are not opened. A time stamp counts as
+    in range by the digits that the bounds have. ``url`` is compared with the address, as a whole or, for the match types
+    prefix, host and domain, by what it begins with, its host, or its host and those below it. ``monthly`` keeps the first capture of each URL and month. An empty
+    answer gives no row, a missing length is 0.
+    """
+    files = spark.read.option("wholetext", True).schema("value string, match_type string, site string, since int, until int").text(folder)
+    site = lambda u: F.regexp_replace(F.regexp_replace(F.lower(u), r"^[a-z]+://", ""), r"^www\.", "")
+    files = files.where(F.col("until") >= int(from_ts[:4]))
+    if to_ts:
+        files = files.where(F.col("since") <= int(to_ts[:4]))
+    if match_type:
+        files = files.where(F.col("match_type") == match_type)
+    answers = files.select("match_type", F.from_json("value", "array<array<string>>").alias("rows")).where(F.size("rows") > 1)
+    rows = answers.select("match_type", F.explode(F.slice("rows", 2, F.size("rows") - 1)).alias("r"), F.element_at("rows", 1).alias("h")).withColumn("record", F.map_from_arrays("h", "r"))
+    found = rows.select(*[F.col("record")[c].alias(c) for c in ANSWER_FIELDS], "match_type").withColumn("length", F.coalesce(F.expr("try_cast(length as int)"), F.lit(0)))
+    found = found.where(F.left("timestamp", F.lit(len(from_ts))) >= from_ts)
+    if to_ts:
+        found = found.where(F.left("timestamp", F.lit(len(to_ts))) <= to_ts)
+    if status:
+        found = found.where(F.col("statuscode") == status)
+    if url:
+        here, wanted = site(F.col("original")), site(F.lit(url))
+        host = lambda u: F.regexp_extract(u, r"^[^/?#:]*", 0)
+        below = (host(here) == host(wanted)) | F.endswith(host(here), F.concat(F.lit("."), host(wanted)))
+        rule = {"exact": F.rtrim(here, F.lit("/")) == F.rtrim(wanted, F.lit("/")), "prefix": F.startswith(here, wanted), "host": host(here) == host(wanted), "domain": below}
+        found = found.where(rule[match_type or "exact"])
+    found = found.drop("match_type").distinct()
+    if not monthly:
+        return found
+    first = Window.partitionBy("urlkey", F.left("timestamp", F.lit(6))).orderBy("timestamp", "digest", "original")
+    return found.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+
+
+def publish(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Replace the entries of ``rows`` (one per value of ``by``) in a published table and leave all others.
+
+    Entries are folders that the commit of the write renames into place, so a job that fails leaves the old ones,
+    and writers of different entries do not meet. The rows are computed before, as they may be read from the table itself.
+    """
+    ready = kept(rows, "published")
+    ready.repartition(*by).sortWithinPartitions(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+MANIFEST = "company string, display_name string, axes array<string>"
+
+
+def published(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
+    """A published table; no rows where nothing has been published. Each read sees what is there now."""
+    return spark.read.schema(schema).option("readAs", uuid.uuid4().hex).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def publish_manifest(entries: DataFrame, path: str, replace: bool = False) -> None:
+    """Put (company, display_name, axes) into the manifest: the name anew, the axes added to those there, or, with ``replace``, instead of them.
+
+    ``control`` is an overlay of other axes and never listed. Axes are sorted; of entries that repeat a company the axes are joined.
+    """
+    new = entries.groupBy("company").agg(F.min("display_name").alias("display_name"), F.flatten(F.collect_list("axes")).alias("axes"))
+    old = published(entries.sparkSession, path).select("company", F.col("axes").alias("old"))
+    both = new.join(old, "company", "left").withColumn("axes", F.col("axes") if replace else F.concat("axes", F.coalesce("old", F.array().cast("array<string>"))))
+    publish(both.select("company", "display_name", F.array_sort(F.array_distinct(F.filter("axes", lambda a: a != "control"))).alias("axes")), path, ["company"])
+
+
 def read_series(spark: SparkSession, path: str | list[str], years: str = YEARS) -> DataFrame:
     """company, axis and a row per year of published series; older files nest years by level, sentences before chunks."""
     levels = f"struct<sentence:struct<years:{years}>,chunk:struct<years:{years}>>"
