@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelex.catalog import query
-from tidelex.functions import classify, text
+from tidelex.functions import classify, language, text
 from tidelex.operators import rollup
 from tidelex.operators.dedup import first_per, near_duplicates_removed
 from tidelex.operators.joins import shares_ngram
@@ -102,6 +102,14 @@ def english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.is_english(F.col("text")).alias("english"))
 
 
+@query()
+def detected_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a profile that is learned from the documents that have labels, and whether it passes as English."""
+    docs = table(spark, sf_dir, "documents")
+    profile = language.learn(docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi"))
+    return docs.select("doc_id", language.language_of(F.col("text"), profile).alias("language"), language.is_english(F.col("text"), profile).alias("english"))
+
+
 #: A cascade over words that occur in the fixtures, with the shape of the shipped ones.
 FIXTURE_RULES = [
     classify.Rule("civilizational_mission", pattern=r"(?i)\b(?:idiot|scum)\b"),
