@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelex.storage import cut
 
@@ -41,30 +42,37 @@ def overridden(predicted: DataFrame, overrides: DataFrame, on: str, label: str,
 
 
 def nearest(left: DataFrame, right: DataFrame, on: list[str], left_at: Column, right_at: Column, fields: list[str], tie: list[str]) -> DataFrame:
-    """Per left row of a shared key the right row at the least distance, ties by ``tie``.
+    """Per left row of a shared key the right row at the least distance, ties by ``tie``, in the column ``nearest``.
 
-    The join is an equality join on ``on``; the least distance is a partial aggregate, so no key's candidates are
-    gathered. ``left`` columns must be unique as a whole row.
+    Both sides are merged in one order per key, where each left row sees the last right row before it and the first one
+    behind; no pairs are made. Left rows without place, key or any right row of their key are left out.
     """
-    candidate = right.select(*on, F.struct(*fields).alias("__row"), right_at.alias("__at"), F.struct(*tie).alias("__tie"))
-    pairs = left.withColumn("__me", left_at).join(candidate, on)
-    best = F.min_by("__row", F.struct(F.abs(F.col("__me") - F.col("__at")), F.col("__tie")))
-    return pairs.groupBy(*left.columns).agg(best.alias("nearest"))
+    rows = right.select(*on, right_at.alias("__at"), F.struct(*fields).alias("__row"), F.struct(*tie).alias("__tie")).where(F.col("__at").isNotNull())
+    once = rows.groupBy(*on, "__at").agg(F.min_by(F.struct("__at", "__tie", "__row"), "__tie").alias("__there"))
+    mine = left.select(*on, left_at.alias("__at"), F.struct(*left.columns).alias("__me")).where(F.col("__at").isNotNull())
+    both = mine.unionByName(once, allowMissingColumns=True).where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]))
+    w = Window.partitionBy(*on).orderBy("__at", F.col("__there").isNull())  # a right row at the same place comes before
+    before = F.last("__there", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    behind = F.first("__there", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    seen = both.withColumns({"__before": before, "__behind": behind}).where("__me is not null and (__before is not null or __behind is not null)")
+    away = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("__at") - F.col(f"{c}.__at")).alias("away"), F.col(f"{c}.__tie").alias("tie"), F.col(f"{c}.__row").alias("row")))
+    return seen.select("__me.*", F.array_min(F.filter(F.array(away("__before"), away("__behind")), lambda x: x.isNotNull()))["row"].alias("nearest"))
 
 
 def within(points: DataFrame, at: str, spans: DataFrame, first: str, last: str) -> DataFrame:
-    """Points with every span that holds them, ends included.
+    """Points with every span that holds them, ends (integers) included.
 
-    Spans are cut into unit steps of the (integer) axis, so the join is one on equality and needs no nested loop.
+    A span lies in one or two bins of the least power of two that is longer than it; a point is looked up once for
+    each of the lengths, 64 at most, that a first pass finds. So neither side multiplies with the length of the spans.
     """
-    steps = spans.withColumn("__at", F.explode(F.sequence(F.col(first), F.col(last))))
-    return points.join(steps, points[at] == steps["__at"]).drop("__at")
-
-
-def series_on_period(a: DataFrame, b: DataFrame, period: str, value: str, names: tuple[str, str], how: str = "inner") -> DataFrame:
-    """Two series side by side."""
-    left = a.select(period, F.col(value).alias(names[0]))
-    return left.join(b.select(period, F.col(value).alias(names[1])), period, how)
+    bits = F.length(F.bin(F.col(last).cast("long") - F.col(first).cast("long")))
+    sized = spans.where(F.col(first) <= F.col(last)).withColumn("__bits", bits)
+    known = sorted(r["__bits"] for r in sized.select("__bits").distinct().collect())
+    lowest, highest = (F.expr(f"shiftright(cast(`{c}` as bigint), __bits)") for c in (first, last))
+    bins = sized.withColumn("__bin", F.explode(F.sequence(lowest, highest)))
+    asked = points.withColumn("__bits", F.explode(F.array(*[F.lit(b) for b in known]) if known else F.array().cast("array<int>")))
+    asked = asked.withColumn("__bin", F.expr(f"shiftright(cast(`{at}` as bigint), __bits)"))
+    return asked.join(bins, ["__bits", "__bin"]).where(F.col(at).between(F.col(first), F.col(last))).drop("__bits", "__bin")
 
 
 def matching_patterns(rows: DataFrame, text: str, patterns: DataFrame) -> DataFrame:

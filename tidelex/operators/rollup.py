@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelex.functions.vectors import cosine
+from tidelex.operators.cosine import close_to_any
 
 TOP_K = 5
 PRESENCE = 0.25
@@ -126,13 +126,15 @@ def text_churn(rows: DataFrame, by: list[str], period: str, text: str) -> DataFr
 def carried_forward(rows: DataFrame, by: list[str], period: str, key: str, vector: str, threshold: float = 0.95) -> DataFrame:
     """``by``, period, carried_forward_frac: the share of vectors with a cosine of ``threshold`` or more to one of the period before.
 
-    The first period of a group is null. Rows meet the period before only, by an equality join on group and period.
+    The first period of a group is null. Rows meet those of the period before only, in blocks; a vector that is null or
+    zero is close to none.
     """
     keys = [*by, period]
     before = rows.select(*keys).distinct().withColumn("before", F.lag(period).over(Window.partitionBy(*by).orderBy(period)))
     now = rows.join(before, keys)
-    old = rows.select(*by, F.col(period).alias("before"), F.col(vector).alias("old"))
-    close = now.join(old, [*by, "before"]).where(cosine(F.col(vector), F.col("old")) >= threshold).select(*keys, key).distinct().withColumn("hit", F.lit(1))
+    old = rows.select(*by, F.col(period).alias("before"), key, vector)
+    close = close_to_any(now.select(*by, "before", key, vector), old, [*by, "before"], key, vector, threshold).withColumn("hit", F.lit(1))
+    close = close.join(before.select(*keys, "before"), [*by, "before"]).select(*keys, key, "hit")
     return now.join(close, [*keys, key], "left").groupBy(*keys).agg(F.when(F.first("before").isNotNull(), F.avg(F.coalesce("hit", F.lit(0)))).alias("carried_forward_frac"))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelex.catalog import query
-from tidelex.functions.vectors import build_axes, cosine, dot, project, unit
+from tidelex.functions.vectors import build_axes, cosine, project
 from tidelex.operators import rollup
+from tidelex.operators.cosine import close_pairs
 from tidelex.plans.bindings import SQL, axes, scored, table, vectors
 
 
@@ -110,10 +111,8 @@ def carried_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL + "SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.u, b.u), 6) AS cosine FROM v a JOIN v b ON a.company = b.company AND a.vec_id < b.vec_id WHERE list_inner_product(a.u, b.u) >= 0.3")
 def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one company at a cosine of 0.3 or more."""
-    v = vectors(spark, sf_dir).select("company", "vec_id", unit(F.col("embedding")).alias("u"))
-    b = v.select("company", F.col("vec_id").alias("b"), F.col("u").alias("w"))
-    pairs = v.join(b, "company").where("vec_id < b").withColumn("cosine", dot(F.col("u"), F.col("w")))
-    return pairs.where("cosine >= 0.3").select(F.col("vec_id").alias("a"), "b", _r("cosine"))
+    v = vectors(spark, sf_dir).select("company", "vec_id", "embedding")
+    return close_pairs(v, v, ["company"], "vec_id", "embedding", 0.3, ordered=True).select("a", "b", _r("cosine"))
 
 
 @query(_SERIES + "SELECT coalesce(a.company, b.company) AS company, coalesce(a.year, b.year) AS year, round(a.z, 6) AS altruism, round(b.z, 6) AS control FROM (FROM z WHERE axis = 'altruism') a FULL JOIN (FROM z WHERE axis = 'control') b ON a.company = b.company AND a.year = b.year")
