@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tidelex.plans import curation, filings, model_queries, page_queries, reports, series, statistics, text_queries  # noqa: E402, F401
+from tidelex.plans import curation, filings, model_queries, page_queries, reports, series, statistics, stories, text_queries  # noqa: E402, F401

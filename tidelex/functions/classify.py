@@ -105,3 +105,40 @@ def change_log(relabels: DataFrame, id_col: str = "chunk_id") -> DataFrame:
 
 def era(year: Column) -> Column:
     return F.when(year < 2015, "early").when(year < 2020, "middle").otherwise("late")
+
+
+# Stances of quotable texts, with the pattern that finds them and the sources that they are looked for in.
+PERFORMANCE_STANCES = [
+    ("work_hard_play_hard", "Work hard, play hard", r"(?is)work hard.*(?:play hard|have fun|make history)|play here.*dream here", ("careers",)),
+    ("raise_the_bar", "Raise the bar", r"(?i)raise the bar|relentlessly high standards|unreasonably high", ("careers", "investor")),
+    ("flexible_autonomy", "Trust over hours", r"(?i)no set hours|whatever schedule suits you", ("careers",)),
+    ("move_fast", "Move fast", r"(?i)move fast|milliseconds and terabytes|immediate impact", ("careers",)),
+    ("mission_intensity", "Mission intensity", r"(?i)future of the West|mission-critical|optimize for impact|hardest problems.*smartest", ("careers",)),
+    ("not_a_family", "Not a family", r"(?i)not a family|dream team|stunning colleagues|keeper test|adequate performance", ("careers",)),
+    ("high_performer", "High-performer ultimatum", r"(?i)outsized reward|generous severance|championship team|faint of heart|pushed beyond what you think", ("careers",)),
+    ("mission_focused", "Mission-focused", r"(?i)mission.?focused|apolitical|political activism|refuge from division|stay focused on making progress toward the mission", ("careers",)),
+    ("investor_tone", "Investor-facing", r"(?i)perform at a high level|competition for qualified personnel|work hard to create|talented personnel|high.?performing", ("investor",)),
+]
+DEI_STANCES = [
+    ("explicit_inclusion", "Explicit inclusion", r"(?i)\b(?:diversity|inclusion|belonging|equity|underrepresented|representation|accessibility)\b", ("careers", "investor")),
+    ("apolitical", "Apolitical workplace", r"(?i)political activism|refuge from division|apolitical|unrelated to our mission while at work", ("careers", "investor")),
+    ("not_a_family", "Not a family", r"(?i)not a family|professional sports team|stunning colleagues", ("careers", "investor")),
+    ("meritocracy", "Meritocracy rhetoric", r"(?i)meritocracy|best idea wins|best person|A players|top talent", ("careers", "investor")),
+    ("civilizational_mission", "Civilizational mission", r"(?i)future of the West|West's most important|mission-critical outcomes|judged by outcomes|uncompromising engineering|build with consequence", ("careers", "investor")),
+]
+#: What distinctive phrasing adds to a score: stance, pattern, bonus; the first that is found counts.
+BONUS = [("mission_intensity", r"(?i)future of the West|optimize for impact", 0.08), ("mission_intensity", r"(?i)hardest problems.*smartest", 0.05)]
+INCLUSION_TERMS = r"(?i)\b(?:diversity|inclusion|belonging|equity|underrepresented|black|latinx|hispanic|women|lgbtq|disability|accessibility|bias|representation|affirmative)\w*\b"
+
+
+def stance_hits(quotes: DataFrame, stances: list[tuple], text: str = "text", source: str = "source") -> DataFrame:
+    """The quotes with each stance whose pattern is found in them and that their source is looked through for."""
+    found = [F.when(F.col(text).rlike(pattern) & F.col(source).isin(*sources), F.struct(F.lit(name).alias("stance"), F.lit(label).alias("stance_label"))) for name, label, pattern, sources in stances]
+    return quotes.withColumn("__hit", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()))).select(*quotes.columns, "__hit.*")
+
+
+def with_bonus(score: Column, stance: Column, text: Column) -> Column:
+    out = F.lit(0.0)
+    for name, pattern, bonus in reversed(BONUS):
+        out = F.when((stance == name) & text.rlike(pattern), F.lit(bonus)).otherwise(out)
+    return score + out

@@ -9,9 +9,9 @@ from pyspark.sql.window import Window
 from tidelex.operators.dedup import first_per
 
 
-def term_tracking(hits: DataFrame, term: str, period: str, score: str, text: str, tie: str, cut: int = 200) -> DataFrame:
-    """term, first_year, last_year, max_score, n_hits, example: the text of the best hit, cut to ``cut`` characters."""
-    return hits.groupBy(F.col(term).alias("term")).agg(
+def term_tracking(hits: DataFrame, term: str, period: str, score: str, text: str, tie: str, cut: int = 200, by: list[str] | None = None) -> DataFrame:
+    """``by``, term, first_year, last_year, max_score, n_hits, example: the text of the best hit, cut to ``cut`` characters."""
+    return hits.groupBy(*(by or []), F.col(term).alias("term")).agg(
         F.min(period).alias("first_year"), F.max(period).alias("last_year"), F.max(score).alias("max_score"), F.count(F.lit(1)).alias("n_hits"),
         F.substring(F.min_by(text, F.struct(-F.col(score), F.col(tie))), 1, cut).alias("example"),
     )
@@ -22,6 +22,23 @@ def found_terms(rows: DataFrame, text: str, pattern: str) -> DataFrame:
     return rows.withColumn("term", F.explode(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), F.lower)))
 
 
+def high_scoring(sentences: DataFrame, by: list[str], text: str, score: str, threshold: float = 0.3) -> DataFrame:
+    """sentence_id, ``by``, text, score: sentences that reach the threshold, each once in ``by`` with its best score; the id is made of the text."""
+    best = sentences.where(F.col(score) >= threshold).groupBy(*by, text).agg(F.max(score).alias(score))
+    return best.select(F.left(F.sha2(text, 256), F.lit(12)).alias("sentence_id"), *by, text, score)
+
+
+def story(highlights: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row: highlights, an array in the order of stance and pick, and lexicons, a map of each lexicon's terms in the order of their first year.
+
+    Both tables are bounded by the quotas and pattern lists that made them.
+    """
+    quotes = F.array_sort(F.collect_list(F.struct("stance", "pick", *[c for c in highlights.columns if c not in ("stance", "pick")])))
+    era = terms.groupBy("lexicon").agg(F.array_sort(F.collect_list(F.struct("first_year", *[c for c in terms.columns if c not in ("lexicon", "first_year")]))).alias("terms"))
+    lexicons = era.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lexicon", "terms")))).alias("lexicons"))
+    return highlights.agg(quotes.alias("highlights")).join(F.broadcast(lexicons), F.lit(True))
+
+
 def quota_pick(rows: DataFrame, group: str, owner: str, score: str, tie: str, quota: int = 3) -> DataFrame:
     """Per group the best of each owner first, then the best of the rest, ``quota`` rows; ``pick`` is their order by score.
 

@@ -145,6 +145,11 @@ def peak_and_latest(series: DataFrame, by: list[str], period: str, value: str) -
     )
 
 
+def first_substantive(series: DataFrame, by: list[str], period: str, value: str, least: float) -> DataFrame:
+    """``by``, first_year: the first period whose value reaches ``least``, else the first of all."""
+    return series.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col(value) >= least, F.col(period))), F.min(period)).alias("first_year"))
+
+
 def largest_drop(series: DataFrame, by: list[str], period: str, value: str) -> DataFrame:
     """The period of the largest fall from the one before it, at or after the peak; null where nothing falls."""
     w = Window.partitionBy(*by)
