@@ -45,7 +45,7 @@ def test_greedy_near_duplicates(spark):
 def test_no_close_pair_is_left(spark, small):
     groups = defaultdict(list)
     for r in catalog.QUERIES["near_duplicates_removed_by_group"](spark, small).collect():
-        groups[r.company, r.year].append(r.sentence)
+        groups[r.company, r.year].append(r.text)
     assert groups
     for texts in groups.values():
         texts.sort(key=lambda t: -len(t))
@@ -59,7 +59,7 @@ def test_near_duplicates_of_whole_chunks(spark, tmp_path):
     docs += [(120 + 20 * k, " ".join(f"v{x}" for x in range(k, 60 + k))) for k in range(6)]  # chains whose ends are not close
     frame = spark.createDataFrame([(i, t, "en", "acme") for i, t in docs], "doc_id long, text string, lang string, source string")
     frame.write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r.doc_id, r.sentence) for r in catalog.QUERIES["near_duplicates_removed_by_group"](spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.text) for r in catalog.QUERIES["near_duplicates_removed_by_group"](spark, str(tmp_path)).collect()}
     want = greedy_by_hand([(f"{i:05d}", t) for i, t in docs if t is not None], 0.92)
     assert got == {(int(i), t) for i, t in want} and {0, 40, 60, 80} <= {i for i, _ in got} and 20 not in {i for i, _ in got}
 

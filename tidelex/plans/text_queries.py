@@ -219,18 +219,32 @@ def register_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.cumulative_stack(register_counts(spark, sf_dir), ["company", "year"], classify.REGISTERS)
 
 
-@query(CHUNK_SQL + r"""
-    , k AS (
-        SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'mission_brand' ELSE 'benefits_perks' END AS label,
-               len(regexp_extract_all(text, '(?i)\b(?:the|der|de)\b')) / greatest(len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')), 1) AS share FROM c
+_WORDS = r"len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> ''))"
+_QUOTED = {k: v.replace("'", "''") for k, v in {"tokens": classify.NAV_TOKENS, "chrome": text.CHROME_START, "place": classify.LOCATION_HEADING, "body": classify.LOCATION_BODY}.items()}
+
+
+@query(CHUNK_SQL + rf"""
+    , n AS (SELECT *, {_WORDS} AS n FROM c),
+    m AS (
+        SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'benefits_perks' ELSE 'mission_brand' END AS label, CASE doc_id % 4 WHEN 2 THEN 'St. Mary''s, Washington' ELSE 'Our work' END AS heading,
+               CASE doc_id % 4 WHEN 0 THEN repeat('Today''s Deals sign in ', n // 10 + 1) || text WHEN 1 THEN 'Well, ' || repeat('gift cards ', n // 5 + 1) || text WHEN 2 THEN text || ' Its population grows.' ELSE text END AS text FROM n
+    ),
+    k AS (SELECT *, len(regexp_extract_all(text, '{_QUOTED['tokens']}')) / greatest({_WORDS}, 1) AS share FROM m),
+    r AS (
+        SELECT *, CASE WHEN regexp_matches(text, '{_QUOTED['chrome']}') AND share > 0.08 THEN 'nav chrome prefix' WHEN share > 0.12 THEN 'high nav token fraction'
+                       WHEN regexp_matches(trim(heading), '{_QUOTED['place']}') AND regexp_matches(text, '{_QUOTED['body']}') THEN 'location page' END AS reason FROM k WHERE label = 'mission_brand'
     )
-    SELECT doc_id, label AS "from", 'navigation_junk' AS "to", CASE WHEN regexp_matches(text, '^(?:The|Der|De)\b') AND share > 0.08 THEN 'nav chrome prefix' ELSE 'high nav token fraction' END AS reason
-    FROM k WHERE label = 'mission_brand' AND ((regexp_matches(text, '^(?:The|Der|De)\b') AND share > 0.08) OR share > 0.12)
+    SELECT doc_id, label AS "from", 'navigation_junk' AS "to", reason FROM r WHERE reason IS NOT NULL
 """)
 def relabel_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of the relabel rules, with frequent fixture words as navigation tokens."""
-    rows = chunks(spark, sf_dir).select("doc_id", "text", F.lit("").alias("heading"), F.when(F.col("doc_id") % 2 == 0, "mission_brand").otherwise("benefits_perks").alias("label"))
-    return classify.change_log(classify.relabelled(rows, nav_tokens=r"(?i)\b(?:the|der|de)\b", chrome=r"^(?:The|Der|De)\b"), "doc_id")
+    """What the shipped relabel rules change, over documents with menus before them, gift cards within and places above."""
+    n, kind = text.word_count(F.col("text")), F.col("doc_id") % 4
+    menu = F.concat(F.repeat(F.lit("Today's Deals sign in "), (F.floor(n / 10) + 1).cast("int")), "text")
+    cards = F.concat(F.lit("Well, "), F.repeat(F.lit("gift cards "), (F.floor(n / 5) + 1).cast("int")), "text")
+    body = F.when(kind == 0, menu).when(kind == 1, cards).when(kind == 2, F.concat("text", F.lit(" Its population grows."))).otherwise(F.col("text"))
+    heading = F.when(kind == 2, "St. Mary's, Washington").otherwise("Our work")
+    label = F.when(F.col("doc_id") % 5 == 4, "benefits_perks").otherwise("mission_brand")
+    return classify.change_log(classify.relabelled(chunks(spark, sf_dir).select("doc_id", body.alias("text"), heading.alias("heading"), label.alias("label"))), "doc_id")
 
 
 @query(CHUNK_SQL + """
@@ -250,9 +264,9 @@ def exact_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def near_duplicates_removed_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy near-duplicate removal within company and year, on the whole texts of chunks (in the column ``sentence``)."""
-    rows = chunks(spark, sf_dir).select("company", "year", "doc_id", F.col("text").alias("sentence"), F.format_string("%020d", "doc_id").alias("at"))
-    return near_duplicates_removed(rows, ["company", "year"], "sentence", "at").select("company", "year", "doc_id", "sentence")
+    """Greedy near-duplicate removal within company and year, on the whole texts of chunks."""
+    rows = chunks(spark, sf_dir).select("company", "year", "doc_id", "text", F.format_string("%020d", "doc_id").alias("at"))
+    return near_duplicates_removed(rows, ["company", "year"], "text", "at").select("company", "year", "doc_id", "text")
 
 
 @query(r"SELECT page_id, url, regexp_matches(url, '(?i)(teams?|students?|benefits|culture|life|locations?|how-we|diversity|belonging|perks|values|mission|intern|grad|veterans|disability|accessibility|care-for|hiring|about)') AND NOT regexp_matches(url, '(?i)(/jobs/results|/jobs/\d|/job/\d|/positions?/|joblisting|search\?|/api/|\.pdf$|\.jpg$|\.png$|\.css$|\.js$|mailto:|javascript:)') AS content, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') AS host, regexp_replace(url, '[?#].*$', '') AS bare FROM pages")
