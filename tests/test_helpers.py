@@ -48,3 +48,27 @@ def test_records_prefixes_and_means(spark):
     assert sorted(r.id for r in curate.distinct_prefix(quotes, "text", 10, [F.desc("id")]).collect()) == [2, 3]
     series = spark.createDataFrame([("a", 2010, 1.0), ("b", 2010, 3.0), ("b", 2011, None)], "company string, year int, v double")
     assert {r.year: (r.industry_mean, r.n_groups) for r in rollup.group_mean(series, "year", "v").collect()} == {2010: (2.0, 2), 2011: (None, 0)}
+
+
+def test_temporary_tables_are_deleted(spark):
+    from tidelex.sources import path_exists
+    from tidelex.storage import kept, scratch, temporary
+
+    outside = kept(spark.range(3), "outside").inputFiles()[0].rpartition("/")[0]
+    with temporary(spark):
+        rows = kept(spark.range(5), "inside")
+        inside, empty = rows.inputFiles()[0].rpartition("/")[0], scratch(spark, "never-written")
+        with temporary(spark):
+            nested = kept(spark.range(2), "nested").inputFiles()[0].rpartition("/")[0]
+        assert rows.count() == 5 and path_exists(spark, inside) and not path_exists(spark, nested)
+    assert path_exists(spark, outside) and not path_exists(spark, inside) and not path_exists(spark, empty)
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_shared_ngrams_either_way(spark, monkeypatch, most):
+    from tidelex.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_GRAMS", most)
+    rows = spark.createDataFrame([(1, ["a b", "b c"]), (2, ["x y"]), (3, None), (4, ["b c", "b c"])], "k int, g array<string>")
+    other = spark.createDataFrame([(["b c", "q"],), (None,)], "h array<string>")
+    assert sorted(r.k for r in joins.shares_ngram(rows, "k", "g", other, "h").collect()) == [1, 4]

@@ -12,6 +12,8 @@ from tidelex.storage import cut
 
 #: Rows of a table that one broadcast may hold: at some 30 kB a row, 120 MB.
 BLOCK_ROWS = 4096
+#: n-grams that one broadcast may hold: at some 100 bytes, 20 MB.
+BROADCAST_GRAMS = 200_000
 
 
 def joined_in_blocks(rows: DataFrame, few: DataFrame, on: Column, most: int = BLOCK_ROWS) -> DataFrame:
@@ -81,6 +83,12 @@ def matching_patterns(rows: DataFrame, text: str, patterns: DataFrame) -> DataFr
 
 
 def shares_ngram(rows: DataFrame, key: str, grams: str, other: DataFrame, other_grams: str) -> DataFrame:
-    """Distinct keys of rows that share an n-gram with ``other``."""
-    theirs = other.select(F.explode(other_grams).alias("gram")).distinct()
+    """Distinct keys of rows that share an n-gram with ``other``.
+
+    The other side's n-grams are counted first; up to BROADCAST_GRAMS of them go along with the tasks, so that only
+    keys are shuffled, more are met in a shuffle of both sides.
+    """
+    theirs = cut(other.select(F.explode(other_grams).alias("gram")).distinct())
+    if theirs.count() <= BROADCAST_GRAMS:
+        theirs = F.broadcast(theirs)
     return rows.select(key, F.explode(grams).alias("gram")).join(theirs, "gram", "left_semi").select(key).distinct()

@@ -69,13 +69,19 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return front * out
 
 
+MOST_PAIRINGS = 100_000
+
+
 def bradley_terry(judgments: DataFrame, iterations: int = 200) -> DataFrame:
     """player, strength from (a, b, winner) rows, by minorisation steps that add up to 1 each time.
 
-    Wins and games are counted by Spark; the steps run over the table of players (tens) on the driver. A player
-    without games gets 1e-9, one without wins 0.
+    Wins and games are counted by Spark; the steps run over the table of players (tens) on the driver, and more than
+    MOST_PAIRINGS different pairs of players are an error. A player without games gets 1e-9, one without wins 0.
     """
     spark = judgments.sparkSession
+    pairings = judgments.select(F.least("a", "b"), F.greatest("a", "b")).distinct().count()
+    if pairings > MOST_PAIRINGS:
+        raise ValueError(f"{pairings} pairs of players; the strengths are fitted on the driver, for {MOST_PAIRINGS} at most")
     games = judgments.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()
     wins = {r.winner: r.n for r in judgments.groupBy("winner").agg(F.count(F.lit(1)).alias("n")).collect()}
     players = sorted({p for r in games for p in (r.a, r.b)})

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +35,30 @@ def cut(df: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for a written table in the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/tidelex/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tidelex/{name}-{uuid.uuid4().hex}"
+    for paths in _temporary:
+        paths.append(path)
+    return path
+
+
+_temporary: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what ``scratch`` and ``kept`` made within; results have to be written or collected before.
+
+    Checkpoints are Spark's own: ``spark.cleaner.referenceTracking.cleanCheckpoints`` has them deleted.
+    """
+    paths: list[str] = []
+    _temporary.append(paths)
+    try:
+        yield
+    finally:
+        _temporary.remove(paths)
+        for path in paths:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def kept(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
