@@ -1,4 +1,8 @@
-"""A training corpus from documents in five stages, each written as Parquet and read by the next."""
+"""A training corpus from documents in five stages, each written as Parquet and read by the next.
+
+In every stage a null text counts as empty, texts are read whole however long they are, an empty table gives an empty
+one, and columns beside doc_id, text and lang may have any names; all stages but the last keep them as they are.
+"""
 
 from __future__ import annotations
 
@@ -21,14 +25,24 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below 0.5."""
+    """Documents that the classifier scores below 0.5.
+
+    Rows that repeat, or have no doc_id, are scored each. Without labels of both kinds there is nothing to tell documents
+    apart by, and none goes.
+    """
     model = fit(training_sample(docs, table(spark, sf_dir, "labels")))
+    if not model.weights:
+        return docs
     (column,) = unused(docs, "toxicity")
     return score(docs, model, keep=column).where(F.col(column) < 0.5).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest doc_id."""
+    """Of equal texts the document with the smallest doc_id; empty texts are equal.
+
+    A null doc_id stays only where no equal text has one. Rows that repeat doc_id and text stay once; if they differ in other
+    columns, one of them stays whole.
+    """
     return drop_exact_duplicates(docs, keep="smallest")
 
 
@@ -41,12 +55,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to the target weights takes them, at most ``MAX_RATE`` times as many in expectation."""
+    """Documents as often as the mix to the target weights takes them, at most ``MAX_RATE`` times as many in expectation.
+
+    Where that bound, or what the documents hold, puts a target out of reach, a warning tells by how much. Rows that
+    repeat a doc_id, or have none, are copied as often as each other. Without labelled rows nothing tells the domains apart.
+    """
     return mix_documents(docs, table(spark, sf_dir, "labels"), queries.TARGETS, max_rate=MAX_RATE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the text decoded from them."""
+    """doc_id, token ids of every document, and digests of the ids and of the text decoded from them; other columns are left out.
+
+    Repeated rows are encoded each; an empty text has the begin and the end id.
+    """
     return encode_decode(docs, queries.tokenizer_path(), keep_ids=True)
 
 
