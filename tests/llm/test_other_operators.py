@@ -282,3 +282,23 @@ def test_counts_beyond_32_bits():
     held, _, total, place = _summed(keys, [np.array([many, 1], np.int32), np.array([many], np.int32)])
     told = unpack(pack(total[place]), np.int64)
     assert held.tolist() == [3, 9] and told.tolist() == [2 * many, 1, 2 * many]
+
+
+@pytest.mark.parametrize("taught", [True, False])
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, none, tmp_path, taught):
+    """Every stage takes nulls, repeats, long texts, clashing names and nothing at all, with and without labels."""
+    labels = [(5, 1, 0), (6, 1, 0), (7, 0, 0), (10, 1, 0), (11, 1, 0), (8, 0, 1), (12, None, None), (None, 1, 1)] if taught else []
+    for name, docs in (("some", awkward), ("none", none)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        rows = table(spark, folder, "documents")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            made = stage(spark, rows, folder)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert made.columns == docs.columns
+                made.write.parquet(f"{folder}/{k}")
+                rows = spark.read.parquet(f"{folder}/{k}")
+        assert {"doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"} <= set(made.columns)
+        assert made.count() == rows.count() and (made.count() > 0) == (name == "some")
+        assert corpus_pipeline.run(spark, folder).count() == made.count()
