@@ -36,7 +36,7 @@ def _sql(s: str) -> str:
 
 _TEXTS = MODEL_SQL + f"""
     , sx AS (
-        SELECT doc_id, source AS company, (2005 + doc_id // 20 % 10)::INT AS year, CASE WHEN doc_id // 200 % 3 = 0 THEN 'investor' ELSE 'careers' END AS source, chunk_id,
+        SELECT doc_id, source AS company, (2005 + doc_id // 20 % 10)::INT AS year, CASE WHEN doc_id // 7 % 3 = 0 THEN 'investor' ELSE 'careers' END AS source, chunk_id,
                CASE doc_id % {len(PHRASES)} {' '.join(f"WHEN {k} THEN {_sql(p)}" for k, p in enumerate(PHRASES))} END || ' ' || text AS text
         FROM (SELECT *, company AS source FROM mc)
     ),
@@ -53,7 +53,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
     rows = chunks(spark, sf_dir).where("text is not null").select(
         "doc_id", "chunk_id", "company", F.col("company").alias("heading"), (2005 + F.floor(F.col("doc_id") / 20) % 10).cast("int").alias("year"),
-        F.when(F.floor(F.col("doc_id") / 200) % 3 == 0, "investor").otherwise("careers").alias("source"), F.concat(phrase, F.lit(" "), "text").alias("text"),
+        F.when(F.floor(F.col("doc_id") / 7) % 3 == 0, "investor").otherwise("careers").alias("source"), F.concat(phrase, F.lit(" "), "text").alias("text"),
     )
     return rows.withColumn("register", _register(F.col("text"))), axes, cache
 
