@@ -115,7 +115,8 @@ def linear_messages(conversations: DataFrame) -> DataFrame:
     """Reply trees of (conv_id, turn, role, text) rows, in which each turn answers the one before it.
 
     Rows with the same turn follow each other by role and text, a null turn comes first. The score is the text's
-    length in code points.
+    length in code points. Rows of a null conv_id are numbered as one conversation, which ``reply_paths`` leaves out unless
+    the caller gives it an id. Texts of any length are taken whole, an empty table gives no rows, other columns are not read.
     """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("msg_id", F.row_number().over(order).cast("long"))

@@ -82,7 +82,8 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", memtables: int = 4
     Texts are equal when their bytes are; null counts as empty. Of equal texts the row with the smallest (or
     largest) doc_id stays. Rows that repeat both doc_id and text come back as one row with n_rows > 1 and each
     counts in group_size. A null doc_id never wins over one that is set; a group with null ids only keeps null.
-    An empty table gives no rows. Other columns are not read, so their names do not matter.
+    An empty table gives no rows. Texts of any length are hashed and compared whole. Other columns are not read, so
+    their names do not matter.
     """
     spark = docs.sparkSession
     index = DigestIndex(spark, keep=keep, memtables=memtables)
@@ -114,7 +115,11 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", memtables: int = 4
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest", memtables: int = 4) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged; rows that repeat doc_id and text stay once."""
+    """The rows of ``docs`` that stay, all columns unchanged, whatever their names; rows that repeat doc_id and text stay once.
+
+    If such rows differ in other columns, one of them stays as it is; which one may change from run to run. Nulls, long
+    texts and empty tables as in ``exact_duplicates``.
+    """
     id_, digest, key, own = unused(docs, "__id", "__digest", "__key", "__own")
     stay = exact_duplicates(docs, keep, memtables).where("kept").select(F.col("doc_id").alias(id_), F.unhex("digest").alias(digest))
     mine = docs.withColumns({own: F.unhex(sha256_hex(text_or_empty())), key: F.col("doc_id").cast("long")})

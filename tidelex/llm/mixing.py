@@ -118,7 +118,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     ``targets``: domain to weight, scaled to add up to 1 of ``total_tokens`` (by default all tokens there are).
     ``max_rate`` bounds the rates in every projection, for targets that the documents can only meet by many copies.
     ``copies`` is the rate rounded up or down by a hash of the id, so that its expectation is the rate. A text
-    without words has 0 tokens and the rate that its posteriors give. Labelled rows of a null domain or one that
+    without words has 0 tokens and the rate that its posteriors give; a very long one is read whole. Labelled rows of a null domain or one that
     is not among the targets teach nothing. Repeated rows are documents each. With no documents there are no rows.
     Columns beside doc_id, text and ``domain_col`` are not read. ``residual`` is the same on every row: the largest
     distance of a domain's expected tokens from its target, as a share of ``total_tokens``. It exceeds ``tolerance``
