@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from tidelex.operators import dedup
+from tidelex.operators import dedup, text_ratio
 from tidelex.operators.text_ratio import Tile, close_pairs, common_subsequence, runs
 
 LETTERS = "etaoin shrdlu" * 6 + "bcfgjkmpqvwxyz.,ETA"
@@ -36,8 +36,10 @@ def family(rnd):
     return sorted({x for b in bases for x in (b, changed(rnd, b), changed(rnd, b), changed(rnd, changed(rnd, b)))})
 
 
+@pytest.mark.parametrize("hot", [0, 3, 64])
 @pytest.mark.parametrize("threshold", [0.6, 0.8, 0.92, 0.97])
-def test_close_pairs_like_difflib(threshold):
+def test_close_pairs_like_difflib(monkeypatch, threshold, hot):
+    monkeypatch.setattr(text_ratio, "HOT_TEXTS", hot)
     rnd, hits = random.Random(int(100 * threshold)), 0
     for _ in range(30):
         texts = family(rnd)

@@ -9,7 +9,9 @@ being matched block by block, and neither loses a pair:
   hundredth of b at most, but for one block at the very beginning; so K is at most their number in b, and 1.
 - Blocks are a common subsequence, so M is at most the length of the longest one.
 
-An inverted index of the runs counts what a text has in common with all others of its tile at once.
+An inverted index of the runs counts what a text has in common with all others of its tile at once. Runs that more than
+HOT_TEXTS texts hold are not listed: two texts have as many of these in common as the one with fewer of them holds, at
+most, and the pairs that this leaves are counted one by one.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 
 Q = 5
+HOT_TEXTS = 64
 U = np.uint64
 
 
@@ -62,7 +65,7 @@ class Tile:
     def __post_init__(self) -> None:
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.rare = np.array([rare_characters(t) for t in self.texts], np.int64)
-        each = [runs(t) for t in self.texts]
+        self.runs = each = [runs(t) for t in self.texts]
         rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
         codes = np.concatenate([np.zeros(0, U), *each])
         order = np.argsort(codes, kind="stable")
@@ -70,7 +73,8 @@ class Tile:
         new = np.r_[True, codes[1:] != codes[:-1]] if len(codes) else np.zeros(0, bool)
         begin = np.flatnonzero(new)
         length = np.diff(np.r_[begin, len(codes)])
-        shared = np.repeat(length > 1, length)  # a run of one text only is in no overlap
+        self.hot = np.bincount(rows[np.repeat(length > HOT_TEXTS, length)], minlength=len(each))
+        shared = np.repeat((length > 1) & (length <= HOT_TEXTS), length)  # a run of one text only is in no overlap
         self.rows = rows[shared]
         begin = np.flatnonzero(new[shared])
         length = np.diff(np.r_[begin, len(self.rows)])
@@ -80,7 +84,7 @@ class Tile:
         self.first = np.searchsorted(self.rows[by_row], np.arange(len(self.texts) + 1))
 
     def overlaps(self, i: int) -> np.ndarray:
-        """How many runs text i has in common with each text."""
+        """How many listed runs text i has in common with each text."""
         mine = self.entries[self.first[i] : self.first[i + 1]]
         size = self.length[mine]
         at = np.arange(int(size.sum())) + np.repeat(self.begin[mine] - (np.cumsum(size) - size), size)
@@ -94,7 +98,13 @@ class Tile:
             return late
         least = np.ceil(threshold * total / 2 - 1e-6).astype(np.int64)
         blocks = np.minimum(self.rare[i], total - 2 * least + 1)
-        return late[self.overlaps(i)[late] >= least - (Q - 1) * blocks]
+        least = least - (Q - 1) * blocks
+        may = self.overlaps(i)[late] + np.minimum(self.hot[i], self.hot[late]) >= least
+        late, least = late[may], least[may]
+        if self.hot[i]:
+            common = np.fromiter((len(np.intersect1d(self.runs[i], self.runs[j], assume_unique=True)) for j in late.tolist()), np.int64, len(late))
+            late = late[common >= least]
+        return late
 
 
 def common_subsequence(a: str, b: str) -> int:
