@@ -89,6 +89,15 @@ def test_filing_indexes(spark, tmp_path):
     assert sorted((r.cik, r.source_url) for r in rows) == [("0000000007", "https://a.example/data/7/0213/c.htm"), ("0000000008", "https://a.example/data/8/0201/g.htm")]
 
 
+def test_filings_of_all_years(spark, middle, check_sql):
+    """The query has the reports of 2009 too, which the operator leaves out unless it is told to take all years."""
+    from tidelex.catalog import ORACLE_SQL, QUERIES
+
+    got = QUERIES["latest_filings"](spark, middle)
+    assert got.agg(F.min("year")).first()[0] < captures.FIRST_FILING_YEAR
+    check_sql(got, ORACLE_SQL["latest_filings"], middle)
+
+
 def picked(rows, per_year):
     """The greedy choice row by row, on (timestamp, id) pairs of one year."""
     rows = sorted(rows)

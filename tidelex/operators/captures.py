@@ -80,14 +80,14 @@ def stride_sample(rows: DataFrame, by: list[str], order: list[str], k: int) -> D
 FIRST_FILING_YEAR = 2010
 
 
-def filing_rows(blocks: DataFrame, by: list[str], first_year: int = FIRST_FILING_YEAR) -> DataFrame:
-    """Blocks of parallel arrays (form, accessionNumber, filingDate, primaryDocument) as rows: annual reports from ``first_year`` on."""
+def filing_rows(blocks: DataFrame, by: list[str], first_year: int | None = FIRST_FILING_YEAR) -> DataFrame:
+    """Blocks of parallel arrays (form, accessionNumber, filingDate, primaryDocument) as rows: annual reports from ``first_year`` on, or of all years."""
     zipped = blocks.select(*by, F.explode(F.arrays_zip("form", "accessionNumber", "filingDate", "primaryDocument")).alias("f")).where("f.form = '10-K'")
     rows = zipped.select(*by, F.substring("f.filingDate", 1, 4).cast("int").alias("year"), "f.filingDate", "f.accessionNumber", "f.primaryDocument")
-    return rows.where(F.col("year") >= first_year)
+    return rows if first_year is None else rows.where(F.col("year") >= first_year)
 
 
-def latest_filing_per_year(filings: DataFrame, by: list[str], first_year: int = FIRST_FILING_YEAR) -> DataFrame:
+def latest_filing_per_year(filings: DataFrame, by: list[str], first_year: int | None = FIRST_FILING_YEAR) -> DataFrame:
     """The last annual report of each calendar year, from blocks of parallel arrays; ties to the larger accession number."""
     rows = filing_rows(filings, by, first_year)
     return rows.groupBy(*by, "year").agg(F.max_by(F.struct("filingDate", "accessionNumber", "primaryDocument"), F.struct("filingDate", "accessionNumber")).alias("f")).select(*by, "year", "f.*")

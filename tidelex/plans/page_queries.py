@@ -152,34 +152,36 @@ def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Orders as filings of 2009 and later: a company's recent ones in one block, those it made before in another.
-_REPORTS = """
-    WITH f AS (SELECT c_custkey % 50 AS cik, CASE WHEN o_orderkey % 3 = 0 THEN '10-K' ELSE '8-K' END AS form, lpad(o_orderkey::VARCHAR, 10, '0') || '-09-' || o_orderkey % 7 AS acc, strftime(o_orderdate + INTERVAL 14 YEAR, '%Y-%m-%d') AS d FROM orders JOIN customer ON o_custkey = c_custkey),
-    y AS (SELECT cik, substr(d, 1, 4)::INT AS year, arg_max(d, row(d, acc)) AS "filingDate", arg_max(acc, row(d, acc)) AS "accessionNumber" FROM f WHERE form = '10-K' AND d >= '2010' GROUP BY 1, 2)
+_FILED = """
+    WITH f AS (SELECT c_custkey % 50 AS cik, CASE WHEN o_orderkey % 3 = 0 THEN '10-K' ELSE '8-K' END AS form, lpad(o_orderkey::VARCHAR, 10, '0') || '-09-' || o_orderkey % 7 AS acc, strftime(o_orderdate + INTERVAL 14 YEAR, '%Y-%m-%d') AS d FROM orders JOIN customer ON o_custkey = c_custkey)
+"""
+_BY_YEAR = """
+    , y AS (SELECT cik, substr(d, 1, 4)::INT AS year, arg_max(d, row(d, acc)) AS "filingDate", arg_max(acc, row(d, acc)) AS "accessionNumber" FROM f WHERE form = '10-K' {since} GROUP BY 1, 2)
 """
 
 
-def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _latest(spark: SparkSession, sf_dir: str, first_year: int | None) -> DataFrame:
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     key, date = F.col("o_orderkey"), F.add_months("o_orderdate", 168).cast("string")
     fields = {"form": F.when(key % 3 == 0, "10-K").otherwise("8-K"), "accessionNumber": F.concat(F.lpad(key.cast("string"), 10, "0"), F.lit("-09-"), (key % 7).cast("string")), "filingDate": date, "primaryDocument": F.lit("doc.htm")}
     by = [(F.col("c_custkey") % 50).alias("cik"), (F.year("o_orderdate") >= 1999).alias("recent")]
     blocks = o.groupBy(*by).agg(*[F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", x.alias("x")))), lambda s: s["x"]).alias(n) for n, x in fields.items()])
-    return captures.latest_filing_per_year(blocks, ["cik"])
+    return captures.latest_filing_per_year(blocks, ["cik"], first_year)
 
 
-@query(_REPORTS + "FROM y")
+@query(_FILED + _BY_YEAR.format(since="") + "FROM y")
 def latest_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recent and historical blocks of filings, decoded; the last annual report of each year from 2010 on."""
-    return _latest(spark, sf_dir).select("cik", "year", "filingDate", "accessionNumber")
+    """Recent and historical blocks of filings, decoded; the last annual report of each year."""
+    return _latest(spark, sf_dir, None).select("cik", "year", "filingDate", "accessionNumber")
 
 
-@query(_REPORTS + """
+@query(_FILED + _BY_YEAR.format(since="AND d >= '2010'") + """
     SELECT lpad(cik::VARCHAR, 10, '0') AS cik, year, 'https://filings.example/data/' || cik || '/' || replace("accessionNumber", '-', '') || '/doc.htm' AS source_url
     FROM y QUALIFY row_number() OVER (PARTITION BY cik ORDER BY year DESC) <= 3
 """)
 def filing_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each company's three latest annual reports."""
-    return captures.last_filings(_latest(spark, sf_dir), "cik", 3, "https://filings.example/data").select("cik", "year", "source_url")
+    return captures.last_filings(_latest(spark, sf_dir, captures.FIRST_FILING_YEAR), "cik", 3, "https://filings.example/data").select("cik", "year", "source_url")
 
 
 @query("""
