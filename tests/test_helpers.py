@@ -35,6 +35,13 @@ def test_columns(spark):
     assert [tuple(r) for r in got] == [(True, "we build things here", "other"), (False, "plain", "plain")]
 
 
+def test_sentences_keep_digits_at_their_ends(spark):
+    """A sentence whose place is a digit that it begins or ends with."""
+    rows = spark.createDataFrame([("0997 begins what this text says here. And so it goes on until 11",), ("0 only five words here",), (None,)], "t string")
+    got = [r.s for r in rows.select(text.sentences(F.col("t")).alias("s")).collect()]
+    assert got[:2] == [["0997 begins what this text says here.", "And so it goes on until 11"], []] and not got[2]
+
+
 def test_similarity(spark):
     pairs = [("abcd", "bcde"), ("", ""), ("x", None)]
     got = spark.createDataFrame(pairs, "a string, b string").select(dedup.similarity("a", "b").alias("s")).collect()

@@ -110,7 +110,7 @@ def sentences(text: Column, min_words: int = MIN_SENTENCE_WORDS) -> Column:
     clean = squeeze(text)
     long = lambda s: F.size(F.split(s, " ")) >= min_words
     whole = F.when(long(clean), F.array(clean)).otherwise(F.array().cast("array<string>"))
-    return let(F.filter(F.transform(F.split(clean, SENTENCE_END), F.trim), long), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(whole))
+    return let(F.filter(F.transform(F.split(clean, SENTENCE_END), lambda s: F.trim(s)), long), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(whole))
 
 
 def short_id(*parts: Column, length: int = 16) -> Column:
