@@ -75,3 +75,19 @@ def test_the_query_learns_from_labelled_texts_only(spark, small):
     assert len(rows) == len(docs)
     known = [r for r in rows if len(docs[r.doc_id].text or "") >= 40]
     assert sum(r.language == docs[r.doc_id].lang for r in known) >= 0.9 * len(known)
+
+
+def test_means_by_codes():
+    """What codes of runs count is what their strings count, for known and unknown runs and letters beyond 16 bits."""
+    import numpy as np
+
+    from tidelex.functions.language import Profile, text_runs
+
+    known = sorted({r for t in ("Das ist gut", "caf\u00e9 \U00020000\U00020001 x") for r in text_runs(t)})
+    p = Profile(["a", "b"], {r: i for i, r in enumerate(known)}, np.random.default_rng(1).normal(size=(len(known) + 1, 2)), np.zeros(2))
+    for t in ("das ist", "\U00020001 caf\u00e9 zzz", "q", "Gut, gut! 12 x\U00020000"):
+        found = text_runs(t)
+        want = np.bincount([p.places.get(r, len(known)) for r in found], minlength=len(known) + 1) @ p.weights / len(found)
+        assert np.array_equal(p.means(t), want)
+    assert p.means("12 !") is None
+    assert np.array_equal(Profile(["a"], {}, np.ones((1, 1)), np.zeros(1)).means("ab"), [1.0])

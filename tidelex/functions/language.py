@@ -11,8 +11,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -44,6 +46,13 @@ def text_runs(text: str) -> list[str]:
     return [flat[i : i + n] for n in SIZES for i in range(len(flat) - n + 1) if flat[i : i + n] != " "]
 
 
+def run_codes(flat: str) -> np.ndarray:
+    """The runs of ``text_runs`` as numbers: 21 bits for each letter, the first one lowest."""
+    c = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    two = c[:-1] | c[1:] << np.uint64(21)
+    return np.concatenate([c[c != 32], two, two[:-1] | c[2:] << np.uint64(42)])
+
+
 @dataclass(frozen=True)
 class Profile:
     """Languages, the places of known runs, log-likelihoods (runs by languages; the last row is any other run) and the least mean of each language."""
@@ -55,12 +64,21 @@ class Profile:
 
     def means(self, text: str) -> np.ndarray | None:
         """The mean log-likelihood of a text's runs under each language; None without letters."""
-        found = text_runs(text)
-        if not found or not self.languages:
+        flat = letters(text)
+        if not flat or not self.languages:
             return None
-        n = len(self.places)
-        counts = np.bincount([self.places.get(r, n) for r in found], minlength=n + 1)
-        return counts @ self.weights / len(found)
+        codes, place = self.codes
+        found = run_codes(flat)
+        at = np.minimum(np.searchsorted(codes, found), max(len(codes) - 1, 0))
+        at = np.where(codes[at] == found, place[at], len(self.places)) if len(codes) else np.zeros(len(found), np.int64)
+        return np.bincount(at, minlength=len(self.places) + 1) @ self.weights / len(found)
+
+    @cached_property
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted codes of the known runs, and their places."""
+        codes = np.array([int(run_codes(r)[-1]) for r in self.places], np.uint64)
+        order = np.argsort(codes)
+        return codes[order], np.array(list(self.places.values()), np.int64)[order]
 
     def language(self, text: str | None) -> str | None:
         """The text's language, ``OTHER`` if it is none of the profile's, None for a text without letters."""
@@ -83,13 +101,11 @@ def learn(texts: DataFrame, text: str = "text", language: str = "lang", runs: in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held: dict[tuple[str, str, bool], int] = {}
+            held: dict[tuple[str, bool], Counter[str]] = {}
             for lang, t in zip(b["language"].to_pylist(), b["text"].to_pylist(), strict=True):
-                out = aside(t)
-                for r in text_runs(t):
-                    held[lang, r, out] = held.get((lang, r, out), 0) + 1
-            columns = list(zip(*held, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_pydict({"language": pa.array(columns[0], pa.string()), "run": pa.array(columns[1], pa.string()), "aside": pa.array(columns[2], pa.bool_()), "n": pa.array(list(held.values()), pa.int64())})
+                held.setdefault((lang, aside(t)), Counter()).update(text_runs(t))
+            columns = list(zip(*[(lang, r, out, n) for (lang, out), runs in held.items() for r, n in runs.items()], strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_pydict({"language": pa.array(columns[0], pa.string()), "run": pa.array(columns[1], pa.string()), "aside": pa.array(columns[2], pa.bool_()), "n": pa.array(columns[3], pa.int64())})
 
     both = [F.sum("n").alias("n"), F.coalesce(F.sum(F.when(~F.col("aside"), F.col("n"))), F.lit(0)).alias("rest")]
     counts = cut(known.mapInArrow(count, "language string, run string, aside boolean, n long").groupBy("language", "run").agg(*both))
@@ -142,6 +158,10 @@ def language_of(text: Column, profile: Profile) -> Column:
 
 def is_english(text: Column, profile: Profile, min_chars: int = MIN_ENGLISH_CHARS) -> Column:
     """Texts under ``min_chars`` pass; below 85 % ASCII fails; then the profile decides, and 92 % ASCII where there are no letters."""
+    return passes_as_english(text, language_of(text, profile), min_chars)
+
+
+def passes_as_english(text: Column, found: Column, min_chars: int = MIN_ENGLISH_CHARS) -> Column:
+    """``is_english`` of a text whose language has been ``found``."""
     t = F.trim(text)
-    found = language_of(t, profile)
     return F.when(F.length(t) < min_chars, F.lit(True)).when(ascii_ratio(t) < 0.85, F.lit(False)).when(found.isNull(), ascii_ratio(t) >= 0.92).otherwise(found == "en")
