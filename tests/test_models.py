@@ -103,3 +103,15 @@ def test_a_model_that_answers_too_little(spark, tmp_path):
     with pytest.raises(Exception, match="gave 0 answers for 1 rows"):
         ask_missing(rows, "key", model, str(tmp_path / "cache"), ["key"])
     assert cached(spark, str(tmp_path / "cache"), model, "key").count() == 0
+
+
+def test_several_models_are_asked_for_the_same_rows(spark, tmp_path, asked):
+    """No model gets what another one said, and each is asked once for a row that repeats."""
+    from tidelex.operators.models import labelled_by
+
+    rows = spark.createDataFrame([(f"c{k % 8}", f"text {k % 8}") for k in range(20)], "chunk_id string, text string").repartition(5)
+    models = [(Model(name, logged(asked, lambda r, name=name: f"{name} {r['text']}"), "string", 3), [f"{name} text {k}" for k in range(7)], "other", name) for name in ("m", "n")]
+    got = labelled_by(rows, models, str(tmp_path / "cache")).collect()
+    assert len(got) == 20 and all((r.m, r.n) == (("other", "other") if r.chunk_id == "c7" else (f"m {r.text}", f"n {r.text}")) for r in got)
+    made = calls(asked)
+    assert sorted(map(len, made)) == [2, 2, 3, 3, 3, 3] and all(set(r) == {"chunk_id", "text"} for c in made for r in c)

@@ -148,9 +148,9 @@ STOP_WORDS = {
 }
 
 
-def language_votes(text: Column, language: str) -> Column:
-    listed = F.array(*[F.lit(w) for w in STOP_WORDS[language]])
-    return F.size(F.filter(F.split(F.lower(squeeze(text)), " "), lambda w: F.array_contains(listed, w)))
+def language_votes(words: Column, language: str) -> Column:
+    """How many of the lower-cased words are frequent ones of a language."""
+    return F.size(F.filter(words, lambda w: w.isin(STOP_WORDS[language])))
 
 
 def is_english(text: Column, min_chars: int = MIN_ENGLISH_CHARS) -> Column:
@@ -159,8 +159,9 @@ def is_english(text: Column, min_chars: int = MIN_ENGLISH_CHARS) -> Column:
     The vote stands in for a statistical detector; where no stop word occurs, 92 % ASCII decides.
     """
     t = F.trim(text)
-    own, others = language_votes(t, "en"), F.greatest(*[language_votes(t, x) for x in STOP_WORDS if x != "en"])
-    voted = F.when((own == 0) & (others == 0), ascii_ratio(t) >= 0.92).otherwise(own >= others)
+    listed = ["en", *[x for x in STOP_WORDS if x != "en"]]
+    votes = let(F.split(F.lower(squeeze(t)), " "), lambda w: F.array(*[language_votes(w, x) for x in listed]))  # words once for all languages
+    voted = let(votes, lambda v: F.when(F.array_max(v) == 0, ascii_ratio(t) >= 0.92).otherwise(v[0] == F.array_max(v)))
     return F.when(F.length(t) < min_chars, F.lit(True)).when(ascii_ratio(t) < 0.85, F.lit(False)).otherwise(voted)
 
 

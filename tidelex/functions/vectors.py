@@ -47,8 +47,12 @@ def build_axes(poles: DataFrame, drop: Column | None = None) -> DataFrame:
     return sides.select("axis", F.col("b").isNull().alias("single_pole"), unit(raw).alias("vector"))
 
 
+def along(v: Column, axis: Column) -> Column:
+    """The unit vector's component along the axis; 0 for a zero vector."""
+    return F.coalesce(F.try_divide(dot(v, axis), norm(v)), F.lit(0.0))
+
+
 def project(vectors: DataFrame, axes: DataFrame, column: str = "embedding") -> DataFrame:
     """Every vector with every axis and ``score``: the unit vector's component along the axis."""
     scored = joined_in_blocks(vectors, axes.select("axis", "vector"), F.lit(True))
-    along = F.try_divide(dot(F.col(column), F.col("vector")), norm(F.col(column)))
-    return scored.withColumn("score", F.coalesce(along, F.lit(0.0))).drop("vector")
+    return scored.withColumn("score", along(F.col(column), F.col("vector"))).drop("vector")

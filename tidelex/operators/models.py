@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,28 +96,46 @@ def ask_missing(rows: DataFrame, key: str, model: Model, cache: str, order: list
     None is not kept, so it is asked again the next time. ``finish`` is applied to answers before they are kept.
     """
     known = cached(rows.sparkSession, cache, model, key)
-    wanted = first_per(rows.where(F.col(key).isNotNull()), [key], order)
+    there = rows.where(F.col(key).isNotNull())
+    places = there.select(key, *[c for c in order if c != key])  # without the texts
+    wanted = places.distinct() if order == [key] else first_per(places, [key], order)
     missing = wanted.join(known.select(key), key, "left_anti")
-    batches = numbered(missing, order, "__at").withColumn("__batch", F.floor(F.col("__at") / model.batch))
-
-    def call(batch: pd.DataFrame) -> pd.DataFrame:
-        asked = batch.sort_values("__at").drop(columns=["__at", "__batch"]).to_dict("records")
-        answers = list(model.ask(asked))
-        if len(answers) != len(asked):
-            raise ValueError(f"{model.name} gave {len(answers)} answers for {len(asked)} rows")
-        return pd.DataFrame({key: [r[key] for r in asked], "answer": answers})
-
-    answers = batches.groupBy("__batch").applyInPandas(call, f"{key} string, answer {model.answer}").where("answer is not null")
+    batches = numbered(missing, order, "__at").select(key, "__at", F.floor(F.col("__at") / model.batch).alias("__batch"))
+    batches = first_per(there.join(batches, key), [key], order)
+
+    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for f in frames for r in f.to_dict("records"))
+        keys, told = [], []
+        for _, batch in groupby(rows, lambda r: r["__batch"]):
+            asked = [{c: v for c, v in r.items() if c not in ("__at", "__batch")} for r in batch]
+            answers = list(model.ask(asked))
+            if len(answers) != len(asked):
+                raise ValueError(f"{model.name} gave {len(answers)} answers for {len(asked)} rows")
+            keys += [r[key] for r in asked]
+            told += answers
+            if len(keys) >= 1000:
+                yield pd.DataFrame({key: keys, "answer": told})
+                keys, told = [], []
+        if keys:
+            yield pd.DataFrame({key: keys, "answer": told})
+
+    whole = batches.repartition("__batch").sortWithinPartitions("__batch", "__at")  # a batch lies in one task, in order
+    answers = whole.mapInPandas(call, f"{key} string, answer {model.answer}").where("answer is not null")
     if finish is not None:
         answers = answers.withColumn("answer", finish(F.col("answer")))
     paid = kept(answers, "answers")
     paid.withColumn("model", F.lit(model.name)).write.mode("append").partitionBy("model").parquet(cache)
 
 
+def answers_of(rows: DataFrame, key: str, model: Model, cache: str, name: str, order: list[str], finish: Callable[[Column], Column] | None = None) -> DataFrame:
+    """key and the model's answer for it as ``name``; keys without an answer have no row."""
+    ask_missing(rows, key, model, cache, order, finish)
+    return cached(rows.sparkSession, cache, model, key).select(F.col(key), F.col("answer").alias(name))
+
+
 def with_answers(rows: DataFrame, key: str, model: Model, cache: str, name: str, order: list[str], finish: Callable[[Column], Column] | None = None) -> DataFrame:
     """The rows and the model's answer for each in a new column, null where there is none."""
-    ask_missing(rows, key, model, cache, order, finish)
-    answers = cached(rows.sparkSession, cache, model, key).select(F.col(key), F.col("answer").alias(name))
+    answers = answers_of(rows, key, model, cache, name, order, finish)
     return rows.join(answers, key, "left").select(*rows.columns, name)
 
 
@@ -130,4 +149,13 @@ def embedded(rows: DataFrame, model: Model, cache: str, text: str = "text", name
 
 def labelled(chunks: DataFrame, model: Model, cache: str, allowed: list[str], default: str, name: str = "label", key: str = "chunk_id") -> DataFrame:
     """The chunks with the model's label, the default where it names none of ``allowed``; null where it gives none."""
-    return with_answers(chunks, key, model, cache, name, [key], lambda answer: coerce(answer, allowed, default))
+    return labelled_by(chunks, [(model, allowed, default, name)], cache, key)
+
+
+def labelled_by(chunks: DataFrame, models: list[tuple[Model, list[str], str, str]], cache: str, key: str = "chunk_id") -> DataFrame:
+    """The chunks with the labels of several (model, allowed, default, name), each as ``labelled`` gives it; no model waits for what another said."""
+    out = chunks
+    for model, allowed, default, name in models:
+        answers = answers_of(chunks, key, model, cache, name, [key], lambda answer, allowed=allowed, default=default: coerce(answer, allowed, default))
+        out = out.join(answers, key, "left").select(*out.columns, name)
+    return out

@@ -16,6 +16,7 @@ from tidelex.functions.vectors import build_axes, project
 from tidelex.operators import rollup
 from tidelex.operators.dedup import first_per, near_duplicates_removed
 from tidelex.operators.models import Model, embedded
+from tidelex.storage import kept
 
 Dedup = Callable[[DataFrame, list[str]], DataFrame]
 QUOTE_CHARS = 400
@@ -53,13 +54,13 @@ def axis_report(chunks: DataFrame, axes: DataFrame, model: Model, cache: str, de
     share of a year's chunks that are close to one of the year before that has any. The quotes: axis, level, company, year, rank, text, heading,
     score. Chunks that repeat within a company count once, by ``dedup``; sentences are those of the chunks kept.
     """
-    kept = embedded(dedup(chunks, ["company"]), model, cache)
-    said = embedded(sentence_rows(kept), model, cache)
+    once = kept(embedded(kept(dedup(chunks, ["company"]), "chunks"), model, cache), "embedded")
+    said = kept(embedded(kept(sentence_rows(once), "sentences"), model, cache), "embedded")
     by, series, quotes = ["axis", "company"], [], []
-    for level, rows, key in (("chunk", kept, "chunk_id"), ("sentence", said, "sentence_id")):
+    for level, rows, key in (("chunk", once, "chunk_id"), ("sentence", said, "sentence_id")):
         scored = project(rows.select("company", "year", F.col(key).alias("id"), "heading", "text", "embedding"), axes)
         made = rollup.period_series(scored, by, "year", "score", "id").withColumn("level", F.lit(level))
-        series.append(made if level == "sentence" else rollup.same_keys(made, rollup.carried_forward(kept, ["company"], "year", "chunk_id", "embedding", near_cosine), ["company", "year"]))
+        series.append(made if level == "sentence" else rollup.same_keys(made, rollup.carried_forward(once, ["company"], "year", "chunk_id", "embedding", near_cosine), ["company", "year"]))
         best = rollup.ranked(scored, [*by, "year"], "score", "id", rollup.TOP_K)
         quotes.append(best.select("axis", F.lit(level).alias("level"), "company", "year", "rank", "text", "heading", F.round("score", 4).alias("score")))
     both = series[0].unionByName(series[1], allowMissingColumns=True)
@@ -77,10 +78,10 @@ def stance_report(chunks: DataFrame, axes: DataFrame, control: DataFrame, model:
     """
     by = ["company", "year"]
     raw = chunks.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("n_chunks_raw"))
-    kept = embedded(dedup(chunks.where("wanted"), by), model, cache)
-    along = lambda axis: project(kept.select("chunk_id", "embedding"), axes.where(F.col("axis") == axis)).select("chunk_id", F.col("score").alias(axis))
-    rows = kept.join(along("inclusion"), "chunk_id").join(along("meritocracy"), "chunk_id")
-    rows = rows.withColumns({"stance_diff": F.col("inclusion") - F.col("meritocracy"), "salience": F.greatest("inclusion", "meritocracy")})
+    once = embedded(kept(dedup(chunks.where("wanted"), by), "chunks"), model, cache)
+    for axis in ("inclusion", "meritocracy"):
+        once = project(once, axes.where(F.col("axis") == axis)).withColumnRenamed("score", axis).drop("axis")
+    rows = kept(once.drop("embedding"), "scored").withColumns({"stance_diff": F.col("inclusion") - F.col("meritocracy"), "salience": F.greatest("inclusion", "meritocracy")})
     series = rollup.stance_series(rows, by, "inclusion", "meritocracy", "chunk_id").drop("stance_max_id", "stance_min_id")
     counts = rollup.label_counts(rows, by, "register", REGISTERS, "register_")
     for part in (raw, counts, rollup.text_churn(rows, ["company"], "year", "text")):

@@ -94,7 +94,7 @@ STANCE_MODEL = labeller("length-stances", label_by_length(["neutral", *STANCES,
 
 def analysed(spark: SparkSession, sf_dir: str, cache: str, wanted: list[str]) -> DataFrame:
     """The chunks that the model labels as one of ``wanted``, with their source as heading."""
-    rows = chunks(spark, sf_dir).where("text is not null").withColumn("heading", F.col("company"))
+    rows = chunks(spark, sf_dir).where("text is not null").select("doc_id", "chunk_id", "company", F.col("company").alias("heading"), "text")  # what a model gets is shuffled
     rows = rows.withColumn("year", (2005 + F.floor(F.col("doc_id") / 20) % 10).cast("int"))  # by id % 20 a source has one year
     return labelled(rows, LABELLER, cache, CHUNK_LABELS, CHUNK_LABELS[-1]).where(F.col("label").isin(wanted))
 

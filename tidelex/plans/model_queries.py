@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelex.catalog import query
 from tidelex.functions.classify import REGISTERS, STANCES
 from tidelex.functions.text import is_english
-from tidelex.operators.models import embedded, labelled
+from tidelex.operators.models import embedded, labelled, labelled_by
 from tidelex.operators.scoring import Dedup, axis_report, exact_dedup, near_dedup, stance_report
 from tidelex.plans.bindings import CHUNK_LABELS, EMBEDDER, LABELLER, MODEL_SQL, REGISTER_MODEL, STANCE_MODEL, VECTOR, analysed, chunks, sentence_axes, table
 from tidelex.plans.text_queries import ENGLISH_SQL
@@ -28,9 +28,9 @@ def cached_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(MODEL_SQL + "SELECT doc_id, label, register, stance FROM mc")
 def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label, register and stance of every chunk as models name them; what is none of the known ones becomes the default."""
-    rows, cache = chunks(spark, sf_dir).where("text is not null").withColumn("heading", F.col("company")), scratch(spark, "labels")
-    for model, allowed, default, name in ((LABELLER, CHUNK_LABELS, "navigation_junk", "label"), (REGISTER_MODEL, REGISTERS, "absent", "register"), (STANCE_MODEL, STANCES, "neutral", "stance")):
-        rows = labelled(rows, model, cache, allowed, default, name)
+    rows, cache = chunks(spark, sf_dir).where("text is not null").select("doc_id", "chunk_id", F.col("company").alias("heading"), "text"), scratch(spark, "labels")
+    models = [(LABELLER, CHUNK_LABELS, "navigation_junk", "label"), (REGISTER_MODEL, REGISTERS, "absent", "register"), (STANCE_MODEL, STANCES, "neutral", "stance")]
+    rows = labelled_by(rows, models, cache)
     return rows.select("doc_id", "label", "register", "stance")
 
 
@@ -110,6 +110,7 @@ def _stance(spark: SparkSession, sf_dir: str, dedup: Dedup) -> tuple[DataFrame,
     axes = kept(sentence_axes(spark, sf_dir, f"{cache}/vectors"), "axes")
     rows = analysed(spark, sf_dir, f"{cache}/labels", ["mission_brand", "benefits_perks"])
     rows = labelled(rows, REGISTER_MODEL, f"{cache}/labels", REGISTERS, "absent", "register").withColumn("wanted", is_english(F.col("text")))
+    rows = kept(rows, "chunks")
     series, _ = axis_report(rows.where("label = 'mission_brand'"), axes.where("axis = 'control'"), EMBEDDER, f"{cache}/vectors", dedup, NEAR)
     return stance_report(rows, axes, series.where("level = 'sentence'"), EMBEDDER, f"{cache}/vectors", dedup=dedup)
 

@@ -5,12 +5,12 @@ Texts are documents behind a phrase that the shipped patterns find; a third of t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelex.catalog import query
 from tidelex.functions import classify
-from tidelex.functions.vectors import project
+from tidelex.functions.vectors import along
 from tidelex.operators import curate, rollup
 from tidelex.operators.dedup import first_per
 from tidelex.operators.models import embedded
@@ -58,20 +58,23 @@ def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]
     return rows.withColumn("register", _register(F.col("text"))), axes, cache
 
 
-def _scored(rows: DataFrame, axes: DataFrame, cache: str, key: str) -> DataFrame:
-    """The rows with a column for each axis."""
-    along = project(embedded(rows, EMBEDDER, cache).select(key, "embedding"), axes).groupBy(key).agg(*[F.max(F.when(F.col("axis") == a, F.col("score"))).alias(a) for a in AXES])
-    return rows.join(along, key)
+def _scored(rows: DataFrame, axes: DataFrame, cache: str) -> DataFrame:
+    """The rows with a column for each axis, null for one that there is not; no rows without any axis."""
+    wide = axes.agg(*[F.max(F.when(F.col("axis") == a, F.col("vector"))).alias(f"__{a}") for a in AXES]).where(F.coalesce(*[F.col(f"__{a}") for a in AXES]).isNotNull())
+    vectors = embedded(rows, EMBEDDER, cache).join(F.broadcast(wide))
+    return vectors.select(*rows.columns, *[F.when(F.col(f"__{a}").isNotNull(), along(F.col("embedding"), F.col(f"__{a}"))).alias(a) for a in AXES])
 
 
 def scored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, axes, cache = _texts(spark, sf_dir)
-    return _scored(rows, axes, cache, "doc_id")
+    return _scored(rows, axes, cache)
 
 
-def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _said(spark: SparkSession, sf_dir: str, wanted: Column | None = None) -> DataFrame:
+    """Scored sentences; with ``wanted``, a condition on text, those alone are embedded."""
     rows, axes, cache = _texts(spark, sf_dir)
-    return _scored(sentence_rows(rows), axes, cache, "sentence_id")
+    said = sentence_rows(rows)
+    return _scored(kept(said if wanted is None else said.where(wanted), "sentences"), axes, cache)
 
 
 _SAID = _TEXTS + rf"""
@@ -91,7 +94,7 @@ _SAID = _TEXTS + rf"""
 """)
 def inclusion_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each company's inclusion terms over the years, with the sentence that scores best along the axis."""
-    found = curate.found_terms(_said(spark, sf_dir), "text", classify.INCLUSION_TERMS)
+    found = curate.found_terms(_said(spark, sf_dir, F.rlike("text", F.lit(classify.INCLUSION_TERMS))), "text", classify.INCLUSION_TERMS)
     return curate.term_tracking(found, "term", "year", "inclusion", "text", "sentence_id", by=["company"]).withColumn("max_score", F.round("max_score", 4))
 
 
