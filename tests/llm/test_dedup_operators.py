@@ -163,6 +163,19 @@ def test_levels_end_with_the_longest_run(frame):
     assert [level.count() for level in levels] == [74, 72, 68, 60, 44, 12, 0]
 
 
+def test_line_runs_take_few_jobs(spark, frame):
+    """A level of doubling and one of the common prefixes are small for deep runs, so what counts is how many jobs wait for each other."""
+    shared = "\n".join(f"shared {k}" for k in range(200))
+    docs = frame((1, shared), (2, f"a\n{shared}\nb"))
+    spark.sparkContext.setJobGroup("line runs", "")
+    try:
+        assert [(r.doc_id, r.start, r.length) for r in repeated_runs(docs, 3).collect()] == [(2, 1, 200)]
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("line runs")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 130
+
+
 # simhash
 
 

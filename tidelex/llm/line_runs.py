@@ -1,11 +1,11 @@
-"""Removal of repeated runs of lines, by a suffix array over the corpus as a sequence of line ids.
+"""Removal of repeated runs of lines, by prefix doubling over the corpus as a sequence of line ids.
 
-Every line starts a suffix: the ids of the lines from there to the end of its document. Prefix doubling ranks the
-suffixes by their first 1, 2, 4, ... lines: two neighbouring ranks of one level give the rank of the next, and the
-distinct pairs are ranked by a range sort, so a rank shared by a third of all lines is one row there. Only suffixes
-that share their rank go on, as one that is alone at some depth has no longer common prefix with any other; doubling
-ends when none is left. The levels that remain answer longest common prefixes: from the deepest level down, equal
-ranks mean so many lines more in common.
+Every line starts a suffix: the ids of the lines from there to the end of its document. Prefix doubling names the
+suffixes by their first 1, 2, 4, ... lines: two neighbouring names of one level give the name of the next, a 128-bit
+hash of both. Equal names are equal lines; which of two suffixes comes first in an order of the lines is never asked,
+so the names are not sorted into ranks. Only suffixes that share their name go on, as one that is alone at some depth
+has no longer common prefix with any other; doubling ends when none is left. The levels that remain answer longest
+common prefixes: from the deepest level down, equal names mean so many lines more in common.
 
 Suffixes with a common prefix of ``min_lines`` lines or more are an LCP interval, the occurrences of one repeated run.
 The first one stays. Of every other occurrence that does not overlap it, the longest common prefix with the first one
@@ -24,15 +24,25 @@ AT = ["doc_id", "text_key", "line"]
 DOC = ["doc_id", "text_key"]
 
 
-def _ranked(keys: DataFrame, by: list[str], partitions: int) -> DataFrame:
-    """Distinct ``keys`` with a rank that grows with them; kept, as the rank depends on the layout."""
-    ordered = keys.repartitionByRange(partitions, *by).sortWithinPartitions(*by)
-    return cut(ordered.withColumn("rank", F.monotonically_increasing_id()))
+#: Levels of the longest common prefixes that are joined in one job.
+LEVELS_A_JOB = 4
 
 
-def _same_place(a: str, b: str) -> Column:
-    """Equal places; ids of documents may be null."""
-    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key")) & (F.col(f"{a}.line") == F.col(f"{b}.line"))
+def _tied(rows: DataFrame) -> DataFrame:
+    """Of rows with a name, those that share it."""
+    names = rows.groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id1", "id2")
+    return rows.join(names, ["id1", "id2"], "left_semi")
+
+
+def _with_ahead(rows: DataFrame, step: int) -> DataFrame:
+    """Rows with id1 and id2 of the place ``step`` lines ahead as ahead1 and ahead2, where the document has it."""
+    w = Window.partitionBy(*DOC).orderBy("line").rangeBetween(step, step)
+    return rows.withColumns({"ahead1": F.first("id1").over(w), "ahead2": F.first("id2").over(w)}).where("ahead1 is not null")
+
+
+def _joined_name(level: int) -> list[Column]:
+    """id1 and id2 of the two names in a row."""
+    return [F.xxhash64("id1", "ahead1").alias("id1"), F.xxhash64(F.lit(level), "id2", "ahead2").alias("id2")]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -42,20 +52,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def suffix_levels(docs: DataFrame, partitions: int) -> list[DataFrame]:
-    """Per level k (doc_id, text_key, line, rank) of the suffixes that share their first 2 ** k lines with another one.
+    """Per level k (doc_id, text_key, line, id1, id2) of the suffixes that share their first 2 ** k lines with another one.
 
-    Ranks of a level grow with the suffixes' first 2 ** k lines. The last level has no rows.
+    Equal ids of a level are equal first 2 ** k lines. The last level has no rows. Documents are dealt to ``partitions``.
     """
-    lines = lines_of(docs)
-    ids = lines.groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id1", "id2")
-    levels = [cut(lines.join(_ranked(ids, ["id1", "id2"], partitions), ["id1", "id2"]).select(*AT, "rank").dropDuplicates(AT))]
+    levels = [cut(_tied(lines_of(docs)).select(*AT, "id1", "id2").repartition(partitions, *DOC).dropDuplicates(AT))]
     while not levels[-1].isEmpty():
-        level, step = levels[-1], 1 << (len(levels) - 1)
-        ahead = level.select(*DOC, (F.col("line") - step).alias("line"), F.col("rank").alias("next"))
-        pairs = cut(level.alias("a").join(ahead.alias("b"), _same_place("a", "b")).select("a.doc_id", "a.text_key", "a.line", "a.rank", "b.next"))
-        kinds = pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("rank").alias("first"), F.col("next").alias("second"))
-        kinds = _ranked(kinds, ["first", "second"], partitions)
-        levels.append(cut(pairs.join(kinds, (pairs["rank"] == kinds["first"]) & (pairs["next"] == kinds["second"])).select(*AT, kinds["rank"])))
+        pairs = _with_ahead(levels[-1], 1 << (len(levels) - 1))
+        levels.append(cut(_tied(pairs.select(*AT, *_joined_name(len(levels)))).select(*AT, "id1", "id2")))
     return levels
 
 
@@ -64,24 +68,24 @@ def later_copies(levels: list[DataFrame], min_lines: int) -> DataFrame:
     k = min_lines.bit_length() - 1
     if k >= len(levels):
         return levels[-1].select(*AT, F.struct(*AT).alias("first"))
-    level, step = levels[k], min_lines - (1 << k)  # the two ranks overlap where min_lines is no power of two
-    ahead = level.select(*DOC, (F.col("line") - step).alias("line"), F.col("rank").alias("next"))
-    spots = level.alias("a").join(ahead.alias("b"), _same_place("a", "b")).select("a.doc_id", "a.text_key", "a.line", "a.rank", "b.next")
-    spots = cut(spots if step else level.withColumn("next", F.col("rank")))
-    first = cut(spots.groupBy("rank", "next").agg(F.min(F.struct(*AT)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    spots, step = levels[k], min_lines - (1 << k)  # the two names overlap where min_lines is no power of two
+    if step:
+        spots = _with_ahead(spots, step).select(*AT, *_joined_name(-1))
+    first = spots.groupBy("id1", "id2").agg(F.min(F.struct(*AT)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))
-    return spots.join(first, ["rank", "next"]).where(~own | (F.col("line") - F.col("first.line") >= min_lines)).select(*AT, "first")
+    return spots.join(first, ["id1", "id2"]).where(~own | (F.col("line") - F.col("first.line") >= min_lines)).select(*AT, "first")
 
 
 def with_lcp(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """``pairs`` (doc_id, text_key, line, first, ...) with ``lcp``: how many lines the suffixes at both places have in common."""
-    own, out = pairs.columns, pairs.withColumn("lcp", F.lit(0))
+    own, out = pairs.columns, cut(pairs.withColumn("lcp", F.lit(0)))
     for k in reversed(range(len(levels) - 1)):
         mine = out.select("*", F.struct("doc_id", "text_key", (F.col("line") + F.col("lcp")).alias("line")).alias("p"), F.struct("first.doc_id", "first.text_key", (F.col("first.line") + F.col("lcp")).alias("line")).alias("q"))
-        a, b = (levels[k].select(F.struct(*AT).alias(c), F.col("rank").alias(f"rank_{c}")) for c in "pq")
+        a, b = (levels[k].select(F.struct(*AT).alias(c), F.struct("id1", "id2").alias(f"name_{c}")) for c in "pq")
         mine = mine.join(a, mine["p"].eqNullSafe(a["p"]), "left").drop("p").join(b, mine["q"].eqNullSafe(b["q"]), "left").drop("q")
-        more = F.when(F.col("rank_p") == F.col("rank_q"), 1 << k).otherwise(0)
-        out = cut(mine.select(*own, (F.col("lcp") + more).alias("lcp")))
+        more = F.when(F.col("name_p") == F.col("name_q"), 1 << k).otherwise(0)
+        out = mine.select(*own, (F.col("lcp") + more).alias("lcp"))
+        out = out if k % LEVELS_A_JOB else cut(out)
     return out
 
 
