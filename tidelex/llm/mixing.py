@@ -41,13 +41,13 @@ def fit_posteriors(labelled: DataFrame, domains: list[str], steps: int = 300, l2
         cache: dict[str, int] = {}
         for b in batches:
             rows = [_features(t, cache) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"y": b["y"], "slot": pa.array([np.flatnonzero(r).astype(np.int32) for r in rows], pa.list_(pa.int32())), "value": pa.array([r[r > 0] for r in rows], pa.list_(pa.float32()))})
+            yield pa.RecordBatch.from_pydict({"y": b["y"], "slot": pa.array([np.flatnonzero(r).astype(np.int32).tobytes() for r in rows], pa.binary()), "value": pa.array([r[r > 0].tobytes() for r in rows], pa.binary())})
 
     place = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")).cast("int") - 1
-    rows = labelled.select(text_or_empty().alias("text"), place.alias("y")).where("y >= 0").mapInArrow(run, "y int, slot array<int>, value array<float>").collect()
+    rows = labelled.select(text_or_empty().alias("text"), place.alias("y")).where("y >= 0").mapInArrow(run, "y int, slot binary, value binary").collect()  # bytes: lists would be Python objects, some twenty times as large
     x, y = np.zeros((len(rows), SLOTS), np.float32), np.zeros((len(rows), len(domains)), np.float32)
     for i, r in enumerate(rows):
-        x[i, r.slot] = r.value
+        x[i, np.frombuffer(r.slot, np.int32)] = np.frombuffer(r.value, np.float32)
         y[i, r.y] = 1
     w, b = np.zeros((SLOTS, len(domains)), np.float32), np.zeros(len(domains), np.float32)
     for _ in range(steps if len(rows) else 0):

@@ -82,13 +82,30 @@ class ToxicityModel:
         return score
 
 
-def _rows(matrix: list[Counter]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = np.repeat(np.arange(len(matrix)), [len(c) for c in matrix])
-    slot = np.fromiter((k for c in matrix for k in c), dtype=np.int64, count=len(at))
-    return at, slot, np.fromiter((v for c in matrix for v in c.values()), dtype=np.float64, count=len(at))
+@dataclass
+class Packed:
+    """Rows of (slot, value) entries in three flat buffers; a Counter a row took some twenty times their size."""
+
+    lengths: list[int] = field(default_factory=list)
+    slots: bytearray = field(default_factory=bytearray)
+    values: bytearray = field(default_factory=bytearray)
+
+    def add(self, slots: bytes, values: bytes) -> None:
+        """One more row, of 32-bit integers."""
+        self.lengths.append(len(slots) // 4)
+        self.slots += slots
+        self.values += values
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+
+def _rows(matrix: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = np.repeat(np.arange(len(matrix)), np.array(matrix.lengths, np.int64))
+    return at, np.frombuffer(matrix.slots, np.int32).astype(np.int64), np.frombuffer(matrix.values, np.int32).astype(np.float64)
 
 
-def fit_weights(rows: list[Counter], labels: np.ndarray, changes: list[Counter], size: int, swap_penalty: float, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
+def fit_weights(rows: Packed, labels: np.ndarray, changes: Packed, size: int, swap_penalty: float, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
     """Logistic regression with an L1 and L2 term and ``swap_penalty`` times the mean squared change under swaps, by accelerated proximal gradient steps."""
     at, slot, value = _rows(rows)
     c_at, c_slot, c_value = _rows(changes)
@@ -169,17 +186,15 @@ def fit(labelled: DataFrame, identity_terms=IDENTITY_TERMS, slots: int = 4096, s
                 for k, c in ((0, own), *((1, c) for c in changed if c)):
                     kind.append(k)
                     label.append(int(toxic == 1))
-                    slot.append(np.fromiter(c.keys(), np.int32, len(c)))
-                    value.append(np.fromiter(c.values(), np.int32, len(c)))
+                    slot.append(np.fromiter(c.keys(), np.int32, len(c)).tobytes())
+                    value.append(np.fromiter(c.values(), np.int32, len(c)).tobytes())
                 if len(cache) > CACHE_ROWS:
                     cache.clear()
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "label": pa.array(label, pa.int32()), "slot": pa.array(slot, pa.list_(pa.int32())), "value": pa.array(value, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "label": pa.array(label, pa.int32()), "slot": pa.array(slot, pa.binary()), "value": pa.array(value, pa.binary())})
 
-    texts: list[Counter] = []
-    changes: list[Counter] = []
-    labels: list[int] = []
-    for row in rows.mapInArrow(reduce_rows, "kind int, label int, slot array<int>, value array<int>").toLocalIterator():
-        (changes if row.kind else texts).append(Counter(dict(zip(row.slot, row.value, strict=True))))
+    texts, changes, labels = Packed(), Packed(), []
+    for row in rows.mapInArrow(reduce_rows, "kind int, label int, slot binary, value binary").toLocalIterator():
+        (changes if row.kind else texts).add(row.slot, row.value)
         if not row.kind:
             labels.append(row.label)
     w, b = fit_weights(texts, np.asarray(labels, dtype=np.float64), changes, len(kept), swap_penalty, l1, l2, steps)
