@@ -38,7 +38,7 @@ def merged_captures(known: DataFrame, found: DataFrame, url: str = "original", t
 
 
 #: Texts, and characters, of a block of a large group; two blocks meet in one task.
-BLOCK_ROWS, BLOCK_CHARS = 2048, 2_000_000
+BLOCK_ROWS, BLOCK_CHARS = 8192, 8_000_000
 
 
 def _close_pairs(exact: DataFrame, text: str, order: str, threshold: float) -> DataFrame:
@@ -65,7 +65,7 @@ def _close_pairs(exact: DataFrame, text: str, order: str, threshold: float) -> D
         rank = np.empty(len(rows), np.int64)
         rank[place] = np.arange(len(rows))
         meet = (lambda i, j: block[j] != block[i]) if lo != hi else (lambda i, j: np.ones(len(j), bool))  # within a block where it meets itself
-        pairs = np.array(list(close_pairs(group["body"].to_pylist(), early, rank, meet, threshold)), np.int64).reshape(-1, 2)
+        pairs = np.fromiter((x for pair in close_pairs(group["body"].to_pylist(), early, rank, meet, threshold) for x in pair), np.int64).reshape(-1, 2)
         return pa.table({"early": rows[pairs[:, 0]], "late": rows[pairs[:, 1]]})
 
     return tiles.groupBy("scope", "band", "lo", "hi").applyInArrow(compare, "early long, late long")

@@ -9,9 +9,9 @@ being matched block by block, and neither loses a pair:
   hundredth of b at most, but for one block at the very beginning; so K is at most their number in b, and 1.
 - Blocks are a common subsequence, so M is at most the length of the longest one.
 
-An inverted index of the runs counts what a text has in common with all others of its tile at once. Runs that more than
-HOT_TEXTS texts hold are not listed: two texts have as many of these in common as the one with fewer of them holds, at
-most, and the pairs that this leaves are counted one by one.
+Sketches come before both: a text's runs turn over the bits they fall on, so two sketches differ in no more bits than there
+are runs that only one of the texts holds, and these are |a| + |b| - 2 (q - 1) less twice the runs in common. A sketch is compared
+folded to a quarter first, then whole, with all texts of the tile at once; few pairs go on to their runs.
 """
 
 from __future__ import annotations
@@ -24,15 +24,15 @@ from dataclasses import dataclass
 import numpy as np
 
 Q = 5
+#: Where more texts than these are left for a text, folded sketches are compared before whole ones.
 HOT_TEXTS = 64
+#: Sketches have 8 bits a character of the longest text; those of short texts, which may miss more of their runs, up to 32.
+SKETCH_BITS, SHORT_BITS, FOLD = 8, 6400, 4
 U = np.uint64
 
 
-def runs(text: str, q: int = Q) -> np.ndarray:
-    """Sorted codes of the text's runs of q characters; the second, third ... of equal runs have codes of their own.
-
-    Different runs may share a code, which only raises what two texts seem to have in common.
-    """
+def hashes(text: str, q: int = Q) -> np.ndarray:
+    """A hash of each run of q characters, in the order of the text."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
     n = len(c) - q + 1
     if n <= 0:
@@ -41,6 +41,18 @@ def runs(text: str, q: int = Q) -> np.ndarray:
     for i in range(q):
         h = h * U(0x9E3779B97F4A7C15) + c[i : i + n]
     h ^= h >> U(29)
+    return h
+
+
+def runs(text: str, q: int = Q) -> np.ndarray:
+    """Sorted codes of the text's runs of q characters; the second, third ... of equal runs have codes of their own.
+
+    Different runs may share a code, which only raises what two texts seem to have in common.
+    """
+    h = hashes(text, q)
+    n = len(h)
+    if not n:
+        return h
     h.sort()
     new = np.r_[True, h[1:] != h[:-1]]
     at = np.arange(n)
@@ -56,55 +68,52 @@ def rare_characters(text: str) -> int:
     return 1 + sum(n for n in Counter(text).values() if n <= most)
 
 
+def sketch(text: str, bits: int) -> np.ndarray:
+    """Words of ``bits`` bits, each the parity of the runs that fall on it."""
+    at = (runs(text) * U(0xD6E8FEB86659FD93) >> U(32)) * U(bits) >> U(32)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(U)
+
+
 @dataclass
 class Tile:
-    """Texts that are compared with each other, and the index of their runs."""
+    """Texts that are compared with each other, and the sketches of their runs, a column a text."""
 
     texts: list[str]
 
     def __post_init__(self) -> None:
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.rare = np.array([rare_characters(t) for t in self.texts], np.int64)
-        self.runs = each = [runs(t) for t in self.texts]
-        rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
-        codes = np.concatenate([np.zeros(0, U), *each])
-        order = np.argsort(codes, kind="stable")
-        codes, rows = codes[order], rows[order]
-        new = np.r_[True, codes[1:] != codes[:-1]] if len(codes) else np.zeros(0, bool)
-        begin = np.flatnonzero(new)
-        length = np.diff(np.r_[begin, len(codes)])
-        self.hot = np.bincount(rows[np.repeat(length > HOT_TEXTS, length)], minlength=len(each))
-        shared = np.repeat((length > 1) & (length <= HOT_TEXTS), length)  # a run of one text only is in no overlap
-        self.rows = rows[shared]
-        begin = np.flatnonzero(new[shared])
-        length = np.diff(np.r_[begin, len(self.rows)])
-        entry = np.repeat(np.arange(len(begin)), length)
-        by_row = np.argsort(self.rows, kind="stable")
-        self.entries, self.begin, self.length = entry[by_row], begin, length
-        self.first = np.searchsorted(self.rows[by_row], np.arange(len(self.texts) + 1))
-
-    def overlaps(self, i: int) -> np.ndarray:
-        """How many listed runs text i has in common with each text."""
-        mine = self.entries[self.first[i] : self.first[i + 1]]
-        size = self.length[mine]
-        at = np.arange(int(size.sum())) + np.repeat(self.begin[mine] - (np.cumsum(size) - size), size)
-        return np.bincount(self.rows[at], minlength=len(self.texts))
-
-    def candidates(self, i: int, late: np.ndarray, threshold: float) -> np.ndarray:
-        """Of the texts ``late``, none longer than text i, those that the lengths and common runs allow."""
-        total = self.size[late] + self.size[i]
-        late, total = late[2 * self.size[late] >= threshold * total - 1e-6], total[2 * self.size[late] >= threshold * total - 1e-6]
-        if not len(late):
-            return late
+        self.n_runs = np.maximum(self.size - (Q - 1), 0)
+        most = int(self.size.max(initial=0))
+        bits = max(SKETCH_BITS * most, min(SHORT_BITS, 4 * SKETCH_BITS * most), 1)
+        words = -(-bits // (64 * FOLD)) * FOLD
+        self.whole = np.zeros((len(self.texts), words), U)
+        for i, t in enumerate(self.texts):
+            self.whole[i] = sketch(t, 64 * words)
+        self.folded = np.ascontiguousarray(np.bitwise_xor.reduce(self.whole.reshape(len(self.texts), FOLD, words // FOLD), axis=1).T)
+
+    def overlaps(self, i: int, others: np.ndarray | None = None) -> np.ndarray:
+        """How many runs text i has in common with each of the ``others``, by default with each text."""
+        places = range(len(self.texts)) if others is None else others.tolist()
+        mine = runs(self.texts[i])
+        return np.fromiter((len(np.intersect1d(mine, runs(self.texts[j]), assume_unique=True)) for j in places), np.int64, len(places))
+
+    def candidates(self, i: int, begin: int, end: int, meet: np.ndarray, threshold: float) -> np.ndarray:
+        """Of the texts from ``begin`` to ``end`` that ``meet`` marks, none longer than text i, those that the lengths and runs allow."""
+        total = self.size[begin:end] + self.size[i]
         least = np.ceil(threshold * total / 2 - 1e-6).astype(np.int64)
-        blocks = np.minimum(self.rare[i], total - 2 * least + 1)
-        least = least - (Q - 1) * blocks
-        may = self.overlaps(i)[late] + np.minimum(self.hot[i], self.hot[late]) >= least
-        late, least = late[may], least[may]
-        if self.hot[i]:
-            common = np.fromiter((len(np.intersect1d(self.runs[i], self.runs[j], assume_unique=True)) for j in late.tolist()), np.int64, len(late))
-            late = late[common >= least]
-        return late
+        least -= (Q - 1) * np.minimum(self.rare[i], total - 2 * least + 1)
+        may = meet & (2 * self.size[begin:end] >= threshold * total - 1e-6)
+        apart = self.n_runs[begin:end] + self.n_runs[i] - 2 * least
+        if end - begin > HOT_TEXTS:
+            may &= np.bitwise_count(self.folded[:, begin:end] ^ self.folded[:, i : i + 1]).sum(axis=0, dtype=np.int32) <= apart
+        left = np.flatnonzero(may)
+        near = np.zeros(len(left), bool)
+        step = max(1, (1 << 17) // self.whole.shape[1])  # a megabyte of sketches at one time
+        for k in range(0, len(left), step):
+            near[k : k + step] = np.bitwise_count(self.whole[begin + left[k : k + step]] ^ self.whole[i]).sum(axis=1, dtype=np.int32) <= apart[left[k : k + step]]
+        left = left[near]
+        return begin + left[self.overlaps(i, begin + left) >= least[left]]
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -143,13 +152,13 @@ def close_pairs(texts: list[str], early_of: np.ndarray, rank: np.ndarray, meet,
     ``early_of``: whether a text may be the earlier one of a pair; ``rank``: the order, by length from the longest on;
     ``meet``: a function of a place and places to a mask of those that it is compared with here.
     """
-    tile = Tile(texts)
     by_rank = np.argsort(rank, kind="stable")
+    tile = Tile([texts[i] for i in by_rank.tolist()])
+    ends = np.searchsorted(-tile.size, 1 - threshold / (2 - threshold) * tile.size, side="right")  # shorter texts are too short
     for k, i in enumerate(by_rank.tolist()):
-        if not early_of[i]:
+        if not early_of[i] or ends[k] <= k + 1:
             continue
-        late = by_rank[k + 1 :]
-        late = tile.candidates(i, late[meet(i, late)], threshold)
+        late = tile.candidates(k, k + 1, int(ends[k]), meet(i, by_rank[k + 1 : ends[k]]), threshold)
         if len(late):
             m = difflib.SequenceMatcher(None, "", texts[i])
-            yield from ((i, j) for j in late.tolist() if close(texts[i], texts[j], threshold, m))
+            yield from ((i, j) for j in by_rank[late].tolist() if close(texts[i], texts[j], threshold, m))
