@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -40,3 +41,18 @@ def test_few_unrelated_pairs_are_counted(monkeypatch):
     found = set(close_pairs(texts, np.ones(len(texts), bool), rank, lambda i, j: np.ones(len(j), bool), 0.92))
     assert found == {(0, 200), (201, 1)}
     assert len(counted) <= len(texts) * (len(texts) - 1) / 2 / 100
+
+
+def test_tile_memory():
+    """A tile takes less than 4 bytes a character besides its texts, while it is made and after."""
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(["the ", "er", "on ", "an"]) for _ in range(800)) for _ in range(200)]
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        tile = text_ratio.Tile(texts)
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert len(tile.texts) == 200
+    assert peak < 4 * sum(map(len, texts))
