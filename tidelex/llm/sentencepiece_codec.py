@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 #: Most bytes of text in a block (a longer text is a block of its own).
 BLOCK_BYTES = 12 << 20
+#: Texts of a block, and words of a shard, that are Python objects at one time.
+TEXTS_AT_ONCE, WORDS_AT_ONCE = 256, 1 << 14
 
 
 class ChunkCodec:
@@ -95,7 +98,7 @@ def in_blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = np.cumsum(np.fromiter((len(t) for t in b["text"].to_pylist()), np.int64, b.num_rows)) // BLOCK_BYTES
+            sizes = np.cumsum(pc.utf8_length(b["text"]).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK_BYTES
             edges = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1], True]) if b.num_rows else []
             for begin, end in zip(edges[:-1], edges[1:], strict=True):
                 part = b.slice(begin, end - begin)
@@ -105,7 +108,45 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "block long, data binary")
 
 
-def by_shard(words: set[str], shards: int) -> dict[int, list[str]]:
+def some_at_a_time(texts: pa.ChunkedArray) -> Iterator[str]:
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        yield from texts.slice(at, TEXTS_AT_ONCE).to_pylist()
+
+
+class Block:
+    """The texts of a block as places of their chunks among its distinct ones: four bytes a word, not a string each."""
+
+    def __init__(self, texts: pa.ChunkedArray):
+        self.texts, self.at = texts, {}
+        at = self.at
+        self.parts = [np.array([at.setdefault(c, len(at)) for c in ChunkCodec.chunks(t)], np.int32) for t in some_at_a_time(texts)]
+
+    def coded(self, codec: ChunkCodec, answers: Iterator[tuple[list[str], pa.Table]]) -> Iterator[tuple[bytes, str]]:
+        """As ``ChunkCodec.placed``; the answers (ids, text) of some chunks each, of all of them together."""
+        begin, size = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
+        flat, n, other = [], 0, {}
+        for words, told in answers:
+            places = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            ids = told["ids"].combine_chunks()
+            flat.append(ids.flatten().to_numpy())
+            size[places] = ids.value_lengths().to_numpy()
+            begin[places] = n + np.r_[0, np.cumsum(size[places])[:-1]]
+            n += len(flat[-1])
+            differ = np.flatnonzero(told["text"].is_valid().to_numpy())
+            other |= zip(places[differ].tolist(), told["text"].take(pa.array(differ)).to_pylist(), strict=True)
+        all_ids, names, differs = np.concatenate([*flat, np.zeros(0, np.uint16)]), list(self.at), np.zeros(len(self.at), bool)
+        differs[list(other)] = True
+        for text, part in zip(some_at_a_time(self.texts), self.parts, strict=True):
+            if differs[part].any():
+                table = {names[i]: (all_ids[begin[i] : begin[i] + size[i]].astype("<u4").tobytes(), other[i] if i in other else own_text(names[i])) for i in set(part.tolist())}
+                yield from codec.placed([[names[i] for i in part.tolist()]], table)
+            else:
+                many = size[part]
+                ids = all_ids[np.repeat(begin[part] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                yield b"".join([codec.bos, ids.astype("<u4").tobytes(), codec.eos]), own_text(text)
+
+
+def by_shard(words: Iterable[str], shards: int) -> dict[int, list[str]]:
     """The words, sorted, of each shard that owns any."""
     out: dict[int, list[str]] = {}
     for w in sorted(words):
@@ -156,36 +197,28 @@ def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = False, keep
     def ask(key: tuple, group: pa.Table) -> pa.Table:
         words: set[str] = set()
         for blob in group["data"].to_pylist():
-            for t in unpacked(blob)["text"].to_pylist():
+            for t in some_at_a_time(unpacked(blob)["text"]):
                 words.update(ChunkCodec.chunks(t))
         held = by_shard(words, shards)
         return pa.table({"shard": pa.array(list(held), pa.int32()), "block": pa.array([key[0].as_py()] * len(held), pa.int64()), "words": pa.array([packed(w=pa.array(x, pa.string())) for x in held.values()], pa.binary())})
 
     def answer(key: tuple, group: pa.Table) -> pa.Table:
-        asked = [unpacked(x)["w"].to_pylist() for x in group["words"].to_pylist()]
-        at: dict[str, int] = {}
-        for words in asked:
-            for w in words:
-                at.setdefault(w, len(at))
+        asked = [unpacked(x)["w"].combine_chunks() for x in group["words"].to_pylist()]
+        at = pa.concat_arrays(asked).dictionary_encode()  # the words once, and where each question has them
         codec = ChunkCodec(model.value)
-        ids, texts = codec.segment(list(at))
-        width = pa.uint16() if codec.sp.get_piece_size() <= 1 << 16 else pa.uint32()
-        table = pa.table({"ids": pa.array(ids, pa.list_(width)), "text": pa.array(texts, pa.string())})
-        told = [table.take(pa.array([at[w] for w in words], pa.int64())) for words in asked]
+        kind = pa.schema({"ids": pa.list_(pa.uint16() if codec.sp.get_piece_size() <= 1 << 16 else pa.uint32()), "text": pa.string()})
+        tables = (codec.segment(at.dictionary.slice(k, WORDS_AT_ONCE).to_pylist()) for k in range(0, len(at.dictionary), WORDS_AT_ONCE))
+        table = pa.concat_tables([pa.table({"ids": ids, "text": texts}, kind) for ids, texts in tables]).combine_chunks()
+        ends = np.cumsum([0, *map(len, asked)]).tolist()
+        told = [table.take(at.indices.slice(begin, end - begin)) for begin, end in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({"block": group["block"], "shard": group["shard"], "told": pa.array([packed(ids=t["ids"].combine_chunks(), text=t["text"].combine_chunks()) for t in told], pa.binary())})
 
     def place(key: tuple, group: pa.Table, told: pa.Table) -> pa.Table:
         docs_of = pa.concat_tables([unpacked(blob) for blob in group["data"].to_pylist()])
-        parts = [ChunkCodec.chunks(t) for t in docs_of["text"].to_pylist()]
-        held = by_shard(set().union(*parts), shards)
-        table: dict[str, tuple[bytes, str]] = {}
-        for shard, blob in zip(told["shard"].to_pylist(), told["told"].to_pylist(), strict=True):
-            answers = unpacked(blob)
-            ids = answers["ids"].combine_chunks()
-            flat, ends = ids.flatten().to_numpy().astype("<u4"), np.r_[0, np.cumsum(ids.value_lengths().to_numpy())].tolist()
-            for i, (w, t) in enumerate(zip(held[shard], answers["text"].to_pylist(), strict=True)):
-                table[w] = (flat[ends[i] : ends[i + 1]].tobytes(), own_text(w) if t is None else t)
-        return rows_of(docs_of["doc_id"].combine_chunks(), ChunkCodec(model.value).placed(parts, table))
+        block = Block(docs_of["text"])
+        held = by_shard(block.at, shards)
+        answers = ((held[shard], unpacked(blob)) for shard, blob in zip(told["shard"].to_pylist(), told["told"].to_pylist(), strict=True))
+        return rows_of(docs_of["doc_id"].combine_chunks(), block.coded(ChunkCodec(model.value), answers))
 
     asked = blocks.groupBy("block").applyInArrow(ask, "shard int, block long, words binary")
     told = asked.groupBy("shard").applyInArrow(answer, "block long, shard int, told binary")
