@@ -91,3 +91,36 @@ def test_means_by_codes():
         assert np.array_equal(p.means(t), want)
     assert p.means("12 !") is None
     assert np.array_equal(Profile(["a"], {}, np.ones((1, 1)), np.zeros(1)).means("ab"), [1.0])
+
+
+def test_every_text_sets_the_threshold(spark):
+    """Thresholds by hand: each text in pieces under counts of the texts of other parts, all texts of a language, however many."""
+    import math
+    import random
+    import zlib
+    from collections import Counter
+
+    rnd = random.Random(7)
+    rows = [(lang, " ".join(rnd.choices(words, k=rnd.randint(3, 90)))) for lang, n in (("en", 2100), ("de", 40)) for words in [LEARNED[lang].lower().split()] for _ in range(n)]
+    rows += [("fr", LEARNED["fr"])] * 3  # one part only: no threshold
+    parts = {t: zlib.crc32(t.encode()) % 3 for _, t in rows}
+    profile = learn(spark.createDataFrame(rows, "lang string, text string"), runs=10_000, tolerance=2.0)
+    counts = {(lang, k): Counter() for lang in ("en", "de", "fr") for k in range(3)}
+    for lang, t in rows:
+        counts[lang, parts[t]].update(text_runs(t))
+    known = {r for c in counts.values() for r in c}
+    for lang in ("en", "de"):
+        means = []
+        for k in range(3):
+            rest = counts[lang, (k + 1) % 3] + counts[lang, (k + 2) % 3]
+            whole = rest.total()
+            for x, t in rows:
+                if x == lang and parts[t] == k:
+                    flat = letters(t)
+                    for i in range(0, max(1, len(flat) - 100), 200):
+                        found = text_runs(flat[i : i + 200])
+                        means.append(sum(math.log((rest[r] + 0.5) / (whole + 0.5 * (len(known) + 1)) if r in known else 0.05 / (whole + 1)) for r in found) / len(found))
+        mean = sum(means) / len(means)
+        sd = math.sqrt(sum((m - mean) ** 2 for m in means) / len(means))
+        assert profile.least[profile.languages.index(lang)] == pytest.approx(mean - 2 * max(sd, 0.1), abs=1e-9)
+    assert profile.least[profile.languages.index("fr")] == -math.inf

@@ -27,8 +27,8 @@ from tidelex.functions.text import MIN_ENGLISH_CHARS, ascii_ratio
 from tidelex.storage import cut
 
 SIZES = (1, 2, 3)
-#: Runs kept of each language, letters of a piece of text, and texts of a language that set its threshold.
-PROFILE_RUNS, PIECE, SPREAD_ROWS = 3000, 200, 2000
+#: Runs kept of each language, letters of a piece of text, and parts of the texts, of which each is told by the others.
+PROFILE_RUNS, PIECE, FOLDS = 3000, 200, 3
 #: The least standard deviation that a threshold is set by; few texts seem more alike than they are.
 LEAST_SPREAD = 0.1
 OTHER = "unknown"
@@ -93,31 +93,32 @@ def learn(texts: DataFrame, text: str = "text", language: str = "lang", runs: in
     """A profile from (text, language) rows; rows with a null in either teach nothing, an empty table knows no language.
 
     Counts cover all rows; what comes to the driver is bounded by ``runs`` of each language. A language's threshold lies
-    ``tolerance`` standard deviations below the mean of pieces of its texts under a profile of the other texts: a third of
-    all, by a hash, and at most SPREAD_ROWS of them, is set aside for that. A language all of whose texts are learned from has none.
+    ``tolerance`` standard deviations below the mean of the pieces of all its texts, each under a profile of other texts: the
+    texts are dealt to FOLDS parts by a hash, and a part is told by the others. A language with texts in one part only has none.
     """
-    aside = lambda t: zlib.crc32(t.encode("utf-8", "surrogatepass")) % 3 == 0
+    fold = lambda t: zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS
     known = texts.where(F.col(text).isNotNull() & F.col(language).isNotNull()).select(F.col(language).cast("string").alias("language"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held: dict[tuple[str, bool], Counter[str]] = {}
+            held: dict[tuple[str, int], Counter[str]] = {}
             for lang, t in zip(b["language"].to_pylist(), b["text"].to_pylist(), strict=True):
-                held.setdefault((lang, aside(t)), Counter()).update(text_runs(t))
-            columns = list(zip(*[(lang, r, out, n) for (lang, out), runs in held.items() for r, n in runs.items()], strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_pydict({"language": pa.array(columns[0], pa.string()), "run": pa.array(columns[1], pa.string()), "aside": pa.array(columns[2], pa.bool_()), "n": pa.array(columns[3], pa.int64())})
-
-    both = [F.sum("n").alias("n"), F.coalesce(F.sum(F.when(~F.col("aside"), F.col("n"))), F.lit(0)).alias("rest")]
-    counts = cut(known.mapInArrow(count, "language string, run string, aside boolean, n long").groupBy("language", "run").agg(*both))
-    total = {r.language: (r.n, r.rest) for r in counts.groupBy("language").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest")).collect()}
+                held.setdefault((lang, fold(t)), Counter()).update(text_runs(t))
+            columns = list(zip(*[(lang, r, k, n) for (lang, k), runs in held.items() for r, n in runs.items()], strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_pydict({"language": pa.array(columns[0], pa.string()), "run": pa.array(columns[1], pa.string()), "fold": pa.array(columns[2], pa.int32()), "n": pa.array(columns[3], pa.int64())})
+
+    names = ["n", *(f"without{k}" for k in range(FOLDS))]
+    apart = [F.coalesce(F.sum(F.when(F.col("fold") != k, F.col("n"))), F.lit(0)).alias(names[k + 1]) for k in range(FOLDS)]
+    counts = cut(known.mapInArrow(count, "language string, run string, fold int, n long").groupBy("language", "run").agg(F.sum("n").alias("n"), *apart))
+    total = {r.language: r for r in counts.groupBy("language").agg(*[F.sum(x).alias(x) for x in names]).collect()}
     top = counts.withColumn("at", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "run"))).where(F.col("at") <= runs)
-    rows = top.select("language", "run", "n", "rest").collect()
+    rows = top.select("language", "run", *names).collect()
     languages, places = sorted(total), {r: i for i, r in enumerate(sorted({x.run for x in rows}))}
 
-    def likelihoods(column: int) -> np.ndarray:
+    def likelihoods(column: str) -> np.ndarray:
         weights = np.zeros((len(places) + 1, len(languages)))
         for x in rows:
-            weights[places[x.run], languages.index(x.language)] = (x.n, x.rest)[column]
+            weights[places[x.run], languages.index(x.language)] = x[column]
         held = weights.sum(axis=0)
         for k, lang in enumerate(languages):  # runs that the profile lacks share what is left over
             whole = total[lang][column]
@@ -127,23 +128,24 @@ def learn(texts: DataFrame, text: str = "text", language: str = "lang", runs: in
 
     if not languages:
         return Profile([], {}, np.zeros((1, 0)), np.zeros(0))
-    rest = Profile(languages, places, likelihoods(1), np.full(len(languages), -np.inf))
+    others = [Profile(languages, places, likelihoods(x), np.full(len(languages), -np.inf)) for x in names[1:]]
+    taught = {(lang, k) for lang in languages for k in range(FOLDS) if total[lang][names[k + 1]]}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[str, float]] = []
             for lang, t in zip(b["language"].to_pylist(), b["text"].to_pylist(), strict=True):
-                flat = letters(t) if aside(t) else ""
+                k = fold(t)
+                flat = letters(t) if (lang, k) in taught else ""
                 at = languages.index(lang)
                 for i in range(0, max(1, len(flat) - PIECE // 2), PIECE):
-                    if (means := rest.means(flat[i : i + PIECE])) is not None:
+                    if (means := others[k].means(flat[i : i + PIECE])) is not None:
                         out.append((lang, float(means[at])))
             yield pa.RecordBatch.from_pydict({"language": pa.array([x[0] for x in out], pa.string()), "mean": pa.array([x[1] for x in out], pa.float64())})
 
-    some = known.withColumn("at", F.row_number().over(Window.partitionBy("language").orderBy(F.xxhash64("text"), "text"))).where(F.col("at") <= SPREAD_ROWS)
-    found = some.select("language", "text").mapInArrow(spread, "language string, mean double").groupBy("language").agg(F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("sd")).collect()
+    found = known.mapInArrow(spread, "language string, mean double").groupBy("language").agg(F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("sd")).collect()
     least = {r.language: r["mean"] - tolerance * max(r.sd, LEAST_SPREAD) for r in found}
-    return Profile(languages, places, likelihoods(0), np.array([least.get(x, -np.inf) for x in languages]))
+    return Profile(languages, places, likelihoods("n"), np.array([least.get(x, -np.inf) for x in languages]))
 
 
 def language_of(text: Column, profile: Profile) -> Column:
