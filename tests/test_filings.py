@@ -74,6 +74,18 @@ def test_filing_from_html_to_chunks(spark):
     assert "filing_page_chunks" in catalog.QUERIES
 
 
+def test_page_filings_are_chunked_to_their_end(spark, tmp_path):
+    """Sections far over 12,000 characters keep all their sentences."""
+    from tidelex import catalog
+
+    body = [sentence(50, f"s{k}x") for k in range(200)]
+    pages = spark.createDataFrame([(1, "http://a.example/", f"<p>{' '.join(body)}</p>")], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    rows = catalog.QUERIES["filing_page_chunks"](spark, str(tmp_path)).orderBy("position").collect()
+    assert len(" ".join(body)) > 50_000 and " ".join(r.text for r in rows) == " ".join(body)
+    assert {r.section for r in rows} == {"Risk Factors"}
+
+
 def test_rows_of_a_batch_are_taken_in_slices(spark, monkeypatch):
     """However many rows a batch has, few of them are Python objects at a time; slices keep rows, order and nulls."""
     from tidelex.functions import html

@@ -199,10 +199,11 @@ RISK_FACTORS = r"(?is)ITEM\s*1A\.?\s*RISK\s*FACTORS(.*?)(?:ITEM\s*1B\.|ITEM\s*2\
 BUSINESS = r"(?is)ITEM\s*1\.?\s*BUSINESS(.*?)(?:ITEM\s*1A\.|ITEM\s*2\.)"
 
 
-def filing_sections(text: Column, cap: int = 12_000) -> Column:
-    """array<struct<section,text>> of a filing's plain text: Human Capital and Risk Factors, or Business if it has neither; each cut to ``cap`` characters."""
+def filing_sections(text: Column, cap: int | None = 12_000) -> Column:
+    """array<struct<section,text>> of a filing's plain text: Human Capital and Risk Factors, or Business if it has neither; each cut to ``cap`` characters, whole without one."""
     flat = F.regexp_replace(text, r"(?U)\s+", " ")
-    found = lambda p: F.when(flat.rlike(p), F.substring(F.trim(F.regexp_extract(flat, p, 1)), 1, cap))
+    whole = lambda p: F.trim(F.regexp_extract(flat, p, 1))
+    found = lambda p: F.when(flat.rlike(p), whole(p) if cap is None else F.substring(whole(p), 1, cap))
     one = lambda name, value: F.struct(F.lit(name).alias("section"), value.alias("text"))
     people, risks = F.coalesce(*[found(p) for p in HUMAN_CAPITAL]), found(RISK_FACTORS)
     business = F.when(people.isNull() & risks.isNull(), found(BUSINESS))

@@ -54,9 +54,9 @@ def _filing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def filing_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings from HTML to text to sections to chunks."""
+    """Filings from HTML to text to whole sections to chunks."""
     texts = filing_texts(_filing_pages(spark, sf_dir))
-    sections = texts.select("filing_id", "year", F.explode(filing_sections(F.col("text"))).alias("s")).select("filing_id", "year", "s.section", "s.text")
+    sections = texts.select("filing_id", "year", F.explode(filing_sections(F.col("text"), cap=None)).alias("s")).select("filing_id", "year", "s.section", "s.text")
     return chunk_filings(sections)
 
 
