@@ -76,6 +76,20 @@ def test_overlaps_count_repeats():
     assert len(runs("abcd")) == 0
 
 
+@pytest.mark.parametrize("pairs", [0, 1 << 21])
+def test_matcher_decides_like_difflib(monkeypatch, pairs):
+    """At thresholds on, above and below the ratio of a pair, whatever the lengths, and where its equal characters are too many to hold."""
+    monkeypatch.setattr(text_ratio, "PAIRS", pairs)
+    rnd = random.Random(11)
+    for _ in range(60):
+        texts = ["", "aa", "abab" * 60, *family(rnd)]
+        for early, late in [(rnd.choice(texts), rnd.choice(texts)) for _ in range(8)]:
+            ratio = difflib.SequenceMatcher(None, late, early).ratio()
+            matcher = text_ratio.Matcher(early)
+            for threshold in {ratio, min(1.0, ratio + 1e-4), max(1e-4, ratio - 1e-4), 0.5, 0.92}:
+                assert matcher.reaches(late, threshold) == (ratio >= threshold)
+
+
 def greedy(rows, threshold=0.92):
     kept = []
     once = {}

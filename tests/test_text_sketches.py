@@ -56,3 +56,17 @@ def test_tile_memory():
         tracemalloc.stop()
     assert len(tile.texts) == 200
     assert peak < 4 * sum(map(len, texts))
+
+
+def test_long_unrelated_texts_are_not_matched(monkeypatch):
+    """Long texts of one language share most runs of five, and rare letters enough to excuse the rest; few pairs are matched block by block."""
+    rnd, matched, close = random.Random(9), [], text_ratio.close
+    monkeypatch.setattr(text_ratio, "close", lambda early, late, *rest: (matched.append(1), close(early, late, *rest))[1])
+    syllables = ["the ", "er", "on ", "an", "re", "ou ", "ti", "in ", "ha", "st "] * 4 + ["b ", "c", "d", "f ", "g", "k", "l ", "m", "p", "v"]
+    texts = ["".join(rnd.choice(syllables) for _ in range(3000)) for _ in range(40)]
+    texts.append(texts[0][:-40])
+    order = sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i))
+    rank = np.empty(len(texts), np.int64)
+    rank[order] = np.arange(len(texts))
+    assert set(close_pairs(texts, np.ones(len(texts), bool), rank, lambda i, j: np.ones(len(j), bool), 0.92)) == {(0, 40)}
+    assert len(matched) <= 40

@@ -38,7 +38,7 @@ def merged_captures(known: DataFrame, found: DataFrame, url: str = "original", t
 
 
 #: Texts, and characters, of a block of a large group; two blocks meet in one task.
-BLOCK_ROWS, BLOCK_CHARS = 8192, 8_000_000
+BLOCK_ROWS, BLOCK_CHARS = 16_384, 16_000_000
 
 
 def _close_pairs(exact: DataFrame, text: str, order: str, threshold: float) -> DataFrame:
