@@ -110,3 +110,18 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "scope string, at string, body string, block string")
     got = {(r.scope, r.at) for r in dedup.near_duplicates_removed(frame, ["scope"], "body", "at").collect()}
     assert got == {(s, at) for s in "abc" for at in greedy([(a, t) for x, a, t, _ in rows if x == s and t is not None])}
+
+
+@pytest.mark.parametrize("rows", [15, 25, 60])
+def test_each_pair_meets_once(spark, monkeypatch, rows):
+    """However many blocks a group is dealt to, every close pair is found in one tile."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(13)
+    base = "".join(rnd.choice(LETTERS) for _ in range(150))
+    texts = sorted({"".join(x for x in base if rnd.random() > 0.06) for _ in range(50)}, key=lambda t: (-len(t), t))
+    frame = spark.createDataFrame([(k, "s", f"{k:03d}", t) for k, t in enumerate(texts)], "__row long, __scope string, at string, body string")
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", rows)
+    got = sorted((r.early, r.late) for r in dedup._close_pairs(frame.repartition(4, F.col("at")), "body", "at", 0.92).collect())
+    want = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if difflib.SequenceMatcher(None, texts[j], texts[i]).ratio() >= 0.92]
+    assert got == want and len(want) > 20

@@ -45,7 +45,8 @@ def _close_pairs(exact: DataFrame, text: str, order: str, threshold: float) -> D
     """early, late: rows of one scope at ``threshold`` of similarity or more, the longer (ties by ``order``) first.
 
     Lengths of close texts lie in one band or in neighbours, so a text goes to its own band and the next one. A group of
-    more than a block's texts is dealt to blocks, which meet two by two; only close pairs leave a task.
+    more than a block's texts is dealt to blocks, which meet two by two; a block's texts meet each other where it meets the
+    next one (the last block: the first). Only close pairs leave a task.
     """
     width = math.log((2 - threshold) / threshold) * 1.001 + 1e-9
     bodies = exact.select(F.col("__row").alias("row"), F.col("__scope").alias("scope"), F.col(order).cast("string").alias("at"), F.length(text).alias("size"), F.col(text).alias("body"))
@@ -55,20 +56,22 @@ def _close_pairs(exact: DataFrame, text: str, order: str, threshold: float) -> D
     )
     there = bodies.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
     there = there.join(sizes.where("n > 1"), ["scope", "band"]).withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
-    there = there.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = there.select("scope", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", (F.col("own") == F.col("band")).alias("early"), "row", "at", "size", "body")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (k != F.col("block")) | (F.col("blocks") == 1))
+    there = there.withColumn("other", F.explode(others))
+    tiles = there.select("scope", "band", "blocks", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", (F.col("own") == F.col("band")).alias("early"), "row", "at", "size", "body")
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
-        lo, hi = key[2].as_py(), key[3].as_py()
+        lo, hi, blocks = (k.as_py() for k in key[2:])
         rows, block, early = (group[c].to_numpy() for c in ("row", "block", "early"))
         place = sorted(range(len(rows)), key=lambda i: (-size[i], at[i], rows[i])) if (size := group["size"].to_pylist()) and (at := group["at"].to_pylist()) else []
         rank = np.empty(len(rows), np.int64)
         rank[place] = np.arange(len(rows))
-        meet = (lambda i, j: block[j] != block[i]) if lo != hi else (lambda i, j: np.ones(len(j), bool))  # within a block where it meets itself
+        within = {k for k in (lo, hi) if (k + 1) % blocks in (lo, hi)}  # blocks whose own pairs are compared here
+        meet = lambda i, j: np.ones(len(j), bool) if block[i] in within else block[j] != block[i]
         pairs = np.fromiter((x for pair in close_pairs(group["body"].to_pylist(), early, rank, meet, threshold) for x in pair), np.int64).reshape(-1, 2)
         return pa.table({"early": rows[pairs[:, 0]], "late": rows[pairs[:, 1]]})
 
-    return tiles.groupBy("scope", "band", "lo", "hi").applyInArrow(compare, "early long, late long")
+    return tiles.groupBy("scope", "band", "lo", "hi", "blocks").applyInArrow(compare, "early long, late long")
 
 
 def near_duplicates_removed(rows: DataFrame, scope: list[str], text: str, order: str, threshold: float = 0.92) -> DataFrame:
